@@ -42,12 +42,17 @@ def pair_with_models(rows: DataFrame, models: DataFrame, on: Sequence[str], mode
     return r.join(m, on + ["_blk", "_salt"]).drop("_blk", "_salt")
 
 
-def softmax_scores(scores: Column) -> Column:
-    """Max-shifted softmax of a score array (row-local)."""
-    m = F.array_max(scores)
-    exps = F.transform(scores, lambda s: F.exp(s - m))
-    z = F.aggregate(exps, F.lit(0.0), lambda acc, e: acc + e)
-    return F.transform(exps, lambda e: e / z)
+def with_softmax(df: DataFrame, scores: str, out: str) -> DataFrame:
+    """Max-shifted softmax of a score array column (row-local).
+
+    Each step is its own column so the score array, its max and the normaliser are
+    computed once per row instead of being re-expanded inside every lambda.
+    """
+    return (df.withColumn("_m", F.array_max(scores))
+            .withColumn("_e", F.transform(scores, lambda s: F.exp(s - F.col("_m"))))
+            .withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e))
+            .withColumn(out, F.transform("_e", lambda e: e / F.col("_z")))
+            .drop("_m", "_e", "_z"))
 
 
 def centroid_scores(vec: Column, classes: Column) -> Column:
@@ -68,8 +73,8 @@ def score_centroids(rows: DataFrame, models: DataFrame, key: str, vec: str = "em
     """
     r = rows.select(*on, key, as_double_array(F.col(vec)).alias("_x"))
     pairs = pair_with_models(r, models, on, model_cols, key, max_broadcast_rows)
-    probs = softmax_scores(centroid_scores(F.col("_x"), F.col("classes")))
-    out = pairs.select(*on, *model_cols, key,
-                       F.explode(F.arrays_zip(F.col("classes.class_id").alias("class_id"), probs.alias("prob")))
-                       .alias("_cp"))
+    scored = with_softmax(pairs.withColumn("_s", centroid_scores(F.col("_x"), F.col("classes"))), "_s", "_p")
+    out = scored.select(*on, *model_cols, key,
+                        F.explode(F.arrays_zip(F.col("classes.class_id").alias("class_id"), F.col("_p").alias("prob")))
+                        .alias("_cp"))
     return out.select(*on, *model_cols, key, F.col("_cp.class_id").alias("class_id"), F.col("_cp.prob").alias("prob"))

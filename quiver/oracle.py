@@ -126,3 +126,62 @@ aligned AS (SELECT p.vec_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t
 conf AS (SELECT y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
 {report_ctes('conf', [])}
 """
+
+
+# ---- derived experiment table, planning ---------------------------------------------------
+
+def experiment_ctes() -> str:
+    """CTEs exp_raw (the spreadsheet rule) and exp_clean (first 8 columns, no nulls, typed)."""
+    from quiver.plans.derived import DEBERTA_NAMES, TASKS3
+    tasks = "[" + ", ".join(f"'{t}'" for t in TASKS3) + "]"
+    names = "[" + ", ".join(f"'{n}'" for n in DEBERTA_NAMES) + "]"
+    return f"""exp_base AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus,
+    {tasks}[(o_custkey % 3) + 1] AS _task,
+    CASE o_orderstatus WHEN 'F' THEN 'gpt2' WHEN 'O' THEN 'distilgpt2' ELSE {names}[(o_custkey % 5) + 1] END AS _mtype,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS _base,
+    strftime(o_orderdate, '%Y_%m_%d-%I_%M_%S_%p') || '/' AS _stamp FROM orders),
+exp_raw AS (SELECT CAST(floor(o_orderkey / 4) AS DOUBLE) AS "Configuration Num", _task AS "Task",
+    CASE WHEN _base = 1 THEN '/m/' || _mtype || '/' || _task || '/baseline/' || _stamp
+         WHEN o_orderkey % 97 = 0 THEN '/m/' || _mtype || '/' || _task || '/bootstrapped/' || _stamp
+         ELSE '/m/' || _mtype || '/' || _task || '/bootstrapped_*/' || _stamp END AS "Path",
+    CAST((o_custkey % 13) + 1 AS DOUBLE) AS "Number of Models", CAST(o_custkey % 7 AS DOUBLE) / 10 AS "Pruning Factor",
+    _base AS "Is Baseline", _mtype AS "Model Type",
+    CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS "Notes",
+    CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE 'ok' END AS "Comment", o_orderkey AS "Row" FROM exp_base),
+exp_clean AS (SELECT CAST("Configuration Num" AS INTEGER) AS config, "Task" AS task, "Path" AS path,
+    CAST("Number of Models" AS INTEGER) AS num_models, "Pruning Factor" AS pruning_factor,
+    CAST("Is Baseline" AS INTEGER) AS is_baseline, "Model Type" AS model_type, "Notes" AS notes,
+    CAST("Row" AS BIGINT) AS row_id FROM exp_raw
+  WHERE "Configuration Num" IS NOT NULL AND "Task" IS NOT NULL AND "Path" IS NOT NULL AND "Number of Models" IS NOT NULL
+    AND "Pruning Factor" IS NOT NULL AND "Is Baseline" IS NOT NULL AND "Model Type" IS NOT NULL AND "Notes" IS NOT NULL)"""
+
+
+def chosen_cte(src: str = "exp_clean", seed: str = "'models'") -> str:
+    rowkey = "CAST(config AS VARCHAR) || ':' || task || ':' || path"
+    return f"""chosen AS (SELECT * EXCLUDE (_rk) FROM (
+  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY {H(seed, f"{rowkey} || ':' || CAST(model_no AS VARCHAR)")}, model_no) AS _rk
+  FROM (SELECT *, CAST(unnest(generate_series(0, greatest(10, num_models) - 1)) AS INTEGER) AS model_no
+        FROM {src} WHERE is_baseline = 0)) WHERE _rk <= num_models)"""
+
+
+def model_path_sql(t: str, n: str, mt: str, task: str) -> tuple[str, str]:
+    from quiver.plans.experiment import SUFFIXES, STAMP_LEN
+    sfx = "CASE " + " ".join(f"WHEN {mt} = '{a}' AND {task} = '{b}' THEN '{s}'" for (a, b), s in SUFFIXES.items()) + " END"
+    pos = f"instr({t}, '*')"
+    keep = f"greatest(length({t}) - {STAMP_LEN}, 0)"
+    prefix = f"left({t}, {keep})"
+    ns = f"CAST({n} AS VARCHAR)"
+    replaced = f"substr({t}, 1, {pos} - 1) || {ns} || substr({t}, {pos} + 1)"
+    prefix_r = f"CASE WHEN {pos} <= {keep} THEN substr({prefix}, 1, {pos} - 1) || {ns} || substr({prefix}, {pos} + 1) ELSE {prefix} END"
+    path = f"CASE WHEN {pos} = 0 THEN NULL WHEN {n} < 10 THEN {replaced} ELSE {prefix_r} || ({sfx}) END"
+    err = (f"CASE WHEN {pos} = 0 THEN 'template has no ''*''' WHEN {n} >= 10 AND ({sfx}) IS NULL "
+           f"THEN 'no run-stamp suffix for ' || {mt} || '/' || {task} END")
+    return path, err
+
+
+def hp_cte() -> str:
+    from quiver.plans.derived import DEBERTA_HYPERPARAMS
+    vals = ",\n  ".join(f"({i}, '{m}', '{t}', {e}, {b}, CAST({lr!r} AS DOUBLE), CAST({wd!r} AS DOUBLE))" for i, (m, t, e, b, lr, wd) in enumerate(DEBERTA_HYPERPARAMS))
+    return f"""hp AS (SELECT * FROM (VALUES
+  {vals}) v(file_row, model_name, task, n_epochs, train_batch_size, learning_rate, weight_decay)),
+hp_first AS (SELECT * EXCLUDE (_rk) FROM (SELECT *, row_number() OVER (PARTITION BY model_name, task ORDER BY file_row) AS _rk FROM hp) WHERE _rk = 1)"""

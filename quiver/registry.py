@@ -131,3 +131,195 @@ def q_classification_report(spark, sf):
 
 def flagship_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_classification_report(spark, sf_dir)
+
+
+# ---- experiment planning: S3, P1-P3, M5, X1-X6 -------------------------------------------------
+
+from quiver.plans import derived as D  # noqa: E402
+from quiver.plans import experiment as X  # noqa: E402
+from quiver.operators import tasks as TK  # noqa: E402
+
+_EXP = "WITH " + O.experiment_ctes()
+_CLEAN_COLS = "config, task, path, num_models, pruning_factor, is_baseline, model_type, notes, row_id"
+
+
+def _clean(spark, sf) -> DataFrame:
+    return X.experiment_clean(D.experiment_table(table(spark, sf, "orders")))
+
+
+@register("experiment_clean", f"{_EXP} SELECT {_CLEAN_COLS} FROM exp_clean")
+def q_experiment_clean(spark, sf):
+    return _clean(spark, sf)
+
+
+@register("config_filter", f"{_EXP} SELECT {_CLEAN_COLS} FROM exp_clean WHERE config = 100 AND task = 'CB'")
+def q_config_filter(spark, sf):
+    return X.select_config(_clean(spark, sf), 100, "CB")
+
+
+_RANGES = " OR ".join(f"(config >= {a} AND config < {b})" for a, b in X.VALIDATION_CONFIG_RANGES)
+
+
+@register("configs_in", f"{_EXP} SELECT {_CLEAN_COLS} FROM exp_clean WHERE {_RANGES}")
+def q_configs_in(spark, sf):
+    return X.select_configs(_clean(spark, sf))
+
+
+@register("rows_in", f"{_EXP} SELECT {_CLEAN_COLS} FROM exp_clean WHERE row_id IN ({', '.join(map(str, X.VARIANCE_ROW_INDEX))})")
+def q_rows_in(spark, sf):
+    return X.select_rows(_clean(spark, sf))
+
+
+@register("choose_models", f"{_EXP}, {O.chosen_cte()} SELECT row_id, config, task, model_no FROM chosen")
+def q_choose_models(spark, sf):
+    c = _clean(spark, sf).filter(F.col("is_baseline") == 0)
+    row_key = F.concat_ws(":", F.col("config").cast("string"), F.col("task"), F.col("path"))
+    from quiver.operators.sampling import choose_models
+    return choose_models(c, "num_models", row_key).select("row_id", "config", "task", "model_no")
+
+
+_MP, _ME = O.model_path_sql("path", "model_no", "model_type", "task")
+
+
+@register("model_path", f"{_EXP}, {O.chosen_cte()} SELECT row_id, model_no, {_MP} AS model_path, {_ME} AS error FROM chosen")
+def q_model_path(spark, sf):
+    return (X.expand_config(_clean(spark, sf)).filter(F.col("model_no").isNotNull())
+            .select("row_id", "model_no", F.col("path").alias("model_path"), "error"))
+
+
+_EXPAND_SQL = f"""{_EXP}, {O.chosen_cte()},
+expanded AS (
+  SELECT row_id, config, task, model_type, CAST(NULL AS INTEGER) AS model_no, path, pruning_factor, CAST(NULL AS VARCHAR) AS error
+  FROM exp_clean WHERE is_baseline <> 0
+  UNION ALL
+  SELECT row_id, config, task, model_type, model_no, {_MP} AS path, pruning_factor, {_ME} AS error FROM chosen)"""
+
+
+@register("expand_config", _EXPAND_SQL + " SELECT * FROM expanded")
+def q_expand_config(spark, sf):
+    return X.expand_config(_clean(spark, sf))
+
+
+@register("variance_paths", f"""{_EXP},
+vt AS (SELECT row_id, path AS single_path, '/d/' || model_type || '/' || task AS double_path FROM exp_clean WHERE is_baseline = 0),
+vi AS (SELECT vt.*, CAST(i AS INTEGER) AS i FROM vt CROSS JOIN range(10) r(i))
+SELECT row_id, 'Single' AS "case", i, CAST(NULL AS INTEGER) AS j, replace(single_path, '*', CAST(i AS VARCHAR)) || '/' AS path FROM vi
+UNION ALL
+SELECT row_id, 'Double', i, CAST(j AS INTEGER), double_path || '/bootstrapped_' || CAST(i AS VARCHAR) || '_' || CAST(j AS VARCHAR) || '/'
+FROM vi CROSS JOIN range(5) r(j)""")
+def q_variance_paths(spark, sf):
+    rows = _clean(spark, sf).filter(F.col("is_baseline") == 0).select(
+        "row_id", F.col("path").alias("single_path"),
+        F.concat(F.lit("/d/"), F.col("model_type"), F.lit("/"), F.col("task")).alias("double_path"))
+    return X.variance_paths(rows)
+
+
+@register("config_task_grid", f"""{_EXP} SELECT config, t.task FROM (SELECT DISTINCT config FROM exp_clean)
+CROSS JOIN (VALUES {', '.join(f"('{t}')" for t in X.VALIDATION_TASKS)}) t(task)""")
+def q_config_task_grid(spark, sf):
+    return X.config_task_grid(_clean(spark, sf))
+
+
+@register("attach_factor", f"""{_EXPAND_SQL},
+f AS (SELECT CAST("Row" AS BIGINT) AS row_id, "Pruning Factor" AS pruning_factor FROM exp_raw)
+SELECT coalesce(m.row_id, f.row_id) AS row_id, m.model_no, m.path, f.pruning_factor,
+  CASE WHEN m.row_id IS NULL THEN 'factor without model' WHEN f.row_id IS NULL THEN 'model without factor' ELSE 'ok' END AS factor_status
+FROM (SELECT row_id, model_no, path FROM expanded) m FULL OUTER JOIN f ON m.row_id = f.row_id""")
+def q_attach_factor(spark, sf):
+    raw = D.experiment_table(table(spark, sf, "orders"))
+    factors = raw.select(F.col("Row").cast("bigint").alias("row_id"), F.col("`Pruning Factor`").alias("pruning_factor"))
+    models = X.expand_config(X.experiment_clean(raw)).select("row_id", "model_no", "path")
+    return X.attach_factor(models, factors).select("row_id", "model_no", "path", "pruning_factor", "factor_status")
+
+
+@register("lookup_hyperparams", f"""{_EXP}, {O.hp_cte()}
+SELECT c.row_id, c.model_type, c.task, h.n_epochs, h.train_batch_size, round(h.learning_rate, 6) AS learning_rate,
+  round(h.weight_decay, 6) AS weight_decay,
+  CASE WHEN h.model_name IS NULL THEN 'missing hyperparameters' ELSE 'ok' END AS hp_status
+FROM exp_clean c LEFT JOIN hp_first h ON h.model_name = c.model_type AND h.task = c.task""")
+def q_lookup_hyperparams(spark, sf):
+    rows = _clean(spark, sf).select("row_id", "model_type", "task")
+    return rounded(X.lookup_hyperparams(rows, D.hyperparams(spark)))
+
+
+# ---- task operators: S2, P4-P7 -----------------------------------------------------------------
+
+@register("flatten_nested_qa", """WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+q AS (SELECT u.conv_id, u.turn, u.text AS passage, c1.text AS question FROM u
+      JOIN conversations c1 ON c1.conv_id = u.conv_id AND c1.turn = u.turn + 1),
+a AS (SELECT q.*, x.turn AS a_turn, x.text AS atext, CAST(x.role = 'assistant' AS INTEGER) AS label FROM q
+      JOIN conversations x ON x.conv_id = q.conv_id AND x.turn IN (q.turn + 2, q.turn + 3))
+SELECT conv_id, turn, 0 AS q_pos, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY a_turn) - 1 AS INTEGER) AS a_pos,
+  passage, question || ' ' || atext AS question_answer_concat, label FROM a""")
+def q_flatten_nested_qa(spark, sf):
+    docs = D.qa_documents(table(spark, sf, "conversations"))
+    return TK.flatten_multirc(docs, sep=TK.SEP_DEBERTA, keep=["conv_id", "turn"])
+
+
+_PAIR_TASKS = ["CB", "BoolQ", "COPA"]
+
+
+@register("pair_text", """WITH p AS (SELECT c.conv_id, c.turn, c.text AS t0, n1.text AS x1, n2.text AS x2
+  FROM conversations c JOIN conversations n1 ON n1.conv_id = c.conv_id AND n1.turn = c.turn + 1 AND n1.role = 'assistant'
+  LEFT JOIN conversations n2 ON n2.conv_id = c.conv_id AND n2.turn = c.turn + 2 WHERE c.role = 'user')
+SELECT conv_id, turn, 'CB' AS task, t0 AS seq1, x1 AS seq2 FROM p
+UNION ALL SELECT conv_id, turn, 'BoolQ', t0, x1 FROM p
+UNION ALL SELECT conv_id, turn, 'COPA', t0 || ' <s> ' || x1, t0 || ' <s> ' || x2 FROM p""")
+def q_pair_text(spark, sf):
+    pairs = D.conversation_pairs(table(spark, sf, "conversations"))
+    out = None
+    for t in _PAIR_TASKS:
+        part = TK.pair_text(pairs, t).select("conv_id", "turn", F.lit(t).alias("task"), "seq1", "seq2")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _label_inputs(labels: DataFrame) -> dict[str, DataFrame]:
+    q, tx = F.col("quality"), F.col("toxic")
+    cb = (F.when((tx == 1) & (q == 1), "contradiction").when(q == 1, "entailment")
+          .when(tx == 0, "neutral").otherwise("unknown"))
+    return {
+        "CB": labels.select("doc_id", cb.alias("label")),
+        "RTE": labels.select("doc_id", F.when(q == 1, "entailment").otherwise("not_entailment").alias("label")),
+        "BoolQ": labels.select("doc_id", (q == 1).alias("label")),
+        "MultiRC": labels.select("doc_id", tx.cast("string").alias("label")),
+    }
+
+
+def _encoded_labels(spark, sf) -> DataFrame:
+    out = None
+    for t, df in _label_inputs(table(spark, sf, "labels")).items():
+        part = TK.label_encode(df, t, quarantine=True).select("doc_id", F.lit(t).alias("task"), "label_id", "label_error")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_LABELS_SQL = """enc AS (
+  SELECT doc_id, 'CB' AS task, CASE WHEN toxic = 1 AND quality = 1 THEN 2 WHEN quality = 1 THEN 1 WHEN toxic = 0 THEN 0 END AS label_id,
+    CASE WHEN NOT (quality = 1 OR toxic = 0) THEN 'unmapped CB label: unknown' END AS label_error FROM labels
+  UNION ALL SELECT doc_id, 'RTE', CASE WHEN quality = 1 THEN 0 ELSE 1 END, NULL FROM labels
+  UNION ALL SELECT doc_id, 'BoolQ', CASE WHEN quality = 1 THEN 1 ELSE 0 END, NULL FROM labels
+  UNION ALL SELECT doc_id, 'MultiRC', toxic, NULL FROM labels)"""
+
+
+@register("label_encode", f"WITH {_LABELS_SQL} SELECT doc_id, task, CAST(label_id AS INTEGER) AS label_id, label_error FROM enc")
+def q_label_encode(spark, sf):
+    return _encoded_labels(spark, sf)
+
+
+_TASK_DIM_SQL = "(VALUES " + ", ".join(
+    f"('{t}', {TK.n_classes(t)}, '{TK.SELECTION_METRIC[t]}')" for t in TK.LABEL_MAPS) + ") d(task, n_classes, selection_metric)"
+
+
+@register("task_dim", f"""WITH {_LABELS_SQL}
+SELECT e.task, CAST(e.label_id AS INTEGER) AS label_id, count(*) AS n, CAST(d.n_classes AS INTEGER) AS n_classes, d.selection_metric
+FROM enc e JOIN {_TASK_DIM_SQL} ON d.task = e.task GROUP BY ALL""")
+def q_task_dim(spark, sf):
+    counts = _encoded_labels(spark, sf).groupBy("task", "label_id").agg(F.count(F.lit(1)).alias("n"))
+    dim = TK.task_dim(spark).select("task", "n_classes", "selection_metric")
+    return counts.join(F.broadcast(dim), "task").select("task", "label_id", "n", "n_classes", "selection_metric")
+
+
+@register("task_of_path", "SELECT page_id, string_split(url, '/')[-1] AS task FROM pages")
+def q_task_of_path(spark, sf):
+    return table(spark, sf, "pages").select("page_id", TK.task_of_path(F.col("url")).alias("task"))
