@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,55 @@ def pack_centroids(cent: DataFrame, model_cols: Sequence[str] = ("replica",)) ->
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("mu"))
     return per_class.groupBy(*model_cols).agg(
         F.array_sort(F.collect_list(F.struct("class_id", "mu"))).alias("classes"))
+
+
+TOKEN_PATTERN = "[a-z0-9]+"
+
+
+def tokens(text):
+    """Lower-cased alphanumeric runs of the whole text (JVM regex, no Python)."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
+
+
+def _packed_mults(samples: DataFrame, key: str, model_cols: Sequence[str]) -> DataFrame:
+    """(key, _reps): each drawn row's multiplicity per replica, at most one entry per replica."""
+    return samples.groupBy(key).agg(F.collect_list(F.struct(*model_cols, "mult")).alias("_reps"))
+
+
+def train_naive_bayes(train: DataFrame, samples: DataFrame, key: str, text: str = "text", label: str = "label",
+                      alpha: float = 1.0, model_cols: Sequence[str] = ("replica",)) -> tuple[DataFrame, DataFrame]:
+    """Multinomial naive Bayes for every replica at once.
+
+    Returns ``(loglik, prior)``: ``(model..., class_id, token, loglik)`` over each replica's
+    vocabulary (tokens seen in that replica) with add-``alpha`` smoothing, and
+    ``(model..., class_id, log_prior)`` from the weighted document counts.
+
+    Multiplicities are packed per document (bounded by the replica count) and joined 1:1,
+    so a document's text is tokenized once; token counts are combined map-side, so a very
+    frequent token never reaches the shuffle as more than one row per task.
+    """
+    mc = list(model_cols)
+    docs = (train.select(key, F.col(label).cast("int").alias("class_id"), text)
+            .join(_packed_mults(samples, key, mc), key))
+    reps = [F.col(f"_r.{c}").alias(c) for c in mc]
+    counts = (docs.select("class_id", "_reps", F.explode(tokens(F.col(text))).alias("token"))
+              .select("class_id", "token", F.explode("_reps").alias("_r"))
+              .select(*reps, "class_id", "token", F.col("_r.mult").alias("mult"))
+              .groupBy(*mc, "class_id", "token").agg(F.sum("mult").alias("cnt")))
+    classes = (docs.select("class_id", F.explode("_reps").alias("_r"))
+               .select(*reps, "class_id", F.col("_r.mult").alias("mult"))
+               .groupBy(*mc, "class_id").agg(F.sum("mult").alias("docs")))
+    totals = counts.groupBy(*mc, "class_id").agg(F.sum("cnt").alias("total"))
+    vocab = counts.groupBy(*mc).agg(F.count_distinct("token").alias("v"))
+    # Per-model dimension rows (replicas x classes): small by construction, broadcast.
+    dims = (classes.join(totals, mc + ["class_id"], "left").join(vocab, mc)
+            .select(*mc, "class_id", F.coalesce("total", F.lit(0)).alias("total"), "v"))
+    grid = counts.select(*mc, "token").distinct().join(F.broadcast(dims), mc)
+    loglik = (grid.join(counts, mc + ["class_id", "token"], "left")
+              .select(*mc, "class_id", "token",
+                      F.log((F.coalesce("cnt", F.lit(0)) + F.lit(alpha)) /
+                            (F.col("total") + F.lit(alpha) * F.col("v"))).alias("loglik")))
+    # ``classes`` has replicas x classes rows, so this window is over a tiny table.
+    prior = classes.select(*mc, "class_id",
+                           F.log(F.col("docs") / F.sum("docs").over(Window.partitionBy(*mc))).alias("log_prior"))
+    return loglik, prior

@@ -185,3 +185,54 @@ def hp_cte() -> str:
     return f"""hp AS (SELECT * FROM (VALUES
   {vals}) v(file_row, model_name, task, n_epochs, train_batch_size, learning_rate, weight_decay)),
 hp_first AS (SELECT * EXCLUDE (_rk) FROM (SELECT *, row_number() OVER (PARTITION BY model_name, task ORDER BY file_row) AS _rk FROM hp) WHERE _rk = 1)"""
+
+
+# ---- bagged naive Bayes over documents ----------------------------------------------------
+
+TOKEN_SQL = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+
+def text_ctes(replicas: int = 5, alpha: float = 1.0) -> str:
+    return f"""WITH ld AS (SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l USING (doc_id)),
+sp AS ({split_cte('ld', 'doc_id')}),
+train AS (SELECT * FROM sp WHERE split = 'val'),
+test AS (SELECT * FROM sp WHERE split = 'test'),
+{bootstrap_ctes('train', 'doc_id', replicas)},
+ttok AS (SELECT doc_id, label AS class_id, unnest({TOKEN_SQL}) AS token FROM train),
+cnt AS (SELECT s.replica, t.class_id, t.token, sum(s.mult) AS cnt FROM samples s JOIN ttok t USING (doc_id) GROUP BY ALL),
+classes AS (SELECT s.replica, t.label AS class_id, sum(s.mult) AS docs FROM samples s JOIN train t USING (doc_id) GROUP BY ALL),
+tot AS (SELECT replica, class_id, sum(cnt) AS total FROM cnt GROUP BY ALL),
+voc AS (SELECT replica, count(DISTINCT token) AS v FROM cnt GROUP BY ALL),
+dims AS (SELECT c.replica, c.class_id, coalesce(t.total, 0) AS total, v.v FROM classes c
+  LEFT JOIN tot t USING (replica, class_id) JOIN voc v USING (replica)),
+grid AS (SELECT g.replica, d.class_id, g.token, d.total, d.v FROM (SELECT DISTINCT replica, token FROM cnt) g JOIN dims d USING (replica)),
+model AS (SELECT g.replica, g.class_id, g.token,
+  ln((CAST(coalesce(c.cnt, 0) AS DOUBLE) + {alpha}) / (CAST(g.total AS DOUBLE) + {alpha} * g.v)) AS loglik
+  FROM grid g LEFT JOIN cnt c USING (replica, class_id, token)),
+prior AS (SELECT replica, class_id, ln(docs / sum(docs) OVER (PARTITION BY replica)) AS log_prior FROM classes),
+qtf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOKEN_SQL}) AS token FROM test) GROUP BY ALL),
+parts AS (SELECT q.doc_id, m.replica, m.class_id, q.tf * m.loglik AS part FROM qtf q JOIN model m USING (token)
+  UNION ALL SELECT t.doc_id, p.replica, p.class_id, p.log_prior FROM test t CROSS JOIN prior p),
+sc AS (SELECT doc_id, replica, class_id, sum(part) AS s FROM parts GROUP BY ALL),
+ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY replica, doc_id)) AS e FROM sc),
+probs AS (SELECT doc_id, replica, class_id, e / sum(e) OVER (PARTITION BY replica, doc_id) AS prob FROM ex),
+{vote_ctes('probs', 'doc_id', [])},
+aligned AS (SELECT p.doc_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (doc_id)),
+conf AS (SELECT y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL)
+"""
+
+
+def binary_metrics_select(conf: str = "conf") -> str:
+    return f"""SELECT round(sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) / sum(n), {R}) AS accuracy,
+  round(coalesce(sum(n) FILTER (WHERE y_true = 1 AND y_pred = 1) / nullif(sum(n) FILTER (WHERE y_pred = 1), 0), 0.0), {R}) AS precision,
+  round(coalesce(sum(n) FILTER (WHERE y_true = 1 AND y_pred = 1) / nullif(sum(n) FILTER (WHERE y_true = 1), 0), 0.0), {R}) AS recall,
+  round(coalesce(2 * sum(n) FILTER (WHERE y_true = 1 AND y_pred = 1) /
+    nullif(sum(n) FILTER (WHERE y_pred = 1) + sum(n) FILTER (WHERE y_true = 1), 0), 0.0), {R}) AS f1 FROM {conf}"""
+
+
+def indicator_select(conf: str = "conf") -> str:
+    return f"""SELECT round(accuracy, {R}) AS accuracy, round(p, {R}) AS precision, round(r, {R}) AS recall,
+  round(2 * p * r / nullif(p + r, 0), {R}) AS f1 FROM (
+  SELECT sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) / sum(n) AS accuracy,
+    sum(y_true * n) FILTER (WHERE y_pred = 1) / sum(n) FILTER (WHERE y_pred = 1) AS p,
+    sum(y_pred * n) FILTER (WHERE y_true = 1) / sum(n) FILTER (WHERE y_true = 1) AS r FROM {conf})"""

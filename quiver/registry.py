@@ -323,3 +323,35 @@ def q_task_dim(spark, sf):
 @register("task_of_path", "SELECT page_id, string_split(url, '/')[-1] AS task FROM pages")
 def q_task_of_path(spark, sf):
     return table(spark, sf, "pages").select("page_id", TK.task_of_path(F.col("url")).alias("task"))
+
+
+# ---- text path: T2, G6, G7 ----------------------------------------------------------------
+
+from quiver.plans import text_ensemble as TE  # noqa: E402
+
+
+def _text(spark, sf) -> TE.TextRun:
+    return TE.run(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("train_naive_bayes", O.text_ctes() + f"""SELECT m.replica, m.class_id, m.token, {O.rnd('m.loglik', 'loglik')},
+  {O.rnd('p.log_prior', 'log_prior')} FROM model m JOIN prior p USING (replica, class_id)""")
+def q_train_naive_bayes(spark, sf):
+    run = _text(spark, sf)
+    return rounded(run.loglik.join(run.prior, ["replica", "class_id"])
+                   .select("replica", "class_id", "token", "loglik", "log_prior"))
+
+
+@register("naive_bayes_predict", O.text_ctes() + "SELECT doc_id, y_pred, y_true FROM aligned")
+def q_naive_bayes_predict(spark, sf):
+    return _text(spark, sf).aligned
+
+
+@register("eval_metrics", O.text_ctes() + O.binary_metrics_select())
+def q_eval_metrics(spark, sf):
+    return rounded(metrics.eval_metrics(_text(spark, sf).confusion, n_classes=2))
+
+
+@register("indicator_metrics", O.text_ctes() + O.indicator_select())
+def q_indicator_metrics(spark, sf):
+    return rounded(metrics.indicator_metrics(_text(spark, sf).confusion))
