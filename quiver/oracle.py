@@ -236,3 +236,20 @@ def indicator_select(conf: str = "conf") -> str:
   SELECT sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) / sum(n) AS accuracy,
     sum(y_true * n) FILTER (WHERE y_pred = 1) / sum(n) FILTER (WHERE y_pred = 1) AS p,
     sum(y_pred * n) FILTER (WHERE y_true = 1) / sum(n) FILTER (WHERE y_true = 1) AS r FROM {conf})"""
+
+
+# ---- pruning -------------------------------------------------------------------------------
+
+def prune_ctes() -> str:
+    return f"""WITH w AS (SELECT vec_id % 5 AS model_id,
+    'layer_' || CAST(vec_id AS VARCHAR) || CASE WHEN vec_id % 2 = 0 THEN '.weight' ELSE '.bias' END AS layer,
+    CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings),
+f AS (SELECT DISTINCT model_id, CAST(model_id + 1 AS DOUBLE) / 10 AS pruning_factor FROM w),
+kk AS (SELECT w.model_id, CAST(round_even(f.pruning_factor * count(*), 0) AS BIGINT) AS k FROM w JOIN f USING (model_id)
+  WHERE contains(layer, '.weight') GROUP BY w.model_id, f.pruning_factor),
+rk AS (SELECT model_id, layer, pos, row_number() OVER (PARTITION BY model_id ORDER BY abs(value), layer, pos) AS rn
+  FROM w WHERE contains(layer, '.weight')),
+pruned AS (SELECT w.model_id, w.layer, w.pos,
+  CASE WHEN rk.rn IS NOT NULL AND rk.rn <= kk.k THEN 0.0 ELSE w.value END AS value
+  FROM w LEFT JOIN rk USING (model_id, layer, pos) LEFT JOIN kk USING (model_id))
+"""

@@ -110,3 +110,19 @@ def conversation_pairs(conv: DataFrame) -> DataFrame:
                     F.col("text").alias("premise"), F.col("x1").alias("hypothesis"),
                     F.col("text").alias("question"), F.col("x1").alias("passage"),
                     F.col("x1").alias("choice1"), F.col("x2").alias("choice2"))
+
+
+def weights_from_embeddings(emb: DataFrame, n_models: int = 5) -> DataFrame:
+    """Weight table: each embedding row is a layer of model vec_id mod n; even ids are
+    '.weight' layers, odd ids '.bias' layers; the 64 vector entries are its parameters."""
+    kind = F.when(F.pmod(F.col("vec_id"), F.lit(2)) == 0, F.lit(".weight")).otherwise(F.lit(".bias"))
+    return emb.select(F.pmod(F.col("vec_id"), F.lit(n_models)).alias("model_id"),
+                      F.concat(F.lit("layer_"), F.col("vec_id").cast("string"), kind).alias("layer"),
+                      F.posexplode("embedding").alias("pos", "value")) \
+        .withColumn("value", F.col("value").cast("double"))
+
+
+def model_factors(weights: DataFrame) -> DataFrame:
+    """Pruning factor per model: (model_id + 1) / 10."""
+    return weights.select("model_id").distinct().withColumn(
+        "pruning_factor", (F.col("model_id") + 1).cast("double") / 10)

@@ -355,3 +355,28 @@ def q_eval_metrics(spark, sf):
 @register("indicator_metrics", O.text_ctes() + O.indicator_select())
 def q_indicator_metrics(spark, sf):
     return rounded(metrics.indicator_metrics(_text(spark, sf).confusion))
+
+
+# ---- pruning: T5, T6 ---------------------------------------------------------------------------
+
+from quiver.operators import prune as PR  # noqa: E402
+
+
+def _weights(spark, sf):
+    w = D.weights_from_embeddings(table(spark, sf, "embeddings"))
+    return w, PR.prune_weights(w, D.model_factors(w))
+
+
+@register("prune_weights", O.prune_ctes() + f"SELECT model_id, layer, pos, {O.rnd('value', 'value')} FROM pruned")
+def q_prune_weights(spark, sf):
+    return rounded(_weights(spark, sf)[1])
+
+
+@register("count_weights", O.prune_ctes() + """SELECT b.model_id, b.n_params, b.n_nonzero_before, a.n_nonzero_after FROM
+  (SELECT model_id, count(*) AS n_params, count(*) FILTER (WHERE value <> 0) AS n_nonzero_before FROM w GROUP BY ALL) b
+  JOIN (SELECT model_id, count(*) FILTER (WHERE value <> 0) AS n_nonzero_after FROM pruned GROUP BY ALL) a USING (model_id)""")
+def q_count_weights(spark, sf):
+    w, pruned = _weights(spark, sf)
+    before = PR.count_weights(w).withColumnRenamed("n_nonzero", "n_nonzero_before")
+    after = PR.count_weights(pruned).select("model_id", F.col("n_nonzero").alias("n_nonzero_after"))
+    return before.join(after, "model_id").select("model_id", "n_params", "n_nonzero_before", "n_nonzero_after")
