@@ -253,3 +253,73 @@ pruned AS (SELECT w.model_id, w.layer, w.pos,
   CASE WHEN rk.rn IS NOT NULL AND rk.rn <= kk.k THEN 0.0 ELSE w.value END AS value
   FROM w LEFT JOIN rk USING (model_id, layer, pos) LEFT JOIN kk USING (model_id))
 """
+
+
+# ---- configuration evaluation, results analysis, variance ---------------------------------
+
+def evaluate_ctes(runs: tuple[int, ...] = (0,), seed: str = "'models'") -> str:
+    runs_sql = ", ".join(f"({r})" for r in runs)
+    rowkey = "CAST(run_id AS VARCHAR) || ':' || CAST(config AS VARCHAR) || ':' || task"
+    return f"""WITH emb_split AS ({split_cte('embeddings', 'vec_id')}),
+train AS (SELECT * FROM emb_split WHERE split = 'val'),
+test AS (SELECT * FROM emb_split WHERE split = 'test'),
+{bootstrap_ctes('train', 'vec_id', 10)},
+{centroid_ctes('train', 'samples', 'vec_id', ['replica'])},
+cfg AS (SELECT CAST(n_nationkey AS INTEGER) AS config, 'embeddings' AS task, CAST(1 + 3 * n_regionkey AS INTEGER) AS num_models,
+  CAST(n_nationkey % 5 AS DOUBLE) / 10 AS pruning_factor, CAST(r.run_id AS INTEGER) AS run_id
+  FROM nation CROSS JOIN (VALUES {runs_sql}) r(run_id)),
+chosen AS (SELECT * EXCLUDE (_rk) FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, config ORDER BY {H(seed, f"{rowkey} || ':' || CAST(model_no AS VARCHAR)")}, model_no) AS _rk
+  FROM (SELECT *, CAST(unnest(generate_series(0, greatest(10, num_models) - 1)) AS INTEGER) AS model_no FROM cfg))
+  WHERE _rk <= num_models),
+trained AS (SELECT DISTINCT replica FROM cent),
+checked AS (SELECT c.*, t.replica IS NOT NULL AS ok FROM chosen c LEFT JOIN trained t ON t.replica = c.model_no),
+errs AS (SELECT run_id, config, task, 'missing ' || CAST(count(*) FILTER (WHERE NOT ok) AS VARCHAR) || ' of ' ||
+  CAST(count(*) AS VARCHAR) || ' models' AS error FROM checked GROUP BY ALL HAVING count(*) FILTER (WHERE NOT ok) > 0),
+valid AS (SELECT c.run_id, c.config, c.task, c.model_no, c.pruning_factor FROM checked c
+  WHERE NOT EXISTS (SELECT 1 FROM errs e WHERE e.run_id = c.run_id AND e.config = c.config AND e.task = c.task)),
+w AS (SELECT v.run_id, v.config, v.model_no, v.pruning_factor, 'class_' || CAST(c.class_id AS VARCHAR) || '.weight' AS layer,
+  c.class_id, c.dim AS pos, c.value FROM valid v JOIN cent c ON c.replica = v.model_no),
+kk AS (SELECT run_id, config, model_no, CAST(round_even(any_value(pruning_factor) * count(*), 0) AS BIGINT) AS k FROM w GROUP BY ALL),
+rk AS (SELECT w.*, row_number() OVER (PARTITION BY run_id, config, model_no ORDER BY abs(value), layer, pos) AS rn FROM w),
+pc AS (SELECT rk.run_id, rk.config, rk.model_no, rk.class_id, rk.pos AS dim, CASE WHEN rk.rn <= kk.k THEN 0.0 ELSE rk.value END AS value
+  FROM rk JOIN kk USING (run_id, config, model_no)),
+{scoring_ctes('test', 'pc', 'vec_id', ['run_id', 'config', 'model_no'])},
+{vote_ctes('probs', 'vec_id', ['run_id', 'config'])},
+aligned AS (SELECT p.run_id, p.config, p.vec_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (vec_id)),
+conf AS (SELECT run_id, config, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
+{report_ctes('conf', ['run_id', 'config'])},
+results AS (SELECT run_id, config, 'embeddings' AS task, accuracy, macro_f1 FROM report)
+"""
+
+
+def consolidated_cte() -> str:
+    return """cons AS (SELECT config, task, run_id, n_runs, accuracy, macro_f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY config, task ORDER BY run_id DESC) AS _rk,
+    count(*) OVER (PARTITION BY config, task) AS n_runs FROM results) WHERE _rk = 1)"""
+
+
+def leaderboard_select(src: str = "cons") -> str:
+    return f"""SELECT a.task, a.n_configs, a.config AS best_accuracy_config, round(a.accuracy, {R}) AS best_accuracy,
+  f.config AS best_f1_config, round(f.macro_f1, {R}) AS best_macro_f1 FROM
+  (SELECT *, count(*) OVER (PARTITION BY task) AS n_configs,
+     row_number() OVER (PARTITION BY task ORDER BY round_even(accuracy, 9) DESC, config) AS _r FROM {src}) a
+  JOIN (SELECT *, row_number() OVER (PARTITION BY task ORDER BY round_even(macro_f1, 9) DESC, config) AS _r FROM {src}) f
+  ON f.task = a.task AND f._r = 1 WHERE a._r = 1"""
+
+
+def variance_ctes() -> str:
+    return f"""WITH emb_split AS ({split_cte('embeddings', 'vec_id')}),
+train AS (SELECT * FROM emb_split WHERE split = 'val'),
+test AS (SELECT * FROM emb_split WHERE split = 'test'),
+{bootstrap_ctes('train', 'vec_id', 10)},
+{double_bootstrap_ctes('train', 'vec_id')},
+allsamp AS (SELECT 'Single' AS kind, replica AS i, 0 AS j, vec_id, mult FROM samples
+  UNION ALL SELECT 'Double', i, j, vec_id, mult FROM dsamples),
+{centroid_ctes('train', 'allsamp', 'vec_id', ['kind', 'i', 'j'])},
+{scoring_ctes('test', 'cent', 'vec_id', ['kind', 'i', 'j'])},
+{vote_ctes('probs', 'vec_id', ['kind', 'i'])},
+aligned AS (SELECT p.kind, p.i, p.vec_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (vec_id)),
+conf AS (SELECT kind, i, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
+{report_ctes('conf', ['kind', 'i'])}
+"""

@@ -380,3 +380,55 @@ def q_count_weights(spark, sf):
     before = PR.count_weights(w).withColumnRenamed("n_nonzero", "n_nonzero_before")
     after = PR.count_weights(pruned).select("model_id", F.col("n_nonzero").alias("n_nonzero_after"))
     return before.join(after, "model_id").select("model_id", "n_params", "n_nonzero_before", "n_nonzero_after")
+
+
+# ---- configuration evaluation (G8, S6) and results analysis (V3, V4) ---------------------------
+
+from quiver.plans import evaluate as EV  # noqa: E402
+from quiver.plans import results as RS  # noqa: E402
+from quiver.plans import variance as VA  # noqa: E402
+
+
+def _evaluation(spark, sf, runs=(0,)) -> EV.Evaluation:
+    return EV.evaluate(table(spark, sf, "embeddings"), EV.configs_from_nation(table(spark, sf, "nation")), runs=runs)
+
+
+@register("evaluate_config", O.evaluate_ctes() + f"SELECT run_id, config, task, {O.rnd('accuracy', 'accuracy')}, "
+          f"{O.rnd('macro_f1', 'macro_f1')} FROM results")
+def q_evaluate_config(spark, sf):
+    return rounded(_evaluation(spark, sf).results)
+
+
+@register("report_errors", O.evaluate_ctes() + "SELECT run_id, config, task, error FROM errs")
+def q_report_errors(spark, sf):
+    return _evaluation(spark, sf).errors
+
+
+@register("consolidate", O.evaluate_ctes((0, 1)) + ", " + O.consolidated_cte() +
+          f" SELECT config, task, run_id, n_runs, {O.rnd('accuracy', 'accuracy')}, {O.rnd('macro_f1', 'macro_f1')} FROM cons")
+def q_consolidate(spark, sf):
+    return rounded(RS.consolidate(_evaluation(spark, sf, (0, 1)).results))
+
+
+@register("leaderboard", O.evaluate_ctes((0, 1)) + ", " + O.consolidated_cte() + " " + O.leaderboard_select())
+def q_leaderboard(spark, sf):
+    return rounded(RS.leaderboard(RS.consolidate(_evaluation(spark, sf, (0, 1)).results)))
+
+
+# ---- single vs double bootstrap (V1, V2) -------------------------------------------------------
+
+@register("single_vs_double", O.variance_ctes() + f"""SELECT i,
+  round(max(accuracy) FILTER (WHERE kind = 'Single'), {O.R}) AS single_accuracy,
+  round(max(macro_f1) FILTER (WHERE kind = 'Single'), {O.R}) AS single_macro_f1,
+  round(max(accuracy) FILTER (WHERE kind = 'Double'), {O.R}) AS double_accuracy,
+  round(max(macro_f1) FILTER (WHERE kind = 'Double'), {O.R}) AS double_macro_f1, 'embeddings' AS task FROM report GROUP BY i""")
+def q_single_vs_double(spark, sf):
+    return rounded(VA.single_vs_double(table(spark, sf, "embeddings"))[1])
+
+
+@register("variance_summary", O.variance_ctes() + f"""SELECT kind, count(*) AS n_models,
+  {O.rnd('avg(accuracy)', 'mean_accuracy')}, {O.rnd('var_samp(accuracy)', 'var_accuracy')}, {O.rnd('stddev_samp(accuracy)', 'std_accuracy')},
+  {O.rnd('avg(macro_f1)', 'mean_macro_f1')}, {O.rnd('var_samp(macro_f1)', 'var_macro_f1')}, {O.rnd('stddev_samp(macro_f1)', 'std_macro_f1')}
+  FROM report GROUP BY kind""")
+def q_variance_summary(spark, sf):
+    return rounded(VA.variance_summary(VA.single_vs_double(table(spark, sf, "embeddings"))[0]))
