@@ -74,14 +74,24 @@ def smallest_k(df: DataFrame, group: Sequence[str], k: DataFrame, value: str, ti
     return settled1.select(*cols).unionByName(settled2.select(*cols)).unionByName(edge.select(*cols))
 
 
-def prune_weights(weights: DataFrame, factors: DataFrame, model_cols: Sequence[str] = ("model_id",)) -> DataFrame:
+def prune_weights(weights: DataFrame, factors: DataFrame, model_cols: Sequence[str] = ("model_id",),
+                  bounded_models: bool = False) -> DataFrame:
     """T5: ``factors`` is ``(model..., pruning_factor)``; returns the weight table with the
-    k smallest-magnitude ``.weight`` values of each model set to 0."""
+    k smallest-magnitude ``.weight`` values of each model set to 0.
+
+    ``bounded_models=True`` is for models whose size is fixed by their shape (e.g. class
+    centroids: classes x dims): each model is then ranked in one window partition. The
+    default histogram search never sorts a whole model in one task.
+    """
     mc = list(model_cols)
     prunable = weights.filter(is_weight(F.col("layer"))).withColumn("_a", F.abs(F.col("value").cast("double")))
     k = (prunable.groupBy(*mc).agg(F.count(F.lit(1)).alias("_nw")).join(factors, mc)
          .select(*mc, F.bround(F.col("pruning_factor") * F.col("_nw"), 0).cast("bigint").alias("k")))
-    flagged = smallest_k(prunable, mc, k, "_a", ["layer", "pos"])
+    if bounded_models:
+        rank = F.row_number().over(Window.partitionBy(*mc).orderBy("_a", "layer", "pos"))
+        flagged = prunable.join(k, mc, "left").withColumn("_in", rank <= F.coalesce(F.col("k"), F.lit(0)))
+    else:
+        flagged = smallest_k(prunable, mc, k, "_a", ["layer", "pos"])
     pruned = flagged.select(*mc, "layer", "pos",
                             F.when(F.col("_in"), F.lit(0.0)).otherwise(F.col("value").cast("double")).alias("value"))
     rest = weights.filter(~is_weight(F.col("layer"))).select(*mc, "layer", "pos", F.col("value").cast("double"))

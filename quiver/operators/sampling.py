@@ -128,11 +128,15 @@ def poisson_mult(hash_col: Column) -> Column:
 
 def bootstrap_poisson(df: DataFrame, key: str, replicas: int | Sequence[int] = 10,
                       seed_prefix: str = "poisson") -> DataFrame:
-    """M3: independent Poisson(1) multiplicity per (row, replica); map-only, no shuffle."""
+    """M3: independent Poisson(1) multiplicity per (row, replica); map-only, no shuffle.
+
+    The hash is produced by a (one-element) explode so it is computed once per pair; a
+    plain projection would be inlined into each of the threshold tests by the optimizer.
+    """
     seed = F.concat(F.lit(seed_prefix), F.col("replica").cast("string"))
     return (
-        df.select(F.explode(_seeds(replicas)).alias("replica"), F.col(key))
-        .withColumn("_h", h(seed, F.col(key)))
+        df.select(F.col(key), F.explode(_seeds(replicas)).alias("replica"))
+        .select("replica", key, F.explode(F.array(h(seed, F.col(key)))).alias("_h"))
         .select("replica", key, poisson_mult(F.col("_h")).alias("mult"))
         .filter(F.col("mult") > 0)
     )

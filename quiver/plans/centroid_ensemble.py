@@ -54,7 +54,7 @@ def run(emb: DataFrame, key: str = "vec_id", replicas: int = 10, seed=42, task:
     samples = sampling.bootstrap_exact(train, key, replicas)
     cent, models = models_from_samples(train, samples, key, ["replica"], task, keep_lineage=keep_lineage)
     rows = test.withColumn("task", F.lit(task))
-    scores = score.score_centroids(rows, models, key, model_cols=["replica"])
+    scores = score.score_centroids_vectorized(rows, models, key, model_cols=["replica"])
     totals = ensemble.soft_vote(scores, key)
     pred = ensemble.predict(totals, key)
     aligned = ensemble.align_truth(pred, test, key)

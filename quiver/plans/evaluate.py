@@ -58,11 +58,12 @@ def evaluate(emb: DataFrame, configs: DataFrame, key: str = "vec_id", replicas:
     weights = valid.join(cent, valid["model_no"] == cent["replica"]).select(
         *mc, F.concat(F.lit("class_"), F.col("class_id").cast("string"), F.lit(".weight")).alias("layer"),
         F.col("dim").alias("pos"), "value")
-    pruned = prune.prune_weights(weights, valid.select(*mc, "pruning_factor"), mc)
+    # A centroid model holds classes x dims values, so it is ranked in one window partition.
+    pruned = prune.prune_weights(weights, valid.select(*mc, "pruning_factor"), mc, bounded_models=True)
     cells = pruned.select(*mc, F.regexp_extract("layer", r"class_(\d+)\.weight", 1).cast("int").alias("class_id"),
                           F.col("pos").alias("dim"), "value")
     models = materialize(learn.pack_centroids(cells, mc).withColumn("task", F.lit(task)))
-    scores = score.score_centroids(test.withColumn("task", F.lit(task)), models, key, model_cols=mc)
+    scores = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc)
     group = ["run_id", "config"]
     pred = ensemble.predict(ensemble.soft_vote(scores, key, group), key, group)
     conf = metrics.confusion(ensemble.align_truth(pred, test, key), group)
