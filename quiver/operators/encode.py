@@ -1,0 +1,83 @@
+"""Pair encoding into fixed-length token ids (E1) and training examples.
+
+Tokenization is the one step Spark has no built-in for, so it runs as an Arrow-batched
+``mapInPandas``: the byte-level BPE vocabulary is loaded once per Python worker and each
+batch is encoded with the library's batch call. The whole text is tokenized; the pair is
+then cut to ``max_len`` tokens longest-first (the longer sequence loses tokens first,
+as the reference's tokenizer call does) and right-padded with the end-of-text id.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MAX_LEN = 256
+PAD_ID = 50256  # end-of-text id of the byte-level BPE vocabulary, used as the pad token
+PAD_TOKEN = "<|endoftext|>"
+
+_CACHE: dict[tuple, object] = {}
+
+
+def default_vocab() -> str | None:
+    try:
+        import public_tokenizers  # type: ignore
+    except ImportError:
+        return None
+    return os.path.join(os.path.dirname(public_tokenizers.__file__), "byte_bpe_50k.json")
+
+
+def _tokenizer(path: str, max_len: int, pad_id: int):
+    key = (path, max_len, pad_id)
+    tok = _CACHE.get(key)
+    if tok is None:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.enable_truncation(max_length=max_len, strategy="longest_first")
+        tok.enable_padding(length=max_len, pad_id=pad_id, pad_token=PAD_TOKEN)
+        _CACHE[key] = tok
+    return tok
+
+
+def encode_pairs(df: DataFrame, keep: list[str], seq1: str = "seq1", seq2: str = "seq2", max_len: int = MAX_LEN,
+                 pad_id: int = PAD_ID, vocab_path: str | None = None) -> DataFrame:
+    """``(keep..., input_ids, attention_mask, n_tokens)``; a null sequence gives null outputs."""
+    path = vocab_path or default_vocab()
+    if path is None:
+        raise RuntimeError("no tokenizer vocabulary available (public_tokenizers not installed)")
+    in_fields = [df.schema[c] for c in keep]
+    schema = T.StructType(in_fields + [
+        T.StructField("input_ids", T.ArrayType(T.IntegerType())),
+        T.StructField("attention_mask", T.ArrayType(T.IntegerType())),
+        T.StructField("n_tokens", T.IntegerType()),
+    ])
+
+    def run(batches):
+        import pandas as pd
+
+        tok = _tokenizer(path, max_len, pad_id)
+        for pdf in batches:
+            ok = pdf[seq1].notna() & pdf[seq2].notna()
+            ids = [None] * len(pdf)
+            masks = [None] * len(pdf)
+            counts = [None] * len(pdf)
+            idx = [i for i, good in enumerate(ok.to_list()) if good]
+            if idx:
+                enc = tok.encode_batch([(pdf[seq1].iat[i], pdf[seq2].iat[i]) for i in idx])
+                for i, e in zip(idx, enc):
+                    ids[i], masks[i], counts[i] = e.ids, e.attention_mask, int(sum(e.attention_mask))
+            out = pdf[keep].copy()
+            out["input_ids"], out["attention_mask"], out["n_tokens"] = ids, masks, pd.array(counts, dtype="Int32")
+            yield out
+
+    return df.select(*keep, seq1, seq2).mapInPandas(run, schema)
+
+
+def assemble_examples(df: DataFrame, key: str, label_col: str = "label_id", **kw) -> DataFrame:
+    """One row per example: ``(key, input_ids, attention_mask, labels)`` keyed, not positional."""
+    enc = encode_pairs(df, keep=[key, label_col], **kw)
+    return enc.select(key, "input_ids", "attention_mask", F.col(label_col).alias("labels"))

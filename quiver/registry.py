@@ -432,3 +432,24 @@ def q_single_vs_double(spark, sf):
   FROM report GROUP BY kind""")
 def q_variance_summary(spark, sf):
     return rounded(VA.variance_summary(VA.single_vs_double(table(spark, sf, "embeddings"))[0]))
+
+
+# ---- encoding: E1, E2 (rows-only checks: DuckDB has no BPE tokenizer) ---------------------------
+
+from quiver.operators import encode as EN  # noqa: E402
+
+
+@register("encode_pairs")
+def q_encode_pairs(spark, sf):
+    pairs = TK.pair_text(D.conversation_pairs(table(spark, sf, "conversations")), "CB")
+    return EN.encode_pairs(pairs, keep=["conv_id", "turn"])
+
+
+@register("examples")
+def q_examples(spark, sf):
+    """Documents as MultiRC-shaped examples: passage = the whole text, answer = its source, label = quality."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    rows = docs.select("doc_id", F.col("text").alias("passage"), F.col("source").alias("question_answer_concat"),
+                       F.col("quality").cast("string").alias("label"))
+    encoded = TK.label_encode(TK.pair_text(rows, "MultiRC"), "MultiRC")
+    return EN.assemble_examples(encoded, "doc_id")
