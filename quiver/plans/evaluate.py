@@ -70,3 +70,23 @@ def evaluate(emb: DataFrame, configs: DataFrame, key: str = "vec_id", replicas:
     report = metrics.classification_report(conf, group).withColumn("task", F.lit(task))
     results = report.select("run_id", "config", "task", "accuracy", "macro_f1")
     return Evaluation(results=results, errors=errors, report=report)
+
+
+def run_and_record(ev: Evaluation, results_path: str, errors_path: str, run_id: int, fmt: str = "parquet") -> DataFrame:
+    """Evaluate all configurations (one action), then append results with elapsed seconds and errors.
+
+    ``time`` is the wall time of the single scoring job shared by all configurations of
+    the batch (the reference timed one configuration per process).
+    """
+    import time
+
+    from quiver.session import materialize
+    from quiver.sources.sinks import append_errors, append_report
+
+    t0 = time.time()
+    done = materialize(ev.results)
+    elapsed = time.time() - t0
+    timed = done.withColumn("time", F.lit(elapsed))
+    append_report(timed, results_path, run_id, fmt)
+    append_errors(ev.errors, errors_path, run_id, fmt)
+    return timed

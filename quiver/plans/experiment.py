@@ -42,7 +42,9 @@ def experiment_clean(raw: DataFrame, row_col: str | None = "Row") -> DataFrame:
     """
     first8 = raw.columns[:8]
     kept = raw.na.drop("any", subset=first8)
-    cols = [F.col(f"`{c}`").cast(t).alias(n) for c, n, t in zip(first8, CLEAN_NAMES, CLEAN_TYPES)]
+    # Numbers may arrive as text such as "8.0": go through double before int (ANSI casts are strict).
+    cols = [(F.col(f"`{c}`").cast("double").cast(t) if t == "int" else F.col(f"`{c}`").cast(t)).alias(n)
+            for c, n, t in zip(first8, CLEAN_NAMES, CLEAN_TYPES)]
     if row_col:
         cols.append(F.col(f"`{row_col}`").cast("bigint").alias("row_id"))
     return kept.select(*cols)
