@@ -87,3 +87,37 @@ def train_naive_bayes(train: DataFrame, samples: DataFrame, key: str, text: str
     prior = classes.select(*mc, "class_id",
                            F.log(F.col("docs") / F.sum("docs").over(Window.partitionBy(*mc))).alias("log_prior"))
     return loglik, prior
+
+
+def train_logistic(train: DataFrame, samples: DataFrame, key: str, vec: str = "embedding", label: str = "label",
+                   replica_col: str = "replica", reg_param: float = 0.0, elastic_net: float = 0.0,
+                   max_iter: int = 100) -> DataFrame:
+    """One distributed multinomial logistic regression per replica, multiplicity as weight.
+
+    Each replica is an MLlib fit over the whole (distributed) training table with
+    ``weightCol = mult`` (rows not drawn weigh 0 and are filtered); the fits run one
+    after another, each a distributed job. Returns ``(replica, class_id, dim, coef, intercept)``
+    built from the fitted coefficient matrices (models x classes x dims values).
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    spark = train.sparkSession
+    data = samples.join(train.select(key, vec, label), key).select(
+        replica_col, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"),
+        F.col(label).cast("double").alias("label"), F.col("mult").cast("double").alias("mult"))
+    # Every fit iterates over its rows many times: keep the joined input instead of recomputing
+    # the split and resampling lineage per fit.
+    data = data.persist()
+    replicas = sorted(r[0] for r in samples.select(replica_col).distinct().collect())  # bounded: replica ids
+    rows = []
+    for rep in replicas:
+        lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="mult", family="multinomial",
+                                regParam=reg_param, elasticNetParam=elastic_net, maxIter=max_iter)
+        model = lr.fit(data.filter(F.col(replica_col) == rep))
+        coef = model.coefficientMatrix.toArray()
+        icpt = model.interceptVector.toArray()
+        for c in range(coef.shape[0]):
+            rows += [(int(rep), c, d, float(coef[c, d]), float(icpt[c])) for d in range(coef.shape[1])]
+    data.unpersist()
+    return spark.createDataFrame(rows, f"{replica_col} int, class_id int, dim int, coef double, intercept double")

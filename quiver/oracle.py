@@ -323,3 +323,35 @@ aligned AS (SELECT p.kind, p.i, p.vec_id, p.y_pred, t.label AS y_true FROM pred
 conf AS (SELECT kind, i, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
 {report_ctes('conf', ['kind', 'i'])}
 """
+
+
+# ---- trial search ------------------------------------------------------------------------------
+
+def search_ctes() -> str:
+    from quiver.plans.search import BATCHES, EPOCHS, LR_RANGE, SHRINK_SCALE, TRIALS_PER_CELL, WD_RANGE
+    lo, hi = LR_RANGE
+    wlo, whi = WD_RANGE
+    tkey = "CAST(e AS VARCHAR) || ':' || CAST(b AS VARCHAR) || ':' || CAST(t AS VARCHAR)"
+    two60 = "1152921504606846976.0"
+    return f"""WITH emb_split AS ({split_cte('embeddings', 'vec_id')}),
+train AS (SELECT * FROM emb_split WHERE split = 'val'),
+test AS (SELECT * FROM emb_split WHERE split = 'test'),
+{bootstrap_ctes('train', 'vec_id', max(EPOCHS))},
+grid AS (SELECT CAST(e AS INTEGER) AS e, CAST(b AS INTEGER) AS b, CAST(t AS INTEGER) AS t
+  FROM (VALUES {', '.join(f'({x})' for x in EPOCHS)}) ge(e), (VALUES {', '.join(f'({x})' for x in BATCHES)}) gb(b), range({TRIALS_PER_CELL}) gt(t)),
+trials AS (SELECT 'e-' || CAST(e AS VARCHAR) || '-b-' || CAST(b AS VARCHAR) || '-t-' || CAST(t AS VARCHAR) AS trial_id,
+  e AS epochs, b AS batch,
+  {lo!r} + {hi - lo!r} * (CAST({H("'trial-lr'", tkey)} AS DOUBLE) / {two60}) AS learning_rate,
+  {wlo!r} + {whi - wlo!r} * (CAST({H("'trial-wd'", tkey)} AS DOUBLE) / {two60}) AS weight_decay FROM grid),
+cells AS (SELECT s.replica, t.label AS class_id, s.mult, CAST(unnest(t.embedding) AS DOUBLE) AS x,
+  CAST(generate_subscripts(t.embedding, 1) - 1 AS INTEGER) AS dim FROM samples s JOIN train t USING (vec_id)),
+sums AS (SELECT replica, class_id, dim, sum(mult * x) AS sx, sum(mult) AS sw FROM cells GROUP BY ALL),
+per_trial AS (SELECT t.trial_id, s.replica, s.class_id, s.dim,
+  s.sx / (CAST(s.sw AS DOUBLE) + {SHRINK_SCALE!r} * t.weight_decay) AS value FROM sums s JOIN trials t ON s.replica < t.epochs),
+{scoring_ctes('test', 'per_trial', 'vec_id', ['trial_id', 'replica'])},
+{vote_ctes('probs', 'vec_id', ['trial_id'])},
+aligned AS (SELECT p.trial_id, p.vec_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (vec_id)),
+conf AS (SELECT trial_id, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
+{report_ctes('conf', ['trial_id'])},
+scored AS (SELECT t.*, r.accuracy, r.macro_f1 AS objective FROM trials t JOIN report r USING (trial_id))
+"""

@@ -453,3 +453,35 @@ def q_examples(spark, sf):
                        F.col("quality").cast("string").alias("label"))
     encoded = TK.label_encode(TK.pair_text(rows, "MultiRC"), "MultiRC")
     return EN.assemble_examples(encoded, "doc_id")
+
+
+# ---- T3: distributed logistic regression per replica (rows-only check) ---------------------------
+
+@register("train_logistic")
+def q_train_logistic(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    train, _ = CE.train_test(emb, "vec_id")
+    from quiver.operators import learn as LN
+    return LN.train_logistic(train, sampling.bootstrap_exact(train, "vec_id", 5), "vec_id", max_iter=50)
+
+
+# ---- T7, T8: trial search --------------------------------------------------------------------
+
+from quiver.plans import search as SE  # noqa: E402
+
+_TRIAL_COLS = "trial_id, epochs, batch, learning_rate, weight_decay, accuracy, objective"
+
+
+@register("trial_objectives", O.search_ctes() + "SELECT trial_id, epochs, batch, " +
+          ", ".join(O.rnd(c, c) for c in ["learning_rate", "weight_decay", "accuracy", "objective"]) + " FROM scored")
+def q_trial_objectives(spark, sf):
+    scored = SE.trial_objectives(table(spark, sf, "embeddings"), SE.make_trials(spark))
+    return rounded(scored.select(*[c.strip() for c in _TRIAL_COLS.split(",")]))
+
+
+@register("best_trial", O.search_ctes() + f"""SELECT epochs, batch, n_trials, trial_id, {O.rnd('learning_rate', 'learning_rate')},
+  {O.rnd('weight_decay', 'weight_decay')}, {O.rnd('objective', 'objective')} FROM (
+  SELECT *, count(*) OVER (PARTITION BY epochs, batch) AS n_trials,
+    row_number() OVER (PARTITION BY epochs, batch ORDER BY round_even(objective, 9) DESC, trial_id) AS _r FROM scored) WHERE _r = 1""")
+def q_best_trial(spark, sf):
+    return rounded(SE.best_trial(SE.trial_objectives(table(spark, sf, "embeddings"), SE.make_trials(spark))))
