@@ -62,18 +62,20 @@ def train_naive_bayes(train: DataFrame, samples: DataFrame, key: str, text: str
     so a document's text is tokenized once; token counts are combined map-side, so a very
     frequent token never reaches the shuffle as more than one row per task.
     """
+    from quiver.session import materialize
+
     mc = list(model_cols)
-    docs = (train.select(key, F.col(label).cast("int").alias("class_id"), text)
-            .join(_packed_mults(samples, key, mc), key))
+    # Per-document multiplicities (at most one entry per replica), written once: read by the
+    # token counts and the class counts.
+    mults = materialize(_packed_mults(samples, key, mc))
+    docs = train.select(key, F.col(label).cast("int").alias("class_id"), text).join(mults, key)
     reps = [F.col(f"_r.{c}").alias(c) for c in mc]
     counts = (docs.select("class_id", "_reps", F.explode(tokens(F.col(text))).alias("token"))
               .select("class_id", "token", F.explode("_reps").alias("_r"))
               .select(*reps, "class_id", "token", F.col("_r.mult").alias("mult"))
               .groupBy(*mc, "class_id", "token").agg(F.sum("mult").alias("cnt")))
     # The counts are the model's sufficient statistics (vocabulary-sized, not data-sized) and feed
-    # four aggregates below: write them once instead of tokenizing the training texts four times.
-    from quiver.session import materialize
-
+    # aggregates below: write them once instead of tokenizing the training texts again.
     counts = materialize(counts)
     classes = (docs.select("class_id", F.explode("_reps").alias("_r"))
                .select(*reps, "class_id", F.col("_r.mult").alias("mult"))

@@ -58,13 +58,7 @@ def dense_position(df: DataFrame, key: str, seed="pos", bits: int = DEFAULT_BUCK
     return out.withColumnRenamed("_n", n_col) if n_col else out.drop("_n")
 
 
-def holdout_split(df: DataFrame, key: str, frac: float = 0.5, seed=42,
-                  bits: int = DEFAULT_BUCKET_BITS, split_col: str = "split") -> DataFrame:
-    """M1: the ceil(frac * n) rows first in (h(seed, key), key) order are 'test', the rest 'val'.
-
-    Only the single bucket that straddles the cut is ranked; every other row is
-    classified from the broadcast histogram without a shuffle of the data.
-    """
+def _split_parts(df: DataFrame, key: str, frac: float, seed, bits: int, split_col: str):
     keyed = _keyed(df, key, seed, bits)
     hist = _histogram(keyed, bits).withColumn("_k", F.ceil(F.col("_n") * F.lit(frac)).cast("bigint"))
     hist = hist.withColumn(
@@ -72,15 +66,44 @@ def holdout_split(df: DataFrame, key: str, frac: float = 0.5, seed=42,
         F.when(F.col("_before") + F.col("_cnt") <= F.col("_k"), F.lit("test"))
         .when(F.col("_before") >= F.col("_k"), F.lit("val"))
         .otherwise(F.lit("edge")),
-    )
-    tagged = keyed.join(F.broadcast(hist.select("_b", "_before", "_k", "_state")), "_b")
-    settled = tagged.filter(F.col("_state") != "edge").withColumn(split_col, F.col("_state"))
+    ).select("_b", "_before", "_k", "_state")
+    tagged = keyed.join(F.broadcast(hist), "_b")
     within = Window.partitionBy("_b").orderBy("_h", key)
-    edge = tagged.filter(F.col("_state") == "edge").withColumn(
-        split_col,
-        F.when(F.col("_before") + F.row_number().over(within) <= F.col("_k"), F.lit("test")).otherwise(F.lit("val")),
-    )
-    return settled.unionByName(edge).drop("_h", "_b", "_before", "_k", "_state")
+    edge = tagged.filter(F.col("_state") == "edge").select(
+        key, F.when(F.col("_before") + F.row_number().over(within) <= F.col("_k"), F.lit("test"))
+        .otherwise(F.lit("val")).alias(split_col))
+    return hist, edge
+
+
+def holdout_split(df: DataFrame, key: str, frac: float = 0.5, seed=42,
+                  bits: int = DEFAULT_BUCKET_BITS, split_col: str = "split") -> DataFrame:
+    """M1: the ceil(frac * n) rows first in (h(seed, key), key) order are 'test', the rest 'val'.
+
+    Only the single bucket that straddles the cut is ranked; every other row is
+    classified from the broadcast histogram without a shuffle of the data.
+    """
+    hist, edge = _split_parts(df.select(key), key, frac, seed, bits, split_col)
+    return apply_split(df, key, hist, edge, seed, bits, split_col)
+
+
+def fit_split(df: DataFrame, key: str, frac: float = 0.5, seed=42, bits: int = DEFAULT_BUCKET_BITS,
+              split_col: str = "split") -> tuple[DataFrame, DataFrame]:
+    """M1 fitted once: the bucket cut table (<= 2**bits rows) and the boundary bucket's
+    assignments (about n / 2**bits rows), both written to reliable storage. Applying them
+    (:func:`apply_split`) is a broadcast lookup per row, so every later reference to the train
+    or test half re-reads rows without recomputing histograms or windows."""
+    from quiver.session import materialize
+
+    hist, edge = _split_parts(df.select(key), key, frac, seed, bits, split_col)
+    return materialize(hist), materialize(edge)
+
+
+def apply_split(df: DataFrame, key: str, hist: DataFrame, edge: DataFrame, seed=42,
+                bits: int = DEFAULT_BUCKET_BITS, split_col: str = "split") -> DataFrame:
+    keyed = _keyed(df, key, seed, bits).join(F.broadcast(hist.select("_b", "_state")), "_b")
+    settled = keyed.filter(F.col("_state") != "edge").withColumn(split_col, F.col("_state"))
+    boundary = keyed.filter(F.col("_state") == "edge").drop(split_col).join(edge, key)
+    return settled.unionByName(boundary).drop("_h", "_b", "_state")
 
 
 def bootstrap_exact(df: DataFrame, key: str, replicas: int | Sequence[int] = 10, seed_offset: int = 0,

@@ -85,32 +85,33 @@ DEFAULT_TOKEN_SALTS = 8
 
 
 def score_naive_bayes(rows: DataFrame, loglik: DataFrame, prior: DataFrame, key: str, text: str = "text",
-                      model_cols: Sequence[str] = ("replica",), on: Sequence[str] = ("task",),
-                      salts: int = DEFAULT_TOKEN_SALTS) -> DataFrame:
+                      model_cols: Sequence[str] = ("replica",), salts: int = DEFAULT_TOKEN_SALTS) -> DataFrame:
     """T4 for the text path: ``(model..., key, class_id, prob)``.
 
     score = log prior + sum over the row's tokens in the model vocabulary of tf x loglik,
     then a per-(model, row) softmax. The model is packed one row per token (models x
-    classes entries); the row-token side is salted by row key, and the packed model is
-    replicated once per salt, so a token present in most rows is spread over ``salts``
+    classes entries); the priors are packed under the empty token, which no document
+    contains and every row is given once, so they ride the same join. The row-token side
+    is salted by row key and each packed token row is replicated once per salt, so a token
+    present in most rows (and the prior token, present in all) is spread over ``salts``
     tasks instead of one. Unseen tokens simply find no model row.
     """
     from quiver.operators.learn import tokens
 
-    mc, on = list(model_cols), list(on)
+    mc = list(model_cols)
     entry = F.struct(*mc, "class_id", "loglik")
     packed = (loglik.groupBy("token").agg(F.collect_list(entry).alias("_m"))
+              .unionByName(prior.withColumnRenamed("log_prior", "loglik")
+                           .groupBy(F.lit("").alias("token")).agg(F.collect_list(entry).alias("_m")))
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    tf = (rows.select(key, F.explode(tokens(F.col(text))).alias("token"))
-          .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    words = (rows.select(key, F.explode(tokens(F.col(text))).alias("token"))
+             .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
+    tf = (words.unionByName(rows.select(key, F.lit("").alias("token"), F.lit(1).cast("bigint").alias("tf")))
           .withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts))))
     parts = (tf.join(packed, ["token", "_salt"]).select(key, "tf", F.explode("_m").alias("_e"))
              .select(key, *[F.col(f"_e.{c}").alias(c) for c in mc], F.col("_e.class_id").alias("class_id"),
                      (F.col("tf") * F.col("_e.loglik")).alias("part")))
-    # Every row gets its prior for every (model, class): a per-task table of models x classes rows.
-    priors = prior.select(*on, *mc, "class_id", F.col("log_prior").alias("part"))
-    base = rows.select(*on, key).join(F.broadcast(priors), on).drop(*on)
-    scores = (base.unionByName(parts).groupBy(key, *mc, "class_id").agg(F.sum("part").alias("score")))
+    scores = parts.groupBy(key, *mc, "class_id").agg(F.sum("part").alias("score"))
     per_model = scores.groupBy(key, *mc).agg(F.array_sort(F.collect_list(F.struct("class_id", "score"))).alias("_cs"))
     probs = with_softmax(per_model.withColumn("_s", F.col("_cs.score")), "_s", "_p")
     out = probs.select(*mc, key, F.explode(F.arrays_zip(F.col("_cs.class_id").alias("class_id"),
@@ -138,7 +139,8 @@ def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec
     size = models.select(F.sum(F.aggregate(F.col("classes"), F.lit(0), lambda acc, c: acc + F.size(c["mu"]))).alias("v")) \
         .collect()[0]["v"] or 0
     if size > max_values:
-        return score_centroids(rows, models, key, vec, model_cols, on)
+        # Too large to ship to every task: JVM path, models joined in blocks on (task, block, salt).
+        return score_centroids(rows, models, key, vec, model_cols, on, max_broadcast_rows=0)
 
     # Bounded by the check above: the model table itself, never data rows.
     tables: dict[tuple, tuple] = {}

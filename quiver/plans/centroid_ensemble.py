@@ -34,8 +34,14 @@ class EnsembleRun:
 
 
 def train_test(df: DataFrame, key: str, seed=42, frac: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Hold-out split; the 'test' part is evaluated, the other half trains."""
-    split = sampling.holdout_split(df, key, frac=frac, seed=seed)
+    """Hold-out split; the 'test' part is evaluated, the other half trains.
+
+    The split is fitted once (cut table + boundary assignments on reliable storage) and
+    applied by broadcast lookup, so the many later references to either half do not
+    recompute the histogram and window.
+    """
+    hist, edge = sampling.fit_split(df, key, frac=frac, seed=seed)
+    split = sampling.apply_split(df, key, hist, edge, seed=seed)
     return split.filter(F.col("split") == "val").drop("split"), split.filter(F.col("split") == "test").drop("split")
 
 

@@ -36,8 +36,7 @@ def run(documents: DataFrame, labels: DataFrame, label: str = "quality", replica
     train, test = train_test(docs, "doc_id", seed)
     samples = sampling.bootstrap_exact(train, "doc_id", replicas)
     loglik, prior = learn.train_naive_bayes(train, samples, "doc_id", alpha=alpha)
-    scores = score.score_naive_bayes(test.withColumn("task", F.lit(task)), loglik,
-                                     prior.withColumn("task", F.lit(task)), "doc_id")
+    scores = score.score_naive_bayes(test, loglik, prior, "doc_id")
     pred = ensemble.predict(ensemble.soft_vote(scores, "doc_id"), "doc_id")
     aligned = ensemble.align_truth(pred, test, "doc_id")
     return TextRun(loglik=loglik, prior=prior, scores=scores, predictions=pred, aligned=aligned,
