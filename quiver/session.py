@@ -14,6 +14,31 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings for a large cluster (~100 TB inputs). AQE sizes shuffle partitions from measured map
+# output (coalescing toward the advisory size) and splits skewed join partitions; scans cut
+# files into 256 MiB splits; the broadcast threshold stays modest because every explicit
+# broadcast in this package is of a table with a structural bound. ``spark.checkpoint.dir``
+# must name shared storage (checkpoints are reliable, never local).
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
+def apply_cluster_conf(spark: SparkSession, overrides: dict[str, str] | None = None) -> None:
+    """Set the runtime-modifiable SQL settings above on an existing session."""
+    for k, v in {**CLUSTER_CONF, **(overrides or {})}.items():
+        spark.conf.set(k, v)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "quiver") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")

@@ -78,3 +78,15 @@ def test_choose_models_distinct_in_range(spark):
     assert {c: len(v) for c, v in by.items()} == {1: 3, 2: 12, 3: 10}
     assert all(len(set(v)) == len(v) for v in by.values())
     assert max(by[1]) < 10 and sorted(by[2]) == list(range(12)) and sorted(by[3]) == list(range(10))
+
+
+def test_fitted_split_equals_lazy_split(spark):
+    d = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id")
+    lazy = sorted(map(tuple, S.holdout_split(d, "doc_id").collect()))
+    hist, edge = S.fit_split(d, "doc_id")
+    assert hist.count() <= 1 << S.DEFAULT_BUCKET_BITS
+    fitted = sorted(map(tuple, S.apply_split(d, "doc_id", hist, edge).collect()))
+    assert lazy == fitted
+    # coarse buckets force a large boundary bucket: still exact
+    hist4, edge4 = S.fit_split(d, "doc_id", bits=2)
+    assert sorted(map(tuple, S.apply_split(d, "doc_id", hist4, edge4, bits=2).collect())) == lazy
