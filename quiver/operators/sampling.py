@@ -58,6 +58,16 @@ def dense_position(df: DataFrame, key: str, seed="pos", bits: int = DEFAULT_BUCK
     return out.withColumnRenamed("_n", n_col) if n_col else out.drop("_n")
 
 
+def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys that occur more than once, with their counts (an aggregate with a map-side partial,
+    so even a key holding a large share of the rows costs one row per task in the shuffle).
+
+    Every sampler here assumes a unique key: copies of a key share one hash, so they would
+    tie in every order. Check with ``duplicate_keys(df, key).isEmpty()`` before sampling a
+    table that is not keyed (e.g. line items)."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+
+
 def _split_parts(df: DataFrame, key: str, frac: float, seed, bits: int, split_col: str):
     keyed = _keyed(df, key, seed, bits)
     hist = _histogram(keyed, bits).withColumn("_k", F.ceil(F.col("_n") * F.lit(frac)).cast("bigint"))

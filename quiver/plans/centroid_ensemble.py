@@ -33,15 +33,20 @@ class EnsembleRun:
     confusion: DataFrame
 
 
-def train_test(df: DataFrame, key: str, seed=42, frac: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def train_test(df: DataFrame, key: str, seed=42, frac: float = 0.5,
+               assignments: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Hold-out split; the 'test' part is evaluated, the other half trains.
 
     The split is fitted once (cut table + boundary assignments on reliable storage) and
     applied by broadcast lookup, so the many later references to either half do not
-    recompute the histogram and window.
+    recompute the histogram and window. ``assignments`` = an explicit ``(key, split)`` table
+    (e.g. another tool's split, to reproduce published numbers) replaces the hash split.
     """
-    hist, edge = sampling.fit_split(df, key, frac=frac, seed=seed)
-    split = sampling.apply_split(df, key, hist, edge, seed=seed)
+    if assignments is not None:
+        split = df.join(assignments.select(key, "split"), key)
+    else:
+        hist, edge = sampling.fit_split(df, key, frac=frac, seed=seed)
+        split = sampling.apply_split(df, key, hist, edge, seed=seed)
     return split.filter(F.col("split") == "val").drop("split"), split.filter(F.col("split") == "test").drop("split")
 
 
@@ -55,9 +60,11 @@ def models_from_samples(train: DataFrame, samples: DataFrame, key: str, model_co
 
 
 def run(emb: DataFrame, key: str = "vec_id", replicas: int = 10, seed=42, task: str = "embeddings",
-        keep_lineage: bool = False) -> EnsembleRun:
-    train, test = train_test(emb, key, seed)
-    samples = sampling.bootstrap_exact(train, key, replicas)
+        keep_lineage: bool = False, assignments: DataFrame | None = None,
+        samples: DataFrame | None = None) -> EnsembleRun:
+    """``assignments`` (key, split) and ``samples`` (replica, key, mult) may be given explicitly."""
+    train, test = train_test(emb, key, seed, assignments=assignments)
+    samples = samples if samples is not None else sampling.bootstrap_exact(train, key, replicas)
     cent, models = models_from_samples(train, samples, key, ["replica"], task, keep_lineage=keep_lineage)
     rows = test.withColumn("task", F.lit(task))
     scores = score.score_centroids_vectorized(rows, models, key, model_cols=["replica"])

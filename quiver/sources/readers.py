@@ -28,6 +28,24 @@ HYPERPARAM_SCHEMA = _schema(("model_name", _S), ("task", _S), ("n_epochs", _I),
 RESULTS_SCHEMA = _schema(("config", _I), ("task", _S), ("time", _D), ("accuracy", _D), ("macro_f1", _D))
 
 
+def with_row_number(df: DataFrame, col: str = "Row") -> DataFrame:
+    """Exact 0-based position of each row in read order, without a single-partition sort.
+
+    ``monotonically_increasing_id`` is (partition index << 33) + row within the partition;
+    per-partition row counts (one row per input split: a bounded table, broadcast) give each
+    partition's offset, so the position is offset + row within the partition.
+    """
+    tagged = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright("_mid", 33))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    from pyspark.sql import Window
+
+    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (tagged.join(F.broadcast(offsets), "_pid")
+            .withColumn(col, F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
+            .drop("_mid", "_pid", "_off"))
+
+
 def read_task(spark: SparkSession, path: str, task: str) -> DataFrame:
     """JSON-lines task rows with the task's declared schema; malformed lines fail the read."""
     return spark.read.schema(TASK_SCHEMAS[task]).option("mode", "FAILFAST").json(path)
@@ -36,16 +54,16 @@ def read_task(spark: SparkSession, path: str, task: str) -> DataFrame:
 def read_experiment_table(spark: SparkSession, path: str) -> DataFrame:
     """S3 (read part): the experiment CSV as strings with its header; ``experiment_clean`` types it.
 
-    A ``Row`` column holding the file line is added so later selections by position are keyed.
+    A ``Row`` column holding the exact data-row position is added so later selections by
+    position (P3) are keyed.
     """
-    df = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
-    return df.withColumn("Row", F.monotonically_increasing_id())
+    return with_row_number(spark.read.option("header", True).option("mode", "FAILFAST").csv(path))
 
 
 def read_hyperparams(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of flat objects; ``file_row`` keeps file order (one file = one partition)."""
+    """A JSON array of flat objects; ``file_row`` is the position in file order."""
     df = spark.read.schema(HYPERPARAM_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return df.withColumn("file_row", F.monotonically_increasing_id())
+    return with_row_number(df, "file_row")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -84,3 +84,28 @@ def test_streaming_scoring_matches_batch(spark):
     q2.awaitTermination(300)
     n = spark.sql("SELECT sum(n) FROM quiver_conf").collect()[0][0]
     assert n == len(want)
+
+
+def test_row_numbers_exact_across_partitions(spark):
+    d = _tmp()
+    p = os.path.join(d, "exp.csv")
+    with open(p, "w") as f:
+        f.write("a,b\n" + "".join(f"{i},x{i}\n" for i in range(5000)))
+    df = RD.with_row_number(spark.read.option("header", True).csv(p).repartition(1).union(
+        spark.read.option("header", True).csv(p)))
+    rows = df.select("Row").collect()
+    assert sorted(r[0] for r in rows) == list(range(10000))
+    single = RD.read_experiment_table(spark, p).select("a", "Row").collect()
+    assert all(int(r["a"]) == r["Row"] for r in single)
+
+
+def test_explicit_assignments_and_samples(spark):
+    from quiver.plans import centroid_ensemble as CE
+
+    emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    assign = emb.select("vec_id", F.when(F.col("vec_id") % 2 == 0, "test").otherwise("val").alias("split"))
+    train, test = CE.train_test(emb, "vec_id", assignments=assign)
+    assert test.filter(F.col("vec_id") % 2 == 1).count() == 0 and train.count() + test.count() == emb.count()
+    samples = train.select(F.lit(0).alias("replica"), "vec_id", F.lit(1).alias("mult"))
+    run = CE.run(emb, assignments=assign, samples=samples)
+    assert run.models.count() == 1 and run.confusion.agg(F.sum("n")).collect()[0][0] == test.count()

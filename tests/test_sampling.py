@@ -90,3 +90,10 @@ def test_fitted_split_equals_lazy_split(spark):
     # coarse buckets force a large boundary bucket: still exact
     hist4, edge4 = S.fit_split(d, "doc_id", bits=2)
     assert sorted(map(tuple, S.apply_split(d, "doc_id", hist4, edge4, bits=2).collect())) == lazy
+
+
+def test_duplicate_key_check(spark):
+    o = spark.read.parquet(f"{SF01}/orders.parquet")
+    assert S.duplicate_keys(o, "o_orderkey").isEmpty()
+    li = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    assert not S.duplicate_keys(li, "l_orderkey").isEmpty()
