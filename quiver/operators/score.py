@@ -124,9 +124,15 @@ DEFAULT_VECTOR_BROADCAST_VALUES = 50_000_000  # centroid doubles shipped to ever
 
 def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec: str = "embedding",
                                model_cols: Sequence[str] = ("replica",), on: Sequence[str] = ("task",),
-                               max_values: int = DEFAULT_VECTOR_BROADCAST_VALUES) -> DataFrame:
+                               max_values: int = DEFAULT_VECTOR_BROADCAST_VALUES,
+                               vote_by: Sequence[str] | None = None) -> DataFrame:
     """T4, Arrow-batched: same output as :func:`score_centroids`.
 
+    With ``vote_by`` (a subset of ``model_cols``; ``[]`` = all models form one ensemble) the
+    soft vote G1 is fused in: each row's probabilities are summed over the models of its
+    ensemble inside the task (the model-outer running sum) and the output is
+    ``(on..., vote_by..., key, class_id, total)`` like :func:`ensemble.soft_vote`.
+
     The packed model table is size-checked (models x classes x dims doubles); within the
     budget it is broadcast once as numpy arrays and each Arrow batch of rows is scored with
     array arithmetic inside its Spark task (rows stay partitioned; nothing row-level goes
@@ -140,7 +146,12 @@ def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec
         .collect()[0]["v"] or 0
     if size > max_values:
         # Too large to ship to every task: JVM path, models joined in blocks on (task, block, salt).
-        return score_centroids(rows, models, key, vec, model_cols, on, max_broadcast_rows=0)
+        long = score_centroids(rows, models, key, vec, model_cols, on, max_broadcast_rows=0)
+        if vote_by is None:
+            return long
+        from quiver.operators.ensemble import soft_vote
+
+        return soft_vote(long, key, [*on, *vote_by])
 
     # Bounded by the check above: the model table itself, never data rows.
     tables: dict[tuple, tuple] = {}
@@ -154,15 +165,29 @@ def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec
     packed = {}
     for t, (metas, cids, mus) in tables.items():
         seg_start = [0] + [i for i in range(1, len(metas)) if metas[i] != metas[i - 1]]
+        vote = None
+        if vote_by is not None:
+            pos = [mc.index(c) for c in vote_by]
+            cells = [(tuple(m[i] for i in pos), c) for m, c in zip(metas, cids)]
+            uniq = sorted(set(cells))
+            index = {u: i for i, u in enumerate(uniq)}
+            onehot = np.zeros((len(cells), len(uniq)))
+            onehot[np.arange(len(cells)), [index[c] for c in cells]] = 1.0
+            vote = (uniq, onehot)
         packed[t] = (metas, np.asarray(cids, dtype=np.int32), np.asarray(mus, dtype=np.float64),
-                     np.asarray(seg_start, dtype=np.int64))
+                     np.asarray(seg_start, dtype=np.int64), vote)
     bc = rows.sparkSession.sparkContext.broadcast(packed)
 
     fields = {f.name: f for f in models.schema.fields}
     key_field = rows.schema[key]
-    out_schema = T.StructType([fields[c] for c in on] + [fields[c] for c in mc] +
-                              [key_field, T.StructField("class_id", T.IntegerType()),
-                               T.StructField("prob", T.DoubleType())])
+    if vote_by is None:
+        out_schema = T.StructType([fields[c] for c in on] + [fields[c] for c in mc] +
+                                  [key_field, T.StructField("class_id", T.IntegerType()),
+                                   T.StructField("prob", T.DoubleType())])
+    else:
+        out_schema = T.StructType([fields[c] for c in on] + [fields[c] for c in vote_by] +
+                                  [key_field, T.StructField("class_id", T.IntegerType()),
+                                   T.StructField("total", T.DoubleType())])
 
     def score_batches(batches):
         tabs = bc.value
@@ -171,7 +196,7 @@ def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec
                 t = t if isinstance(t, tuple) else (t,)
                 if t not in tabs:
                     continue
-                metas, cids, mu, starts = tabs[t]
+                metas, cids, mu, starts, vote = tabs[t]
                 x = np.stack(grp[vec].to_numpy()).astype(np.float64)
                 n, kc = len(x), len(mu)
                 step = max(1, 4_000_000 // max(1, kc * mu.shape[1]))
@@ -183,10 +208,21 @@ def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec
                 m = np.maximum.reduceat(s, starts, axis=1)[:, seg]
                 e = np.exp(s - m)
                 p = e / np.add.reduceat(e, starts, axis=1)[:, seg]
+                if vote is not None:
+                    uniq, onehot = vote
+                    totals = p @ onehot  # per row: sum of class probabilities over each ensemble's models
+                    nu = len(uniq)
+                    cols = {c: [t[i]] * (n * nu) for i, c in enumerate(on)}
+                    for i, c in enumerate(vote_by):
+                        cols[c] = np.tile(np.asarray([u[0][i] for u in uniq]), n)
+                    cols[key] = np.repeat(grp[key].to_numpy(), nu)
+                    cols["class_id"] = np.tile(np.asarray([u[1] for u in uniq], dtype=np.int32), n)
+                    cols["total"] = totals.reshape(-1)
+                    yield pd.DataFrame(cols)
+                    continue
                 cols = {c: [t[i]] * (n * kc) for i, c in enumerate(on)}
-                meta_arr = [metas[j] for j in range(kc)]
                 for i, c in enumerate(mc):
-                    cols[c] = np.tile(np.asarray([mm[i] for mm in meta_arr], dtype=object), n)
+                    cols[c] = np.tile(np.asarray([mm[i] for mm in metas]), n)
                 cols[key] = np.repeat(grp[key].to_numpy(), kc)
                 cols["class_id"] = np.tile(cids, n)
                 cols["prob"] = p.reshape(-1)

@@ -68,7 +68,8 @@ def run(emb: DataFrame, key: str = "vec_id", replicas: int = 10, seed=42, task:
     cent, models = models_from_samples(train, samples, key, ["replica"], task, keep_lineage=keep_lineage)
     rows = test.withColumn("task", F.lit(task))
     scores = score.score_centroids_vectorized(rows, models, key, model_cols=["replica"])
-    totals = ensemble.soft_vote(scores, key)
+    # G1 fused into scoring: probabilities are summed over the ensemble inside each task.
+    totals = score.score_centroids_vectorized(rows, models, key, model_cols=["replica"], vote_by=[]).drop("task")
     pred = ensemble.predict(totals, key)
     aligned = ensemble.align_truth(pred, test, key)
     conf = metrics.confusion(aligned)

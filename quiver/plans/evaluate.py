@@ -63,9 +63,10 @@ def evaluate(emb: DataFrame, configs: DataFrame, key: str = "vec_id", replicas:
     cells = pruned.select(*mc, F.regexp_extract("layer", r"class_(\d+)\.weight", 1).cast("int").alias("class_id"),
                           F.col("pos").alias("dim"), "value")
     models = materialize(learn.pack_centroids(cells, mc).withColumn("task", F.lit(task)))
-    scores = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc)
     group = ["run_id", "config"]
-    pred = ensemble.predict(ensemble.soft_vote(scores, key, group), key, group)
+    totals = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
+                                              vote_by=group).drop("task")
+    pred = ensemble.predict(totals, key, group)
     conf = metrics.confusion(ensemble.align_truth(pred, test, key), group)
     report = metrics.classification_report(conf, group).withColumn("task", F.lit(task))
     results = report.select("run_id", "config", "task", "accuracy", "macro_f1")

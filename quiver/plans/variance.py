@@ -26,9 +26,10 @@ def single_vs_double(emb: DataFrame, key: str = "vec_id", outer: int = 10, inner
     mc = ["kind", "i", "j"]
     cent = learn.train_centroids(train, single.unionByName(double), key, model_cols=mc)
     models = materialize(learn.pack_centroids(cent, mc).withColumn("task", F.lit(task)))
-    scores = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc)
     group = ["kind", "i"]
-    pred = ensemble.predict(ensemble.soft_vote(scores, key, group), key, group)
+    totals = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
+                                              vote_by=group).drop("task")
+    pred = ensemble.predict(totals, key, group)
     report = metrics.classification_report(metrics.confusion(ensemble.align_truth(pred, test, key), group), group)
 
     def pick(kind: str, metric: str):

@@ -111,3 +111,18 @@ def test_experiment_clean_and_lookup(spark):
     rows = spark.createDataFrame([("microsoft/deberta-base", "RTE"), ("nobody", "CB")], "model_type string, task string")
     out = {r["model_type"]: r for r in X.lookup_hyperparams(rows, D.hyperparams(spark)).collect()}
     assert out["microsoft/deberta-base"]["learning_rate"] == 2.49e-05 and out["nobody"]["hp_status"] != "ok"
+
+
+def test_model_outer_vote_equals_row_outer(spark):
+    from conftest import SF001
+    from quiver.operators import score as SC
+    from quiver.plans import centroid_ensemble as CE
+
+    emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    run = CE.run(emb)
+    rows = CE.train_test(emb, "vec_id")[1].withColumn("task", F.lit("embeddings"))
+    row_outer = G.soft_vote(SC.score_centroids(rows, run.models, "vec_id"), "vec_id")
+    model_outer = SC.score_centroids_vectorized(rows, run.models, "vec_id", vote_by=[])
+    a = {(r["vec_id"], r["class_id"]): r["total"] for r in row_outer.collect()}
+    b = {(r["vec_id"], r["class_id"]): r["total"] for r in model_outer.collect()}
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
