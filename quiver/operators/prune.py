@@ -7,7 +7,8 @@ together become 0 (ties by layer, pos); other layers (biases) are untouched.
 The k-th smallest is found exactly without sorting a model's weights in one task:
 a histogram over a monotone log-scale bucket of |value| (16 buckets per octave) locates
 the bucket holding rank k; only that bucket is histogrammed again on a linear sub-bucket,
-and only the one boundary sub-bucket is ranked with a window. Both bucket functions are
+then on exact (value, layer) cells, then on position buckets of the one boundary cell, and
+only that last bucket (<= 4,096 rows) is ranked with a window. The bucket functions are
 non-decreasing in |value|, so bucket order never contradicts value order.
 """
 
@@ -39,39 +40,55 @@ def _b2(a: Column, b1: Column) -> Column:
         F.least(F.greatest(frac, F.lit(0)), F.lit(SUB_BUCKETS - 1))).cast("bigint")
 
 
-def _cumulate(hist: DataFrame, group: Sequence[str], b: str) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+POS_BITS = 12          # final window: at most 4,096 positions of one (value, layer) cell
+
+
+def _cumulate_by(hist: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
 
 
+def _level(rows: DataFrame, group: list[str], cell: list[str], lead: str):
+    """Histogram ``rows`` on ``cell`` (ordered), place each cell against k after ``lead`` earlier
+    rows: returns (settled rows with ``_in``, boundary-cell rows with an updated ``lead``)."""
+    hist = _cumulate_by(rows.groupBy(*group, *cell).agg(F.count(F.lit(1)).alias("_cnt")), group, cell)
+    d = rows.join(hist.select(*group, *cell, "_cnt", "_before"), group + cell)
+    start = F.col(lead) + F.col("_before")
+    d = d.withColumn("_s", F.when(start + F.col("_cnt") <= F.col("k"), F.lit(1))
+                     .when(start >= F.col("k"), F.lit(0)).otherwise(F.lit(-1)))
+    settled = d.filter(F.col("_s") >= 0).withColumn("_in", F.col("_s") == 1)
+    edge = d.filter(F.col("_s") < 0).withColumn(lead, start).drop("_cnt", "_before", "_s")
+    return settled, edge
+
+
 def smallest_k(df: DataFrame, group: Sequence[str], k: DataFrame, value: str, ties: Sequence[str],
                flag: str = "_in") -> DataFrame:
     """Add boolean ``flag``: is the row among the k smallest ``value`` (>= 0) of its group,
-    ordered by (value, *ties)? ``k`` is ``(group..., k)``."""
-    g = list(group)
+    ordered by (value, *ties)? ``k`` is ``(group..., k)``; the last tie column is an integer.
+
+    Four histogram levels, each over the previous level's boundary cell only: a log-scale
+    bucket of the value, a linear sub-bucket, the exact (value, leading ties) cell and a
+    bucket of the last tie column. The final window ranks at most 2**POS_BITS rows, so even
+    a tie group holding a large share of a model (for example many exact zeros) is never
+    sorted in one task.
+    """
+    g, lead_ties, last = list(group), list(ties[:-1]), ties[-1]
     a = F.col(value)
-    d = df.withColumn("_b1", _b1(a)).join(k, g, "left").fillna(0, ["k"])
-    h1 = _cumulate(d.groupBy(*g, "_b1").agg(F.count(F.lit(1)).alias("_cnt")), g, "_b1")
-    d1 = d.join(h1.select(*g, "_b1", "_cnt", "_before"), g + ["_b1"])
-    state1 = (F.when(F.col("_before") + F.col("_cnt") <= F.col("k"), F.lit(1))
-              .when(F.col("_before") >= F.col("k"), F.lit(0)).otherwise(F.lit(-1)))
-    d1 = d1.withColumn("_s1", state1)
-    settled1 = d1.filter(F.col("_s1") >= 0).withColumn(flag, F.col("_s1") == 1)
-
-    e1 = (d1.filter(F.col("_s1") < 0).withColumn("_b2", _b2(a, F.col("_b1")))
-          .withColumnRenamed("_before", "_base").drop("_cnt"))
-    h2 = _cumulate(e1.groupBy(*g, "_b2").agg(F.count(F.lit(1)).alias("_cnt")), g, "_b2")
-    d2 = e1.join(h2.select(*g, "_b2", "_cnt", "_before"), g + ["_b2"])
-    lead = F.col("_base") + F.col("_before")
-    state2 = (F.when(lead + F.col("_cnt") <= F.col("k"), F.lit(1))
-              .when(lead >= F.col("k"), F.lit(0)).otherwise(F.lit(-1)))
-    d2 = d2.withColumn("_s2", state2)
-    settled2 = d2.filter(F.col("_s2") >= 0).withColumn(flag, F.col("_s2") == 1)
-    within = Window.partitionBy(*g, "_b2").orderBy(a, *[F.col(t) for t in ties])
-    edge = d2.filter(F.col("_s2") < 0).withColumn(flag, lead + F.row_number().over(within) <= F.col("k"))
-
-    cols = df.columns + [flag]
-    return settled1.select(*cols).unionByName(settled2.select(*cols)).unionByName(edge.select(*cols))
+    cols = df.columns
+    d = (df.withColumn("_b1", _b1(a)).join(k, g, "left").fillna(0, ["k"])
+         .withColumn("_b2", _b2(a, F.col("_b1"))).withColumn("_b4", F.shiftright(F.col(last).cast("bigint"), POS_BITS))
+         .withColumn("_lead", F.lit(0).cast("bigint")))
+    s1, e1 = _level(d, g, ["_b1"], "_lead")
+    s2, e2 = _level(e1, g, ["_b2"], "_lead")
+    s3, e3 = _level(e2, g, [value, *lead_ties], "_lead")
+    s4, e4 = _level(e3, g, ["_b4"], "_lead")
+    within = Window.partitionBy(*g, "_b4").orderBy(F.col(last))
+    edge = e4.withColumn("_in", F.col("_lead") + F.row_number().over(within) <= F.col("k"))
+    out = None
+    for part in (s1, s2, s3, s4, edge):
+        part = part.select(*cols, F.col("_in").alias(flag))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def prune_weights(weights: DataFrame, factors: DataFrame, model_cols: Sequence[str] = ("model_id",),

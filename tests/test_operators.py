@@ -126,3 +126,16 @@ def test_model_outer_vote_equals_row_outer(spark):
     a = {(r["vec_id"], r["class_id"]): r["total"] for r in row_outer.collect()}
     b = {(r["vec_id"], r["class_id"]): r["total"] for r in model_outer.collect()}
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
+
+
+def test_prune_massive_tie_group(spark):
+    # 3 layers x 10,000 positions; a third of all weights share one value and the cut (k) falls
+    # inside that tie group, so the chosen rows are decided by (layer, pos) order alone.
+    rows = [(0, f"l{l}.weight", p, 0.5 if p % 3 == 0 else 1.0 + ((p * 7919 + l) % 1000) / 100.0 if p % 3 == 1
+             else 0.001 * (1 + (p + l) % 50))
+            for l in range(3) for p in range(10000)]
+    w = spark.createDataFrame(rows, "model_id int, layer string, pos int, a double")
+    k = spark.createDataFrame([(0, 15000)], "model_id int, k bigint")
+    got = {(r["layer"], r["pos"]) for r in PR.smallest_k(w, ["model_id"], k, "a", ["layer", "pos"]).filter("_in").collect()}
+    want = {(l, p) for _, l, p, _ in sorted(rows, key=lambda r: (r[3], r[1], r[2]))[:15000]}
+    assert got == want
