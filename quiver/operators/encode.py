@@ -46,6 +46,9 @@ def _tokenizer(path: str, max_len: int, pad_id: int):
 def encode_pairs(df: DataFrame, keep: list[str], seq1: str = "seq1", seq2: str = "seq2", max_len: int = MAX_LEN,
                  pad_id: int = PAD_ID, vocab_path: str | None = None) -> DataFrame:
     """``(keep..., input_ids, attention_mask, n_tokens)``; a null sequence gives null outputs."""
+    from quiver.session import ship_package
+
+    ship_package(df.sparkSession)
     path = vocab_path or default_vocab()
     if path is None:
         raise RuntimeError("no tokenizer vocabulary available (public_tokenizers not installed)")

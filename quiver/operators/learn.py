@@ -115,9 +115,11 @@ def train_logistic(train: DataFrame, samples: DataFrame, key: str, vec: str = "e
     data = samples.join(train.select(key, vec, label), key).select(
         replica_col, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"),
         F.col(label).cast("double").alias("label"), F.col("mult").cast("double").alias("mult"))
-    # Every fit iterates over its rows many times: keep the joined input instead of recomputing
-    # the split and resampling lineage per fit.
-    data = data.persist()
+    # Every fit iterates over its rows many times: write the joined input once (partitioned by
+    # size, not by the shuffle setting) and cache it, instead of recomputing split and resampling.
+    from quiver.session import materialize
+
+    data = materialize(data).persist()
     replicas = sorted(r[0] for r in samples.select(replica_col).distinct().collect())  # bounded: replica ids
     rows = []
     for rep in replicas:

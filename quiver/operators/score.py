@@ -141,6 +141,9 @@ def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec
     import numpy as np
     import pandas as pd
 
+    from quiver.session import ship_package
+
+    ship_package(rows.sparkSession)
     mc, on = list(model_cols), list(on)
     size = models.select(F.sum(F.aggregate(F.col("classes"), F.lit(0), lambda acc, c: acc + F.size(c["mu"]))).alias("v")) \
         .collect()[0]["v"] or 0

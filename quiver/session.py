@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,6 +57,35 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quiver`` importable on the Python workers (once per application).
+
+    Operators that run Python inside tasks (Arrow batches) call this; it zips the package's
+    source files and registers the archive with ``addPyFile``, which is what ``--py-files``
+    does for a cluster submission. Executors fetch it from the driver.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="quiver-pyfiles-"), "quiver.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; set a scratch one only when the session has none."""
     sc = spark.sparkContext
@@ -71,13 +99,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives executor loss (never local).
+    """Cut lineage with a written table in the shared checkpoint folder, and read it back.
 
-    The input is persisted first so the checkpoint job writes the computed partitions
-    instead of computing the plan a second time; the cache is released afterwards.
+    The write is an ordinary query, so AQE sizes its output (a 10-row model table becomes one
+    file, a large table many), and the re-read table carries real size statistics for later
+    join planning. The files live under ``spark.checkpoint.dir`` (shared storage on a cluster),
+    so a lost executor does not lose them. Never a local checkpoint.
     """
-    checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quiver-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
