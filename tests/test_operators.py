@@ -73,8 +73,9 @@ def test_flatten_nested_qa(spark):
     doc = {"text": "P", "questions": [
         {"question": "q1", "answers": [{"text": "a", "label": 1}, {"text": "b", "label": 0}, {"text": "c", "label": 1}]},
         {"question": "q2", "answers": []}]}
-    df = spark.createDataFrame([(doc,)], TK.QA_SCHEMA.__class__([TK.QA_SCHEMA.__class__.__mro__[0].fromJson(
-        {"type": "struct", "fields": [{"name": "passage", "type": TK.QA_SCHEMA.jsonValue(), "nullable": True, "metadata": {}}]}).fields[0]]))
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(doc,)], T.StructType([T.StructField("passage", TK.QA_SCHEMA)]))
     rows = TK.flatten_multirc(df, sep=" ").collect()
     assert [(r["passage"], r["question_answer_concat"], r["label"]) for r in rows] == [
         ("P", "q1 a", 1), ("P", "q1 b", 0), ("P", "q1 c", 1)]
