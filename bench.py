@@ -46,6 +46,7 @@ HEADLINE = {
     "bootstrap_poisson_orders": orders_poisson,
     "double_bootstrap": R.QUERIES["double_bootstrap"],
     "naive_bayes_metrics": R.QUERIES["eval_metrics"],
+    "naive_bayes_poisson": R.QUERIES["naive_bayes_poisson_predict"],
     "evaluate_config": R.QUERIES["evaluate_config"],
     "single_vs_double": R.QUERIES["single_vs_double"],
     "prune_weights": R.QUERIES["prune_weights"],

@@ -50,8 +50,9 @@ def _packed_mults(samples: DataFrame, key: str, model_cols: Sequence[str]) -> Da
     return samples.groupBy(key).agg(F.collect_list(F.struct(*model_cols, "mult")).alias("_reps"))
 
 
-def train_naive_bayes(train: DataFrame, samples: DataFrame, key: str, text: str = "text", label: str = "label",
-                      alpha: float = 1.0, model_cols: Sequence[str] = ("replica",)) -> tuple[DataFrame, DataFrame]:
+def train_naive_bayes(train: DataFrame, samples: DataFrame | None, key: str, text: str = "text", label: str = "label",
+                      alpha: float = 1.0, model_cols: Sequence[str] = ("replica",),
+                      reps=None) -> tuple[DataFrame, DataFrame]:
     """Multinomial naive Bayes for every replica at once.
 
     Returns ``(loglik, prior)``: ``(model..., class_id, token, loglik)`` over each replica's
@@ -60,15 +61,20 @@ def train_naive_bayes(train: DataFrame, samples: DataFrame, key: str, text: str
 
     Multiplicities are packed per document (bounded by the replica count) and joined 1:1,
     so a document's text is tokenized once; token counts are combined map-side, so a very
-    frequent token never reaches the shuffle as more than one row per task.
+    frequent token never reaches the shuffle as more than one row per task. ``reps`` (a
+    column such as :func:`sampling.poisson_reps`) computes the packed multiplicities from the
+    row itself instead of ``samples``: no join, so texts are not shuffled at all.
     """
     from quiver.session import materialize
 
     mc = list(model_cols)
-    # Per-document multiplicities (at most one entry per replica), written once: read by the
-    # token counts and the class counts.
-    mults = materialize(_packed_mults(samples, key, mc))
-    docs = train.select(key, F.col(label).cast("int").alias("class_id"), text).join(mults, key)
+    base = train.select(key, F.col(label).cast("int").alias("class_id"), text)
+    if reps is not None:
+        docs = base.withColumn("_reps", reps).filter(F.size("_reps") > 0)
+    else:
+        # Per-document multiplicities (at most one entry per replica), written once: read by the
+        # token counts and the class counts.
+        docs = base.join(materialize(_packed_mults(samples, key, mc)), key)
     reps = [F.col(f"_r.{c}").alias(c) for c in mc]
     counts = (docs.select("class_id", "_reps", F.explode(tokens(F.col(text))).alias("token"))
               .select("class_id", "token", F.explode("_reps").alias("_r"))

@@ -175,6 +175,16 @@ def bootstrap_poisson(df: DataFrame, key: str, replicas: int | Sequence[int] = 1
     )
 
 
+def poisson_reps(key: Column, replicas: int, seed_prefix: str = "poisson") -> Column:
+    """M3 as a row-local column: ``array<struct<replica, mult>>`` of the row's non-zero Poisson
+    multiplicities (same draws as :func:`bootstrap_poisson`). Lets a learner weight rows
+    without joining a sample table, so wide rows (whole texts) are never shuffled for it."""
+    seeds = F.sequence(F.lit(0), F.lit(replicas - 1))
+    hashes = F.transform(seeds, lambda r: h(F.concat(F.lit(seed_prefix), r.cast("string")), key))
+    reps = F.transform(hashes, lambda x, i: F.struct(i.alias("replica"), poisson_mult(x).alias("mult")))
+    return F.filter(reps, lambda e: e["mult"] > 0)
+
+
 def double_bootstrap(df: DataFrame, key: str, outer: int = 10, inner: int = 5, inner_seed_base: int = 100,
                      bits: int = DEFAULT_BUCKET_BITS) -> DataFrame:
     """M4: resample each outer sample i (seed i) again, full size, with inner seed base+j.

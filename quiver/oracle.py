@@ -192,12 +192,24 @@ hp_first AS (SELECT * EXCLUDE (_rk) FROM (SELECT *, row_number() OVER (PARTITION
 TOKEN_SQL = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
-def text_ctes(replicas: int = 5, alpha: float = 1.0) -> str:
+def poisson_samples_cte(table: str, key: str, replicas: int) -> str:
+    from quiver.operators.sampling import POISSON_THRESHOLDS
+    mult = " + ".join(f"CAST(_h >= {t} AS INTEGER)" for t in POISSON_THRESHOLDS)
+    h = H("'poisson' || CAST(r.replica AS VARCHAR)", f"e.{key}")
+    return f"""samples AS (SELECT replica, {key}, mult FROM (
+  SELECT CAST(replica AS INTEGER) AS replica, {key}, {mult} AS mult FROM (
+    SELECT r.replica, e.{key}, {h} AS _h FROM {table} e CROSS JOIN range({replicas}) r(replica)))
+  WHERE mult > 0)"""
+
+
+def text_ctes(replicas: int = 5, alpha: float = 1.0, resample: str = "exact") -> str:
+    samples = (poisson_samples_cte('train', 'doc_id', replicas) if resample == "poisson"
+               else bootstrap_ctes('train', 'doc_id', replicas))
     return f"""WITH ld AS (SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l USING (doc_id)),
 sp AS ({split_cte('ld', 'doc_id')}),
 train AS (SELECT * FROM sp WHERE split = 'val'),
 test AS (SELECT * FROM sp WHERE split = 'test'),
-{bootstrap_ctes('train', 'doc_id', replicas)},
+{samples},
 ttok AS (SELECT doc_id, label AS class_id, unnest({TOKEN_SQL}) AS token FROM train),
 cnt AS (SELECT s.replica, t.class_id, t.token, sum(s.mult) AS cnt FROM samples s JOIN ttok t USING (doc_id) GROUP BY ALL),
 classes AS (SELECT s.replica, t.label AS class_id, sum(s.mult) AS docs FROM samples s JOIN train t USING (doc_id) GROUP BY ALL),

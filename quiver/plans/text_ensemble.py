@@ -31,11 +31,17 @@ def labelled_documents(documents: DataFrame, labels: DataFrame, label: str = "qu
 
 
 def run(documents: DataFrame, labels: DataFrame, label: str = "quality", replicas: int = 5, seed=42,
-        task: str = "quality", alpha: float = 1.0) -> TextRun:
+        task: str = "quality", alpha: float = 1.0, resample: str = "exact") -> TextRun:
+    """``resample='exact'`` draws n documents per replica (the reference's bootstrap);
+    ``'poisson'`` is its scale form: multiplicities computed from each document's own key."""
     docs = labelled_documents(documents, labels, label)
     train, test = train_test(docs, "doc_id", seed)
-    samples = sampling.bootstrap_exact(train, "doc_id", replicas)
-    loglik, prior = learn.train_naive_bayes(train, samples, "doc_id", alpha=alpha)
+    if resample == "poisson":
+        loglik, prior = learn.train_naive_bayes(train, None, "doc_id", alpha=alpha,
+                                                reps=sampling.poisson_reps(F.col("doc_id"), replicas))
+    else:
+        samples = sampling.bootstrap_exact(train, "doc_id", replicas)
+        loglik, prior = learn.train_naive_bayes(train, samples, "doc_id", alpha=alpha)
     scores = score.score_naive_bayes(test, loglik, prior, "doc_id")
     pred = ensemble.predict(ensemble.soft_vote(scores, "doc_id"), "doc_id")
     aligned = ensemble.align_truth(pred, test, "doc_id")

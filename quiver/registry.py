@@ -347,6 +347,11 @@ def q_naive_bayes_predict(spark, sf):
     return _text(spark, sf).aligned
 
 
+@register("naive_bayes_poisson_predict", O.text_ctes(resample="poisson") + "SELECT doc_id, y_pred, y_true FROM aligned")
+def q_naive_bayes_poisson_predict(spark, sf):
+    return TE.run(table(spark, sf, "documents"), table(spark, sf, "labels"), resample="poisson").aligned
+
+
 @register("eval_metrics", O.text_ctes() + O.binary_metrics_select())
 def q_eval_metrics(spark, sf):
     return rounded(metrics.eval_metrics(_text(spark, sf).confusion, n_classes=2))

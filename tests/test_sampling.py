@@ -97,3 +97,11 @@ def test_duplicate_key_check(spark):
     assert S.duplicate_keys(o, "o_orderkey").isEmpty()
     li = spark.read.parquet(f"{SF01}/lineitem.parquet")
     assert not S.duplicate_keys(li, "l_orderkey").isEmpty()
+
+
+def test_poisson_reps_match_poisson_table(spark):
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet").select("vec_id")
+    table = sorted(map(tuple, S.bootstrap_poisson(e, "vec_id", 6).collect()))
+    rows = e.select("vec_id", F.explode(S.poisson_reps(F.col("vec_id"), 6)).alias("r")) \
+        .select("r.replica", "vec_id", "r.mult").collect()
+    assert sorted(map(tuple, rows)) == table
