@@ -12,14 +12,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def train_centroids(train: DataFrame, samples: DataFrame, key: str, vec: str = "embedding", label: str = "label",
-                    model_cols: Sequence[str] = ("replica",)) -> DataFrame:
+def train_centroids(train: DataFrame, samples: DataFrame | None, key: str, vec: str = "embedding",
+                    label: str = "label", model_cols: Sequence[str] = ("replica",), reps=None) -> DataFrame:
     """Weighted class mean per (model, class, dim) -> ``(model..., class_id, dim, value)``.
 
     The per-dimension rows are summed map-side, so the shuffle carries at most
-    models x classes x dims partial sums per task.
+    models x classes x dims partial sums per task. With ``reps`` (a row-local
+    ``array<struct<replica, mult>>`` column such as :func:`sampling.poisson_reps`) no sample
+    table is joined, so the vectors are never shuffled before that partial aggregation.
     """
-    joined = samples.join(train.select(key, vec, label), key)
+    if reps is not None:
+        joined = (train.select(key, vec, label, F.explode(reps).alias("_r"))
+                  .select(F.col("_r.replica").alias("replica"), key, vec, label, F.col("_r.mult").alias("mult")))
+    else:
+        joined = samples.join(train.select(key, vec, label), key)
     cells = joined.select(*model_cols, F.col(label).cast("int").alias("class_id"), "mult",
                           F.posexplode(vec).alias("dim", "x"))
     return cells.groupBy(*model_cols, "class_id", "dim").agg(

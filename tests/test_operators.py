@@ -140,3 +140,16 @@ def test_prune_massive_tie_group(spark):
     got = {(r["layer"], r["pos"]) for r in PR.smallest_k(w, ["model_id"], k, "a", ["layer", "pos"]).filter("_in").collect()}
     want = {(l, p) for _, l, p, _ in sorted(rows, key=lambda r: (r[3], r[1], r[2]))[:15000]}
     assert got == want
+
+
+def test_centroids_rowlocal_poisson_equals_join(spark):
+    from conftest import SF01
+    from quiver.operators import learn as LN
+    from quiver.operators import sampling as SA
+
+    emb = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    a = LN.train_centroids(emb, SA.bootstrap_poisson(emb, "vec_id", 4), "vec_id")
+    b = LN.train_centroids(emb, None, "vec_id", reps=SA.poisson_reps(F.col("vec_id"), 4))
+    ra = {(r[0], r[1], r[2]): r[3] for r in a.collect()}
+    rb = {(r[0], r[1], r[2]): r[3] for r in b.collect()}
+    assert ra.keys() == rb.keys() and max(abs(ra[k] - rb[k]) for k in ra) < 1e-9
