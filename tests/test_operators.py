@@ -153,3 +153,12 @@ def test_centroids_rowlocal_poisson_equals_join(spark):
     ra = {(r[0], r[1], r[2]): r[3] for r in a.collect()}
     rb = {(r[0], r[1], r[2]): r[3] for r in b.collect()}
     assert ra.keys() == rb.keys() and max(abs(ra[k] - rb[k]) for k in ra) < 1e-9
+
+
+def test_scores_are_distributions(spark):
+    from conftest import SF001
+    from quiver.plans import centroid_ensemble as CE
+
+    run = CE.run(spark.read.parquet(f"{SF001}/embeddings.parquet"))
+    sums = run.scores.groupBy("replica", "vec_id").agg(F.sum("prob").alias("s"), F.min("prob").alias("m")).collect()
+    assert sums and all(abs(r["s"] - 1.0) < 1e-9 and r["m"] >= 0 for r in sums)

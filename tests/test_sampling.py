@@ -105,3 +105,16 @@ def test_poisson_reps_match_poisson_table(spark):
     rows = e.select("vec_id", F.explode(S.poisson_reps(F.col("vec_id"), 6)).alias("r")) \
         .select("r.replica", "vec_id", "r.mult").collect()
     assert sorted(map(tuple, rows)) == table
+
+
+def test_seeded_operators_repartition_invariant(spark):
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet").select("vec_id")
+
+    def run(df):
+        return (sorted(map(tuple, S.dense_position(df, "vec_id").collect())),
+                sorted(map(tuple, S.bootstrap_poisson(df, "vec_id", 3).collect())),
+                sorted(map(tuple, S.double_bootstrap(df, "vec_id", outer=2, inner=2).collect())),
+                sorted(map(tuple, S.choose_models(df.withColumn("k", F.lit(3)), "k", F.col("vec_id"))
+                           .select("vec_id", "model_no").collect())))
+
+    assert run(e.repartition(1)) == run(e.repartition(3)) == run(e.repartition(7))
