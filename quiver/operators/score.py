@@ -84,8 +84,19 @@ def score_centroids(rows: DataFrame, models: DataFrame, key: str, vec: str = "em
 DEFAULT_TOKEN_SALTS = 8
 
 
-def score_naive_bayes(rows: DataFrame, loglik: DataFrame, prior: DataFrame, key: str, text: str = "text",
-                      model_cols: Sequence[str] = ("replica",), salts: int = DEFAULT_TOKEN_SALTS) -> DataFrame:
+def pack_naive_bayes(loglik: DataFrame, prior: DataFrame, model_cols: Sequence[str] = ("replica",)) -> DataFrame:
+    """The scoring form of a naive-Bayes ensemble: one row per token holding every
+    (model, class, loglik) entry (models x classes, bounded), plus the priors under the empty
+    token. Build and write it once after training; :func:`score_naive_bayes` reads it."""
+    entry = F.struct(*model_cols, "class_id", "loglik")
+    return (loglik.groupBy("token").agg(F.collect_list(entry).alias("_m"))
+            .unionByName(prior.withColumnRenamed("log_prior", "loglik")
+                         .groupBy(F.lit("").alias("token")).agg(F.collect_list(entry).alias("_m"))))
+
+
+def score_naive_bayes(rows: DataFrame, loglik: DataFrame | None, prior: DataFrame | None, key: str,
+                      text: str = "text", model_cols: Sequence[str] = ("replica",),
+                      salts: int = DEFAULT_TOKEN_SALTS, packed_model: DataFrame | None = None) -> DataFrame:
     """T4 for the text path: ``(model..., key, class_id, prob)``.
 
     score = log prior + sum over the row's tokens in the model vocabulary of tf x loglik,
@@ -99,11 +110,8 @@ def score_naive_bayes(rows: DataFrame, loglik: DataFrame, prior: DataFrame, key:
     from quiver.operators.learn import tokens
 
     mc = list(model_cols)
-    entry = F.struct(*mc, "class_id", "loglik")
-    packed = (loglik.groupBy("token").agg(F.collect_list(entry).alias("_m"))
-              .unionByName(prior.withColumnRenamed("log_prior", "loglik")
-                           .groupBy(F.lit("").alias("token")).agg(F.collect_list(entry).alias("_m")))
-              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    packed = (pack_naive_bayes(loglik, prior, mc) if packed_model is None else packed_model) \
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     words = (rows.select(key, F.explode(tokens(F.col(text))).alias("token"))
              .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
     tf = (words.unionByName(rows.select(key, F.lit("").alias("token"), F.lit(1).cast("bigint").alias("tf")))

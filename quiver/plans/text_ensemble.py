@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quiver.operators import ensemble, learn, metrics, sampling, score
 from quiver.plans.centroid_ensemble import train_test
+from quiver.session import materialize
 
 
 @dataclass
@@ -42,7 +43,10 @@ def run(documents: DataFrame, labels: DataFrame, label: str = "quality", replica
     else:
         samples = sampling.bootstrap_exact(train, "doc_id", replicas)
         loglik, prior = learn.train_naive_bayes(train, samples, "doc_id", alpha=alpha)
-    scores = score.score_naive_bayes(test, loglik, prior, "doc_id")
+    # The trained models (every replica's log-likelihoods and priors, packed per token for
+    # scoring) are written once and scored from storage, like the reference's saved models.
+    packed = materialize(score.pack_naive_bayes(loglik, prior))
+    scores = score.score_naive_bayes(test, None, None, "doc_id", packed_model=packed)
     pred = ensemble.predict(ensemble.soft_vote(scores, "doc_id"), "doc_id")
     aligned = ensemble.align_truth(pred, test, "doc_id")
     return TextRun(loglik=loglik, prior=prior, scores=scores, predictions=pred, aligned=aligned,
