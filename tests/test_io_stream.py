@@ -109,3 +109,20 @@ def test_explicit_assignments_and_samples(spark):
     samples = train.select(F.lit(0).alias("replica"), "vec_id", F.lit(1).alias("mult"))
     run = CE.run(emb, assignments=assign, samples=samples)
     assert run.models.count() == 1 and run.confusion.agg(F.sum("n")).collect()[0][0] == test.count()
+
+
+def test_cli_evaluate_and_variance_append(spark):
+    from quiver.__main__ import main
+
+    out = _tmp()
+    for run in (0, 1):
+        main(["evaluate", "--tables", SF001, "--results", f"{out}/res", "--errors", f"{out}/err", "--run-id", str(run)])
+    res = spark.read.parquet(f"{out}/res")
+    assert res.count() == 40 and res.filter("time IS NULL").count() == 0
+    assert spark.read.parquet(f"{out}/err").count() == 10
+    from quiver.plans.results import consolidate
+
+    cons = consolidate(res.select("config", "task", "run_id", "accuracy", "macro_f1"))
+    assert cons.count() == 20 and cons.filter("run_id = 1 AND n_runs = 2").count() == 20
+    main(["variance", "--tables", SF001, "--out", f"{out}/var", "--run-id", "0"])
+    assert spark.read.parquet(f"{out}/var").count() == 10
