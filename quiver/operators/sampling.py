@@ -116,22 +116,37 @@ def apply_split(df: DataFrame, key: str, hist: DataFrame, edge: DataFrame, seed=
     return settled.unionByName(boundary).drop("_h", "_b", "_state")
 
 
+def _draws(spark, seeds: Sequence[int], n: int, name: str) -> DataFrame:
+    """(name, d) for every seed and every draw index d in 0..n-1, generated in parallel by
+    ``spark.range`` (no table scan, no shuffle)."""
+    seed_arr = F.array(*[F.lit(int(x)) for x in seeds])
+    return spark.range(len(seeds) * n).select(
+        F.element_at(seed_arr, (F.col("id") / F.lit(n)).cast("int") + 1).alias(name),
+        F.pmod(F.col("id"), F.lit(n)).alias("_d"))
+
+
+def _seed_list(replicas: int | Sequence[int]) -> list[int]:
+    return list(range(replicas)) if isinstance(replicas, int) else [int(x) for x in replicas]
+
+
 def bootstrap_exact(df: DataFrame, key: str, replicas: int | Sequence[int] = 10, seed_offset: int = 0,
                     bits: int = DEFAULT_BUCKET_BITS) -> DataFrame:
     """M2: per replica r exactly n draws with replacement; draw d picks position h(r, d) mod n.
 
-    Returns ``(replica, key, mult)``. Draw indices are identified with positions, so
-    the draws are generated from the position table itself and pre-aggregated to
-    ``(replica, position, mult)`` before the single join back to keys.
+    Returns ``(replica, key, mult)``. Draws come from a parallel range of B x n indices (one
+    scalar ``count`` gives n), are pre-aggregated to ``(replica, position, mult)`` and joined
+    once to the position table, which is computed once.
     """
-    pos = dense_position(df.select(key), key, bits=bits, n_col="_n")
+    keys_only = df.select(key)
+    n = keys_only.count()
+    if n == 0:
+        return df.sparkSession.createDataFrame([], f"replica int, {key} {df.schema[key].dataType.simpleString()}, mult int")
+    pos = dense_position(keys_only, key, bits=bits)
     seed = F.col("replica") + F.lit(seed_offset)
-    draws = (
-        pos.select(F.explode(_seeds(replicas)).alias("replica"), "pos", "_n")
-        .select("replica", F.pmod(h(seed, F.col("pos")), F.col("_n")).alias("_target"))
-        .groupBy("replica", "_target")
-        .agg(F.count(F.lit(1)).cast("int").alias("mult"))
-    )
+    draws = (_draws(df.sparkSession, _seed_list(replicas), n, "replica")
+             .select("replica", F.pmod(h(seed, F.col("_d")), F.lit(n)).alias("_target"))
+             .groupBy("replica", "_target")
+             .agg(F.count(F.lit(1)).cast("int").alias("mult")))
     keys = pos.select(F.col(key), F.col("pos").alias("_target"))
     return draws.join(keys, "_target").select("replica", key, "mult")
 
@@ -193,17 +208,21 @@ def double_bootstrap(df: DataFrame, key: str, outer: int = 10, inner: int = 5, i
     once, pre-aggregated per (j, outer draw index), and joined to every outer sample.
     Returns ``(i, j, key, mult)``.
     """
-    pos = dense_position(df.select(key), key, bits=bits, n_col="_n")
-    keys = pos.select(F.col(key), F.col("pos").alias("_target"))
+    keys_only = df.select(key)
+    n = keys_only.count()
+    spark = df.sparkSession
+    if n == 0:
+        return spark.createDataFrame([], f"i int, j int, {key} {df.schema[key].dataType.simpleString()}, mult int")
+    keys = dense_position(keys_only, key, bits=bits).select(F.col(key), F.col("pos").alias("_target"))
     outer_draws = (
-        pos.select(F.explode(_seeds(outer)).alias("i"), F.col("pos").alias("_d"), "_n")
-        .select("i", "_d", F.pmod(h(F.col("i"), F.col("_d")), F.col("_n")).alias("_target"))
+        _draws(spark, list(range(outer)), n, "i")
+        .select("i", "_d", F.pmod(h(F.col("i"), F.col("_d")), F.lit(n)).alias("_target"))
         .join(keys, "_target")
         .select("i", "_d", key)
     )
     inner_draws = (
-        pos.select(F.explode(_seeds(inner)).alias("j"), "pos", "_n")
-        .select("j", F.pmod(h(F.col("j") + F.lit(inner_seed_base), F.col("pos")), F.col("_n")).alias("_d"))
+        _draws(spark, list(range(inner)), n, "j")
+        .select("j", F.pmod(h(F.col("j") + F.lit(inner_seed_base), F.col("_d")), F.lit(n)).alias("_d"))
         .groupBy("j", "_d")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
