@@ -5,11 +5,11 @@ factor x number of ``.weight`` parameters) smallest |value| over all ``.weight``
 together become 0 (ties by layer, pos); other layers (biases) are untouched.
 
 The k-th smallest is found exactly without sorting a model's weights in one task:
-a histogram over a monotone log-scale bucket of |value| (16 buckets per octave) locates
-the bucket holding rank k; only that bucket is histogrammed again on a linear sub-bucket,
-then on exact (value, layer) cells, then on position buckets of the one boundary cell, and
-only that last bucket (<= 4,096 rows) is ranked with a window. The bucket functions are
-non-decreasing in |value|, so bucket order never contradicts value order.
+a histogram over a fine log-scale bucket of |value| (65,536 per octave) locates the bucket
+holding rank k; only that bucket is histogrammed again on exact (value, layer) cells, then on
+position buckets of the one boundary cell, and only that last bucket (<= 4,096 rows) is
+ranked with a window. The bucket function is non-decreasing in |value|, so bucket order
+never contradicts value order.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LOG_STEPS = 16          # log-scale buckets per octave
-SUB_BUCKETS = 4096      # linear sub-buckets inside the boundary bucket
-ZERO_BUCKET = -(1 << 20)  # below every log bucket of a positive double
+LOG_STEPS = 1 << 16      # log-scale buckets per octave (a histogram of <= ~2M cells per model)
+ZERO_BUCKET = -(1 << 40)  # below every log bucket of a positive double
 
 
 def is_weight(layer: Column) -> Column:
@@ -32,14 +31,6 @@ def _b1(a: Column) -> Column:
     return F.when(a > 0, F.floor(F.log2(a) * LOG_STEPS)).otherwise(F.lit(ZERO_BUCKET)).cast("bigint")
 
 
-def _b2(a: Column, b1: Column) -> Column:
-    lo = F.pow(F.lit(2.0), b1 / LOG_STEPS)
-    hi = F.pow(F.lit(2.0), (b1 + 1) / LOG_STEPS)
-    frac = F.floor((a - lo) / (hi - lo) * SUB_BUCKETS)
-    return F.when(b1 == ZERO_BUCKET, F.lit(0)).otherwise(
-        F.least(F.greatest(frac, F.lit(0)), F.lit(SUB_BUCKETS - 1))).cast("bigint")
-
-
 POS_BITS = 12          # final window: at most 4,096 positions of one (value, layer) cell
 
 
@@ -66,26 +57,25 @@ def smallest_k(df: DataFrame, group: Sequence[str], k: DataFrame, value: str, ti
     """Add boolean ``flag``: is the row among the k smallest ``value`` (>= 0) of its group,
     ordered by (value, *ties)? ``k`` is ``(group..., k)``; the last tie column is an integer.
 
-    Four histogram levels, each over the previous level's boundary cell only: a log-scale
-    bucket of the value, a linear sub-bucket, the exact (value, leading ties) cell and a
-    bucket of the last tie column. The final window ranks at most 2**POS_BITS rows, so even
-    a tie group holding a large share of a model (for example many exact zeros) is never
-    sorted in one task.
+    Three histogram levels, each over the previous level's boundary cell only: a fine
+    log-scale bucket of the value (non-decreasing in the value, so bucket order never
+    contradicts value order), the exact (value, leading ties) cell, and a bucket of the last
+    tie column. The final window ranks at most 2**POS_BITS rows, so even a tie group holding
+    a large share of a model (for example many exact zeros) is never sorted in one task.
     """
     g, lead_ties, last = list(group), list(ties[:-1]), ties[-1]
     a = F.col(value)
     cols = df.columns
     d = (df.withColumn("_b1", _b1(a)).join(k, g, "left").fillna(0, ["k"])
-         .withColumn("_b2", _b2(a, F.col("_b1"))).withColumn("_b4", F.shiftright(F.col(last).cast("bigint"), POS_BITS))
+         .withColumn("_b4", F.shiftright(F.col(last).cast("bigint"), POS_BITS))
          .withColumn("_lead", F.lit(0).cast("bigint")))
     s1, e1 = _level(d, g, ["_b1"], "_lead")
-    s2, e2 = _level(e1, g, ["_b2"], "_lead")
-    s3, e3 = _level(e2, g, [value, *lead_ties], "_lead")
+    s3, e3 = _level(e1, g, [value, *lead_ties], "_lead")
     s4, e4 = _level(e3, g, ["_b4"], "_lead")
     within = Window.partitionBy(*g, "_b4").orderBy(F.col(last))
     edge = e4.withColumn("_in", F.col("_lead") + F.row_number().over(within) <= F.col("k"))
     out = None
-    for part in (s1, s2, s3, s4, edge):
+    for part in (s1, s3, s4, edge):
         part = part.select(*cols, F.col("_in").alias(flag))
         out = part if out is None else out.unionByName(part)
     return out
