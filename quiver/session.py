@@ -63,14 +63,19 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``quiver`` importable on the Python workers (once per application).
 
-    Operators that run Python inside tasks (Arrow batches) call this; it zips the package's
-    source files and registers the archive with ``addPyFile``, which is what ``--py-files``
-    does for a cluster submission. Executors fetch it from the driver.
+    Operators that run Python inside tasks (Arrow batches) call this. On a cluster submit the
+    package with ``--py-files`` (then this is a no-op); otherwise it zips the package's source
+    files on the driver and registers the archive with ``addPyFile``, and executors fetch it
+    from the driver.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    submitted = sc.getConf().get("spark.submit.pyFiles", "") or ""
+    if "quiver" in submitted:  # already shipped by spark-submit --py-files
+        _SHIPPED.add(app)
+        return
     import zipfile
 
     pkg = os.path.dirname(os.path.abspath(__file__))
