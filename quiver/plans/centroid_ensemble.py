@@ -4,9 +4,10 @@ embeddings -> hold-out split -> exact bootstrap replicas of the training half ->
 weighted class centroids per replica -> broadcast scoring of the test half ->
 soft vote -> arg-max -> join with truth -> confusion -> classification report.
 
-Shuffles: the split/position histograms (bounded), the draw aggregation, the
-centroid aggregation (map-side combined), the soft vote by row key (map-side combined:
-all of a row's model scores are produced in the same task), and tiny ones after it.
+Shuffles: the split and position histograms (bounded; the split is fitted once), the draw
+aggregation, the centroid aggregation (map-side combined) and tiny ones after the vote. The
+soft vote itself is summed inside the scoring tasks (model-outer), so no row-level score
+table is shuffled.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def models_from_samples(train: DataFrame, samples: DataFrame, key: str, model_co
     cent = learn.train_centroids(train, samples, key, vec=vec, label=label, model_cols=model_cols)
     packed = learn.pack_centroids(cent, model_cols).withColumn("task", F.lit(task))
     # Trained models are small and reused by every scoring pass: write them once
-    # (reliable checkpoint) like the reference saves its models, then score from disk.
+    # (a table in the shared checkpoint folder) like the reference saves its models, then score from it.
     return cent, (packed if keep_lineage else materialize(packed))
 
 

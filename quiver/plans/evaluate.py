@@ -37,7 +37,7 @@ def configs_from_nation(nation: DataFrame, task: str = "embeddings") -> DataFram
 def evaluate(emb: DataFrame, configs: DataFrame, key: str = "vec_id", replicas: int = 10,
              runs: Sequence[int] = (0,), seed: str = "models", task: str = "embeddings") -> Evaluation:
     train, test = train_test(emb, key)
-    # Trained replicas are written once (reliable checkpoint) and read by every configuration:
+    # Trained replicas are written once (a table in the shared checkpoint folder) and read by every configuration:
     # the pruning histograms below reference them several times.
     cent = materialize(learn.train_centroids(train, sampling.bootstrap_exact(train, key, replicas), key))
     cfg = configs.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))

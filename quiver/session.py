@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 # output (coalescing toward the advisory size) and splits skewed join partitions; scans cut
 # files into 256 MiB splits; the broadcast threshold stays modest because every explicit
 # broadcast in this package is of a table with a structural bound. ``spark.checkpoint.dir``
-# must name shared storage (checkpoints are reliable, never local).
+# must name shared storage: written tables that cut lineage go there, never to a local folder.
 CLUSTER_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
