@@ -6,8 +6,8 @@ soft vote -> arg-max -> join with truth -> confusion -> classification report.
 
 Shuffles: the split and position histograms (bounded; the split is fitted once), the draw
 aggregation, the centroid aggregation (map-side combined) and tiny ones after the vote. The
-soft vote itself is summed inside the scoring tasks (model-outer), so no row-level score
-table is shuffled.
+soft vote itself is summed inside the scoring tasks (model-outer), so only per-row class
+totals, not per-model scores, reach the arg-max shuffle.
 """
 
 from __future__ import annotations
