@@ -133,13 +133,17 @@ DEFAULT_VECTOR_BROADCAST_VALUES = 50_000_000  # centroid doubles shipped to ever
 def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec: str = "embedding",
                                model_cols: Sequence[str] = ("replica",), on: Sequence[str] = ("task",),
                                max_values: int = DEFAULT_VECTOR_BROADCAST_VALUES,
-                               vote_by: Sequence[str] | None = None) -> DataFrame:
+                               vote_by: Sequence[str] | None = None, predict: bool = False,
+                               label: str | None = None) -> DataFrame:
     """T4, Arrow-batched: same output as :func:`score_centroids`.
 
     With ``vote_by`` (a subset of ``model_cols``; ``[]`` = all models form one ensemble) the
     soft vote G1 is fused in: each row's probabilities are summed over the models of its
     ensemble inside the task (the model-outer running sum) and the output is
-    ``(on..., vote_by..., key, class_id, total)`` like :func:`ensemble.soft_vote`.
+    ``(on..., vote_by..., key, class_id, total)`` like :func:`ensemble.soft_vote`. With
+    ``predict=True`` the arg-max (G2, ties: lowest class after rounding to 9 decimals) is
+    taken in the task too: ``(on..., vote_by..., key, y_pred)``, plus ``y_true`` when ``label``
+    names the rows' truth column, so per-row results never need a shuffle or a truth join.
 
     The packed model table is size-checked (models x classes x dims doubles); within the
     budget it is broadcast once as numpy arrays and each Arrow batch of rows is scored with
@@ -160,9 +164,13 @@ def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec
         long = score_centroids(rows, models, key, vec, model_cols, on, max_broadcast_rows=0)
         if vote_by is None:
             return long
-        from quiver.operators.ensemble import soft_vote
+        from quiver.operators.ensemble import align_truth, predict as argmax, soft_vote
 
-        return soft_vote(long, key, [*on, *vote_by])
+        totals = soft_vote(long, key, [*on, *vote_by])
+        if not predict:
+            return totals
+        pred = argmax(totals, key, [*on, *vote_by])
+        return align_truth(pred, rows, key, label) if label else pred
 
     # Bounded by the check above: the model table itself, never data rows.
     tables: dict[tuple, tuple] = {}
@@ -195,6 +203,10 @@ def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec
         out_schema = T.StructType([fields[c] for c in on] + [fields[c] for c in mc] +
                                   [key_field, T.StructField("class_id", T.IntegerType()),
                                    T.StructField("prob", T.DoubleType())])
+    elif predict:
+        out_schema = T.StructType([fields[c] for c in on] + [fields[c] for c in vote_by] + [key_field] +
+                                  ([T.StructField("y_true", T.IntegerType())] if label else []) +
+                                  [T.StructField("y_pred", T.IntegerType())])
     else:
         out_schema = T.StructType([fields[c] for c in on] + [fields[c] for c in vote_by] +
                                   [key_field, T.StructField("class_id", T.IntegerType()),
@@ -219,6 +231,33 @@ def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec
                 m = np.maximum.reduceat(s, starts, axis=1)[:, seg]
                 e = np.exp(s - m)
                 p = e / np.add.reduceat(e, starts, axis=1)[:, seg]
+                if vote is not None and predict:
+                    uniq, onehot = vote
+                    totals = np.round(p @ onehot, 9)
+                    groups = sorted({u[0] for u in uniq})
+                    cols = {c: [] for c in (*on, *vote_by, key)}
+                    if label:
+                        cols["y_true"] = []
+                    cols["y_pred"] = []
+                    keys_arr = grp[key].to_numpy()
+                    for gv in groups:
+                        idx = [i for i, u in enumerate(uniq) if u[0] == gv]  # classes sorted by id
+                        cls = np.asarray([uniq[i][1] for i in idx], dtype=np.int32)
+                        best = cls[np.argmax(totals[:, idx], axis=1)]  # first max = lowest class id
+                        for i, c in enumerate(on):
+                            cols[c] += [t[i]] * n
+                        for i, c in enumerate(vote_by):
+                            cols[c] += [gv[i]] * n
+                        cols[key] += list(keys_arr)
+                        if label:
+                            cols["y_true"] += list(grp[label].to_numpy())
+                        cols["y_pred"] += list(best)
+                    out = pd.DataFrame(cols)
+                    if label:
+                        out["y_true"] = out["y_true"].astype("int32")
+                    out["y_pred"] = out["y_pred"].astype("int32")
+                    yield out
+                    continue
                 if vote is not None:
                     uniq, onehot = vote
                     totals = p @ onehot  # per row: sum of class probabilities over each ensemble's models
@@ -239,4 +278,5 @@ def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec
                 cols["prob"] = p.reshape(-1)
                 yield pd.DataFrame(cols)
 
-    return rows.select(*on, key, vec).mapInPandas(score_batches, out_schema)
+    extra = [label] if (label and predict and vote_by is not None) else []
+    return rows.select(*on, key, vec, *extra).mapInPandas(score_batches, out_schema)

@@ -71,8 +71,11 @@ def run(emb: DataFrame, key: str = "vec_id", replicas: int = 10, seed=42, task:
     scores = score.score_centroids_vectorized(rows, models, key, model_cols=["replica"])
     # G1 fused into scoring: probabilities are summed over the ensemble inside each task.
     totals = score.score_centroids_vectorized(rows, models, key, model_cols=["replica"], vote_by=[]).drop("task")
-    pred = ensemble.predict(totals, key)
-    aligned = ensemble.align_truth(pred, test, key)
+    # G2 and X7 fused too: each row's arg-max and its own label leave the scoring task together,
+    # so the confusion counts need no per-row shuffle or truth join.
+    aligned = score.score_centroids_vectorized(rows, models, key, model_cols=["replica"], vote_by=[],
+                                               predict=True, label="label").drop("task")
+    pred = aligned.select(key, "y_pred")
     conf = metrics.confusion(aligned)
     return EnsembleRun(split=sampling.holdout_split(emb.select(key), key, seed=seed), samples=samples,
                        centroids=cent, models=models, scores=scores, totals=totals, predictions=pred,

@@ -64,10 +64,9 @@ def evaluate(emb: DataFrame, configs: DataFrame, key: str = "vec_id", replicas:
                           F.col("pos").alias("dim"), "value")
     models = materialize(learn.pack_centroids(cells, mc).withColumn("task", F.lit(task)))
     group = ["run_id", "config"]
-    totals = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
-                                              vote_by=group).drop("task")
-    pred = ensemble.predict(totals, key, group)
-    conf = metrics.confusion(ensemble.align_truth(pred, test, key), group)
+    aligned = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
+                                               vote_by=group, predict=True, label="label").drop("task")
+    conf = metrics.confusion(aligned, group)
     report = metrics.classification_report(conf, group).withColumn("task", F.lit(task))
     results = report.select("run_id", "config", "task", "accuracy", "macro_f1")
     return Evaluation(results=results, errors=errors, report=report)

@@ -67,11 +67,9 @@ def trial_objectives(emb: DataFrame, trials: DataFrame, key: str = "vec_id", tas
 
     mc = ["trial_id", "replica"]
     models = materialize(pack_centroids(per_trial, mc).withColumn("task", F.lit(task)))
-    totals = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
-                                              vote_by=["trial_id"]).drop("task")
-    pred = ensemble.predict(totals, key, ["trial_id"])
-    rep = metrics.classification_report(metrics.confusion(ensemble.align_truth(pred, test, key), ["trial_id"]),
-                                        ["trial_id"])
+    aligned = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
+                                               vote_by=["trial_id"], predict=True, label="label").drop("task")
+    rep = metrics.classification_report(metrics.confusion(aligned, ["trial_id"]), ["trial_id"])
     return trials.join(rep.select("trial_id", "accuracy", F.col("macro_f1").alias("objective")), "trial_id")
 
 

@@ -27,10 +27,9 @@ def single_vs_double(emb: DataFrame, key: str = "vec_id", outer: int = 10, inner
     cent = learn.train_centroids(train, single.unionByName(double), key, model_cols=mc)
     models = materialize(learn.pack_centroids(cent, mc).withColumn("task", F.lit(task)))
     group = ["kind", "i"]
-    totals = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
-                                              vote_by=group).drop("task")
-    pred = ensemble.predict(totals, key, group)
-    report = metrics.classification_report(metrics.confusion(ensemble.align_truth(pred, test, key), group), group)
+    aligned = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
+                                               vote_by=group, predict=True, label="label").drop("task")
+    report = metrics.classification_report(metrics.confusion(aligned, group), group)
 
     def pick(kind: str, metric: str):
         return F.max(F.when(F.col("kind") == kind, F.col(metric))).alias(f"{kind.lower()}_{metric}")

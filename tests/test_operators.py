@@ -162,3 +162,19 @@ def test_scores_are_distributions(spark):
     run = CE.run(spark.read.parquet(f"{SF001}/embeddings.parquet"))
     sums = run.scores.groupBy("replica", "vec_id").agg(F.sum("prob").alias("s"), F.min("prob").alias("m")).collect()
     assert sums and all(abs(r["s"] - 1.0) < 1e-9 and r["m"] >= 0 for r in sums)
+
+
+def test_fused_prediction_equals_groupby_prediction(spark):
+    from conftest import SF01
+    from quiver.operators import score as SC
+    from quiver.plans import centroid_ensemble as CE
+
+    emb = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    run = CE.run(emb)
+    rows = CE.train_test(emb, "vec_id")[1].withColumn("task", F.lit("embeddings"))
+    fused = SC.score_centroids_vectorized(rows, run.models, "vec_id", vote_by=[], predict=True, label="label")
+    got = sorted((r["vec_id"], r["y_true"], r["y_pred"]) for r in fused.collect())
+    want = sorted((r["vec_id"], r["y_true"], r["y_pred"]) for r in
+                  G.align_truth(G.predict(G.soft_vote(SC.score_centroids(rows, run.models, "vec_id"), "vec_id"), "vec_id"),
+                                rows, "vec_id").collect())
+    assert got == want
