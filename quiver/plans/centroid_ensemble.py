@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.operators import ensemble, learn, metrics, sampling, score
+from quiver.operators import learn, metrics, sampling, score
 from quiver.session import materialize
 
 

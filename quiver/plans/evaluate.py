@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.operators import ensemble, learn, metrics, prune, sampling, score
+from quiver.operators import learn, metrics, prune, sampling, score
 from quiver.plans.centroid_ensemble import train_test
 from quiver.session import materialize
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiver.functions.hashing import u
-from quiver.operators import ensemble, metrics, sampling, score
+from quiver.operators import metrics, sampling, score
 from quiver.plans.centroid_ensemble import train_test
 from quiver.session import materialize
 
