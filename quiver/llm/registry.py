@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quiver.llm import imatch
+from quiver.llm import imatch, ngram_join
 
-QUERIES = {"op10_imatch": imatch.op10_imatch}
+QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join,
+           "op10_imatch": imatch.op10_imatch}
 ORACLE: dict[str, str] = {}
