@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from quiver.llm import imatch, ngram_join
+from quiver.llm import imatch, ngram_join, quality
 
 QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join,
+           "op7_quality": quality.op7_quality,
            "op10_imatch": imatch.op10_imatch}
 ORACLE: dict[str, str] = {}
