@@ -1,22 +1,24 @@
 """Token ids of whole texts inside Spark tasks, with a public byte-level BPE vocabulary.
 
-The vocabulary file is a parameter. Its library encodes each distinct chunk of text once per worker and
-a bounded memo keeps the ids: byte-level BPE never merges across the boundary before a single space, so
-a text may be cut there and the ids joined. Texts where that does not hold (a space between two other
-white-space characters, or the special token's string) are encoded whole.
+The vocabulary file is a parameter: ``*.json`` is read by tokenizers, ``*.tiktoken`` by tiktoken. The
+library encodes each distinct chunk of text once per worker and a bounded memo keeps the ids: byte-level
+BPE never merges across the boundary before a space or newline, so a text may be cut there and the ids
+joined. Texts where that does not hold (three white-space characters in a row, two at the end, or the
+string of a special token) are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
-MEMO_ENTRIES = 300_000
-_UNSAFE = re.compile(r"\s (?:\s|$)")
+MEMO_ENTRIES = 600_000
+_UNSAFE = re.compile(r"\s\s(?:\s|$)|\0")
 
 
 def ship_vocabulary(spark: SparkSession, path: str) -> str:
@@ -26,16 +28,32 @@ def ship_vocabulary(spark: SparkSession, path: str) -> str:
     return name
 
 
+def _ranked(path: str):
+    import base64
+
+    import tiktoken
+
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+    library = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda chunks: [library.encode_ordinary(c) for c in chunks]
+
+
 class Encoder:
     """``ids(texts)`` gives (ids of all texts, ids per text) as the library's own encoding would."""
 
     held: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if path.endswith(".tiktoken"):
+            self._batch, self.special = _ranked(path), []
+        else:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(path)
+            self._batch = lambda chunks: [e.ids for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
+            self.special = [t.content for t in library.get_added_tokens_decoder().values()]
         self.place: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(MEMO_ENTRIES + 1, np.int64)
@@ -49,22 +67,19 @@ class Encoder:
         return cls.held[name]
 
     def _learn(self, chunks: list[str]) -> None:
-        found = self.library.encode_batch(chunks, add_special_tokens=False)
-        ids = np.array([i for e in found for i in e.ids], np.uint32)
+        found = self._batch(chunks)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         if self.used + ids.size > self.flat.size:
             self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(self.flat.size, 2 * ids.size), np.uint32)))
         self.flat[self.used : self.used + ids.size] = ids
-        at = self.used
-        for chunk, e in zip(chunks, found):
-            k = len(self.place)
-            self.place[chunk] = k
-            self.starts[k] = at
-            at += len(e.ids)
-            self.starts[k + 1] = at
-        self.used = at
+        k = len(self.place)
+        self.place.update(zip(chunks, range(k, k + len(chunks))))
+        self.starts[k : k + len(chunks) + 1] = self.used + np.concatenate(([0], np.cumsum(sizes)))
+        self.used += ids.size
 
     def _direct(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self._batch([text])[0], np.uint32)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         chunks, per_text, whole = [], np.zeros(len(texts), np.int64), {}
@@ -72,8 +87,9 @@ class Encoder:
             if _UNSAFE.search(text) or any(s in text for s in self.special):
                 whole[i] = self._direct(text)
                 continue
-            first, *rest = text.split(" ")
-            own = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+            own = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            if not own[0]:
+                own = own[1:]
             chunks += own
             per_text[i] = len(own)
         new = set(chunks) - self.place.keys()
