@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quiver.llm import imatch, lbl, ngram_join, packing, quality, shards
+from quiver.llm import decontam, imatch, lbl, ngram_join, packing, quality, shards
 
 QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join,
            "op3_token_shards": shards.op3_token_shards,
            "op5_packing": packing.op5_packing,
            "op7_quality": quality.op7_quality,
            "op8_lbl": lbl.op8_lbl,
+           "op9_decontam": decontam.op9_decontam,
            "op10_imatch": imatch.op10_imatch}
 ORACLE: dict[str, str] = {}
