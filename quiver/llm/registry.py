@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quiver.llm import decontam, imatch, lbl, ngram_join, packing, quality, shards
+from quiver.llm import decontam, html_tree, imatch, lbl, ngram_join, packing, quality, shards
 
 QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join,
+           "op2_html_tree": html_tree.op2_html_tree,
            "op3_token_shards": shards.op3_token_shards,
            "op5_packing": packing.op5_packing,
            "op7_quality": quality.op7_quality,
