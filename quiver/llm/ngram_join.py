@@ -27,10 +27,10 @@ shared tokens, and gives spanning links only. (6) Components of the links are th
 Tokens are 64-bit hashes; shared tokens are told apart by 40 bits within a range.
 
 Defined cases: a null or empty text, or one without words, has the empty set (n_shingles 0) and links
-with nothing; one with fewer than ``size`` words has its whole word sequence as one shingle. Rows with
-the same doc_id are one document for the links, and each gives a row. A row with a null doc_id joins
-its equal sets, and has a null component if no other row does. Extra columns are ignored; an empty
-table gives an empty result.
+with nothing; one with fewer than ``size`` words has its whole word sequence as one shingle. A repeated
+row gives a row of its own with the same component. A doc_id that stands for different texts stands in
+the links for all of them. A row with a null doc_id has the component of its equal sets, and a null one
+if no other row has its set. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiver.llm import textops as T
-from quiver.llm.graph import components
+from quiver.llm.graph import components, local_components
 from quiver.session import materialize, ship_package
 
 LOW_BITS = 40
@@ -92,16 +92,21 @@ def _send(ranges: int, size: int):
         key, doc = key[order], doc[order]
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if key.size else np.zeros(0, np.int64)
         counts = np.diff(np.append(new, key.size)).astype(np.uint16)
-        unique = key[new]
+        unique, single = key[new], counts == 1
         bounds = np.searchsorted(unique, np.arange(ranges + 1, dtype=T.U64) << T.U64(LOW_BITS))
-        kept = _pack(np.concatenate(ids), np.concatenate(null), n.astype(np.uint32), first, second, counts, doc, bounds.astype(np.int64))
+        # documents of tokens that the chunk holds more than once: kept here, the range needs only their number
+        several = doc[np.repeat(~single, counts)]
+        ends = np.concatenate(([0], np.cumsum(np.where(single, 0, counts).astype(np.int64))))[bounds]
+        kept = _pack(np.concatenate(ids), np.concatenate(null), n.astype(np.uint32), first, second, several, ends)
         yield _batch([(chunk % ranges, chunk, 0, kept)])
+        holder = doc[new]
         for a in range(0, ranges, 32):
             rows = []
             for r in range(a, min(a + 32, ranges)):
-                low = unique[bounds[r] : bounds[r + 1]] & LOW_MASK
+                own = slice(bounds[r], bounds[r + 1])
+                low = unique[own] & LOW_MASK
                 if low.size:
-                    rows.append((r, chunk, 1, _pack(np.diff(low, prepend=T.U64(0)), counts[bounds[r] : bounds[r + 1]])))
+                    rows.append((r, chunk, 1, _pack(np.diff(low, prepend=T.U64(0)), counts[own], holder[own][single[own]])))
             if rows:
                 yield _batch(rows)
 
@@ -131,34 +136,34 @@ def _send(ranges: int, size: int):
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range: which tokens of each chunk are held by more than one document, and by how many."""
-    place, chunks, lows, counts = None, [], [], []
+    place, chunks, lows, counts, holders = None, [], [], [], []
     for batch in batches:
         for r, c, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if kind == 0:
                 yield _batch([(r, c, 0, payload)])
                 continue
             place = r
-            delta, count = _unpack(payload)
+            delta, count, holder = _unpack(payload)
             chunks.append(c)
             lows.append(np.cumsum(delta, dtype=T.U64))
             counts.append(count)
+            holders.append(holder)
     if not chunks:
         return
     low = np.concatenate(lows)
     order = np.argsort(low, kind="stable")
     ordered = low[order]
-    new = np.append(True, ordered[1:] != ordered[:-1])
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     total = np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], starts)
     df = np.empty(low.size, np.int64)
     df[order] = np.repeat(total, np.diff(np.append(starts, low.size)))
     at = 0
-    for c, values in zip(chunks, lows):
+    for c, values, count, holder in zip(chunks, lows, counts, holders):
         own = df[at : at + values.size]
         at += values.size
-        hits = np.flatnonzero(own > 1)
-        if hits.size:
-            yield _batch([(place, c, 1, _pack(hits.astype(np.uint32), values[hits], own[hits]))])
+        hits = own > 1
+        if hits.any():
+            yield _batch([(place, c, 1, _pack(np.diff(values[hits], prepend=T.U64(0)), own[hits].astype(np.uint64), count[hits], holder[hits[count == 1]]))])
 
 
 def allowed_misses(n: int, num: int, den: int) -> int:
@@ -191,20 +196,17 @@ def _prefixes(num: int, den: int, frequent: int, pair_limit: int):
     names = ["doc_id", "n_shingles", "set1", "set2", "tokens", "sigs"]
 
     def chunk_rows(kept, answers):
-        ids, null, n, first, second, counts, doc, bounds = kept
-        starts = np.cumsum(counts, dtype=np.int64) - counts
+        ids, null, n, first, second, several, ends = kept
         token, owner, freq = [], [], []
-        for r, hits, low, df in answers:
-            at = bounds[r] + hits.astype(np.int64)
-            c = counts[at].astype(np.int64)
-            total = int(c.sum())
-            place = np.repeat(starts[at], c) + np.arange(total) - np.repeat(np.cumsum(c) - c, c)
-            owner.append(doc[place])
-            token.append(np.repeat((T.U64(r) << T.U64(LOW_BITS)) | low, c))
-            freq.append(np.repeat(df, c))
+        for r, delta, df, count, holder in answers:
+            low = (T.U64(r) << T.U64(LOW_BITS)) | np.cumsum(delta, dtype=T.U64)
+            one = count == 1
+            token += [low[one], np.repeat(low[~one], count[~one])]
+            freq += [df[one], np.repeat(df[~one], count[~one])]
+            owner += [holder, several[ends[r] : ends[r + 1]]]
         token = np.concatenate(token) if token else np.zeros(0, T.U64)
         owner = np.concatenate(owner) if owner else np.zeros(0, np.uint16)
-        freq = np.concatenate(freq) if freq else np.zeros(0, np.int64)
+        freq = np.concatenate(freq).astype(np.int64) if freq else np.zeros(0, np.int64)
         order = np.lexsort((token, freq, owner))
         token, owner, freq = token[order], owner[order], freq[order]
         limits = np.searchsorted(owner, np.arange(len(n) + 1))
@@ -286,77 +288,106 @@ def _spanning(n: np.ndarray, tokens: list[np.ndarray], num: int, den: int, left:
     return edges
 
 
-def _verify(num: int, den: int):
-    """Sorted rows (cluster, i, j, doc_id, n, tokens, open) to the spanning links of every block pair."""
+def _group_links(group: list, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning links of rows (doc_id, n, tokens, open)."""
+    if len(group) < 2 or not any(opened for *_, opened in group):
+        return []
+    n, left = np.array([r[1] for r in group]), np.array([r[3] for r in group])
+    edges = _spanning(n, [np.frombuffer(r[2], T.U64) for r in group], num, den, left)
+    return [(group[a][0], group[b][0]) for a, b in edges]
+
+
+def _groups(batches, width: int):
+    """Runs of sorted rows with the same first ``width`` columns: the other columns of each row."""
+    key, group = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:width] != key:
+                if group:
+                    yield group
+                key, group = row[:width], []
+            group.append(row[width:])
+    if group:
+        yield group
 
-    def links(group):
-        if len(group) < 2 or not any(opened for *_, opened in group):
-            return []
-        ids = [d for d, *_ in group]
-        n, left = np.array([r[1] for r in group]), np.array([r[3] for r in group])
-        tokens = [np.frombuffer(r[2], T.U64) for r in group]
-        return [(ids[a], ids[b]) for a, b in _spanning(n, tokens, num, den, left)]
+
+def _block_pairs(num: int, den: int):
+    """Sorted rows (cluster, i, j, doc_id, n, tokens, open) to the spanning links of every block pair."""
 
     def run(batches):
-        key, group, out = None, [], []
-        for batch in batches:
-            for c, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                if (c, i, j) != key:
-                    out += links(group)
-                    key, group = (c, i, j), []
-                group.append(row)
-                if len(out) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
-                    out = []
-        out += links(group)
+        out = []
+        for group in _groups(batches, 3):
+            out += _group_links(group, num, den)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+                out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
     return run
 
 
+def _whole_clusters(num: int, den: int):
+    """Sorted rows (cluster, doc_id, n, tokens, open) to (node, component) of every linked document."""
+
+    def run(batches):
+        nodes, low = [], []
+        for group in _groups(batches, 1):
+            links = _group_links(group, num, den)
+            if links:
+                found = local_components(*(np.array(x, np.int64) for x in zip(*links)))
+                nodes.append(found[0])
+                low.append(found[1])
+            if len(nodes) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(low))], ["node", "component"])
+                nodes, low = [], []
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(low))], ["node", "component"])
+
+    return run
+
+
 def _block_links(rows: DataFrame, pairs, num: int, den: int) -> DataFrame:
     """Links of the block pairs that ``pairs`` (array of struct(i, j)) sends each row to."""
     dealt = rows.select("cluster", F.explode(pairs).alias("p"), "doc_id", "n_shingles", "tokens", "open")
     dealt = dealt.select("cluster", "p.i", "p.j", "doc_id", "n_shingles", "tokens", "open")
     dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return dealt.mapInArrow(_verify(num, den), "a long, b long")
+    return dealt.mapInArrow(_block_pairs(num, den), "a long, b long")
 
 
-def verified_links(members: DataFrame, num: int, den: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """Links that span the components of every cluster; members: (cluster, doc_id, n_shingles, tokens).
+def verified_components(sets: DataFrame, clusters: DataFrame, num: int, den: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(node, component) of every document that links with another.
 
-    Clusters of one block are verified at once. Larger ones first meet a block of pivots; then the
-    documents outside the largest component found so far meet all blocks.
+    sets: (doc_id, n_shingles, tokens); clusters: (node, component), the candidate clusters. Clusters of one
+    block are settled by one task. Larger ones first meet a block of pivots; then the documents outside the
+    largest component found so far meet all blocks.
     """
-    counts = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    counts = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     blocks = F.ceil(F.col("members") / block_docs).cast("int")
-    rows = materialize(members.join(counts, "cluster").withColumn("blocks", blocks)
-                       .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    small = _block_links(rows.where("blocks = 1").withColumn("open", F.lit(True)), one, num, den)
-    large = rows.where("blocks > 1")
+    dealt = clusters.join(counts, "component").withColumn("blocks", blocks)
+    dealt = materialize(dealt.select(F.col("component").alias("cluster"), F.col("node").alias("doc_id"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
+    small = dealt.where("blocks = 1").select("cluster", "doc_id").join(sets, "doc_id").select("cluster", "doc_id", "n_shingles", "tokens", F.lit(True).alias("open"))
+    settled = small.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_whole_clusters(num, den), "node long, component long")
+    large = dealt.where("blocks > 1")
     if large.isEmpty():
-        return small
+        return settled
+    large = materialize(large.join(sets, "doc_id"))
     pivots = F.when(F.col("block") == 0, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.lit(0).alias("i"), b.alias("j")))) \
         .otherwise(F.array(F.struct(F.lit(0).alias("i"), F.col("block").alias("j"))))
     first = materialize(_block_links(large.withColumn("open", F.col("block") == 0), pivots, num, den))
-    found = components(first)
-    named = large.select("cluster", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left")
-    named = materialize(named.select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    named = large.select("cluster", "doc_id", "blocks", "block").join(components(first), F.col("doc_id") == F.col("node"), "left")
+    named = materialize(named.select("cluster", "doc_id", "blocks", "block", F.coalesce("component", "doc_id").alias("component")))
     biggest = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n")) \
-        .groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("biggest"))
-    rest = large.join(named.select("doc_id", "component"), "doc_id").join(biggest, "cluster")
-    rest = rest.withColumn("open", F.col("component") != F.col("biggest"))
+        .groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("biggest"), (F.sum("n") - F.max("n")).alias("opened"))
+    rest = named.join(biggest, "cluster").withColumn("rows", F.ceil(F.col("opened") / block_docs).cast("int")).where("rows > 0")
+    rest = rest.withColumn("open", F.col("component") != F.col("biggest")).drop("component", "biggest", "opened")
     # open documents are dealt to their own blocks (rows i) and meet every block (columns j) of the cluster
-    totals = rest.groupBy("cluster").agg(F.sum(F.col("open").cast("int")).alias("opened"))
-    rest = rest.join(totals, "cluster").withColumn("rows", F.ceil(F.col("opened") / block_docs).cast("int"))
-    rest = rest.where("rows > 0").withColumn("row", F.pmod(F.xxhash64("doc_id", F.lit(7)), "rows").cast("int"))
+    rest = rest.withColumn("row", F.pmod(F.xxhash64("doc_id", F.lit(7)), "rows").cast("int"))
+    rest = rest.join(large.select("doc_id", "n_shingles", "tokens"), "doc_id")
     down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(r.alias("i"), F.col("block").alias("j")))
     across = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("row").alias("i"), b.alias("j")))
-    meet = F.when(F.col("open"), F.array_union(across, down)).otherwise(down)
-    second = _block_links(rest, meet, num, den)
-    return small.unionByName(first).unionByName(second)
+    second = _block_links(rest, F.when(F.col("open"), F.array_union(across, down)).otherwise(down), num, den)
+    return settled.unionByName(components(first.unionByName(second)))
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, frequent: int = 64, pair_limit: int = 400) -> DataFrame:
@@ -373,20 +404,13 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     rows = materialize(rows)
     suspects = rows.where("set1 IS NOT NULL")
     classes = materialize(suspects.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("first")))
-    firsts = classes.where("first IS NOT NULL").select(F.col("first").alias("doc_id")).distinct()
-    leaders = materialize(suspects.join(firsts, "doc_id", "left_semi").select("doc_id", "n_shingles", "tokens", "sigs"))
-    hung = leaders.select(F.explode("sigs").alias("sig"), "doc_id")
+    firsts = classes.where("first IS NOT NULL").select(F.col("first").alias("doc_id"))
+    hung = materialize(suspects.select("doc_id", "sigs").join(firsts, "doc_id", "left_semi")).select(F.explode("sigs").alias("sig"), "doc_id")
     shared = hung.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     edges = hung.join(shared, "sig").where("doc_id != low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
-    clusters = components(edges)
-    members = leaders.join(clusters, F.col("doc_id") == F.col("node")).select(F.col("component").alias("cluster"), "doc_id", "n_shingles", "tokens")
-    links = verified_links(members, num, den)
-    # rows that share a doc_id are one document: their classes hang together
-    merged = suspects.join(classes, ["set1", "set2", "n_shingles"]).where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.unionByName(merged))
-    known = suspects.join(classes, ["set1", "set2", "n_shingles"]).select("doc_id", "n_shingles", "first")
-    known = known.join(found, F.coalesce("doc_id", "first") == F.col("node"), "left") \
-        .select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
+    found = materialize(verified_components(suspects.select("doc_id", "n_shingles", "tokens"), materialize(components(edges)), num, den))
+    known = suspects.select("doc_id", "set1", "set2", "n_shingles").join(classes, ["set1", "set2", "n_shingles"])
+    known = known.join(found, F.col("first") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
     alone = rows.where("set1 IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionByName(alone)
 
