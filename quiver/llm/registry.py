@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quiver.llm import decontam, html_tree, imatch, lbl, ngram_join, packing, quality, reply_trees, shards
+from quiver.llm import decontam, html_tree, imatch, lbl, ngram_join, packing, pii, quality, reply_trees, shards
 
 QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join,
            "op2_html_tree": html_tree.op2_html_tree,
            "op3_token_shards": shards.op3_token_shards,
            "op4_reply_trees": reply_trees.op4_reply_trees,
            "op5_packing": packing.op5_packing,
+           "op6_pii": pii.op6_pii,
            "op7_quality": quality.op7_quality,
            "op8_lbl": lbl.op8_lbl,
            "op9_decontam": decontam.op9_decontam,
