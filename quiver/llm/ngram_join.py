@@ -415,5 +415,16 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     return known.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, that have the smallest doc_id of their group of near copies.
+
+    Of repeated rows one stays; rows with a null doc_id are kept, as nothing names them.
+    """
+    found = jaccard_components(docs, size, num, den)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    named = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id IS NULL"))
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -167,9 +167,12 @@ def train(vectors: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -> Disc
     """Fit from (doc_id, x) and (doc_id, quality), all labelled rows given."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label IN (0, 1)")
     rows = vectors.join(known, "doc_id").select("label", "x").mapInArrow(_sums, "label int, sums array<double>")
-    size = 1 + len(FEATURES) + len(FEATURES) ** 2
-    added = rows.groupBy("label").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(size)]).collect()
-    return Discriminant.fit({r["label"]: np.array(r[1:], float) for r in added}, shrinkage)
+    each = rows.select("label", F.posexplode("sums").alias("place", "value"))
+    added = each.groupBy("label", "place").agg(F.sum("value").alias("value")).collect()  # two classes x the size of the statistics
+    sums = {c: np.zeros(1 + len(FEATURES) + len(FEATURES) ** 2) for c in (0, 1)} if added else {}
+    for r in added:
+        sums[r["label"]][r["place"]] = r["value"]
+    return Discriminant.fit(sums, shrinkage)
 
 
 def trained_on(labels: DataFrame) -> DataFrame:
@@ -192,6 +195,27 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, shr
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, shrinkage: float = 0.1, sample: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that score at least ``threshold``; row by row, without a shuffle.
+
+    The model is fitted on at most ``sample`` labelled documents (the first ones by a hash of doc_id), so that
+    their ids can be broadcast; all rows are scored.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    known = trained_on(labels).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    model = spark.sparkContext.broadcast(train(features(labelled), known, shrinkage))
+
+    def run(batches):
+        for batch in batches:
+            keep = [model.value.score(statistics(batch.column("text").slice(a, b - a))) >= threshold for a, b in T.slices(batch.column("text"))]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
