@@ -12,7 +12,8 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+
+from quiver.session import release_tables
 
 
 def _session() -> SparkSession:
@@ -52,9 +53,9 @@ def main(argv: list[str] | None = None) -> None:
         from quiver.sources.sinks import append_variance_report
 
         _, paired = VA.single_vs_double(read("embeddings"))
-        rows = paired.select(F.lit(0).alias("config"), F.lit("centroid").alias("model_name"), "task",
-                             "single_accuracy", "single_macro_f1", "double_accuracy", "double_macro_f1")
+        rows = paired.select("config", "model_name", "task", "single_accuracy", "single_macro_f1", "double_accuracy", "double_macro_f1")
         append_variance_report(rows, args.out, args.run_id, args.format)
+    release_tables(spark)
 
 
 if __name__ == "__main__":

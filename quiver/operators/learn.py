@@ -1,4 +1,4 @@
-"""Distributed learners trained for many replicas at once (T1-T3) and trial search.
+"""Distributed learners trained for many replicas at once.
 
 Every learner takes a multiplicity column, so a bootstrap replica is a weighting of
 the rows, never a copy of them, and all replicas train in one aggregation.
@@ -8,28 +8,71 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def train_centroids(train: DataFrame, samples: DataFrame | None, key: str, vec: str = "embedding",
                     label: str = "label", model_cols: Sequence[str] = ("replica",), reps=None) -> DataFrame:
     """Weighted class mean per (model, class, dim) -> ``(model..., class_id, dim, value)``.
 
-    The per-dimension rows are summed map-side, so the shuffle carries at most
-    models x classes x dims partial sums per task. With ``reps`` (a row-local
-    ``array<struct<replica, mult>>`` column such as :func:`sampling.poisson_reps`) no sample
-    table is joined, so the vectors are never shuffled before that partial aggregation.
+    Each row meets its packed multiplicities (one entry a model that drew it) in a 1:1 join, or gets them
+    from ``reps``, a row-local ``array<struct<replica, mult>>`` column such as :func:`sampling.poisson_reps`,
+    without any join. Every task multiplies its multiplicity matrix with its vectors, so the shuffle carries
+    at most models x classes x dims partial sums per task and no vector is ever copied per model.
     """
+    from quiver.session import ship_package
+
+    ship_package(train.sparkSession)
+    mc = list(model_cols)
+    base = train.select(key, F.col(label).cast("int").alias("_class"), F.col(vec).alias("_vec")).where("_class IS NOT NULL AND _vec IS NOT NULL")
     if reps is not None:
-        joined = (train.select(key, vec, label, F.explode(reps).alias("_r"))
-                  .select(F.col("_r.replica").alias("replica"), key, vec, label, F.col("_r.mult").alias("mult")))
+        rows = base.withColumn("_reps", reps)
     else:
-        joined = samples.join(train.select(key, vec, label), key)
-    cells = joined.select(*model_cols, F.col(label).cast("int").alias("class_id"), "mult",
-                          F.posexplode(vec).alias("dim", "x"))
-    return cells.groupBy(*model_cols, "class_id", "dim").agg(
-        (F.sum(F.col("mult") * F.col("x").cast("double")) / F.sum("mult")).alias("value"))
+        rows = base.join(_packed_mults(samples, key, mc), key)
+    rows = rows.where(F.size("_reps") > 0).select("_class", "_vec", "_reps")
+    element = rows.schema["_reps"].dataType.elementType
+    schema = T.StructType([T.StructField(c, element[c].dataType) for c in mc] + [
+        T.StructField("class_id", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def partial(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+            drawn = batch.column(2)
+            entries = drawn.flatten()
+            owner = np.repeat(np.arange(n), drawn.value_lengths().to_numpy())
+            names = list(zip(*(entries.field(c).to_pylist() for c in mc)))
+            weight = entries.field("mult").to_numpy(zero_copy_only=False).astype(np.float64)
+            classes = batch.column(0).to_numpy()
+            groups = list(zip(names, classes[owner].tolist()))
+            index = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+            place = np.fromiter((index[g] for g in groups), np.int64, len(groups))
+            x1 = np.column_stack((np.ones(n), x))
+            for a in range(0, n, 4096):  # multiplicities of some rows as a dense matrix: groups x rows
+                own = (owner >= a) & (owner < a + 4096)
+                m = np.zeros((len(index), min(4096, n - a)))
+                np.add.at(m, (place[own], owner[own] - a), weight[own])
+                part = m @ x1[a : a + 4096]
+                for g, i in index.items():
+                    total[g] = total[g] + part[i] if g in total else part[i].copy()
+        if total:
+            keys, values = list(total), list(total.values())
+            arrow = to_arrow_schema(schema)
+            columns = [pa.array([k[0][i] for k in keys], arrow.field(i).type) for i in range(len(mc))]
+            columns += [pa.array([k[1] for k in keys], pa.int32()), pa.array([v[0] for v in values]), pa.array([v[1:] for v in values], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, arrow.names)
+
+    cells = rows.mapInArrow(partial, schema).select(*mc, "class_id", "weight", F.posexplode("sums").alias("dim", "x"))
+    return cells.groupBy(*mc, "class_id", "dim").agg((F.sum("x") / F.sum("weight")).alias("value"))
 
 
 def pack_centroids(cent: DataFrame, model_cols: Sequence[str] = ("replica",)) -> DataFrame:
@@ -43,11 +86,11 @@ def pack_centroids(cent: DataFrame, model_cols: Sequence[str] = ("replica",)) ->
         F.array_sort(F.collect_list(F.struct("class_id", "mu"))).alias("classes"))
 
 
-TOKEN_PATTERN = "[a-z0-9]+"
+TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
 
 def tokens(text):
-    """Lower-cased alphanumeric runs of the whole text (JVM regex, no Python)."""
+    """Lower-cased runs of letters and digits of any script, of the whole text (JVM regex, no Python)."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
 
 
@@ -110,37 +153,55 @@ def train_naive_bayes(train: DataFrame, samples: DataFrame | None, key: str, tex
     return loglik, prior
 
 
-def train_logistic(train: DataFrame, samples: DataFrame, key: str, vec: str = "embedding", label: str = "label",
-                   replica_col: str = "replica", reg_param: float = 0.0, elastic_net: float = 0.0,
-                   max_iter: int = 100) -> DataFrame:
+def train_logistic(train: DataFrame, samples: DataFrame, key: str, replicas: Sequence[int], vec: str = "embedding",
+                   label: str = "label", reg_param: float = 0.05, elastic_net: float = 0.0, max_iter: int = 200,
+                   tol: float = 1e-9, parallel: int = 4):
     """One distributed multinomial logistic regression per replica, multiplicity as weight.
 
-    Each replica is an MLlib fit over the whole (distributed) training table with
-    ``weightCol = mult`` (rows not drawn weigh 0 and are filtered); the fits run one
-    after another, each a distributed job. Returns ``(replica, class_id, dim, coef, intercept)``
-    built from the fitted coefficient matrices (models x classes x dims values).
+    Each replica is an MLlib fit over the whole (distributed) training table with ``weightCol = mult``; up to
+    ``parallel`` fits run at the same time as jobs of one application. ``reg_param`` is the weight decay of
+    the hyperparameter table or a trial, ``max_iter`` its number of epochs; intercepts are not penalised.
+    With no penalty separable classes have no finite optimum, so 0 is refused. Returns {replica: fitted model}.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    spark = train.sparkSession
+    from quiver.session import materialize
+
+    if reg_param <= 0:
+        raise ValueError("reg_param must be positive: separable classes have no finite optimum without a penalty")
     data = samples.join(train.select(key, vec, label), key).select(
-        replica_col, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"),
+        "replica", array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"),
         F.col(label).cast("double").alias("label"), F.col("mult").cast("double").alias("mult"))
-    # Every fit iterates over its rows many times: write the joined input once (partitioned by
-    # size, not by the shuffle setting) and cache it, instead of recomputing split and resampling.
-    from quiver.session import materialize
+    # every fit passes over its rows many times: the joined input is written once
+    data = materialize(data)
+
+    def fit(replica: int):
+        return LogisticRegression(featuresCol="features", labelCol="label", weightCol="mult", family="multinomial", regParam=reg_param,
+                                  elasticNetParam=elastic_net, maxIter=max_iter, tol=tol).fit(data.filter(F.col("replica") == replica))
 
-    data = materialize(data).persist()
-    replicas = sorted(r[0] for r in samples.select(replica_col).distinct().collect())  # bounded: replica ids
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        return dict(zip(replicas, pool.map(inheritable_thread_target(fit), replicas)))
+
+
+def logistic_coefficients(spark, models) -> DataFrame:
+    """``(replica, class_id, dim, coef, intercept)`` of the models of :func:`train_logistic` (models x classes x dims values)."""
     rows = []
-    for rep in replicas:
-        lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="mult", family="multinomial",
-                                regParam=reg_param, elasticNetParam=elastic_net, maxIter=max_iter)
-        model = lr.fit(data.filter(F.col(replica_col) == rep))
-        coef = model.coefficientMatrix.toArray()
-        icpt = model.interceptVector.toArray()
-        for c in range(coef.shape[0]):
-            rows += [(int(rep), c, d, float(coef[c, d]), float(icpt[c])) for d in range(coef.shape[1])]
-    data.unpersist()
-    return spark.createDataFrame(rows, f"{replica_col} int, class_id int, dim int, coef double, intercept double")
+    for replica, model in models.items():
+        coef, intercept = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+        rows += [(int(replica), c, d, float(coef[c, d]), float(intercept[c])) for c in range(coef.shape[0]) for d in range(coef.shape[1])]
+    return spark.createDataFrame(rows, "replica int, class_id int, dim int, coef double, intercept double")
+
+
+def logistic_scores(rows: DataFrame, models, key: str, vec: str = "embedding", keep: Sequence[str] = ()) -> DataFrame:
+    """``(replica, key, keep..., class_id, prob)`` of every row under every model; one map-only pass a model."""
+    from functools import reduce
+
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    base = rows.select(key, *keep, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"))
+    parts = [m.transform(base).select(F.lit(int(r)).alias("replica"), key, *keep, F.posexplode(vector_to_array("probability")).alias("class_id", "prob")) for r, m in models.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -4,12 +4,12 @@ A weight table is ``(model..., layer, pos, value)``. Per model, the k = round-ha
 factor x number of ``.weight`` parameters) smallest |value| over all ``.weight`` layers
 together become 0 (ties by layer, pos); other layers (biases) are untouched.
 
-The k-th smallest is found exactly without sorting a model's weights in one task:
-a histogram over a fine log-scale bucket of |value| (65,536 per octave) locates the bucket
-holding rank k; only that bucket is histogrammed again on exact (value, layer) cells, then on
-position buckets of the one boundary cell, and only that last bucket (<= 4,096 rows) is
-ranked with a window. The bucket function is non-decreasing in |value|, so bucket order
-never contradicts value order.
+The boundary, the (|value|, layer, pos) of the k-th smallest weight, is one row per model. It is
+found in four passes, each a map-side combined histogram of the previous pass's boundary cell: a
+fine log-scale bucket of |value|, the exact (|value|, layer), a bucket of the position, the
+position. The boundaries are then broadcast (a row a model) and every weight is compared with
+its model's: the weight table itself is never shuffled, joined or sorted, however many of its
+values tie (for example at exact zero).
 """
 
 from __future__ import annotations
@@ -34,75 +34,48 @@ def _b1(a: Column) -> Column:
 POS_BITS = 12          # final window: at most 4,096 positions of one (value, layer) cell
 
 
-def _cumulate_by(hist: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+def _refine(rows: DataFrame, group: list[str], cell: list[str], bounds: DataFrame) -> DataFrame:
+    """Boundary cell of every group: ``bounds`` (group..., earlier cells..., _left) with ``cell`` added and
+    ``_left`` reduced to the rank within the cell. ``rows`` holds only the rows of the earlier cells."""
+    hist = rows.groupBy(*group, *cell).agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*group).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    placed = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).join(F.broadcast(bounds), group)
+    hit = placed.filter((F.col("_before") < F.col("_left")) & (F.col("_before") + F.col("_cnt") >= F.col("_left")))
+    return hit.withColumn("_left", F.col("_left") - F.col("_before")).select(*bounds.columns, *cell)
 
 
-def _level(rows: DataFrame, group: list[str], cell: list[str], lead: str):
-    """Histogram ``rows`` on ``cell`` (ordered), place each cell against k after ``lead`` earlier
-    rows: returns (settled rows with ``_in``, boundary-cell rows with an updated ``lead``)."""
-    hist = _cumulate_by(rows.groupBy(*group, *cell).agg(F.count(F.lit(1)).alias("_cnt")), group, cell)
-    d = rows.join(hist.select(*group, *cell, "_cnt", "_before"), group + cell)
-    start = F.col(lead) + F.col("_before")
-    d = d.withColumn("_s", F.when(start + F.col("_cnt") <= F.col("k"), F.lit(1))
-                     .when(start >= F.col("k"), F.lit(0)).otherwise(F.lit(-1)))
-    settled = d.filter(F.col("_s") >= 0).withColumn("_in", F.col("_s") == 1)
-    edge = d.filter(F.col("_s") < 0).withColumn(lead, start).drop("_cnt", "_before", "_s")
-    return settled, edge
+def boundaries(df: DataFrame, group: Sequence[str], factors: DataFrame, value: str) -> DataFrame:
+    """(group..., _v, _layer, _pos): the k-th smallest ``value`` (>= 0) of every group, k from its factor.
 
-
-def smallest_k(df: DataFrame, group: Sequence[str], k: DataFrame, value: str, ties: Sequence[str],
-               flag: str = "_in") -> DataFrame:
-    """Add boolean ``flag``: is the row among the k smallest ``value`` (>= 0) of its group,
-    ordered by (value, *ties)? ``k`` is ``(group..., k)``; the last tie column is an integer.
-
-    Three histogram levels, each over the previous level's boundary cell only: a fine
-    log-scale bucket of the value (non-decreasing in the value, so bucket order never
-    contradicts value order), the exact (value, leading ties) cell, and a bucket of the last
-    tie column. The final window ranks at most 2**POS_BITS rows, so even a tie group holding
-    a large share of a model (for example many exact zeros) is never sorted in one task.
-    """
-    g, lead_ties, last = list(group), list(ties[:-1]), ties[-1]
-    a = F.col(value)
-    cols = df.columns
-    d = (df.withColumn("_b1", _b1(a)).join(k, g, "left").fillna(0, ["k"])
-         .withColumn("_b4", F.shiftright(F.col(last).cast("bigint"), POS_BITS))
-         .withColumn("_lead", F.lit(0).cast("bigint")))
-    s1, e1 = _level(d, g, ["_b1"], "_lead")
-    s3, e3 = _level(e1, g, [value, *lead_ties], "_lead")
-    s4, e4 = _level(e3, g, ["_b4"], "_lead")
-    within = Window.partitionBy(*g, "_b4").orderBy(F.col(last))
-    edge = e4.withColumn("_in", F.col("_lead") + F.row_number().over(within) <= F.col("k"))
-    out = None
-    for part in (s1, s3, s4, edge):
-        part = part.select(*cols, F.col("_in").alias(flag))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def prune_weights(weights: DataFrame, factors: DataFrame, model_cols: Sequence[str] = ("model_id",),
-                  bounded_models: bool = False) -> DataFrame:
-    """T5: ``factors`` is ``(model..., pruning_factor)``; returns the weight table with the
-    k smallest-magnitude ``.weight`` values of each model set to 0.
-
-    ``bounded_models=True`` is for models whose size is fixed by their shape (e.g. class
-    centroids: classes x dims): each model is then ranked in one window partition. The
-    default histogram search never sorts a whole model in one task.
+    ``df`` is (group..., layer, pos, value). Groups with k = 0 have no row.
     """
+    g = list(group)
+    d = df.select(*g, F.col(value).alias("_v"), F.col("layer").alias("_layer"), F.col("pos").cast("bigint").alias("_pos"), _b1(F.col(value)).alias("_b1"))
+    d = d.withColumn("_b4", F.shiftright("_pos", POS_BITS))
+    hist = d.groupBy(*g, "_b1").agg(F.count(F.lit(1)).alias("_cnt"))
+    whole = Window.partitionBy(*g)
+    before = whole.orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)
+    placed = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).withColumn("_nw", F.sum("_cnt").over(whole)).join(F.broadcast(factors), g)
+    placed = placed.withColumn("_k", F.bround(F.col("pruning_factor") * F.col("_nw"), 0).cast("bigint"))
+    bounds = placed.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_cnt") >= F.col("_k"))) \
+        .select(*g, (F.col("_k") - F.col("_before")).alias("_left"), "_b1")
+    for known, cell in ((["_b1"], ["_v", "_layer"]), (["_v", "_layer"], ["_b4"]), (["_v", "_layer", "_b4"], ["_pos"])):
+        inner = d.join(F.broadcast(bounds.select(*g, *known)), [*g, *known])
+        bounds = _refine(inner, g, cell, bounds)
+    return bounds.select(*g, "_v", "_layer", "_pos")
+
+
+def prune_weights(weights: DataFrame, factors: DataFrame, model_cols: Sequence[str] = ("model_id",)) -> DataFrame:
+    """T5: ``factors`` is ``(model..., pruning_factor)``, one row a model; returns the weight table with the
+    k smallest-magnitude ``.weight`` values of each model set to 0. A model without a factor is kept as it is."""
     mc = list(model_cols)
-    prunable = weights.filter(is_weight(F.col("layer"))).withColumn("_a", F.abs(F.col("value").cast("double")))
-    k = (prunable.groupBy(*mc).agg(F.count(F.lit(1)).alias("_nw")).join(factors, mc)
-         .select(*mc, F.bround(F.col("pruning_factor") * F.col("_nw"), 0).cast("bigint").alias("k")))
-    if bounded_models:
-        rank = F.row_number().over(Window.partitionBy(*mc).orderBy("_a", "layer", "pos"))
-        flagged = prunable.join(k, mc, "left").withColumn("_in", rank <= F.coalesce(F.col("k"), F.lit(0)))
-    else:
-        flagged = smallest_k(prunable, mc, k, "_a", ["layer", "pos"])
-    pruned = flagged.select(*mc, "layer", "pos",
-                            F.when(F.col("_in"), F.lit(0.0)).otherwise(F.col("value").cast("double")).alias("value"))
-    rest = weights.filter(~is_weight(F.col("layer"))).select(*mc, "layer", "pos", F.col("value").cast("double"))
-    return pruned.unionByName(rest)
+    magnitude = F.abs(F.col("value").cast("double"))
+    cuts = boundaries(weights.filter(is_weight(F.col("layer"))).withColumn("_a", magnitude), mc, factors, "_a")
+    rows = weights.join(F.broadcast(cuts), mc, "left")
+    inside = (magnitude < F.col("_v")) | ((magnitude == F.col("_v")) & ((F.col("layer") < F.col("_layer")) | (
+        (F.col("layer") == F.col("_layer")) & (F.col("pos").cast("bigint") <= F.col("_pos")))))
+    cut = is_weight(F.col("layer")) & F.coalesce(inside, F.lit(False))
+    return rows.select(*mc, "layer", "pos", F.when(cut, F.lit(0.0)).otherwise(F.col("value").cast("double")).alias("value"))
 
 
 def count_weights(weights: DataFrame, model_cols: Sequence[str] = ("model_id",)) -> DataFrame:

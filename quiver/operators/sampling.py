@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.functions.hashing import bucket, h
+from quiver.functions.hashing import HASH_BITS, bucket, h
 
 DEFAULT_BUCKET_BITS = 16  # 65,536 buckets: histogram <= 1 MiB, so it is always safe to broadcast
 
@@ -68,66 +68,45 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 
-def _split_parts(df: DataFrame, key: str, frac: float, seed, bits: int, split_col: str):
-    keyed = _keyed(df, key, seed, bits)
+def _cut(df: DataFrame, key: str, frac: float, seed, bits: int) -> DataFrame:
+    """One row (_ch, _ck): the (h, key) of the last 'test' row, found from a histogram of the hash
+    and the one bucket that holds it. No row if the test part is empty."""
+    keyed = _keyed(df.select(key), key, seed, bits)
     hist = _histogram(keyed, bits).withColumn("_k", F.ceil(F.col("_n") * F.lit(frac)).cast("bigint"))
-    hist = hist.withColumn(
-        "_state",
-        F.when(F.col("_before") + F.col("_cnt") <= F.col("_k"), F.lit("test"))
-        .when(F.col("_before") >= F.col("_k"), F.lit("val"))
-        .otherwise(F.lit("edge")),
-    ).select("_b", "_before", "_k", "_state")
-    tagged = keyed.join(F.broadcast(hist), "_b")
-    within = Window.partitionBy("_b").orderBy("_h", key)
-    edge = tagged.filter(F.col("_state") == "edge").select(
-        key, F.when(F.col("_before") + F.row_number().over(within) <= F.col("_k"), F.lit("test"))
-        .otherwise(F.lit("val")).alias(split_col))
-    return hist, edge
+    edge = hist.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_cnt") >= F.col("_k"))).select("_b", (F.col("_k") - F.col("_before")).alias("_left"))
+    within = Window.partitionBy("_b").orderBy("_h", key)  # about n / 2**bits rows
+    ranked = keyed.join(F.broadcast(edge), "_b").withColumn("_rank", F.row_number().over(within))
+    return ranked.filter(F.col("_rank") == F.col("_left")).select(F.col("_h").alias("_ch"), F.col(key).alias("_ck"))
+
+
+def _assign(df: DataFrame, key: str, cut: DataFrame, seed, split_col: str) -> DataFrame:
+    """Tag rows by one comparison with the cut (a single broadcast row); no shuffle, one scan."""
+    tagged = df.withColumn("_h", h(seed, F.col(key))).withColumn("_one", F.shiftright("_h", HASH_BITS))  # always 0: an equi-join key
+    tagged = tagged.join(F.broadcast(cut.withColumn("_one", F.shiftright("_ch", HASH_BITS))), "_one", "left")
+    first = (F.col("_h") < F.col("_ch")) | ((F.col("_h") == F.col("_ch")) & (F.col(key) <= F.col("_ck")))
+    return tagged.withColumn(split_col, F.when(F.coalesce(first, F.lit(False)), F.lit("test")).otherwise(F.lit("val"))).drop("_h", "_ch", "_ck", "_one")
 
 
 def holdout_split(df: DataFrame, key: str, frac: float = 0.5, seed=42,
                   bits: int = DEFAULT_BUCKET_BITS, split_col: str = "split") -> DataFrame:
     """M1: the ceil(frac * n) rows first in (h(seed, key), key) order are 'test', the rest 'val'.
 
-    Only the single bucket that straddles the cut is ranked; every other row is
-    classified from the broadcast histogram without a shuffle of the data.
+    The cut is found on the key column alone (histogram, then the one bucket that straddles it);
+    the rows are then tagged by comparing with it.
     """
-    keyed = _keyed(df, key, seed, bits)
-    hist = _histogram(keyed, bits).withColumn("_k", F.ceil(F.col("_n") * F.lit(frac)).cast("bigint"))
-    hist = hist.withColumn(
-        "_state",
-        F.when(F.col("_before") + F.col("_cnt") <= F.col("_k"), F.lit("test"))
-        .when(F.col("_before") >= F.col("_k"), F.lit("val"))
-        .otherwise(F.lit("edge")),
-    )
-    tagged = keyed.join(F.broadcast(hist.select("_b", "_before", "_k", "_state")), "_b")
-    settled = tagged.filter(F.col("_state") != "edge").withColumn(split_col, F.col("_state"))
-    within = Window.partitionBy("_b").orderBy("_h", key)
-    edge = tagged.filter(F.col("_state") == "edge").withColumn(
-        split_col,
-        F.when(F.col("_before") + F.row_number().over(within) <= F.col("_k"), F.lit("test")).otherwise(F.lit("val")),
-    )
-    return settled.unionByName(edge).drop("_h", "_b", "_before", "_k", "_state")
+    return _assign(df, key, _cut(df, key, frac, seed, bits), seed, split_col)
 
 
-def fit_split(df: DataFrame, key: str, frac: float = 0.5, seed=42, bits: int = DEFAULT_BUCKET_BITS,
-              split_col: str = "split") -> tuple[DataFrame, DataFrame]:
-    """M1 fitted once: the bucket cut table (<= 2**bits rows) and the boundary bucket's
-    assignments (about n / 2**bits rows), both written to reliable storage. Applying them
-    (:func:`apply_split`) is a broadcast lookup per row, so every later reference to the train
-    or test half re-reads rows without recomputing histograms or windows."""
+def fit_split(df: DataFrame, key: str, frac: float = 0.5, seed=42, bits: int = DEFAULT_BUCKET_BITS) -> DataFrame:
+    """M1 fitted once: the cut, one row written to reliable storage. Applying it (:func:`apply_split`)
+    is a row-local comparison, so every later reference to the train or test half only re-reads rows."""
     from quiver.session import materialize
 
-    hist, edge = _split_parts(df.select(key), key, frac, seed, bits, split_col)
-    return materialize(hist), materialize(edge)
+    return materialize(_cut(df, key, frac, seed, bits))
 
 
-def apply_split(df: DataFrame, key: str, hist: DataFrame, edge: DataFrame, seed=42,
-                bits: int = DEFAULT_BUCKET_BITS, split_col: str = "split") -> DataFrame:
-    keyed = _keyed(df, key, seed, bits).join(F.broadcast(hist.select("_b", "_state")), "_b")
-    settled = keyed.filter(F.col("_state") != "edge").withColumn(split_col, F.col("_state"))
-    boundary = keyed.filter(F.col("_state") == "edge").drop(split_col).join(edge, key)
-    return settled.unionByName(boundary).drop("_h", "_b", "_state")
+def apply_split(df: DataFrame, key: str, cut: DataFrame, seed=42, split_col: str = "split") -> DataFrame:
+    return _assign(df, key, cut, seed, split_col)
 
 
 def _draws(spark, seeds: Sequence[int], n: int, name: str) -> DataFrame:
@@ -135,7 +114,7 @@ def _draws(spark, seeds: Sequence[int], n: int, name: str) -> DataFrame:
     ``spark.range`` (no table scan, no shuffle)."""
     seed_arr = F.array(*[F.lit(int(x)) for x in seeds])
     return spark.range(len(seeds) * n).select(
-        F.element_at(seed_arr, (F.col("id") / F.lit(n)).cast("int") + 1).alias(name),
+        F.element_at(seed_arr, F.expr(f"cast(id div {int(n)} as int)") + 1).alias(name),
         F.pmod(F.col("id"), F.lit(n)).alias("_d"))
 
 

@@ -1,282 +1,249 @@
-"""Scoring rows with many small models (T4) and the rows x models pairing it needs.
+"""Scoring rows with many small models (T4).
 
-Models are packed one row per model (``classes: array<struct<class_id, mu>>``), so a
-row meets each model once and the per-class scores, the max-shifted softmax and the
-explode back to ``(class_id, prob)`` all happen inside that row: no shuffle.
+Centroid models are packed one row per model (``classes: array<struct<class_id, mu>>``). They are
+broadcast in blocks whose bytes are measured first, and every Arrow batch of rows is scored with one
+matrix product per block inside its task: rows are never shuffled for scoring, and no block grows with
+the number of models.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BROADCAST_ROWS = 200_000  # packed model rows; each holds C x D doubles
-
-
-def as_double_array(c: Column) -> Column:
-    return F.transform(c, lambda x: x.cast("double"))
-
-
-def pair_with_models(rows: DataFrame, models: DataFrame, on: Sequence[str], model_cols: Sequence[str], key: str,
-                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Each row meets every model of its task (equi-join on ``on``), model table size-checked.
-
-    The model table is counted first (callers pass a materialized table, so this is a
-    cheap action). Within the limit it is broadcast and rows stream past it without a
-    shuffle. Beyond it, models are cut into blocks that fit the limit and rows are
-    salted so each (task, block, salt) task sees 1/S of the rows and one block of models.
+from quiver.operators.ensemble import TIE_DECIMALS
+from quiver.session import ship_package
+
+BLOCK_BYTES = 256 << 20  # of centroid values in one broadcast
+
+
+def softmax_by_segment(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Max-shifted softmax over consecutive columns of ``s``; a segment is one model's classes."""
+    lengths = np.diff(np.append(starts, s.shape[1]))
+    e = np.exp(s - np.repeat(np.maximum.reduceat(s, starts, axis=1), lengths, axis=1))
+    return e / np.repeat(np.add.reduceat(e, starts, axis=1), lengths, axis=1)
+
+
+class Block:
+    """Some models of every task as arrays: per task the model of each column, its class, its centroid."""
+
+    def __init__(self, rows, on: int, model_cols: int) -> None:
+        found: dict[tuple, tuple[list, list, list, list, list]] = {}
+        for r in rows:
+            metas, classes, mus, starts, members = found.setdefault(tuple(r[:on]), ([], [], [], [], []))
+            starts.append(len(classes))
+            own = [tuple(m) for m in r[on + model_cols + 1]] if len(r) > on + model_cols + 1 else None
+            for c in r[on + model_cols]:
+                metas.append(tuple(r[on : on + model_cols]))
+                classes.append(c["class_id"])
+                mus.append(np.asarray(c["mu"], np.float64))
+                members.append(own)
+        self.tasks = {t: (m, np.asarray(c, np.int32), np.vstack(u), np.asarray(s), o) for t, (m, c, u, s, o) in found.items()}
+
+
+def model_blocks(models: DataFrame, on: Sequence[str], model_cols: Sequence[str], block_bytes: int = BLOCK_BYTES, members: str | None = None) -> list:
+    """Broadcast blocks of the packed ``models``; their number follows the measured bytes."""
+    sc = models.sparkSession.sparkContext
+    cells = F.aggregate(F.col("classes"), F.lit(0).cast("long"), lambda acc, c: acc + F.size(c["mu"]))
+    size = 8 * (models.agg(F.sum(cells)).first()[0] or 0)
+    n = max(1, math.ceil(size / max(1, block_bytes)))
+    names = [*on, *model_cols]
+    part = F.pmod(F.xxhash64(*names), F.lit(n))
+    out = []
+    for k in range(n):  # one block at a time on the driver
+        own = models.where(part == k) if n > 1 else models
+        block = Block(own.select(*names, "classes", *([members] if members else [])).orderBy(*names).toLocalIterator(), len(on), len(model_cols))
+        out.append(sc.broadcast(block))
+        del block
+    return out
+
+
+def _field(schema: T.StructType, name: str) -> T.StructField:
+    return T.StructField(name, schema[name].dataType)
+
+
+def score_centroids(rows: DataFrame, models: DataFrame, key: str, vec: str = "embedding", model_cols: Sequence[str] = ("replica",),
+                    on: Sequence[str] = ("task",), blocks: list | None = None, block_bytes: int = BLOCK_BYTES,
+                    vote_by: Sequence[str] | None = None, predict: bool = False, label: str | None = None, members: str | None = None) -> DataFrame:
+    """T4: ``(on..., model..., key, class_id, prob)``; classes missing from a model get no row (prob 0).
+
+    The probability of a class is the softmax, within its model, of minus the squared distance to its
+    centroid. With ``vote_by`` (some of ``model_cols``; ``[]``: all models are one ensemble) the soft vote
+    G1 is fused in: ``(on..., vote_by..., key, class_id, total)``. With ``predict`` also the arg-max G2:
+    ``(on..., vote_by..., key, y_pred)``, and the rows' own ``label`` as ``y_true`` if it is named. Totals
+    that agree to ``TIE_DECIMALS`` decimals tie, and the lowest class wins.
+
+    A model that votes in several ensembles names them in the column ``members`` (an array of structs with
+    the ``vote_by`` fields, which then need not be model columns) and is still scored once.
+
+    ``blocks`` may hold the broadcast models already (:func:`model_blocks`). With several blocks every
+    block is one pass over the rows and the partial totals are added up per row.
     """
-    on = list(on)
-    n_models = models.count()
-    if n_models <= max_broadcast_rows:
-        return rows.join(F.broadcast(models), on)
-    blocks = math.ceil(n_models / max_broadcast_rows)
-    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    m = (models.withColumn("_blk", F.pmod(F.xxhash64(*model_cols), F.lit(blocks)))
-         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    r = (rows.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-         .withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts))))
-    return r.join(m, on + ["_blk", "_salt"]).drop("_blk", "_salt")
-
-
-def with_softmax(df: DataFrame, scores: str, out: str) -> DataFrame:
-    """Max-shifted softmax of a score array column (row-local).
-
-    Each step is its own column so the score array, its max and the normaliser are
-    computed once per row instead of being re-expanded inside every lambda.
-    """
-    return (df.withColumn("_m", F.array_max(scores))
-            .withColumn("_e", F.transform(scores, lambda s: F.exp(s - F.col("_m"))))
-            .withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e))
-            .withColumn(out, F.transform("_e", lambda e: e / F.col("_z")))
-            .drop("_m", "_e", "_z"))
-
-
-def centroid_scores(vec: Column, classes: Column) -> Column:
-    """Score of each class: minus the squared Euclidean distance to its centroid."""
-    return F.transform(
-        classes,
-        lambda c: -F.aggregate(F.zip_with(vec, c["mu"], lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                               lambda acc, v: acc + v),
-    )
-
-
-def score_centroids(rows: DataFrame, models: DataFrame, key: str, vec: str = "embedding",
-                    model_cols: Sequence[str] = ("replica",), on: Sequence[str] = ("task",),
-                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """T4: ``(model..., key, class_id, prob)``; classes missing from a model get no row (prob 0).
+    ship_package(rows.sparkSession)
+    mc, on = list(model_cols), list(on)
+    blocks = model_blocks(models, on, mc, block_bytes, members) if blocks is None else blocks
+    if vote_by is None:
+        return reduce(DataFrame.unionByName, [_pass(rows, models, b, key, vec, mc, on, None, False, None, None) for b in blocks])
+    vote_by = list(vote_by)
+    if len(blocks) == 1:
+        return _pass(rows, models, blocks[0], key, vec, mc, on, vote_by, predict, label, members)
+    parts = reduce(DataFrame.unionByName, [_pass(rows, models, b, key, vec, mc, on, vote_by, False, None, members) for b in blocks])
+    totals = parts.groupBy(*on, *vote_by, key, "class_id").agg(F.sum("total").alias("total"))
+    if not predict:
+        return totals
+    from quiver.operators.ensemble import align_truth, predict as arg_max
+
+    found = arg_max(totals, key, [*on, *vote_by])
+    return align_truth(found, rows, key, label).withColumn("y_true", F.col("y_true").cast("int")) if label else found
+
+
+def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: list, on: list, vote_by: list | None, predict: bool, label: str | None, members: str | None) -> DataFrame:
+    """One pass of one block over the rows."""
+    kinds = [_field(models.schema, c) for c in on] + [_field(models.schema[members].dataType.elementType if members and vote_by is not None else models.schema, c) for c in (mc if vote_by is None else vote_by)] + [_field(rows.schema, key)]
+    if vote_by is None:
+        kinds += [T.StructField("class_id", T.IntegerType()), T.StructField("prob", T.DoubleType())]
+    elif predict:
+        kinds += ([T.StructField("y_true", T.IntegerType())] if label else []) + [T.StructField("y_pred", T.IntegerType())]
+    else:
+        kinds += [T.StructField("class_id", T.IntegerType()), T.StructField("total", T.DoubleType())]
+    schema = T.StructType(kinds)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    width = len(on)
+
+    def emit(columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, arrow)], arrow.names)
+
+    def spread(values: list, n: int) -> list[np.ndarray]:
+        """One column per field of the tuples, each tuple list repeated for n rows."""
+        return [np.tile(np.array([v[i] for v in values]), n) for i in range(len(values[0]))] if values and values[0] else []
+
+    def score(batch: pa.RecordBatch, task: tuple):
+        metas, classes, mu, starts, owners = block.value.tasks[task]
+        n = len(batch)
+        x = batch.column(width + 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+        p = softmax_by_segment(2 * (x @ mu.T) - (mu * mu).sum(axis=1), starts)  # |x|^2 is common to a row's classes
+        keys = batch.column(width)
+        again = lambda k: keys.take(pa.array(np.repeat(np.arange(n), k)))
+        fixed = lambda k: [pa.array([t] * (n * k)) for t in task]
+        if vote_by is None:
+            k = len(classes)
+            return emit([*fixed(k), *spread(metas, n), again(k), np.tile(classes, n), p.ravel()])
+        if members is None:
+            place = [mc.index(c) for c in vote_by]
+            cells = [[(tuple(m[i] for i in place), int(c))] for m, c in zip(metas, classes)]
+        else:
+            cells = [[(g, int(c)) for g in own] for own, c in zip(owners, classes)]
+        unique = sorted({u for own in cells for u in own})
+        index = {u: i for i, u in enumerate(unique)}
+        member = np.zeros((len(cells), len(unique)))
+        for i, own in enumerate(cells):
+            member[i, [index[u] for u in own]] = 1.0
+        totals = p @ member
+        if not predict:
+            return emit([*fixed(len(unique)), *spread([u[0] for u in unique], n), again(len(unique)), np.tile(np.array([u[1] for u in unique], np.int32), n), totals.ravel()])
+        groups = sorted({u[0] for u in unique})
+        totals = np.round(totals, TIE_DECIMALS)
+        best = np.empty((n, len(groups)), np.int32)
+        for g, group in enumerate(groups):
+            own = [i for i, u in enumerate(unique) if u[0] == group]  # ascending classes: the first maximum is the lowest
+            best[:, g] = np.array([unique[i][1] for i in own], np.int32)[np.argmax(totals[:, own], axis=1)]
+        truth = [batch.column(width + 2).take(pa.array(np.repeat(np.arange(n), len(groups))))] if label else []
+        return emit([*fixed(len(groups)), *spread(groups, n), again(len(groups)), *truth, best.ravel()])
+
+    def run(batches):
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(width)))) if width else [()] * len(batch)
+            for task in dict.fromkeys(names):
+                if task in block.value.tasks:
+                    own = batch.take(pa.array([i for i, t in enumerate(names) if t == task])) if len(set(names)) > 1 else batch
+                    metas = block.value.tasks[task][0]
+                    step = max(1, 4_000_000 // len(metas))
+                    for a in range(0, len(own), step):
+                        yield score(own.slice(a, step), task)
+
+    extra = [label] if label and predict and vote_by is not None else []
+    return rows.where(F.col(vec).isNotNull()).select(*on, key, F.col(vec).alias("_vec"), *extra).mapInArrow(run, schema)
+
+
+HOT_TOKENS = 20_000  # model rows of the most frequent tokens are broadcast; one row holds replicas x classes doubles
 
-    ``rows`` and ``models`` share the ``on`` columns (the task the models were trained for).
-    """
-    r = rows.select(*on, key, as_double_array(F.col(vec)).alias("_x"))
-    pairs = pair_with_models(r, models, on, model_cols, key, max_broadcast_rows)
-    scored = with_softmax(pairs.withColumn("_s", centroid_scores(F.col("_x"), F.col("classes"))), "_s", "_p")
-    out = scored.select(*on, *model_cols, key,
-                        F.explode(F.arrays_zip(F.col("classes.class_id").alias("class_id"), F.col("_p").alias("prob")))
-                        .alias("_cp"))
-    return out.select(*on, *model_cols, key, F.col("_cp.class_id").alias("class_id"), F.col("_cp.prob").alias("prob"))
 
+def pack_naive_bayes(loglik: DataFrame, prior: DataFrame, model_cols: Sequence[str] = ("replica",)) -> DataFrame:
+    """The scoring form of a naive-Bayes ensemble: one row per token, ``cells`` = array of
+    (model, class, loglik) in (model, class) order, ``df`` = how many of them the token reaches, and the
+    priors under a null token. Build and write it once after training."""
+    entry = F.struct(*model_cols, "class_id", "loglik")
+    by_token = loglik.groupBy("token").agg(F.sort_array(F.collect_list(entry)).alias("cells"), F.max("loglik").alias("top"))
+    priors = prior.withColumnRenamed("log_prior", "loglik").agg(F.sort_array(F.collect_list(entry)).alias("cells"))
+    return by_token.unionByName(priors.select(F.lit(None).cast("string").alias("token"), "cells", F.lit(0.0).alias("top")))
 
-DEFAULT_TOKEN_SALTS = 8
 
+def score_naive_bayes(rows: DataFrame, packed: DataFrame, key: str, text: str = "text", label: str | None = None,
+                      model_cols: Sequence[str] = ("replica",), predict: bool = False, hot_tokens: int = HOT_TOKENS) -> DataFrame:
+    """T4 for the text path: ``(model..., key, class_id, prob)``, or with ``predict`` the fused soft vote and
+    arg-max of all models, ``(key[, y_true], y_pred)``.
 
-def pack_naive_bayes(loglik: DataFrame, prior: DataFrame, model_cols: Sequence[str] = ("replica",)) -> DataFrame:
-    """The scoring form of a naive-Bayes ensemble: one row per token holding every
-    (model, class, loglik) entry (models x classes, bounded), plus the priors under the empty
-    token. Build and write it once after training; :func:`score_naive_bayes` reads it."""
-    entry = F.struct(*model_cols, "class_id", "loglik")
-    return (loglik.groupBy("token").agg(F.collect_list(entry).alias("_m"))
-            .unionByName(prior.withColumnRenamed("log_prior", "loglik")
-                         .groupBy(F.lit("").alias("token")).agg(F.collect_list(entry).alias("_m"))))
-
-
-def score_naive_bayes(rows: DataFrame, loglik: DataFrame | None, prior: DataFrame | None, key: str,
-                      text: str = "text", model_cols: Sequence[str] = ("replica",),
-                      salts: int = DEFAULT_TOKEN_SALTS, packed_model: DataFrame | None = None) -> DataFrame:
-    """T4 for the text path: ``(model..., key, class_id, prob)``.
-
-    score = log prior + sum over the row's tokens in the model vocabulary of tf x loglik,
-    then a per-(model, row) softmax. The model is packed one row per token (models x
-    classes entries); the priors are packed under the empty token, which no document
-    contains and every row is given once, so they ride the same join. The row-token side
-    is salted by row key and each packed token row is replicated once per salt, so a token
-    present in most rows (and the prior token, present in all) is spread over ``salts``
-    tasks instead of one. Unseen tokens simply find no model row.
+    score = log prior + sum over the row's tokens of the model's log-likelihood (tokens the model has not
+    seen add nothing), then a softmax per (model, row). The log-likelihoods of a token are one fixed array
+    over all models and classes. Arrays of the most likely ``hot_tokens`` tokens are broadcast and added up in
+    the map tasks; only the other tokens, none of which is frequent, meet the model in a shuffle join. One row
+    per document is shuffled for the sums, and its label rides with it.
     """
     from quiver.operators.learn import tokens
 
-    mc = list(model_cols)
-    packed = (pack_naive_bayes(loglik, prior, mc) if packed_model is None else packed_model) \
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    words = (rows.select(key, F.explode(tokens(F.col(text))).alias("token"))
-             .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
-    tf = (words.unionByName(rows.select(key, F.lit("").alias("token"), F.lit(1).cast("bigint").alias("tf")))
-          .withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts))))
-    parts = (tf.join(packed, ["token", "_salt"]).select(key, "tf", F.explode("_m").alias("_e"))
-             .select(key, *[F.col(f"_e.{c}").alias(c) for c in mc], F.col("_e.class_id").alias("class_id"),
-                     (F.col("tf") * F.col("_e.loglik")).alias("part")))
-    scores = parts.groupBy(key, *mc, "class_id").agg(F.sum("part").alias("score"))
-    per_model = scores.groupBy(key, *mc).agg(F.array_sort(F.collect_list(F.struct("class_id", "score"))).alias("_cs"))
-    probs = with_softmax(per_model.withColumn("_s", F.col("_cs.score")), "_s", "_p")
-    out = probs.select(*mc, key, F.explode(F.arrays_zip(F.col("_cs.class_id").alias("class_id"),
-                                                        F.col("_p").alias("prob"))).alias("_cp"))
-    return out.select(*mc, key, F.col("_cp.class_id").alias("class_id"), F.col("_cp.prob").alias("prob"))
-
-
-DEFAULT_VECTOR_BROADCAST_VALUES = 50_000_000  # centroid doubles shipped to every task (400 MB)
-
-
-def score_centroids_vectorized(rows: DataFrame, models: DataFrame, key: str, vec: str = "embedding",
-                               model_cols: Sequence[str] = ("replica",), on: Sequence[str] = ("task",),
-                               max_values: int = DEFAULT_VECTOR_BROADCAST_VALUES,
-                               vote_by: Sequence[str] | None = None, predict: bool = False,
-                               label: str | None = None) -> DataFrame:
-    """T4, Arrow-batched: same output as :func:`score_centroids`.
-
-    With ``vote_by`` (a subset of ``model_cols``; ``[]`` = all models form one ensemble) the
-    soft vote G1 is fused in: each row's probabilities are summed over the models of its
-    ensemble inside the task (the model-outer running sum) and the output is
-    ``(on..., vote_by..., key, class_id, total)`` like :func:`ensemble.soft_vote`. With
-    ``predict=True`` the arg-max (G2, ties: lowest class after rounding to 9 decimals) is
-    taken in the task too: ``(on..., vote_by..., key, y_pred)``, plus ``y_true`` when ``label``
-    names the rows' truth column, so per-row results never need a shuffle or a truth join.
-
-    The packed model table is size-checked (models x classes x dims doubles); within the
-    budget it is broadcast once as numpy arrays and each Arrow batch of rows is scored with
-    array arithmetic inside its Spark task (rows stay partitioned; nothing row-level goes
-    through the driver). Beyond the budget the JVM-only blocked join is used.
-    """
-    import numpy as np
-    import pandas as pd
-
-    from quiver.session import ship_package
-
     ship_package(rows.sparkSession)
-    mc, on = list(model_cols), list(on)
-    size = models.select(F.sum(F.aggregate(F.col("classes"), F.lit(0), lambda acc, c: acc + F.size(c["mu"]))).alias("v")) \
-        .collect()[0]["v"] or 0
-    if size > max_values:
-        # Too large to ship to every task: JVM path, models joined in blocks on (task, block, salt).
-        long = score_centroids(rows, models, key, vec, model_cols, on, max_broadcast_rows=0)
-        if vote_by is None:
-            return long
-        from quiver.operators.ensemble import align_truth, predict as argmax, soft_vote
-
-        totals = soft_vote(long, key, [*on, *vote_by])
-        if not predict:
-            return totals
-        pred = argmax(totals, key, [*on, *vote_by])
-        return align_truth(pred, rows, key, label) if label else pred
-
-    # Bounded by the check above: the model table itself, never data rows.
-    tables: dict[tuple, tuple] = {}
-    for r in models.select(*on, *mc, "classes").toLocalIterator():
-        t = tuple(r[c] for c in on)
-        metas, cids, mus = tables.setdefault(t, ([], [], []))
-        for c in r["classes"]:
-            metas.append(tuple(r[m] for m in mc))
-            cids.append(c["class_id"])
-            mus.append(c["mu"])
-    packed = {}
-    for t, (metas, cids, mus) in tables.items():
-        seg_start = [0] + [i for i in range(1, len(metas)) if metas[i] != metas[i - 1]]
-        vote = None
-        if vote_by is not None:
-            pos = [mc.index(c) for c in vote_by]
-            cells = [(tuple(m[i] for i in pos), c) for m, c in zip(metas, cids)]
-            uniq = sorted(set(cells))
-            index = {u: i for i, u in enumerate(uniq)}
-            onehot = np.zeros((len(cells), len(uniq)))
-            onehot[np.arange(len(cells)), [index[c] for c in cells]] = 1.0
-            vote = (uniq, onehot)
-        packed[t] = (metas, np.asarray(cids, dtype=np.int32), np.asarray(mus, dtype=np.float64),
-                     np.asarray(seg_start, dtype=np.int64), vote)
-    bc = rows.sparkSession.sparkContext.broadcast(packed)
-
-    fields = {f.name: f for f in models.schema.fields}
-    key_field = rows.schema[key]
-    if vote_by is None:
-        out_schema = T.StructType([fields[c] for c in on] + [fields[c] for c in mc] +
-                                  [key_field, T.StructField("class_id", T.IntegerType()),
-                                   T.StructField("prob", T.DoubleType())])
-    elif predict:
-        out_schema = T.StructType([fields[c] for c in on] + [fields[c] for c in vote_by] + [key_field] +
-                                  ([T.StructField("y_true", T.IntegerType())] if label else []) +
-                                  [T.StructField("y_pred", T.IntegerType())])
+    mc = list(model_cols)
+    prior = packed.where("token IS NULL").select(F.explode("cells").alias("c")).select("c.*").collect()  # models x classes
+    cells = sorted(tuple(r[c] for c in (*mc, "class_id")) for r in prior)
+    place = {c: i for i, c in enumerate(cells)}
+    start = np.zeros(len(cells))
+    for r in prior:
+        start[place[tuple(r[c] for c in (*mc, "class_id"))]] = r["loglik"]
+    slots = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, (*mc, "class_id"))]) for c in cells])
+    # a token may be unknown to some replicas: their slots add 0
+    known = F.map_from_entries(F.transform("cells", lambda c: F.struct(F.struct(*[c[n].alias(n) for n in (*mc, "class_id")]), c["loglik"])))
+    model = packed.where("token IS NOT NULL").withColumn("known", known).select("token", "top", F.transform(slots, lambda s: F.coalesce(F.try_element_at("known", s), F.lit(0.0))).alias("ll"))
+    hot = model.orderBy(F.desc("top"), "token").limit(hot_tokens).select("token", "ll")
+    hot_names = F.broadcast(hot.select("token"))
+    said = rows.select(key, F.explode(tokens(F.col(text))).alias("token"))
+    sums = [F.sum(F.col("ll")[i]).alias(f"s{i}") for i in range(len(cells))]
+    frequent = said.join(F.broadcast(hot), "token").groupBy(key).agg(*sums)
+    others = said.join(hot_names, "token", "left_anti").join(model.join(hot_names, "token", "left_anti"), "token").groupBy(key).agg(*sums)
+    total = frequent.unionByName(others).groupBy(key).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(cells))])
+    carried = rows.select(key, *([F.col(label).cast("int").alias("y_true")] if label else []))
+    scored = carried.join(total, key, "left").select(*carried.columns, F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) + float(start[i]) for i in range(len(cells))]).alias("s"))
+
+    models = [c[:-1] for c in cells]
+    starts = np.array([i for i, m in enumerate(models) if not i or m != models[i - 1]])
+    classes = np.array([c[-1] for c in cells], np.int32)
+    unique = np.unique(classes)
+    if predict:
+        schema = T.StructType([_field(rows.schema, key)] + ([T.StructField("y_true", T.IntegerType())] if label else []) + [T.StructField("y_pred", T.IntegerType())])
     else:
-        out_schema = T.StructType([fields[c] for c in on] + [fields[c] for c in vote_by] +
-                                  [key_field, T.StructField("class_id", T.IntegerType()),
-                                   T.StructField("total", T.DoubleType())])
-
-    def score_batches(batches):
-        tabs = bc.value
-        for pdf in batches:
-            for t, grp in pdf.groupby(on, sort=False) if len(pdf) else []:
-                t = t if isinstance(t, tuple) else (t,)
-                if t not in tabs:
-                    continue
-                metas, cids, mu, starts, vote = tabs[t]
-                x = np.stack(grp[vec].to_numpy()).astype(np.float64)
-                n, kc = len(x), len(mu)
-                step = max(1, 4_000_000 // max(1, kc * mu.shape[1]))
-                s = np.empty((n, kc))
-                for a in range(0, n, step):
-                    diff = x[a:a + step, None, :] - mu[None, :, :]
-                    s[a:a + step] = -np.einsum("ijk,ijk->ij", diff, diff)
-                seg = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, kc)))
-                m = np.maximum.reduceat(s, starts, axis=1)[:, seg]
-                e = np.exp(s - m)
-                p = e / np.add.reduceat(e, starts, axis=1)[:, seg]
-                if vote is not None and predict:
-                    uniq, onehot = vote
-                    totals = np.round(p @ onehot, 9)
-                    groups = sorted({u[0] for u in uniq})
-                    cols = {c: [] for c in (*on, *vote_by, key)}
-                    if label:
-                        cols["y_true"] = []
-                    cols["y_pred"] = []
-                    keys_arr = grp[key].to_numpy()
-                    for gv in groups:
-                        idx = [i for i, u in enumerate(uniq) if u[0] == gv]  # classes sorted by id
-                        cls = np.asarray([uniq[i][1] for i in idx], dtype=np.int32)
-                        best = cls[np.argmax(totals[:, idx], axis=1)]  # first max = lowest class id
-                        for i, c in enumerate(on):
-                            cols[c] += [t[i]] * n
-                        for i, c in enumerate(vote_by):
-                            cols[c] += [gv[i]] * n
-                        cols[key] += list(keys_arr)
-                        if label:
-                            cols["y_true"] += list(grp[label].to_numpy())
-                        cols["y_pred"] += list(best)
-                    out = pd.DataFrame(cols)
-                    if label:
-                        out["y_true"] = out["y_true"].astype("int32")
-                    out["y_pred"] = out["y_pred"].astype("int32")
-                    yield out
-                    continue
-                if vote is not None:
-                    uniq, onehot = vote
-                    totals = p @ onehot  # per row: sum of class probabilities over each ensemble's models
-                    nu = len(uniq)
-                    cols = {c: [t[i]] * (n * nu) for i, c in enumerate(on)}
-                    for i, c in enumerate(vote_by):
-                        cols[c] = np.tile(np.asarray([u[0][i] for u in uniq]), n)
-                    cols[key] = np.repeat(grp[key].to_numpy(), nu)
-                    cols["class_id"] = np.tile(np.asarray([u[1] for u in uniq], dtype=np.int32), n)
-                    cols["total"] = totals.reshape(-1)
-                    yield pd.DataFrame(cols)
-                    continue
-                cols = {c: [t[i]] * (n * kc) for i, c in enumerate(on)}
-                for i, c in enumerate(mc):
-                    cols[c] = np.tile(np.asarray([mm[i] for mm in metas]), n)
-                cols[key] = np.repeat(grp[key].to_numpy(), kc)
-                cols["class_id"] = np.tile(cids, n)
-                cols["prob"] = p.reshape(-1)
-                yield pd.DataFrame(cols)
-
-    extra = [label] if (label and predict and vote_by is not None) else []
-    return rows.select(*on, key, vec, *extra).mapInPandas(score_batches, out_schema)
+        schema = T.StructType([_field(packed.schema["cells"].dataType.elementType, c) for c in mc] + [_field(rows.schema, key), T.StructField("class_id", T.IntegerType()), T.StructField("prob", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            p = softmax_by_segment(batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(n, -1), starts)
+            if predict:
+                votes = np.round(np.column_stack([p[:, classes == c].sum(axis=1) for c in unique]), TIE_DECIMALS)
+                out = [*batch.columns[:-1], pa.array(unique[np.argmax(votes, axis=1)].astype(np.int32))]
+            else:
+                k = len(cells)
+                out = [*[pa.array(np.tile(np.array([m[i] for m in models]), n), pa.int32()) for i in range(len(mc))],
+                       batch.column(0).take(pa.array(np.repeat(np.arange(n), k))), pa.array(np.tile(classes, n)), pa.array(p.ravel())]
+            yield pa.RecordBatch.from_arrays(out, schema.names)
+
+    return scored.mapInArrow(run, schema)

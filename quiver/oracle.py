@@ -132,9 +132,9 @@ conf AS (SELECT y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
 
 def experiment_ctes() -> str:
     """CTEs exp_raw (the spreadsheet rule) and exp_clean (first 8 columns, no nulls, typed)."""
-    from quiver.plans.derived import DEBERTA_NAMES, TASKS3
-    tasks = "[" + ", ".join(f"'{t}'" for t in TASKS3) + "]"
-    names = "[" + ", ".join(f"'{n}'" for n in DEBERTA_NAMES) + "]"
+    tasks = "['CB', 'BoolQ', 'RTE']"
+    names = ("['microsoft/deberta-base', 'microsoft/deberta-v3-small', 'microsoft/deberta-v3-xsmall', "
+             "'microsoft/deberta-v3-large', 'microsoft/deberta-v2-xlarge']")
     return f"""exp_base AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus,
     {tasks}[(o_custkey % 3) + 1] AS _task,
     CASE o_orderstatus WHEN 'F' THEN 'gpt2' WHEN 'O' THEN 'distilgpt2' ELSE {names}[(o_custkey % 5) + 1] END AS _mtype,
@@ -189,12 +189,23 @@ hp_first AS (SELECT * EXCLUDE (_rk) FROM (SELECT *, row_number() OVER (PARTITION
 
 # ---- bagged naive Bayes over documents ----------------------------------------------------
 
-TOKEN_SQL = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+TOKEN_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def poisson_sql(hash_sql: str) -> str:
+    """Poisson(1) by inversion, from sums of 1/k! of its own: the smallest m whose scaled cumulative sum exceeds the hash."""
+    from fractions import Fraction
+
+    terms = [Fraction(1)]
+    for k in range(1, 40):
+        terms.append(terms[-1] / k)
+    total = sum(terms)  # e to 40 terms
+    sums = [sum(terms[: k + 1]) / total for k in range(18)]
+    return " + ".join(f"CAST({hash_sql} >= {int(x * 2**60)} AS INTEGER)" for x in sums if int(x * 2**60) < 2**60)
 
 
 def poisson_samples_cte(table: str, key: str, replicas: int) -> str:
-    from quiver.operators.sampling import POISSON_THRESHOLDS
-    mult = " + ".join(f"CAST(_h >= {t} AS INTEGER)" for t in POISSON_THRESHOLDS)
+    mult = poisson_sql("_h")
     h = H("'poisson' || CAST(r.replica AS VARCHAR)", f"e.{key}")
     return f"""samples AS (SELECT replica, {key}, mult FROM (
   SELECT CAST(replica AS INTEGER) AS replica, {key}, {mult} AS mult FROM (
@@ -269,25 +280,40 @@ pruned AS (SELECT w.model_id, w.layer, w.pos,
 
 # ---- configuration evaluation, results analysis, variance ---------------------------------
 
-def evaluate_ctes(runs: tuple[int, ...] = (0,), seed: str = "'models'") -> str:
+# task name -> label expression over embeddings, as the evaluation defines its tasks
+TASKS = {"embeddings": "label", "parity": "label % 2"}
+
+
+def split_ctes(label: str) -> str:
+    return f"""emb_split AS ({split_cte('embeddings', 'vec_id')}),
+train AS (SELECT vec_id, embedding, CAST({label} AS INTEGER) AS label FROM emb_split WHERE split = 'val'),
+test AS (SELECT vec_id, embedding, CAST({label} AS INTEGER) AS label FROM emb_split WHERE split = 'test')"""
+
+
+def _plan_ctes(task: str, runs: tuple[int, ...], seed: str) -> str:
     runs_sql = ", ".join(f"({r})" for r in runs)
     rowkey = "CAST(run_id AS VARCHAR) || ':' || CAST(config AS VARCHAR) || ':' || task"
-    return f"""WITH emb_split AS ({split_cte('embeddings', 'vec_id')}),
-train AS (SELECT * FROM emb_split WHERE split = 'val'),
-test AS (SELECT * FROM emb_split WHERE split = 'test'),
-{bootstrap_ctes('train', 'vec_id', 10)},
-{centroid_ctes('train', 'samples', 'vec_id', ['replica'])},
-cfg AS (SELECT CAST(n_nationkey AS INTEGER) AS config, 'embeddings' AS task, CAST(1 + 3 * n_regionkey AS INTEGER) AS num_models,
+    return f"""cfg AS (SELECT CAST(n_nationkey AS INTEGER) AS config, '{task}' AS task, CAST(1 + 3 * n_regionkey AS INTEGER) AS num_models,
   CAST(n_nationkey % 5 AS DOUBLE) / 10 AS pruning_factor, CAST(r.run_id AS INTEGER) AS run_id
   FROM nation CROSS JOIN (VALUES {runs_sql}) r(run_id)),
 chosen AS (SELECT * EXCLUDE (_rk) FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id, config ORDER BY {H(seed, f"{rowkey} || ':' || CAST(model_no AS VARCHAR)")}, model_no) AS _rk
   FROM (SELECT *, CAST(unnest(generate_series(0, greatest(10, num_models) - 1)) AS INTEGER) AS model_no FROM cfg))
   WHERE _rk <= num_models),
-trained AS (SELECT DISTINCT replica FROM cent),
-checked AS (SELECT c.*, t.replica IS NOT NULL AS ok FROM chosen c LEFT JOIN trained t ON t.replica = c.model_no),
+checked AS (SELECT c.*, c.model_no < 10 AS ok FROM chosen c),
 errs AS (SELECT run_id, config, task, 'missing ' || CAST(count(*) FILTER (WHERE NOT ok) AS VARCHAR) || ' of ' ||
-  CAST(count(*) AS VARCHAR) || ' models' AS error FROM checked GROUP BY ALL HAVING count(*) FILTER (WHERE NOT ok) > 0),
+  CAST(count(*) AS VARCHAR) || ' models' AS error FROM checked GROUP BY ALL HAVING count(*) FILTER (WHERE NOT ok) > 0)"""
+
+
+def errors_sql(runs: tuple[int, ...] = (0,), seed: str = "'models'") -> str:
+    return " UNION ALL ".join(f"(WITH {_plan_ctes(t, runs, seed)} SELECT run_id, config, task, error FROM errs)" for t in TASKS)
+
+
+def _evaluate_task(task: str, label: str, runs: tuple[int, ...], seed: str) -> str:
+    return f"""(WITH {split_ctes(label)},
+{bootstrap_ctes('train', 'vec_id', 10)},
+{centroid_ctes('train', 'samples', 'vec_id', ['replica'])},
+{_plan_ctes(task, runs, seed)},
 valid AS (SELECT c.run_id, c.config, c.task, c.model_no, c.pruning_factor FROM checked c
   WHERE NOT EXISTS (SELECT 1 FROM errs e WHERE e.run_id = c.run_id AND e.config = c.config AND e.task = c.task)),
 w AS (SELECT v.run_id, v.config, v.model_no, v.pruning_factor, 'class_' || CAST(c.class_id AS VARCHAR) || '.weight' AS layer,
@@ -300,9 +326,12 @@ pc AS (SELECT rk.run_id, rk.config, rk.model_no, rk.class_id, rk.pos AS dim, CAS
 {vote_ctes('probs', 'vec_id', ['run_id', 'config'])},
 aligned AS (SELECT p.run_id, p.config, p.vec_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (vec_id)),
 conf AS (SELECT run_id, config, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
-{report_ctes('conf', ['run_id', 'config'])},
-results AS (SELECT run_id, config, 'embeddings' AS task, accuracy, macro_f1 FROM report)
-"""
+{report_ctes('conf', ['run_id', 'config'])}
+SELECT run_id, config, '{task}' AS task, accuracy, macro_f1 FROM report)"""
+
+
+def evaluate_ctes(runs: tuple[int, ...] = (0,), seed: str = "'models'") -> str:
+    return "WITH results AS (" + " UNION ALL ".join(_evaluate_task(t, e, runs, seed) for t, e in TASKS.items()) + ")\n"
 
 
 def consolidated_cte() -> str:
@@ -320,10 +349,8 @@ def leaderboard_select(src: str = "cons") -> str:
   ON f.task = a.task AND f._r = 1 WHERE a._r = 1"""
 
 
-def variance_ctes() -> str:
-    return f"""WITH emb_split AS ({split_cte('embeddings', 'vec_id')}),
-train AS (SELECT * FROM emb_split WHERE split = 'val'),
-test AS (SELECT * FROM emb_split WHERE split = 'test'),
+def _variance_case(config: int, model: str, task: str) -> str:
+    return f"""(WITH {split_ctes(TASKS[task])},
 {bootstrap_ctes('train', 'vec_id', 10)},
 {double_bootstrap_ctes('train', 'vec_id')},
 allsamp AS (SELECT 'Single' AS kind, replica AS i, 0 AS j, vec_id, mult FROM samples
@@ -334,36 +361,39 @@ allsamp AS (SELECT 'Single' AS kind, replica AS i, 0 AS j, vec_id, mult FROM sam
 aligned AS (SELECT p.kind, p.i, p.vec_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (vec_id)),
 conf AS (SELECT kind, i, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
 {report_ctes('conf', ['kind', 'i'])}
-"""
+SELECT {config} AS config, '{model}' AS model_name, '{task}' AS task, * FROM report)"""
+
+
+def variance_ctes() -> str:
+    cases = [(0, "centroid", "embeddings"), (1, "centroid", "parity")]
+    return "WITH report AS (" + " UNION ALL ".join(_variance_case(*c) for c in cases) + ")\n"
 
 
 # ---- trial search ------------------------------------------------------------------------------
 
-def search_ctes() -> str:
-    from quiver.plans.search import BATCHES, EPOCHS, LR_RANGE, SHRINK_SCALE, TRIALS_PER_CELL, WD_RANGE
-    lo, hi = LR_RANGE
-    wlo, whi = WD_RANGE
+def _search_task(task: str, objective: str) -> str:
     tkey = "CAST(e AS VARCHAR) || ':' || CAST(b AS VARCHAR) || ':' || CAST(t AS VARCHAR)"
     two60 = "1152921504606846976.0"
-    return f"""WITH emb_split AS ({split_cte('embeddings', 'vec_id')}),
-train AS (SELECT * FROM emb_split WHERE split = 'val'),
-test AS (SELECT * FROM emb_split WHERE split = 'test'),
-{bootstrap_ctes('train', 'vec_id', max(EPOCHS))},
+    return f"""(WITH {split_ctes(TASKS[task])},
+{bootstrap_ctes('train', 'vec_id', 5)},
 grid AS (SELECT CAST(e AS INTEGER) AS e, CAST(b AS INTEGER) AS b, CAST(t AS INTEGER) AS t
-  FROM (VALUES {', '.join(f'({x})' for x in EPOCHS)}) ge(e), (VALUES {', '.join(f'({x})' for x in BATCHES)}) gb(b), range({TRIALS_PER_CELL}) gt(t)),
+  FROM (VALUES (3), (5)) ge(e), (VALUES (32), (16)) gb(b), range(5) gt(t)),
 trials AS (SELECT 'e-' || CAST(e AS VARCHAR) || '-b-' || CAST(b AS VARCHAR) || '-t-' || CAST(t AS VARCHAR) AS trial_id,
   e AS epochs, b AS batch,
-  {lo!r} + {hi - lo!r} * (CAST({H("'trial-lr'", tkey)} AS DOUBLE) / {two60}) AS learning_rate,
-  {wlo!r} + {whi - wlo!r} * (CAST({H("'trial-wd'", tkey)} AS DOUBLE) / {two60}) AS weight_decay FROM grid),
+  0.00001 + (0.00005 - 0.00001) * (CAST({H("'trial-lr'", tkey)} AS DOUBLE) / {two60}) AS learning_rate,
+  0.005 + (0.2 - 0.005) * (CAST({H("'trial-wd'", tkey)} AS DOUBLE) / {two60}) AS weight_decay FROM grid),
 cells AS (SELECT s.replica, t.label AS class_id, s.mult, CAST(unnest(t.embedding) AS DOUBLE) AS x,
   CAST(generate_subscripts(t.embedding, 1) - 1 AS INTEGER) AS dim FROM samples s JOIN train t USING (vec_id)),
 sums AS (SELECT replica, class_id, dim, sum(mult * x) AS sx, sum(mult) AS sw FROM cells GROUP BY ALL),
 per_trial AS (SELECT t.trial_id, s.replica, s.class_id, s.dim,
-  s.sx / (CAST(s.sw AS DOUBLE) + {SHRINK_SCALE!r} * t.weight_decay) AS value FROM sums s JOIN trials t ON s.replica < t.epochs),
+  s.sx / (CAST(s.sw AS DOUBLE) + 100.0 * t.weight_decay) AS value FROM sums s JOIN trials t ON s.replica < t.epochs),
 {scoring_ctes('test', 'per_trial', 'vec_id', ['trial_id', 'replica'])},
 {vote_ctes('probs', 'vec_id', ['trial_id'])},
 aligned AS (SELECT p.trial_id, p.vec_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (vec_id)),
 conf AS (SELECT trial_id, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
-{report_ctes('conf', ['trial_id'])},
-scored AS (SELECT t.*, r.accuracy, r.macro_f1 AS objective FROM trials t JOIN report r USING (trial_id))
-"""
+{report_ctes('conf', ['trial_id'])}
+SELECT '{task}' AS task, '{objective}' AS metric, t.*, r.accuracy, r.{objective} AS objective FROM trials t JOIN report r USING (trial_id))"""
+
+
+def search_ctes() -> str:
+    return "WITH scored AS (" + _search_task("embeddings", "macro_f1") + " UNION ALL " + _search_task("parity", "accuracy") + ")\n"

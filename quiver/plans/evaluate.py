@@ -1,75 +1,96 @@
 """Evaluate many ensemble configurations in one plan (G8) with per-configuration error isolation.
 
 A configuration picks k of the trained replicas (M5), prunes each picked model with its
-factor (T5), and soft-votes them over the test half. All configurations are keyed by
-(run_id, config) and go through scoring together; a configuration naming an untrained
-model is routed to the error table while the others complete.
+factor (T5), and soft-votes them over the test half of every task. All configurations of a task
+are keyed by (run_id, config) and go through scoring together; a configuration naming an
+untrained model is routed to the error table while the others complete.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from collections.abc import Sequence
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.operators import learn, metrics, prune, sampling, score
 from quiver.plans.centroid_ensemble import train_test
+from quiver.plans.experiment import config_task_grid
 from quiver.session import materialize
 
 
-@dataclass
-class Evaluation:
-    results: DataFrame     # (run_id, config, task, accuracy, macro_f1)
-    errors: DataFrame      # (run_id, config, task, error)
-    report: DataFrame      # full classification report per (run_id, config)
-
-
-def configs_from_nation(nation: DataFrame, task: str = "embeddings") -> DataFrame:
-    """Configurations by a fixed rule: config = nation key, k = 1 + 3 x region key models
+def configs_from_nation(nation: DataFrame, tasks: Sequence[str] = ("embeddings", "parity")) -> DataFrame:
+    """Config x task grid (X4) by a fixed rule: config = nation key, k = 1 + 3 x region key models
     (k = 13 asks for models 10-12, which are never trained), factor = (key mod 5) / 10."""
-    return nation.select(F.col("n_nationkey").cast("int").alias("config"), F.lit(task).alias("task"),
-                         (1 + 3 * F.col("n_regionkey")).cast("int").alias("num_models"),
-                         (F.pmod(F.col("n_nationkey"), F.lit(5)).cast("double") / 10).alias("pruning_factor"))
+    configs = nation.select(F.col("n_nationkey").cast("int").alias("config"), (1 + 3 * F.col("n_regionkey")).cast("int").alias("num_models"),
+                            (F.pmod(F.col("n_nationkey"), F.lit(5)).cast("double") / 10).alias("pruning_factor"))
+    return config_task_grid(configs, list(tasks)).join(configs, "config").select("config", "task", "num_models", "pruning_factor")
 
 
-def evaluate(emb: DataFrame, configs: DataFrame, key: str = "vec_id", replicas: int = 10,
-             runs: Sequence[int] = (0,), seed: str = "models", task: str = "embeddings") -> Evaluation:
-    train, test = train_test(emb, key)
-    # Trained replicas are written once (a table in the shared checkpoint folder) and read by every configuration:
-    # the pruning histograms below reference them several times.
-    cent = materialize(learn.train_centroids(train, sampling.bootstrap_exact(train, key, replicas), key))
+def plan_models(configs: DataFrame, replicas: int, runs: Sequence[int], seed: str) -> tuple[DataFrame, DataFrame]:
+    """(valid model picks, errors) of every (run_id, config, task): nothing is trained for it."""
     cfg = configs.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
     row_key = F.concat_ws(":", F.col("run_id").cast("string"), F.col("config").cast("string"), F.col("task"))
     chosen = sampling.choose_models(cfg, "num_models", row_key, seed=seed)
-    trained = cent.select(F.col("replica").alias("model_no")).distinct().withColumn("_ok", F.lit(True))
-    # Model lists are tiny (configs x k); the trained-model list is bounded by the replica count.
-    checked = chosen.join(F.broadcast(trained), "model_no", "left")
     unit = ["run_id", "config", "task"]
-    errors = (checked.groupBy(*unit).agg(F.count_if(F.col("_ok").isNull()).alias("_missing"),
-                                         F.count(F.lit(1)).alias("_k"))
-              .filter(F.col("_missing") > 0)
+    missing = F.count_if(F.col("model_no") >= replicas)
+    errors = (chosen.groupBy(*unit).agg(missing.alias("_missing"), F.count(F.lit(1)).alias("_k")).filter(F.col("_missing") > 0)
               .select(*unit, F.concat(F.lit("missing "), F.col("_missing").cast("string"), F.lit(" of "),
                                       F.col("_k").cast("string"), F.lit(" models")).alias("error")))
-    valid = checked.join(errors.select(*unit), unit, "left_anti").select(*unit, "model_no", "pruning_factor")
-
-    mc = ["run_id", "config", "model_no"]
-    weights = valid.join(cent, valid["model_no"] == cent["replica"]).select(
-        *mc, F.concat(F.lit("class_"), F.col("class_id").cast("string"), F.lit(".weight")).alias("layer"),
-        F.col("dim").alias("pos"), "value")
-    # A centroid model holds classes x dims values, so it is ranked in one window partition.
-    pruned = prune.prune_weights(weights, valid.select(*mc, "pruning_factor"), mc, bounded_models=True)
-    cells = pruned.select(*mc, F.regexp_extract("layer", r"class_(\d+)\.weight", 1).cast("int").alias("class_id"),
-                          F.col("pos").alias("dim"), "value")
-    models = materialize(learn.pack_centroids(cells, mc).withColumn("task", F.lit(task)))
-    group = ["run_id", "config"]
-    aligned = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
-                                               vote_by=group, predict=True, label="label").drop("task")
-    conf = metrics.confusion(aligned, group)
-    report = metrics.classification_report(conf, group).withColumn("task", F.lit(task))
-    results = report.select("run_id", "config", "task", "accuracy", "macro_f1")
-    return Evaluation(results=results, errors=errors, report=report)
+    valid = chosen.join(errors.select(*unit), unit, "left_anti").select(*unit, "model_no", "pruning_factor")
+    return valid, errors
+
+
+class Evaluation:
+    """Errors come from the plan alone; results are trained, pruned and scored on first use."""
+
+    def __init__(self, emb: DataFrame, configs: DataFrame, key: str, replicas: int, runs: Sequence[int], seed: str) -> None:
+        self._valid, self.errors = plan_models(configs, replicas, runs, seed)
+        self._emb, self._key, self._replicas = emb, key, replicas
+
+    @cached_property
+    def report(self) -> DataFrame:
+        """Full classification report per (run_id, config, task).
+
+        Configurations share trained replicas, so each distinct (task, replica, factor) is pruned and scored
+        once; a configuration's vote is the sum over its picks, carried as the list of its members.
+        """
+        key, mc, group = self._key, ["model_no", "factor"], ["run_id", "config"]
+        tasks = sorted(r[0] for r in self._valid.select("task").distinct().collect())  # the tasks of the plan
+        valid = materialize(self._valid.withColumnRenamed("pruning_factor", "factor"))
+        reports = []
+        for task in tasks:
+            label = TASK_LABELS[task]
+            rows = self._emb.select(key, "embedding", F.expr(label).cast("int").alias("label"))
+            train, test = train_test(rows, key)
+            cent = materialize(learn.train_centroids(train, sampling.bootstrap_exact(train, key, self._replicas), key))
+            own = valid.where(F.col("task") == task)
+            pairs = own.select(*mc).distinct()
+            weights = pairs.join(cent, pairs["model_no"] == cent["replica"]).select(
+                *mc, F.concat(F.lit("class_"), F.col("class_id").cast("string"), F.lit(".weight")).alias("layer"), F.col("dim").alias("pos"), "value")
+            weights = materialize(weights)
+            pruned = prune.prune_weights(weights, pairs.withColumn("pruning_factor", F.col("factor")), mc)
+            cells = pruned.select(*mc, F.regexp_extract("layer", r"class_(\d+)\.weight", 1).cast("int").alias("class_id"), F.col("pos").alias("dim"), "value")
+            members = own.groupBy(*mc).agg(F.collect_list(F.struct(*group)).alias("members"))  # at most all configurations
+            models = materialize(learn.pack_centroids(cells, mc).join(members, mc).withColumn("task", F.lit(task)))
+            aligned = score.score_centroids(test.withColumn("task", F.lit(task)), models, key, model_cols=mc, vote_by=group, predict=True, label="label", members="members")
+            reports.append(metrics.classification_report(metrics.confusion(aligned, [*group, "task"]), [*group, "task"]))
+        return reduce(DataFrame.unionByName, reports)
+
+    @cached_property
+    def results(self) -> DataFrame:
+        return self.report.select("run_id", "config", "task", "accuracy", "macro_f1")
+
+
+# Labels of the evaluated tasks, derived from the embeddings' label by a fixed rule
+TASK_LABELS = {"embeddings": "label", "parity": "label % 2"}
+
+
+def evaluate(emb: DataFrame, configs: DataFrame, key: str = "vec_id", replicas: int = 10,
+             runs: Sequence[int] = (0,), seed: str = "models") -> Evaluation:
+    """Evaluate every (run, config, task) of ``configs`` (config, task, num_models, pruning_factor)."""
+    return Evaluation(emb, configs, key, replicas, runs, seed)
 
 
 def run_and_record(ev: Evaluation, results_path: str, errors_path: str, run_id: int, fmt: str = "parquet") -> DataFrame:

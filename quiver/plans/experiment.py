@@ -25,6 +25,8 @@ SUFFIXES = {
 STAMP_LEN = 23  # length of a run-stamp directory such as the suffixes above
 # Configurations evaluated by the reference's validation run, as ranges [start, stop).
 VALIDATION_CONFIG_RANGES = [(50, 102), (1, 8), (12, 41), (102, 118)]
+# Configurations of the later validation run, by number.
+VALIDATION_CONFIG_IDS = [8, 50, 51, 52, 53, 54, 110, 111, 112, 114, 115, 116, 117, 16, 17, 20, 21]
 # Rows of the variance table read by the reference's variance analysis.
 VARIANCE_ROW_INDEX = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]
 VALIDATION_TASKS = ["CB", "BoolQ", "RTE"]
@@ -63,8 +65,11 @@ def in_ranges(c: Column, ranges: Iterable[tuple[int, int]]) -> Column:
     return cond
 
 
-def select_configs(table: DataFrame, ranges: Sequence[tuple[int, int]] = tuple(VALIDATION_CONFIG_RANGES)) -> DataFrame:
-    """Rows whose config lies in a union of ranges."""
+def select_configs(table: DataFrame, ranges: Sequence[tuple[int, int]] = tuple(VALIDATION_CONFIG_RANGES),
+                   ids: Sequence[int] | None = None) -> DataFrame:
+    """Rows whose config lies in a union of ranges, or in an explicit list of ids."""
+    if ids is not None:
+        return table.filter(F.col("config").isin(list(ids)))
     return table.filter(in_ranges(F.col("config"), ranges))
 
 

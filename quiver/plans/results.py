@@ -13,7 +13,8 @@ def consolidate(results: DataFrame, order_col: str = "run_id", keys=("config", "
     all rows still reaches the shuffle as one row per task.
     """
     value_cols = [c for c in results.columns if c not in (*keys, order_col)]
-    latest = F.max_by(F.struct(*value_cols), F.col(order_col))
+    # results of one run_id for the same key are ordered by their values, so the choice is fixed
+    latest = F.max_by(F.struct(*value_cols), F.struct(order_col, *value_cols))
     return (results.groupBy(*keys).agg(latest.alias("_v"), F.max(order_col).alias(order_col),
                                        F.count(F.lit(1)).alias("n_runs"))
             .select(*keys, order_col, "n_runs", *[F.col(f"_v.{c}").alias(c) for c in value_cols]))

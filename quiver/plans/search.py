@@ -1,11 +1,12 @@
 """Hyperparameter trials (T7) and best trial per grid cell.
 
 Trials are a grid (epochs x batch) times n seeded random draws of learning rate and
-weight decay. Every trial is evaluated in the same plan, keyed by ``trial_id``: the
+weight decay. Every trial of a task is evaluated in the same plan, keyed by ``trial_id``: the
 learner is the bagged centroid model, with ``epochs`` = number of bagged replicas and
-``weight_decay`` shrinking each centroid (mean = sum(mult*x) / (sum(mult) + 100*wd));
-learning rate and batch size are carried as trial fields. The objective is the task's
-selection metric (macro F1 for a multi-class task).
+``weight_decay`` shrinking each centroid (mean = sum(mult*x) / (sum(mult) + 100*wd)). It has a
+closed form, so ``learning_rate`` and ``batch`` have no effect on it; the output says so in
+``no_effect``. The objective is the task's selection metric: macro F1 for a task of many classes,
+accuracy for a binary one.
 """
 
 from __future__ import annotations
@@ -28,10 +29,19 @@ LR_RANGE = (1e-5, 5e-5)
 WD_RANGE = (5e-3, 2e-1)
 # ---------------------------------------------------------------------------------------------
 SHRINK_SCALE = 100.0
+# The searches of the reference's model families: grid, draws a cell, what is drawn
+GRIDS = {
+    "roberta": {"epochs": [3, 5], "batches": [32, 16], "n": 5},
+    "distilroberta": {"epochs": [9, 11], "batches": [16, 32], "n": 5},
+    "gpt2": {"epochs": [2], "batches": [16, 32], "n": 3},
+    "deberta": {"epochs": [5], "batches": [16], "n": 3, "fixed_weight_decay": 0.01},  # learning rate only
+}
+OBJECTIVES = {"embeddings": "macro_f1", "parity": "accuracy"}
+NO_EFFECT = "batch,learning_rate"
 
 
 def make_trials(spark: SparkSession, epochs: Sequence[int] = tuple(EPOCHS), batches: Sequence[int] = tuple(BATCHES),
-                n: int = TRIALS_PER_CELL, seed: str = "trial") -> DataFrame:
+                n: int = TRIALS_PER_CELL, seed: str = "trial", fixed_weight_decay: float | None = None) -> DataFrame:
     """``(trial_id, epochs, batch, learning_rate, weight_decay)``; row-local explodes, seeded draws."""
     g = (spark.range(1)
          .select(F.explode(F.array(*[F.lit(e) for e in epochs])).alias("epochs"))
@@ -45,13 +55,15 @@ def make_trials(spark: SparkSession, epochs: Sequence[int] = tuple(EPOCHS), batc
                     F.lit("t"), F.col("t").cast("string")).alias("trial_id"),
         "epochs", "batch",
         (F.lit(lo) + F.lit(hi - lo) * u(F.lit(f"{seed}-lr"), tkey)).alias("learning_rate"),
-        (F.lit(wlo) + F.lit(whi - wlo) * u(F.lit(f"{seed}-wd"), tkey)).alias("weight_decay"))
+        (F.lit(wlo) + F.lit(whi - wlo) * u(F.lit(f"{seed}-wd"), tkey) if fixed_weight_decay is None else F.lit(fixed_weight_decay)).alias("weight_decay"))
 
 
 def trial_objectives(emb: DataFrame, trials: DataFrame, key: str = "vec_id", task: str = "embeddings") -> DataFrame:
-    """Objective of every trial: ``(trial_id, epochs, batch, learning_rate, weight_decay, accuracy, objective)``."""
+    """Objective of every trial: ``(task, metric, trial_id, epochs, batch, learning_rate, weight_decay, accuracy, objective, no_effect)``."""
+    from quiver.plans.evaluate import TASK_LABELS
+
     epochs = sorted({r[0] for r in trials.select("epochs").distinct().collect()})  # grid values (bounded)
-    train, test = train_test(emb, key)
+    train, test = train_test(emb.select(key, "embedding", F.expr(TASK_LABELS[task]).cast("int").alias("label")), key)
     samples = sampling.bootstrap_exact(train, key, max(epochs))
     cells = samples.join(train.select(key, "embedding", "label"), key).select(
         "replica", F.col("label").cast("int").alias("class_id"), "mult", F.posexplode("embedding").alias("dim", "x"))
@@ -67,13 +79,15 @@ def trial_objectives(emb: DataFrame, trials: DataFrame, key: str = "vec_id", tas
 
     mc = ["trial_id", "replica"]
     models = materialize(pack_centroids(per_trial, mc).withColumn("task", F.lit(task)))
-    aligned = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
-                                               vote_by=["trial_id"], predict=True, label="label").drop("task")
+    aligned = score.score_centroids(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
+                                    vote_by=["trial_id"], predict=True, label="label").drop("task")
     rep = metrics.classification_report(metrics.confusion(aligned, ["trial_id"]), ["trial_id"])
-    return trials.join(rep.select("trial_id", "accuracy", F.col("macro_f1").alias("objective")), "trial_id")
+    metric = OBJECTIVES[task]
+    scored = trials.join(rep.select("trial_id", "accuracy", F.col(metric).alias("objective")), "trial_id")
+    return scored.select(F.lit(task).alias("task"), F.lit(metric).alias("metric"), *scored.columns, F.lit(NO_EFFECT).alias("no_effect"))
 
 
-def best_trial(scored: DataFrame, cell: Sequence[str] = ("epochs", "batch")) -> DataFrame:
+def best_trial(scored: DataFrame, cell: Sequence[str] = ("task", "epochs", "batch")) -> DataFrame:
     """The best trial of each grid cell by objective (ties: smallest trial id)."""
     best = F.min_by(F.struct("trial_id", "learning_rate", "weight_decay", "objective"),
                     F.struct(-F.bround("objective", 9), F.col("trial_id")))

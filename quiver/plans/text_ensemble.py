@@ -1,30 +1,43 @@
 """Bagged naive Bayes over documents: the text counterpart of the centroid ensemble.
 
 documents join labels -> hold-out split -> exact bootstrap replicas of the training half ->
-one multinomial naive Bayes per replica (single aggregation) -> salted token scoring ->
-soft vote -> arg-max -> truth -> confusion.
+one multinomial naive Bayes per replica (single aggregation) -> token scoring, soft vote, arg-max
+and truth in one pass -> confusion.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.operators import ensemble, learn, metrics, sampling, score
+from quiver.operators import learn, metrics, sampling, score
 from quiver.plans.centroid_ensemble import train_test
 from quiver.session import materialize
 
 
-@dataclass
 class TextRun:
-    loglik: DataFrame
-    prior: DataFrame
-    scores: DataFrame
-    predictions: DataFrame
-    aligned: DataFrame
-    confusion: DataFrame
+    """A trained text ensemble; predictions are planned on first use."""
+
+    def __init__(self, loglik: DataFrame, prior: DataFrame, packed: DataFrame, test: DataFrame) -> None:
+        self.loglik, self.prior, self._packed, self._test = loglik, prior, packed, test
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return score.score_naive_bayes(self._test, self._packed, "doc_id")
+
+    @cached_property
+    def aligned(self) -> DataFrame:
+        return score.score_naive_bayes(self._test, self._packed, "doc_id", label="label", predict=True)
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return self.aligned.select("doc_id", "y_pred")
+
+    @cached_property
+    def confusion(self) -> DataFrame:
+        return metrics.confusion(self.aligned)
 
 
 def labelled_documents(documents: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
@@ -45,9 +58,4 @@ def run(documents: DataFrame, labels: DataFrame, label: str = "quality", replica
         loglik, prior = learn.train_naive_bayes(train, samples, "doc_id", alpha=alpha)
     # The trained models (every replica's log-likelihoods and priors, packed per token for
     # scoring) are written once and scored from storage, like the reference's saved models.
-    packed = materialize(score.pack_naive_bayes(loglik, prior))
-    scores = score.score_naive_bayes(test, None, None, "doc_id", packed_model=packed)
-    pred = ensemble.predict(ensemble.soft_vote(scores, "doc_id"), "doc_id")
-    aligned = ensemble.align_truth(pred, test, "doc_id")
-    return TextRun(loglik=loglik, prior=prior, scores=scores, predictions=pred, aligned=aligned,
-                   confusion=metrics.confusion(aligned))
+    return TextRun(loglik, prior, materialize(score.pack_naive_bayes(loglik, prior)), test)

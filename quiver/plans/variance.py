@@ -8,6 +8,8 @@ kinds are compared per i with conditional aggregates (no per-i loop).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,27 +18,40 @@ from quiver.plans.centroid_ensemble import train_test
 from quiver.session import materialize
 
 
-def single_vs_double(emb: DataFrame, key: str = "vec_id", outer: int = 10, inner: int = 5,
-                     task: str = "embeddings") -> tuple[DataFrame, DataFrame]:
-    """Returns (report per (kind, i), paired rows per i)."""
-    train, test = train_test(emb, key)
+# The cases of the variance table: configuration, model and task of every analysed row. The reference's
+# own are trained networks; here the same learner is trained on a task's labels (see evaluate.TASK_LABELS).
+CASES = [(0, "centroid", "embeddings"), (1, "centroid", "parity")]
+CASE = ["config", "model_name", "task"]
+
+
+def single_vs_double(emb: DataFrame, key: str = "vec_id", outer: int = 10, inner: int = 5, cases=tuple(CASES)) -> tuple[DataFrame, DataFrame]:
+    """Returns (report per (config, model_name, task, kind, i), paired rows per (config, model_name, task, i))."""
+    from quiver.plans.evaluate import TASK_LABELS
+
+    mc, group = ["kind", "i", "j"], ["kind", "i"]
+    reports = []
+    # every case has the same rows, so the split and the samples are drawn once
+    train, test = train_test(emb.select(key, "embedding", "label"), key)
     single = sampling.bootstrap_exact(train, key, outer).select(
         F.lit("Single").alias("kind"), F.col("replica").alias("i"), F.lit(0).alias("j"), key, "mult")
     double = sampling.double_bootstrap(train, key, outer, inner).select(F.lit("Double").alias("kind"), "i", "j", key, "mult")
-    mc = ["kind", "i", "j"]
-    cent = learn.train_centroids(train, single.unionByName(double), key, model_cols=mc)
-    models = materialize(learn.pack_centroids(cent, mc).withColumn("task", F.lit(task)))
-    group = ["kind", "i"]
-    aligned = score.score_centroids_vectorized(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
-                                               vote_by=group, predict=True, label="label").drop("task")
-    report = metrics.classification_report(metrics.confusion(aligned, group), group)
+    samples = materialize(single.unionByName(double))
+    for config, model_name, task in cases:
+        label = F.expr(TASK_LABELS[task]).cast("int").alias("label")
+        rows = test.select(key, "embedding", label, F.lit(task).alias("task"))
+        cent = learn.train_centroids(train.select(key, "embedding", label), samples, key, model_cols=mc)
+        models = materialize(learn.pack_centroids(cent, mc).withColumn("task", F.lit(task)))
+        aligned = score.score_centroids(rows, models, key, model_cols=mc, vote_by=group, predict=True, label="label")
+        report = metrics.classification_report(metrics.confusion(aligned, group), group)
+        reports.append(report.select(F.lit(config).alias("config"), F.lit(model_name).alias("model_name"), F.lit(task).alias("task"), *report.columns))
+    report = reduce(DataFrame.unionByName, reports)
 
     def pick(kind: str, metric: str):
         return F.max(F.when(F.col("kind") == kind, F.col(metric))).alias(f"{kind.lower()}_{metric}")
 
-    paired = report.groupBy("i").agg(pick("Single", "accuracy"), pick("Single", "macro_f1"),
-                                     pick("Double", "accuracy"), pick("Double", "macro_f1"))
-    return report, paired.withColumn("task", F.lit(task))
+    paired = report.groupBy(*CASE, "i").agg(pick("Single", "accuracy"), pick("Single", "macro_f1"),
+                                            pick("Double", "accuracy"), pick("Double", "macro_f1"))
+    return report, paired
 
 
 def variance_summary(report: DataFrame) -> DataFrame:
@@ -44,4 +59,4 @@ def variance_summary(report: DataFrame) -> DataFrame:
     aggs = []
     for m in ("accuracy", "macro_f1"):
         aggs += [F.avg(m).alias(f"mean_{m}"), F.var_samp(m).alias(f"var_{m}"), F.stddev_samp(m).alias(f"std_{m}")]
-    return report.groupBy("kind").agg(F.count(F.lit(1)).alias("n_models"), *aggs)
+    return report.groupBy(*CASE, "kind").agg(F.count(F.lit(1)).alias("n_models"), *aggs)

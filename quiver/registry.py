@@ -56,10 +56,9 @@ def q_bootstrap_exact(spark, sf):
 
 
 def _poisson_sql() -> str:
-    mult = " + ".join(f"CAST(_h >= {t} AS INTEGER)" for t in sampling.POISSON_THRESHOLDS)
     h = O.H("'poisson' || CAST(r.replica AS VARCHAR)", "e.vec_id")
     return f"""SELECT replica, vec_id, mult FROM (
-  SELECT CAST(replica AS INTEGER) AS replica, vec_id, {mult} AS mult FROM (
+  SELECT CAST(replica AS INTEGER) AS replica, vec_id, {O.poisson_sql('_h')} AS mult FROM (
     SELECT r.replica, e.vec_id, {h} AS _h FROM embeddings e CROSS JOIN range(10) r(replica)))
 WHERE mult > 0"""
 
@@ -165,6 +164,11 @@ def q_configs_in(spark, sf):
     return X.select_configs(_clean(spark, sf))
 
 
+@register("configs_listed", f"{_EXP} SELECT {_CLEAN_COLS} FROM exp_clean WHERE config IN (8, 50, 51, 52, 53, 54, 110, 111, 112, 114, 115, 116, 117, 16, 17, 20, 21)")
+def q_configs_listed(spark, sf):
+    return X.select_configs(_clean(spark, sf), ids=X.VALIDATION_CONFIG_IDS)
+
+
 @register("rows_in", f"{_EXP} SELECT {_CLEAN_COLS} FROM exp_clean WHERE row_id IN ({', '.join(map(str, X.VARIANCE_ROW_INDEX))})")
 def q_rows_in(spark, sf):
     return X.select_rows(_clean(spark, sf))
@@ -307,8 +311,8 @@ def q_label_encode(spark, sf):
     return _encoded_labels(spark, sf)
 
 
-_TASK_DIM_SQL = "(VALUES " + ", ".join(
-    f"('{t}', {TK.n_classes(t)}, '{TK.SELECTION_METRIC[t]}')" for t in TK.LABEL_MAPS) + ") d(task, n_classes, selection_metric)"
+_TASK_DIM_SQL = """(VALUES ('CB', 3, 'f1'), ('RTE', 2, 'accuracy'), ('BoolQ', 2, 'accuracy'), ('MultiRC', 2, 'f1'), ('COPA', 2, 'accuracy'))
+  d(task, n_classes, selection_metric)"""
 
 
 @register("task_dim", f"""WITH {_LABELS_SQL}
@@ -404,7 +408,7 @@ def q_evaluate_config(spark, sf):
     return rounded(_evaluation(spark, sf).results)
 
 
-@register("report_errors", O.evaluate_ctes() + "SELECT run_id, config, task, error FROM errs")
+@register("report_errors", O.errors_sql())
 def q_report_errors(spark, sf):
     return _evaluation(spark, sf).errors
 
@@ -422,71 +426,183 @@ def q_leaderboard(spark, sf):
 
 # ---- single vs double bootstrap (V1, V2) -------------------------------------------------------
 
-@register("single_vs_double", O.variance_ctes() + f"""SELECT i,
+@register("single_vs_double", O.variance_ctes() + f"""SELECT config, model_name, task, i,
   round(max(accuracy) FILTER (WHERE kind = 'Single'), {O.R}) AS single_accuracy,
   round(max(macro_f1) FILTER (WHERE kind = 'Single'), {O.R}) AS single_macro_f1,
   round(max(accuracy) FILTER (WHERE kind = 'Double'), {O.R}) AS double_accuracy,
-  round(max(macro_f1) FILTER (WHERE kind = 'Double'), {O.R}) AS double_macro_f1, 'embeddings' AS task FROM report GROUP BY i""")
+  round(max(macro_f1) FILTER (WHERE kind = 'Double'), {O.R}) AS double_macro_f1 FROM report GROUP BY config, model_name, task, i""")
 def q_single_vs_double(spark, sf):
     return rounded(VA.single_vs_double(table(spark, sf, "embeddings"))[1])
 
 
-@register("variance_summary", O.variance_ctes() + f"""SELECT kind, count(*) AS n_models,
+@register("variance_summary", O.variance_ctes() + f"""SELECT config, model_name, task, kind, count(*) AS n_models,
   {O.rnd('avg(accuracy)', 'mean_accuracy')}, {O.rnd('var_samp(accuracy)', 'var_accuracy')}, {O.rnd('stddev_samp(accuracy)', 'std_accuracy')},
   {O.rnd('avg(macro_f1)', 'mean_macro_f1')}, {O.rnd('var_samp(macro_f1)', 'var_macro_f1')}, {O.rnd('stddev_samp(macro_f1)', 'std_macro_f1')}
-  FROM report GROUP BY kind""")
+  FROM report GROUP BY config, model_name, task, kind""")
 def q_variance_summary(spark, sf):
     return rounded(VA.variance_summary(VA.single_vs_double(table(spark, sf, "embeddings"))[0]))
 
 
-# ---- encoding: E1, E2 (rows-only checks: DuckDB has no BPE tokenizer) ---------------------------
-
-from quiver.operators import encode as EN  # noqa: E402
+# ---- T3: distributed logistic regression per replica ------------------------------------------------
 
+from quiver.operators import learn as LN  # noqa: E402
 
-@register("encode_pairs")
-def q_encode_pairs(spark, sf):
-    pairs = TK.pair_text(D.conversation_pairs(table(spark, sf, "conversations")), "CB")
-    return EN.encode_pairs(pairs, keep=["conv_id", "turn"])
+_LOGISTIC_REPLICAS = list(range(5))
 
 
-@register("examples")
-def q_examples(spark, sf):
-    """Documents as MultiRC-shaped examples: passage = the whole text, answer = its source, label = quality."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    rows = docs.select("doc_id", F.col("text").alias("passage"), F.col("source").alias("question_answer_concat"),
-                       F.col("quality").cast("string").alias("label"))
-    encoded = TK.label_encode(TK.pair_text(rows, "MultiRC"), "MultiRC")
-    return EN.assemble_examples(encoded, "doc_id")
+def _logistic(spark, sf):
+    """(train half, samples, models): weight decay and epochs come from the hyperparameter table's first row."""
+    train, test = CE.train_test(table(spark, sf, "embeddings"), "vec_id")
+    samples = sampling.bootstrap_exact(train, "vec_id", len(_LOGISTIC_REPLICAS))
+    hp = D.hyperparams(spark).orderBy("file_row").first()
+    models = LN.train_logistic(train, samples, "vec_id", _LOGISTIC_REPLICAS, reg_param=hp["weight_decay"], max_iter=40 * hp["n_epochs"])
+    return train, test, samples, models
 
 
-# ---- T3: distributed logistic regression per replica (rows-only check) ---------------------------
-
 @register("train_logistic")
 def q_train_logistic(spark, sf):
-    emb = table(spark, sf, "embeddings")
-    train, _ = CE.train_test(emb, "vec_id")
-    from quiver.operators import learn as LN
-    return LN.train_logistic(train, sampling.bootstrap_exact(train, "vec_id", 5), "vec_id", max_iter=50)
+    return LN.logistic_coefficients(spark, _logistic(spark, sf)[3])
+
+
+@register("train_logistic_moments", f"""WITH {O.split_ctes('label')},
+{O.bootstrap_ctes('train', 'vec_id', 5)}
+SELECT s.replica, t.label AS class_id, round(CAST(sum(s.mult) AS DOUBLE), 2) AS fitted FROM samples s JOIN train t USING (vec_id) GROUP BY ALL""")
+def q_train_logistic_moments(spark, sf):
+    """With free intercepts, the fitted probabilities of a class add up to its weighted count at the optimum;
+    two decimals are the solver's tolerance."""
+    train, _, samples, models = _logistic(spark, sf)
+    probs = LN.logistic_scores(train, models, "vec_id")
+    sums = probs.join(samples, ["replica", "vec_id"]).groupBy("replica", "class_id").agg(F.round(F.sum(F.col("mult") * F.col("prob")), 2).alias("fitted"))
+    return sums.filter(F.col("fitted") > 0)
+
+
+@register("logistic_report")
+def q_logistic_report(spark, sf):
+    """The logistic ensemble through vote, arg-max, truth and report."""
+    from quiver.operators import ensemble
+
+    _, test, _, models = _logistic(spark, sf)
+    pred = ensemble.predict(ensemble.soft_vote(LN.logistic_scores(test, models, "vec_id"), "vec_id"), "vec_id")
+    return rounded(metrics.classification_report(metrics.confusion(ensemble.align_truth(pred, test, "vec_id"))))
 
 
 # ---- T7, T8: trial search --------------------------------------------------------------------
 
 from quiver.plans import search as SE  # noqa: E402
 
-_TRIAL_COLS = "trial_id, epochs, batch, learning_rate, weight_decay, accuracy, objective"
 
+def _scored_trials(spark, sf) -> DataFrame:
+    emb, trials = table(spark, sf, "embeddings"), SE.make_trials(spark)
+    return SE.trial_objectives(emb, trials, task="embeddings").unionByName(SE.trial_objectives(emb, trials, task="parity"))
 
-@register("trial_objectives", O.search_ctes() + "SELECT trial_id, epochs, batch, " +
+
+@register("trial_objectives", O.search_ctes() + "SELECT task, metric, trial_id, epochs, batch, 'batch,learning_rate' AS no_effect, " +
           ", ".join(O.rnd(c, c) for c in ["learning_rate", "weight_decay", "accuracy", "objective"]) + " FROM scored")
 def q_trial_objectives(spark, sf):
-    scored = SE.trial_objectives(table(spark, sf, "embeddings"), SE.make_trials(spark))
-    return rounded(scored.select(*[c.strip() for c in _TRIAL_COLS.split(",")]))
+    return rounded(_scored_trials(spark, sf))
 
 
-@register("best_trial", O.search_ctes() + f"""SELECT epochs, batch, n_trials, trial_id, {O.rnd('learning_rate', 'learning_rate')},
+@register("best_trial", O.search_ctes() + f"""SELECT task, epochs, batch, n_trials, trial_id, {O.rnd('learning_rate', 'learning_rate')},
   {O.rnd('weight_decay', 'weight_decay')}, {O.rnd('objective', 'objective')} FROM (
-  SELECT *, count(*) OVER (PARTITION BY epochs, batch) AS n_trials,
-    row_number() OVER (PARTITION BY epochs, batch ORDER BY round_even(objective, 9) DESC, trial_id) AS _r FROM scored) WHERE _r = 1""")
+  SELECT *, count(*) OVER (PARTITION BY task, epochs, batch) AS n_trials,
+    row_number() OVER (PARTITION BY task, epochs, batch ORDER BY round_even(objective, 9) DESC, trial_id) AS _r FROM scored) WHERE _r = 1""")
 def q_best_trial(spark, sf):
-    return rounded(SE.best_trial(SE.trial_objectives(table(spark, sf, "embeddings"), SE.make_trials(spark))))
+    return rounded(SE.best_trial(_scored_trials(spark, sf)))
+
+
+# ---- sources and sinks: S1, S4, S5, S7, S8, written from driver tables and read back --------------------
+
+from quiver.session import tables_dir  # noqa: E402
+from quiver.sources import readers as RD  # noqa: E402
+from quiver.sources import sinks as SK  # noqa: E402
+
+
+def _scratch(spark) -> str:
+    import uuid
+
+    return f"{tables_dir(spark)}/{uuid.uuid4().hex}"
+
+
+_PAIRS_SQL = """SELECT c.conv_id * 1000 + c.turn AS idx, c.text AS premise, n1.text AS hypothesis,
+  CASE WHEN c.turn % 2 = 0 THEN 'entailment' END AS label FROM conversations c
+  JOIN conversations n1 ON n1.conv_id = c.conv_id AND n1.turn = c.turn + 1 AND n1.role = 'assistant' WHERE c.role = 'user'"""
+
+
+@register("read_task", _PAIRS_SQL)
+def q_read_task(spark, sf):
+    """Task rows written as JSON lines and read with the task's declared schema."""
+    pairs = D.conversation_pairs(table(spark, sf, "conversations"))
+    rows = pairs.select("premise", "hypothesis", F.when(F.col("turn") % 2 == 0, "entailment").alias("label"), (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"))
+    path = _scratch(spark)
+    rows.write.json(path)
+    return RD.read_task(spark, path, "CB")
+
+
+@register("read_hyperparams", """SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS file_row, n_name AS model_name,
+  ['CB', 'BoolQ', 'RTE'][(n_nationkey % 3) + 1] AS task, CAST(1 + n_regionkey AS INTEGER) AS n_epochs, 16 AS train_batch_size,
+  round(n_nationkey / 1000.0, 6) AS learning_rate, round(n_regionkey / 100.0, 6) AS weight_decay FROM nation""")
+def q_read_hyperparams(spark, sf):
+    """A JSON array of flat objects in file order, one small file."""
+    task = F.element_at(F.array(F.lit("CB"), F.lit("BoolQ"), F.lit("RTE")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    rows = table(spark, sf, "nation").select("n_nationkey", F.struct(
+        F.col("n_name").alias("model_name"), task.alias("task"), (1 + F.col("n_regionkey")).cast("int").alias("n_epochs"), F.lit(16).alias("train_batch_size"),
+        (F.col("n_nationkey") / 1000.0).alias("learning_rate"), (F.col("n_regionkey") / 100.0).alias("weight_decay")).alias("h"))
+    path = _scratch(spark)
+    listed = rows.agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "h"))).alias("a"))  # one row a nation
+    listed.select(F.to_json(F.transform("a", lambda x: x["h"])).alias("value")).write.text(path)
+    return rounded(RD.read_hyperparams(spark, path))
+
+
+def _supplier_results(spark, sf) -> DataFrame:
+    """Result rows by a fixed rule: task by supplier key, no time for every seventh."""
+    key = F.col("s_suppkey")
+    task = F.element_at(F.array(F.lit("CB"), F.lit("BoolQ"), F.lit("RTE")), (key % 3 + 1).cast("int"))
+    return table(spark, sf, "supplier").select(key.cast("int").alias("config"), task.alias("task"), F.when(key % 7 != 0, key / 8.0).alias("time"),
+                                               (key % 100 / 128.0).alias("accuracy"), (key % 64 / 64.0).alias("macro_f1"))
+
+
+_RESULTS_SQL = """SELECT CAST(s_suppkey AS INTEGER) AS config, ['CB', 'BoolQ', 'RTE'][(s_suppkey % 3) + 1] AS task,
+  round(CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey / 8.0 END, 6) AS time, round(s_suppkey % 100 / 128.0, 6) AS accuracy, round(s_suppkey % 64 / 64.0, 6) AS macro_f1"""
+
+
+@register("append_report", f"{_RESULTS_SQL}, CAST(r AS INTEGER) AS run_id FROM supplier CROSS JOIN range(2) t(r)")
+def q_append_report(spark, sf):
+    """Two runs appended to one table, nothing rewritten."""
+    path = _scratch(spark)
+    for run_id in (0, 1):
+        SK.append_report(_supplier_results(spark, sf), path, run_id)
+    return rounded(spark.read.parquet(path).select("config", "task", "time", "accuracy", "macro_f1", "run_id"))
+
+
+@register("append_report_consolidated", f"""SELECT config, task, 1 AS run_id, 2 AS n_runs, time, accuracy, macro_f1 FROM ({_RESULTS_SQL} FROM supplier)""")
+def q_append_report_consolidated(spark, sf):
+    """S5 then V4: the later of two appended runs."""
+    path = _scratch(spark)
+    SK.append_report(_supplier_results(spark, sf).withColumn("accuracy", F.lit(0.0)), path, 0)
+    SK.append_report(_supplier_results(spark, sf), path, 1)
+    return rounded(RS.consolidate(spark.read.parquet(path)).select("config", "task", "run_id", F.col("n_runs").cast("int").alias("n_runs"), "time", "accuracy", "macro_f1"))
+
+
+@register("append_variance_report", """SELECT CAST(s_suppkey AS INTEGER) AS config, 'centroid' AS model_name, 'CB' AS task, round(s_suppkey % 10 / 16.0, 6) AS single_accuracy,
+  round(s_suppkey % 11 / 16.0, 6) AS single_macro_f1, round(s_suppkey % 12 / 16.0, 6) AS double_accuracy, round(s_suppkey % 13 / 16.0, 6) AS double_macro_f1,
+  CAST(r AS INTEGER) AS run_id FROM supplier CROSS JOIN range(2) t(r)""")
+def q_append_variance_report(spark, sf):
+    """Paired rows of two runs appended."""
+    key = F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select(key.cast("int").alias("config"), F.lit("centroid").alias("model_name"), F.lit("CB").alias("task"),
+                                               *[(key % m / 16.0).alias(c) for m, c in ((10, "single_accuracy"), (11, "single_macro_f1"), (12, "double_accuracy"), (13, "double_macro_f1"))])
+    path = _scratch(spark)
+    for run_id in (0, 1):
+        SK.append_variance_report(rows, path, run_id)
+    return rounded(spark.read.parquet(path))
+
+
+@register("read_results", f"{_RESULTS_SQL} FROM supplier")
+def q_read_results(spark, sf):
+    """A results CSV with empty times and CRLF line ends."""
+    path = _scratch(spark)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in SK.REPORT_COLUMNS]
+    lines = _supplier_results(spark, sf).coalesce(1).select(F.concat(F.concat_ws(",", *cells), F.lit("\r")).alias("value"))
+    head = spark.range(0, 1, 1, 1).select(F.lit(",".join(SK.REPORT_COLUMNS) + "\r").alias("value"))
+    head.unionByName(lines).coalesce(1).write.text(path)
+    return rounded(RD.read_results(spark, path))

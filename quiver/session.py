@@ -50,7 +50,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("QUIVER_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("QUIVER_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -92,28 +92,45 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a scratch one only when the session has none."""
+    """The shared folder for written tables: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Without either, a local session (tests) gets a scratch folder; on a cluster there is no folder
+    that all executors share, so this raises.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.split("[")[0] == "local":
+        raise RuntimeError(f"set spark.checkpoint.dir to storage that the driver and all executors share (master {sc.master})")
     path = configured or tempfile.mkdtemp(prefix="quiver-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's written tables lie."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/quiver-tables/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a written table in the shared checkpoint folder, and read it back.
 
     The write is an ordinary query, so AQE sizes its output (a 10-row model table becomes one
     file, a large table many), and the re-read table carries real size statistics for later
     join planning. The files live under ``spark.checkpoint.dir`` (shared storage on a cluster),
-    so a lost executor does not lose them. Never a local checkpoint.
+    so a lost executor does not lose them; :func:`release_tables` deletes them when a run is done.
     """
     import uuid
 
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/quiver-tables/{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete every table this application wrote with :func:`materialize` (their readers end with it)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -55,9 +55,13 @@ def read_experiment_table(spark: SparkSession, path: str) -> DataFrame:
     """S3 (read part): the experiment CSV as strings with its header; ``experiment_clean`` types it.
 
     A ``Row`` column holding the exact data-row position is added so later selections by
-    position (P3) are keyed.
+    position (P3) are keyed. The table is one file; of several, Spark reads the largest first, so
+    positions would mean nothing and the read is refused.
     """
-    return with_row_number(spark.read.option("header", True).option("mode", "FAILFAST").csv(path))
+    table = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    if len(table.inputFiles()) > 1:
+        raise ValueError(f"{path}: the experiment table must be a single file, as its rows are known by position")
+    return with_row_number(table)
 
 
 def read_hyperparams(spark: SparkSession, path: str) -> DataFrame:

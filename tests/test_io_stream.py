@@ -5,7 +5,6 @@ import tempfile
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from quiver.operators import encode as EN
 from quiver.sources import readers as RD
 from quiver.sources import sinks as SK
 
@@ -54,14 +53,6 @@ def test_results_csv_and_append_sinks(spark):
     assert back.count() == 2 and sorted(r[0] for r in back.select("run_id").collect()) == [0, 1]
 
 
-def test_encoder_goldens(spark):
-    df = spark.createDataFrame([(1, "one two three", "four five"), (2, None, "x")], "k int, seq1 string, seq2 string")
-    rows = {r["k"]: r for r in EN.encode_pairs(df, keep=["k"], max_len=10).collect()}
-    assert rows[1]["input_ids"] == [505, 734, 1115, 14337, 1936] + [50256] * 5
-    assert rows[1]["attention_mask"] == [1] * 5 + [0] * 5 and rows[1]["n_tokens"] == 5
-    assert rows[2]["input_ids"] is None
-
-
 def test_streaming_scoring_matches_batch(spark):
     from quiver.plans import centroid_ensemble as CE
     from quiver.streaming import scoring as ST
@@ -84,6 +75,7 @@ def test_streaming_scoring_matches_batch(spark):
     q2.awaitTermination(300)
     n = spark.sql("SELECT sum(n) FROM quiver_conf").collect()[0][0]
     assert n == len(want)
+    assert spark.read.parquet(out).columns == ["vec_id", "y_pred", "y_true", "batch_id"]
 
 
 def test_row_numbers_exact_across_partitions(spark):
@@ -118,11 +110,53 @@ def test_cli_evaluate_and_variance_append(spark):
     for run in (0, 1):
         main(["evaluate", "--tables", SF001, "--results", f"{out}/res", "--errors", f"{out}/err", "--run-id", str(run)])
     res = spark.read.parquet(f"{out}/res")
-    assert res.count() == 40 and res.filter("time IS NULL").count() == 0
-    assert spark.read.parquet(f"{out}/err").count() == 10
+    assert res.count() == 80 and res.filter("time IS NULL").count() == 0
+    assert spark.read.parquet(f"{out}/err").count() == 20
     from quiver.plans.results import consolidate
 
     cons = consolidate(res.select("config", "task", "run_id", "accuracy", "macro_f1"))
-    assert cons.count() == 20 and cons.filter("run_id = 1 AND n_runs = 2").count() == 20
+    assert cons.count() == 40 and cons.filter("run_id = 1 AND n_runs = 2").count() == 40
     main(["variance", "--tables", SF001, "--out", f"{out}/var", "--run-id", "0"])
-    assert spark.read.parquet(f"{out}/var").count() == 10
+    assert spark.read.parquet(f"{out}/var").count() == 20
+
+
+def test_experiment_table_of_several_files_is_refused(spark):
+    d = _tmp()
+    for k in range(2):
+        with open(os.path.join(d, f"{k}.csv"), "w") as f:
+            f.write("a,b\n1,2\n")
+    import pytest
+
+    with pytest.raises(ValueError):
+        RD.read_experiment_table(spark, d)
+
+
+def test_no_shared_folder_is_refused_off_local():
+    import pytest
+
+    from quiver import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+
+
+def test_two_results_of_one_run_resolve_by_value(spark):
+    from quiver.plans.results import consolidate
+
+    rows = [(1, "CB", 0, 0.25), (1, "CB", 0, 0.75)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "config int, task string, run_id int, accuracy double").repartition(2)
+        assert consolidate(df).collect()[0]["accuracy"] == 0.75

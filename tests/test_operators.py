@@ -13,12 +13,11 @@ def test_prune_fixture(spark):
         (0, "b.weight", 0, -0.25), (0, "b.weight", 1, 2.0), (0, "b.weight", 2, 4.0), (0, "b.bias", 0, 0.01),
     ], "model_id int, layer string, pos int, value double")
     f = spark.createDataFrame([(0, 0.5)], "model_id int, pruning_factor double")
-    for bounded in (False, True):
-        out = {(r["layer"], r["pos"]): r["value"] for r in PR.prune_weights(w, f, bounded_models=bounded).collect()}
-        assert out[("a.weight", 2)] == 0 and out[("b.weight", 0)] == 0 and out[("a.weight", 1)] == 0
-        assert out[("b.bias", 0)] == 0.01 and out[("a.weight", 0)] == 3.0
-        c = PR.count_weights(PR.prune_weights(w, f, bounded_models=bounded)).collect()[0]
-        assert (c["n_params"], c["n_nonzero"]) == (7, 4)
+    out = {(r["layer"], r["pos"]): r["value"] for r in PR.prune_weights(w, f).collect()}
+    assert out[("a.weight", 2)] == 0 and out[("b.weight", 0)] == 0 and out[("a.weight", 1)] == 0
+    assert out[("b.bias", 0)] == 0.01 and out[("a.weight", 0)] == 3.0
+    c = PR.count_weights(PR.prune_weights(w, f)).collect()[0]
+    assert (c["n_params"], c["n_nonzero"]) == (7, 4)
 
 
 def test_prune_half_even(spark):
@@ -28,14 +27,30 @@ def test_prune_half_even(spark):
     assert zeros == 2  # round-half-even(2.5)
 
 
-def test_prune_histogram_equals_window(spark):
+def _ranked(rows, factor):
+    """Brute force: (layer, pos) of the k smallest of one model."""
+    weights = [r for r in rows if ".weight" in r[1]]
+    return {(l, p) for _, l, p, _ in sorted(weights, key=lambda r: (abs(r[3]), r[1], r[2]))[: round(factor * len(weights))]}
+
+
+def test_prune_equals_sorting(spark):
     from conftest import SF01
     from quiver.plans import derived as D
     w = D.weights_from_embeddings(spark.read.parquet(f"{SF01}/embeddings.parquet"))
-    f = D.model_factors(w)
-    a = sorted(map(tuple, PR.prune_weights(w, f).collect()))
-    b = sorted(map(tuple, PR.prune_weights(w, f, bounded_models=True).collect()))
-    assert a == b
+    got = {(r["model_id"], r["layer"], r["pos"]) for r in PR.prune_weights(w, D.model_factors(w)).filter("value = 0").collect()}
+    rows = [tuple(r) for r in w.select("model_id", "layer", "pos", "value").collect()]
+    want = {(m, l, p) for m in range(5) for l, p in _ranked([r for r in rows if r[0] == m], (m + 1) / 10)}
+    assert got == want | {(m, l, p) for m, l, p, v in rows if v == 0}
+
+
+@pytest.mark.parametrize("factor", [0.0, 0.3, 0.5, 0.9, 1.0])
+def test_prune_half_of_one_model_is_zero(spark, factor):
+    rows = [(0, f"l{l}.weight", p, 0.0 if p % 2 else 1.0 + p) for l in range(3) for p in range(5000)] + [(1, "l.weight", 0, 2.0)]
+    w = spark.createDataFrame(rows, "model_id int, layer string, pos int, value double")
+    f = spark.createDataFrame([(0, factor), (1, 0.0)], "model_id int, pruning_factor double")
+    got = {(r["model_id"], r["layer"], r["pos"]) for r in PR.prune_weights(w, f).filter("value = 0").collect()}
+    want = {(0, l, p) for l, p in _ranked([r for r in rows if r[0] == 0], factor)}
+    assert got == want | {(0, l, p) for m, l, p, v in rows if v == 0}
 
 
 def test_soft_vote_tie_lowest_class(spark):
@@ -114,32 +129,130 @@ def test_experiment_clean_and_lookup(spark):
     assert out["microsoft/deberta-base"]["learning_rate"] == 2.49e-05 and out["nobody"]["hp_status"] != "ok"
 
 
-def test_model_outer_vote_equals_row_outer(spark):
-    from conftest import SF001
-    from quiver.operators import score as SC
+@pytest.fixture(scope="module")
+def ensemble_run(spark):
+    from conftest import SF01
     from quiver.plans import centroid_ensemble as CE
 
-    emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
-    run = CE.run(emb)
-    rows = CE.train_test(emb, "vec_id")[1].withColumn("task", F.lit("embeddings"))
-    row_outer = G.soft_vote(SC.score_centroids(rows, run.models, "vec_id"), "vec_id")
-    model_outer = SC.score_centroids_vectorized(rows, run.models, "vec_id", vote_by=[])
-    a = {(r["vec_id"], r["class_id"]): r["total"] for r in row_outer.collect()}
-    b = {(r["vec_id"], r["class_id"]): r["total"] for r in model_outer.collect()}
+    emb = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    return CE.run(emb), CE.train_test(emb, "vec_id")[1].withColumn("task", F.lit("embeddings"))
+
+
+def _brute_probs(run, rows):
+    """Softmax of minus the squared distance, row by row in plain Python."""
+    import math
+
+    out = {}
+    models = run.models.collect()
+    for r in rows.limit(20).collect():
+        for m in models:
+            s = {c["class_id"]: -sum((a - b) ** 2 for a, b in zip(r["embedding"], c["mu"])) for c in m["classes"]}
+            top = max(s.values())
+            z = sum(math.exp(v - top) for v in s.values())
+            out.update({(m["replica"], r["vec_id"], c): math.exp(v - top) / z for c, v in s.items()})
+    return out
+
+
+def test_scores_equal_brute_force(ensemble_run):
+    run, rows = ensemble_run
+    want = _brute_probs(run, rows)
+    got = {(r["replica"], r["vec_id"], r["class_id"]): r["prob"] for r in run.scores.collect()}
+    assert want and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+@pytest.mark.parametrize("how", [{}, {"vote_by": []}, {"vote_by": [], "predict": True, "label": "label"}])
+def test_many_blocks_equal_one(ensemble_run, how):
+    """Over the byte budget models are scored in several broadcast blocks: same result in every mode."""
+    from quiver.operators import score as SC
+
+    run, rows = ensemble_run
+    small = SC.model_blocks(run.models, ["task"], ["replica"], block_bytes=8 * 64 * 10 * 3)
+    assert len(small) > 2
+    names = [f.name for f in SC.score_centroids(rows, run.models, "vec_id", **how).schema]
+
+    def table(**more):
+        out = SC.score_centroids(rows, run.models, "vec_id", **how, **more).select(*names).collect()
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in out)
+
+    assert table() == table(blocks=small) and len(table()) > 0
+
+
+def test_fused_vote_and_prediction_equal_group_by(ensemble_run):
+    run, rows = ensemble_run
+    by_row = G.soft_vote(run.scores, "vec_id")
+    a = {(r["vec_id"], r["class_id"]): r["total"] for r in by_row.collect()}
+    b = {(r["vec_id"], r["class_id"]): r["total"] for r in run.totals.collect()}
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
+    want = sorted((r["vec_id"], r["y_true"], r["y_pred"]) for r in G.align_truth(G.predict(by_row, "vec_id"), rows, "vec_id").collect())
+    assert want == sorted((r["vec_id"], r["y_true"], r["y_pred"]) for r in run.aligned.collect())
+
+
+def test_members_vote_in_several_ensembles(ensemble_run):
+    from quiver.operators import score as SC
+
+    run, rows = ensemble_run
+    members = F.when(F.col("replica") < 5, F.array(F.struct(F.lit(1).alias("e")), F.struct(F.lit(2).alias("e")))).otherwise(F.array(F.struct(F.lit(2).alias("e"))))
+    voted = SC.score_centroids(rows, run.models.withColumn("members", members), "vec_id", vote_by=["e"], members="members")
+    got = {(r["e"], r["vec_id"], r["class_id"]): r["total"] for r in voted.collect()}
+    want = {}
+    for r in run.scores.collect():
+        for e in ((1, 2) if r["replica"] < 5 else (2,)):
+            key = (e, r["vec_id"], r["class_id"])
+            want[key] = want.get(key, 0) + r["prob"]
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+
+
+def test_tokens_keep_accented_words(spark):
+    from quiver.operators.learn import tokens
+
+    df = spark.createDataFrame([("Él corrió: ÜBER straße 42x, naïve-été",)], "t string")
+    assert df.select(tokens(F.col("t"))).collect()[0][0] == ["él", "corrió", "über", "straße", "42x", "naïve", "été"]
+
+
+@pytest.mark.parametrize("hot", [0, 50, 100_000])
+def test_naive_bayes_scores_do_not_depend_on_the_broadcast(spark, hot):
+    from quiver.operators import score as SC
+
+    loglik = spark.createDataFrame([(r, c, t, -float(len(t)) - c * 0.5 - r * 0.1) for r in range(2) for c in range(2) for t in ("aa", "b", "cccc") if (r, t) != (1, "b")],
+                                   "replica int, class_id int, token string, loglik double")
+    prior = spark.createDataFrame([(r, c, -0.5 - c) for r in range(2) for c in range(2)], "replica int, class_id int, log_prior double")
+    rows = spark.createDataFrame([(1, "aa b b"), (2, "unknown"), (3, ""), (4, "cccc aa zz")], "doc_id long, text string")
+    got = {(r["replica"], r["doc_id"], r["class_id"]): r["prob"] for r in SC.score_naive_bayes(rows, SC.pack_naive_bayes(loglik, prior), "doc_id", hot_tokens=hot).collect()}
+    import math
+
+    table = {(r["replica"], r["class_id"], r["token"]): r["loglik"] for r in loglik.collect()}
+    for r in range(2):
+        for d, text in ((1, "aa b b"), (2, "unknown"), (3, ""), (4, "cccc aa zz")):
+            s = [-0.5 - c + sum(table.get((r, c, t), 0.0) for t in text.split()) for c in range(2)]
+            z = sum(math.exp(x) for x in s)
+            assert all(abs(got[r, d, c] - math.exp(s[c]) / z) < 1e-9 for c in range(2))
+
+
+def test_logistic_needs_a_penalty(spark):
+    from quiver.operators import learn as LN
+
+    with pytest.raises(ValueError):
+        LN.train_logistic(None, None, "k", [0], reg_param=0.0)
+
+
+def test_planning_errors_trains_nothing(spark):
+    from conftest import SF001
+    from quiver.plans import evaluate as EV
+
+    ev = EV.evaluate(None, EV.configs_from_nation(spark.read.parquet(f"{SF001}/nation.parquet")))
+    assert ev.errors.count() == 10  # no embeddings were needed
 
 
 def test_prune_massive_tie_group(spark):
-    # 3 layers x 10,000 positions; a third of all weights share one value and the cut (k) falls
-    # inside that tie group, so the chosen rows are decided by (layer, pos) order alone.
+    # a third of all weights share one value and the cut falls inside that tie group, so the chosen
+    # rows are decided by (layer, pos) order alone
     rows = [(0, f"l{l}.weight", p, 0.5 if p % 3 == 0 else 1.0 + ((p * 7919 + l) % 1000) / 100.0 if p % 3 == 1
              else 0.001 * (1 + (p + l) % 50))
             for l in range(3) for p in range(10000)]
-    w = spark.createDataFrame(rows, "model_id int, layer string, pos int, a double")
-    k = spark.createDataFrame([(0, 15000)], "model_id int, k bigint")
-    got = {(r["layer"], r["pos"]) for r in PR.smallest_k(w, ["model_id"], k, "a", ["layer", "pos"]).filter("_in").collect()}
-    want = {(l, p) for _, l, p, _ in sorted(rows, key=lambda r: (r[3], r[1], r[2]))[:15000]}
-    assert got == want
+    w = spark.createDataFrame(rows, "model_id int, layer string, pos int, value double")
+    f = spark.createDataFrame([(0, 0.5)], "model_id int, pruning_factor double")
+    got = {(r["layer"], r["pos"]) for r in PR.prune_weights(w, f).filter("value = 0").collect()}
+    assert got == _ranked(rows, 0.5)
 
 
 def test_centroids_rowlocal_poisson_equals_join(spark):
@@ -162,19 +275,3 @@ def test_scores_are_distributions(spark):
     run = CE.run(spark.read.parquet(f"{SF001}/embeddings.parquet"))
     sums = run.scores.groupBy("replica", "vec_id").agg(F.sum("prob").alias("s"), F.min("prob").alias("m")).collect()
     assert sums and all(abs(r["s"] - 1.0) < 1e-9 and r["m"] >= 0 for r in sums)
-
-
-def test_fused_prediction_equals_groupby_prediction(spark):
-    from conftest import SF01
-    from quiver.operators import score as SC
-    from quiver.plans import centroid_ensemble as CE
-
-    emb = spark.read.parquet(f"{SF01}/embeddings.parquet")
-    run = CE.run(emb)
-    rows = CE.train_test(emb, "vec_id")[1].withColumn("task", F.lit("embeddings"))
-    fused = SC.score_centroids_vectorized(rows, run.models, "vec_id", vote_by=[], predict=True, label="label")
-    got = sorted((r["vec_id"], r["y_true"], r["y_pred"]) for r in fused.collect())
-    want = sorted((r["vec_id"], r["y_true"], r["y_pred"]) for r in
-                  G.align_truth(G.predict(G.soft_vote(SC.score_centroids(rows, run.models, "vec_id"), "vec_id"), "vec_id"),
-                                rows, "vec_id").collect())
-    assert got == want

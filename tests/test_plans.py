@@ -39,3 +39,29 @@ def test_aggregates_combine_before_shuffle(spark):
     assert "partial_max_by" in plan
     plan = _plan(spark, "train_naive_bayes")
     assert "partial_sum" in plan
+
+
+def _initial(spark, name):
+    return R.QUERIES[name](spark, SF001)._jdf.queryExecution().sparkPlan().toString()
+
+
+# Scans and joins that shuffle both sides, in the plan of the query's last job
+CEILINGS = {
+    "prune_weights": (6, 0), "count_weights": (7, 0), "holdout_split": (3, 0), "naive_bayes_predict": (8, 2), "eval_metrics": (8, 2),
+    "classification_report": (4, 0), "train_centroids": (2, 0), "score_models": (3, 0), "report_errors": (4, 2),
+}
+
+
+@pytest.mark.parametrize("name", CEILINGS)
+def test_scan_and_shuffle_join_ceilings(spark, name):
+    plan = _initial(spark, name)
+    scans, joins = CEILINGS[name]
+    assert len(re.findall(r"FileScan parquet", plan)) <= scans
+    assert len(re.findall(r"SortMergeJoin|ShuffledHashJoin", plan)) <= joins
+
+
+@pytest.mark.parametrize("name", sorted(R.QUERIES))
+def test_every_query_is_planned_without_a_cross_product(spark, name):
+    plan = _plan(spark, name)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert len(re.findall(r"FileScan parquet|Scan parquet", plan)) <= 24

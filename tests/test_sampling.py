@@ -83,13 +83,18 @@ def test_choose_models_distinct_in_range(spark):
 def test_fitted_split_equals_lazy_split(spark):
     d = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id")
     lazy = sorted(map(tuple, S.holdout_split(d, "doc_id").collect()))
-    hist, edge = S.fit_split(d, "doc_id")
-    assert hist.count() <= 1 << S.DEFAULT_BUCKET_BITS
-    fitted = sorted(map(tuple, S.apply_split(d, "doc_id", hist, edge).collect()))
-    assert lazy == fitted
+    cut = S.fit_split(d, "doc_id")
+    assert cut.count() == 1
+    assert sorted(map(tuple, S.apply_split(d, "doc_id", cut).collect())) == lazy
     # coarse buckets force a large boundary bucket: still exact
-    hist4, edge4 = S.fit_split(d, "doc_id", bits=2)
-    assert sorted(map(tuple, S.apply_split(d, "doc_id", hist4, edge4, bits=2).collect())) == lazy
+    assert sorted(map(tuple, S.apply_split(d, "doc_id", S.fit_split(d, "doc_id", bits=2)).collect())) == lazy
+
+
+def test_split_of_empty_and_tiny_tables(spark):
+    d = spark.range(3).withColumnRenamed("id", "k")
+    assert [r["split"] for r in S.holdout_split(d, "k", frac=0.0).collect()] == ["val"] * 3
+    assert [r["split"] for r in S.holdout_split(d, "k", frac=1.0).collect()] == ["test"] * 3
+    assert S.holdout_split(d.limit(0), "k").count() == 0
 
 
 def test_duplicate_key_check(spark):
