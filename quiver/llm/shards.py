@@ -33,7 +33,9 @@ from quiver.session import checkpoint_dir, materialize, ship_package
 
 LENGTH = 1024
 RECORDS = 1 << 13
+_DIGEST = "shard int, slot long, doc_id long, start long, length long, ids_crc32 long"
 _BLOB_RECORDS = 512
+_MESSAGE_RECORDS = 8192
 
 
 def record_type(length: int) -> np.dtype:
@@ -128,18 +130,27 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: int = 2024050
     kind = record_type(length)
 
     def deal(batches):
+        held, size = [], 0
+
+        def messages():
+            x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            shard = x["slot"] // records
+            order = np.argsort(shard, kind="stable")
+            cuts = np.append(np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)), len(order))
+            for a, b in zip(cuts, cuts[1:]):
+                own = order[a:b]
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard[own[0]])], pa.int32()), pa.array([_squeeze(**{k: v[own] for k, v in x.items()})], pa.binary())], ["shard", "blob"])
+
         for batch in batches:
             for task, first, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 x = _swell(blob)
-                n = len(x["doc_id"])
-                slot = feistel(base.value[task] + first + np.arange(n), total, key)
-                shard = slot // records
-                order = np.argsort(shard, kind="stable")
-                cuts = np.append(np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)), n)
-                own = [order[a:b] for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([int(shard[o[0]]) for o in own], pa.int32()),
-                    pa.array([_squeeze(slot=slot[o], **{k: v[o] for k, v in x.items()}) for o in own], pa.binary())], ["shard", "blob"])
+                held.append({"slot": feistel(base.value[task] + first + np.arange(len(x["doc_id"])), total, key), **x})
+                size += len(x["doc_id"])
+                if size >= _MESSAGE_RECORDS:
+                    yield from messages()
+                    held, size = [], 0
+        if held:
+            yield from messages()
 
     def lay(batches):
         parts = [_swell(b) for batch in batches for b in batch.column(1).to_pylist()]
@@ -162,9 +173,12 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: int = 2024050
     return total
 
 
-def read_shards(spark: SparkSession, path: str, length: int = LENGTH, from_slot: int = 0) -> DataFrame:
-    """(shard, slot, doc_id, start, used, ids) of every record from ``from_slot`` on, in slot order within a shard."""
+def read_shards(spark: SparkSession, path: str, length: int = LENGTH, from_slot: int = 0, digest: bool = False) -> DataFrame:
+    """(shard, slot, doc_id, start, length, ids) of every record from ``from_slot`` on, in slot order within a shard;
+    with ``digest`` the crc32 of the ids' bytes (ids_crc32) in place of the ids."""
     kind = record_type(length)
+    names = ["shard", "slot", "doc_id", "start", "length", "ids_crc32" if digest else "ids"]
+    last = (lambda raws: pa.array([zlib.crc32(r) for r in raws], pa.int64())) if digest else (lambda raws: pa.array(list(raws), pa.binary()))
 
     def run(batches):
         for batch in batches:
@@ -178,18 +192,10 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, from_slot:
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(y), shard, np.int32)), pa.array(y["slot"].astype(np.int64)),
                         pa.array(y["doc_id"], mask=y["doc_id"] == -1), pa.array(y["start"].astype(np.int64)), pa.array(y["used"].astype(np.int64)),
-                        pa.array([i[:n].tobytes() for i, n in zip(y["ids"], y["used"])], pa.binary())], ["shard", "slot", "doc_id", "start", "used", "ids"])
+                        last(i[:n].tobytes() for i, n in zip(y["ids"], y["used"]))], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, "shard int, slot long, doc_id long, start long, used long, ids binary")
-
-
-_DIGEST = "shard int, slot long, doc_id long, start long, length long, ids_crc32 long"
-
-
-def _digest(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([zlib.crc32(i) for i in batch.column(5).to_pylist()], pa.int64())], ["shard", "slot", "doc_id", "start", "length", "ids_crc32"])
+    return files.mapInArrow(run, _DIGEST if digest else "shard int, slot long, doc_id long, start long, length long, ids binary")
 
 
 def default_vocabulary() -> str:
@@ -204,4 +210,4 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/token-shards/{uuid.uuid4().hex}"
     if not write_shards(docs, path, default_vocabulary()):
         return spark.createDataFrame([], _DIGEST)
-    return read_shards(spark, path).mapInArrow(_digest, _DIGEST)
+    return read_shards(spark, path, digest=True)

@@ -33,11 +33,40 @@ def ship_vocabulary(spark: SparkSession, path: str) -> str:
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed: how texts are split before merges
 
 
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+
 def _merging(ranks: dict[bytes, int]):
+    """Encoder of chunks. Those that begin with a space or newline and end with neither are encoded as one text
+    and told apart by their bytes."""
     import tiktoken
 
     library = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda chunks: [library.encode_ordinary(c) for c in chunks]
+    width = np.zeros(max(ranks.values()) + 1, np.int64)
+    for word, rank in ranks.items():
+        width[rank] = len(word)
+
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        apart = [i for i, c in enumerate(chunks) if c[:1] not in (" ", "\n") or c[-1:].isspace()]
+        if len(chunks) - len(apart) < 2:
+            return _flat([library.encode_ordinary(c) for c in chunks])
+        skip = set(apart)
+        joined = [c for i, c in enumerate(chunks) if i not in skip] if skip else chunks
+        ids = library.encode_to_numpy("".join(joined), disallowed_special=())
+        ends = np.cumsum([len(c.encode()) for c in joined])
+        reach = np.cumsum(width[ids])
+        at = np.searchsorted(reach, ends)
+        if not (reach[np.minimum(at, len(reach) - 1)] == ends).all():
+            return _flat([library.encode_ordinary(c) for c in chunks])
+        sizes = np.diff(at + 1, prepend=0)
+        if not skip:
+            return ids, sizes
+        parts = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+        return _flat([library.encode_ordinary(c) if i in skip else next(parts) for i, c in enumerate(chunks)])
+
+    return encode
 
 
 def _rank_file(path: str) -> dict[bytes, int]:
@@ -91,9 +120,7 @@ class Encoder:
         return cls.held[name]
 
     def _learn(self, chunks: list[str]) -> None:
-        found = self._batch(chunks)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        ids, sizes = self._batch(chunks)
         if self.used + ids.size > self.flat.size:
             self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(self.flat.size, 2 * ids.size), np.uint32)))
         self.flat[self.used : self.used + ids.size] = ids
@@ -102,15 +129,15 @@ class Encoder:
         self.starts[k : k + len(chunks) + 1] = self.used + np.concatenate(([0], np.cumsum(sizes)))
         self.used += ids.size
 
-    def _by_library(self, texts: list[str]) -> list[list[int]]:
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self._library is None:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
-        return [e.ids for e in self._library.encode_batch(texts, add_special_tokens=False)]
+        return _flat([e.ids for e in self._library.encode_batch(texts, add_special_tokens=False)])
 
     def _direct(self, text: str) -> np.ndarray:
-        return np.array((self._batch if self.path.endswith(".tiktoken") else self._by_library)([text])[0], np.uint32)
+        return (self._batch if self.path.endswith(".tiktoken") else self._by_library)([text])[0]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         chunks, per_text, whole = [], np.zeros(len(texts), np.int64), {}
@@ -123,16 +150,18 @@ class Encoder:
                 own = own[1:]
             chunks += own
             per_text[i] = len(own)
-        new = set(chunks) - self.place.keys()
-        if len(self.place) + len(new) > MEMO_ENTRIES:
-            self.place, self.used = {}, 0
-            new = set(chunks)
-        if len(new) > MEMO_ENTRIES:  # one slice with that many distinct chunks: encode its texts whole
-            found = [self._direct(t) for t in texts]
-            return np.concatenate(found), np.array([x.size for x in found])
-        if new:
-            self._learn(list(new))
-        where = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        found = list(map(self.place.get, chunks))
+        if None in found:
+            new = list(dict.fromkeys(c for c, k in zip(chunks, found) if k is None))
+            if len(self.place) + len(new) > MEMO_ENTRIES:
+                self.place, self.used = {}, 0
+                new = list(dict.fromkeys(chunks))
+            if len(new) > MEMO_ENTRIES:  # one slice with that many distinct chunks: encode its texts whole
+                parts = [self._direct(t) for t in texts]
+                return np.concatenate(parts), np.array([p.size for p in parts])
+            self._learn(new)
+            found = list(map(self.place.__getitem__, chunks))
+        where = np.array(found, np.int64)
         begin, size = self.starts[where], self.starts[where + 1] - self.starts[where]
         total = int(size.sum())
         shift = np.cumsum(size) - size
