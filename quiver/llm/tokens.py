@@ -93,9 +93,10 @@ def _json_ranks(path: str) -> tuple[dict[bytes, int] | None, list[str]]:
     others = [b for b in range(256) if b not in set(printable)]
     to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    if any(a >= b for a, b in zip(made, made[1:])) or len(made) + 256 + len(special) != len(model["vocab"]):
+    words = {word: i for word, i in model["vocab"].items() if word not in special}
+    if any(a >= b for a, b in zip(made, made[1:])) or len(made) + 256 != len(words):
         return None, special
-    return {bytes(to_byte[c] for c in word): i for word, i in model["vocab"].items() if word not in special}, special
+    return {bytes(to_byte[c] for c in word): i for word, i in words.items()}, special
 
 
 class Encoder:
