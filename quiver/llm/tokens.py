@@ -39,8 +39,8 @@ def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merging(ranks: dict[bytes, int]):
-    """Encoder of chunks. Those that begin with a space or newline and end with neither are encoded as one text
-    and told apart by their bytes."""
+    """Encoder of chunks; with ``joined`` the chunks all begin with a space or newline and end with neither, so
+    that they are encoded as one text and told apart by their bytes."""
     import tiktoken
 
     library = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -48,23 +48,15 @@ def _merging(ranks: dict[bytes, int]):
     for word, rank in ranks.items():
         width[rank] = len(word)
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        apart = [i for i, c in enumerate(chunks) if c[:1] not in (" ", "\n") or c[-1:].isspace()]
-        if len(chunks) - len(apart) < 2:
-            return _flat([library.encode_ordinary(c) for c in chunks])
-        skip = set(apart)
-        joined = [c for i, c in enumerate(chunks) if i not in skip] if skip else chunks
-        ids = library.encode_to_numpy("".join(joined), disallowed_special=())
-        ends = np.cumsum([len(c.encode()) for c in joined])
-        reach = np.cumsum(width[ids])
-        at = np.searchsorted(reach, ends)
-        if not (reach[np.minimum(at, len(reach) - 1)] == ends).all():
-            return _flat([library.encode_ordinary(c) for c in chunks])
-        sizes = np.diff(at + 1, prepend=0)
-        if not skip:
-            return ids, sizes
-        parts = iter(np.split(ids, np.cumsum(sizes)[:-1]))
-        return _flat([library.encode_ordinary(c) if i in skip else next(parts) for i, c in enumerate(chunks)])
+    def encode(chunks: list[str], joined: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        if joined and len(chunks) > 1:
+            ids = library.encode_to_numpy("".join(chunks), disallowed_special=())
+            ends = np.cumsum([len(c.encode()) for c in chunks])
+            reach = np.cumsum(width[ids])
+            at = np.searchsorted(reach, ends)
+            if (reach[np.minimum(at, len(reach) - 1)] == ends).all():
+                return ids, np.diff(at + 1, prepend=0)
+        return _flat([library.encode_ordinary(c) for c in chunks])
 
     return encode
 
@@ -121,16 +113,22 @@ class Encoder:
         return cls.held[name]
 
     def _learn(self, chunks: list[str]) -> None:
-        ids, sizes = self._batch(chunks)
+        apart = [c for c in chunks if c[:1] not in (" ", "\n") or c[-1:].isspace()]
+        skip = set(apart)
+        self._keep(apart, False)
+        self._keep([c for c in chunks if c not in skip] if skip else chunks, True)
+
+    def _keep(self, chunks: list[str], joined: bool) -> None:
+        ids, sizes = self._batch(chunks, joined)
         if self.used + ids.size > self.flat.size:
             self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(self.flat.size, 2 * ids.size), np.uint32)))
         self.flat[self.used : self.used + ids.size] = ids
         k = len(self.place)
         self.place.update(zip(chunks, range(k, k + len(chunks))))
-        self.starts[k : k + len(chunks) + 1] = self.used + np.concatenate(([0], np.cumsum(sizes)))
+        self.starts[k : k + len(chunks) + 1] = self.used + np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         self.used += ids.size
 
-    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _by_library(self, texts: list[str], joined: bool = False) -> tuple[np.ndarray, np.ndarray]:
         if self._library is None:
             from tokenizers import Tokenizer
 
