@@ -422,7 +422,7 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     """
     found = jaccard_components(docs, size, num, den)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    named = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id", "text"])
+    named = docs.join(stay, docs["doc_id"].cast("long") == stay["_stay"], "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -137,12 +137,13 @@ _CANDIDATE = "array<struct<start:bigint,kind:int,end:bigint,base:boolean,size:in
 
 
 def with_candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` and ``_found``: all candidates of the text."""
+    """(row, _found): a struct of the columns ``keep``, whatever their names, and all candidates of the text."""
     scans, spans = candidates(F.coalesce(F.col("text"), F.lit("")))
-    scanned = docs.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(n) for n, c in scans.items()])
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    scanned = docs.select(row.alias("row"), *[c.alias(n) for n, c in scans.items()])
     none = F.array().cast(_CANDIDATE)
     found = F.sort_array(F.concat(*[F.coalesce(spans(k).cast(_CANDIDATE), none) for k in KINDS]))
-    return scanned.select(*[F.col(f"`{c}`") for c in keep], found.alias("_found"))
+    return scanned.select("row", found.alias("_found"))
 
 
 def expectation_maximisation(patterns: list[tuple[tuple, int]], rounds: int = 50) -> tuple[list[float], list[dict]]:
@@ -244,7 +245,7 @@ def _joined(spans: Column) -> Column:
 def spans(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Counts, base digest and all spans of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(with_candidates(docs, ["doc_id"]))  # spans only, no texts
+    found = materialize(with_candidates(docs, ["doc_id"]).select("row.doc_id", "_found"))  # spans only, no texts
     weights = train(found)
     base = F.filter("_found", lambda c: c["base"])
     count = lambda kind: F.size(F.filter(F.col("_base"), lambda c: c["kind"] == KINDS.index(kind))).cast("long")
@@ -257,7 +258,7 @@ def redact(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     weights = train(with_candidates(docs, []))
     names = docs.columns
     found = with_candidates(docs, names)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("row")["text"], F.lit(""))
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -269,10 +270,10 @@ def redact(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
     found = found.withColumn("_found", _kept(F.col("_found"), weights, threshold))
     found = found.withColumn("_changed", F.when(F.size("_found") > 0, F.aggregate("_found", start, step, rest)))
-    new = {"text": F.coalesce("_changed", "text")}
+    new = {"text": F.coalesce(F.col("_changed"), F.col("row")["text"])}
     if "n_chars" in names:
-        new["n_chars"] = F.when(F.col("_changed").isNotNull(), F.length("_changed").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+        new["n_chars"] = F.when(F.col("_changed").isNotNull(), F.length("_changed").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
