@@ -5,6 +5,8 @@ Small pages of common layouts. ``main`` opens the article (its element and every
 model never sees them.
 """
 
+import random
+
 _P = "Long running text of the article with several clauses, and a full stop. It goes on for another sentence."
 _S = "Short one."
 _LINKS = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News of the day</a></li><li><a href="/c">About</a></li></ul>'
@@ -38,3 +40,33 @@ PAGES = [
     f'<body><div><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></div><div main><h1>Title</h1><p>{_P}</p><p>{_S}</p></div><div><a href="/t">Terms</a></div></body>',
     f'<body><div class="container"><div class="row"><div class="col main-column"><div class="article-text" main><h2>Title</h2><p>{_P}</p><p>{_S}</p></div></div><div class="col side-column"><p>{_P}</p><p>{_S}</p></div></div></div></body>',
 ]
+
+# Parts from which more labelled pages are put together by rule
+_ARTICLES = ["<article main>{}</article>", "<main main>{}</main>", '<div class="content" main>{}</div>', '<div id="content" main>{}</div>', '<div class="post-body" main>{}</div>',
+             '<section class="story" main>{}</section>', '<div role="main" main>{}</div>', '<div class="entry" main>{}</div>', "<div main>{}</div>", '<article class="post" main>{}</article>',
+             '<div class="article-text" main>{}</div>', '<div class="text" main>{}</div>']
+_BODIES = [f"<h1>Title</h1><p>{_P}</p><p>{_S}</p>", f"<h1>Title</h1><p>{_S}</p>", f"<p>{_P}</p><p>{_P}</p>", f"<h1>Title words</h1><p><b>Title words</b> {_P}</p><p>{_P}</p><p>{_S}</p>",
+           f"<h2>Title</h2><p>{_P}</p><ul><li>{_S}</li><li>{_S}</li></ul><p>{_S}</p>", f"<h1>Title</h1><blockquote>{_P}</blockquote><p>{_P}</p>", f"<h1>Title</h1><div>{_P}</div><div>{_S}</div>",
+           f"<h1>Title</h1><section><h2>Part</h2><p>{_P}</p></section><section><h2>Part</h2><p>{_S}</p></section>", f"<h1>Title</h1><p>{_P}</p><table><tr><td>{_S}</td><td>Cell</td></tr></table><p>{_P}</p>"]
+_INSIDE = ["", "", "", f'<div class="ad" skip><p>{_S}</p></div>', f'<div class="comments" skip><h3>Comments</h3><p>{_P}</p></div>', f"<aside skip><p>{_P}</p></aside>", f'<div class="notice" skip><p>{_P}</p></div>',
+           f"<form skip><p>{_S}</p><label>Name</label></form>", f"<footer skip><p>{_S}</p></footer>", f'<div class="share" skip>{_LINKS}</div>', f'<nav skip>{_LINKS}</nav>', f'<section id="comments" skip><p>{_P}</p><p>{_S}</p></section>']
+_BEFORE = [f"<nav>{_LINKS}</nav>", f'<div id="top-nav">{_LINKS}</div>', f"<header><h1>Site</h1><p>{_S}</p></header>", f'<div class="header">{_S}</div>', f'<div class="ad">{_P}</div>', f'<div class="cookie-notice"><p>{_P}</p></div>',
+           f'<div class="menu">{_LINKS}</div><div class="banner">{_S}</div>', f'<div role="banner"><p>{_S}</p></div>', "<header>Site</header>", f'<div class="alert"><p>{_S}</p></div>']
+_AFTER = [f"<footer>&copy; {_S}</footer>", f"<footer><p>{_P}</p></footer>", f'<div class="footer">{_S}</div>', f'<div class="sidebar"><p>{_P}</p></div>', f"<aside><p>{_P}</p>{_LINKS}</aside>", f'<div class="comments"><p>{_P}</p><p>{_P}</p></div>',
+          f'<section class="related"><h2>More</h2>{_LINKS}</section>', f"<form><p>{_S}</p></form>", f'<div id="reader-comments"><div class="comment"><p>{_P}</p></div></div>', f'<div class="newsletter"><p>{_P}</p></div>']
+
+
+def composed(n: int) -> list[str]:
+    """n pages: parts before and after an article, with a part in it that does not belong, in or without a wrapper."""
+    out = []
+    for k in range(n):
+        rng = random.Random(k)
+        body, inside = rng.choice(_BODIES), rng.choice(_INSIDE)
+        article = rng.choice(_ARTICLES).format(inside + body if rng.random() < 0.2 else body + inside)
+        before, after = rng.sample(_BEFORE, rng.randrange(1, 4)), rng.sample(_AFTER, rng.randrange(1, 4))
+        page = "".join(before) + article + "".join(after)
+        out.append(f"<body>{page}</body>" if rng.random() < 0.7 else f'<body><div class="page">{page}</div></body>')
+    return out
+
+
+PAGES += composed(90)

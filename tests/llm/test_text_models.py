@@ -93,7 +93,7 @@ def test_labelled_pages_are_learned_and_mostly_generalise():
     wrong = (H.marginals(forest, *MODEL)[0][:, 1] > 0.5) != forest.label
     assert wrong.mean() < 0.02
     errors = total = 0
-    for k in range(0, len(PAGES), 3):
+    for k in range(0, len(PAGES), 13):
         own = H.Forest([H.Page(PAGES[k], marks=True)])
         p = H.marginals(own, *H.train(PAGES[:k] + PAGES[k + 1 :]))[0][:, 1]
         errors, total = errors + ((p > 0.5) != own.label).sum(), total + len(p)
