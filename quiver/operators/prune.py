@@ -35,13 +35,14 @@ POS_BITS = 12          # final window: at most 4,096 positions of one (value, la
 
 
 def _refine(rows: DataFrame, group: list[str], cell: list[str], bounds: DataFrame) -> DataFrame:
-    """Boundary cell of every group: ``bounds`` (group..., earlier cells..., _left) with ``cell`` added and
-    ``_left`` reduced to the rank within the cell. ``rows`` holds only the rows of the earlier cells."""
-    hist = rows.groupBy(*group, *cell).agg(F.count(F.lit(1)).alias("_cnt"))
+    """``bounds`` (group..., earlier cells..., _left) with the boundary ``cell`` added and ``_left`` reduced to the
+    rank within it: a histogram over the rows of the earlier cells, which a broadcast join picks out."""
+    known = [c for c in bounds.columns if c != "_left"]
+    hist = rows.join(F.broadcast(bounds), known).groupBy(*known, "_left", *cell).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*group).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
-    placed = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).join(F.broadcast(bounds), group)
+    placed = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     hit = placed.filter((F.col("_before") < F.col("_left")) & (F.col("_before") + F.col("_cnt") >= F.col("_left")))
-    return hit.withColumn("_left", F.col("_left") - F.col("_before")).select(*bounds.columns, *cell)
+    return hit.select(*known, *cell, (F.col("_left") - F.col("_before")).alias("_left"))
 
 
 def boundaries(df: DataFrame, group: Sequence[str], factors: DataFrame, value: str) -> DataFrame:
@@ -59,9 +60,8 @@ def boundaries(df: DataFrame, group: Sequence[str], factors: DataFrame, value: s
     placed = placed.withColumn("_k", F.bround(F.col("pruning_factor") * F.col("_nw"), 0).cast("bigint"))
     bounds = placed.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_cnt") >= F.col("_k"))) \
         .select(*g, (F.col("_k") - F.col("_before")).alias("_left"), "_b1")
-    for known, cell in ((["_b1"], ["_v", "_layer"]), (["_v", "_layer"], ["_b4"]), (["_v", "_layer", "_b4"], ["_pos"])):
-        inner = d.join(F.broadcast(bounds.select(*g, *known)), [*g, *known])
-        bounds = _refine(inner, g, cell, bounds)
+    for cell in (["_v", "_layer"], ["_b4"], ["_pos"]):
+        bounds = _refine(d, g, cell, bounds)
     return bounds.select(*g, "_v", "_layer", "_pos")
 
 

@@ -214,13 +214,15 @@ def score_naive_bayes(rows: DataFrame, packed: DataFrame, key: str, text: str =
     model = packed.where("token IS NOT NULL").withColumn("known", known).select("token", "top", F.transform(slots, lambda s: F.coalesce(F.try_element_at("known", s), F.lit(0.0))).alias("ll"))
     hot = model.orderBy(F.desc("top"), "token").limit(hot_tokens).select("token", "ll")
     hot_names = F.broadcast(hot.select("token"))
-    said = rows.select(key, F.explode(tokens(F.col(text))).alias("token"))
-    sums = [F.sum(F.col("ll")[i]).alias(f"s{i}") for i in range(len(cells))]
-    frequent = said.join(F.broadcast(hot), "token").groupBy(key).agg(*sums)
-    others = said.join(hot_names, "token", "left_anti").join(model.join(hot_names, "token", "left_anti"), "token").groupBy(key).agg(*sums)
-    total = frequent.unionByName(others).groupBy(key).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(cells))])
-    carried = rows.select(key, *([F.col(label).cast("int").alias("y_true")] if label else []))
-    scored = carried.join(total, key, "left").select(*carried.columns, F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) + float(start[i]) for i in range(len(cells))]).alias("s"))
+    sums = [F.sum(F.coalesce(F.col("ll")[i], F.lit(0.0))).alias(f"s{i}") for i in range(len(cells))]
+    truth = F.col(label).cast("int") if label else F.lit(None).cast("int")
+    # a null token keeps documents without any known token
+    said = rows.select(key, truth.alias("y_true"), F.explode(F.array_append(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), F.lit(None).cast("string"))).alias("token"))
+    frequent = said.join(F.broadcast(hot), "token", "left").groupBy(key).agg(F.max("y_true").alias("y_true"), *sums)
+    others = said.where("token IS NOT NULL").join(hot_names, "token", "left_anti").join(model.join(hot_names, "token", "left_anti"), "token")
+    others = others.groupBy(key).agg(F.lit(None).cast("int").alias("y_true"), *sums)
+    total = frequent.unionByName(others).groupBy(key).agg(F.max("y_true").alias("y_true"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(cells))])
+    scored = total.select(key, *(["y_true"] if label else []), F.array(*[F.col(f"s{i}") + float(start[i]) for i in range(len(cells))]).alias("s"))
 
     models = [c[:-1] for c in cells]
     starts = np.array([i for i, m in enumerate(models) if not i or m != models[i - 1]])

@@ -48,7 +48,8 @@ def run(documents: DataFrame, labels: DataFrame, label: str = "quality", replica
         task: str = "quality", alpha: float = 1.0, resample: str = "exact") -> TextRun:
     """``resample='exact'`` draws n documents per replica (the reference's bootstrap);
     ``'poisson'`` is its scale form: multiplicities computed from each document's own key."""
-    docs = labelled_documents(documents, labels, label)
+    # the join moves whole texts, so it is done once
+    docs = materialize(labelled_documents(documents, labels, label))
     train, test = train_test(docs, "doc_id", seed)
     if resample == "poisson":
         loglik, prior = learn.train_naive_bayes(train, None, "doc_id", alpha=alpha,
