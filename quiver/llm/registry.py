@@ -14,4 +14,4 @@ QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join,
            "op8_lbl": lbl.op8_lbl,
            "op9_decontam": decontam.op9_decontam,
            "op10_imatch": imatch.op10_imatch}
-ORACLE: dict[str, str] = {"op4_reply_trees": reply_trees.SQL}
+ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.SQL, "op4_reply_trees": reply_trees.SQL}
