@@ -1,7 +1,8 @@
 """Language-model scoring: a log-bilinear neural model trained with noise-contrastive estimation.
 
 The vocabulary is the ``vocab`` most frequent training tokens, and one class for all other words; the end
-of a text is a token. The model predicts a token from the two before it: context vector
+of a text is a token. In contexts, other words are told apart by ``ENDINGS`` classes of their last letters,
+which carry language and grammar. The model predicts a token from the two before it: context vector
 q = r[w1] * c1 + r[w2] * c2 (element-wise context weights), score s(w) = q . t[w] + b[w], and
 P(w | w1, w2) is the softmax over the vocabulary, normalised exactly. A word outside the vocabulary gets
 P(other | w1, w2) times its share of the smoothed counts of all such words, so the probabilities of all
@@ -35,11 +36,12 @@ from quiver.llm import textops as T
 from quiver.session import materialize, ship_package
 
 END = np.array([0x5EED0E9D0FE4D001], dtype=T.U64)
+ENDINGS = 64
 _FLUSH = 1 << 21
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts, each text closed by the end token, and tokens per text."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of all texts, each text closed by the end token; tokens per text; which tokens are words."""
     w = T.word_table(texts)
     per_doc = w.per_doc + 1
     out = np.empty(int(per_doc.sum()), T.U64)
@@ -48,7 +50,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     is_end[ends] = True
     out[is_end] = END
     out[~is_end] = w.hash
-    return out, per_doc
+    return out, per_doc, ~is_end
 
 
 def trains(ids: pa.Array) -> np.ndarray:
@@ -88,7 +90,7 @@ def _count(batches):
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c): training count of every distinct token hash."""
-    return docs.mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(T.lean(_count), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Shared:
@@ -100,6 +102,7 @@ class Shared:
         self.total, self.distinct = total, distinct
         rank = np.lexsort((self.heavy, -self.counts))[:vocab]
         self.size = len(rank) + 1  # id 0: any other word
+        self.start = self.size + ENDINGS  # in contexts: before the text
         self.ids = np.zeros(len(heavy), np.int32)
         self.ids[rank] = np.arange(1, self.size)
         self.vocab_counts = np.concatenate(([max(total - int(self.counts[rank].sum()), 0) + 1], self.counts[rank])).astype(float)
@@ -130,7 +133,7 @@ class Model:
         rng = np.random.default_rng(seed)
         p = shared.vocab_counts / shared.vocab_counts.sum()
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        return cls(draw(shared.size + 1, dims), draw(shared.size, dims), np.ones(dims, np.float32) * 0.5, np.ones(dims, np.float32),
+        return cls(draw(shared.start + 1, dims), draw(shared.size, dims), np.ones(dims, np.float32) * 0.5, np.ones(dims, np.float32),
                    np.log(p).astype(np.float32))
 
     def arrays(self):
@@ -158,8 +161,12 @@ class Model:
         return out
 
 
-def contexts(ids: np.ndarray, per_doc: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two tokens before every token; ``start`` stands for places before the text."""
+def contexts(texts: pa.Array, ids: np.ndarray, is_word: np.ndarray, per_doc: np.ndarray, shared: "Shared") -> tuple[np.ndarray, np.ndarray]:
+    """The two tokens before every token: vocabulary ids, classes of other words, or ``shared.start`` before the text."""
+    start = shared.start
+    ending = np.zeros(len(ids), np.int64)
+    ending[is_word] = T.word_ends(texts, ENDINGS)
+    ids = np.where(ids == 0, shared.size + ending, ids)
     first = np.zeros(len(ids), bool)
     first[np.cumsum(per_doc) - per_doc] = True
     w2 = np.append(start, ids[:-1])
@@ -177,7 +184,6 @@ def distinct_triples(w1, w2, w, base: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def nce_epoch(model: Model, adagrad: list[np.ndarray], w1, w2, w, weight, noise_p: np.ndarray, rng, noise: int, rate: float, batch: int) -> None:
     """One pass over weighted triples in random order. All targets of a batch share its noise words."""
-    size = len(model.b)
     order = rng.permutation(len(w))
     cumulative = np.cumsum(noise_p)
     cumulative[-1] = 1.0
@@ -195,16 +201,15 @@ def nce_epoch(model: Model, adagrad: list[np.ndarray], w1, w2, w, weight, noise_
         gq = gs[:, None] * model.t[target] + gn @ model.t[drawn]
         scale = 1.0 / g.sum()
         # add up gradients by vocabulary row with sorted segments
-        def rows(index, grad, n_rows):
+        def rows(index, grad):
             o = np.argsort(index, kind="stable")
             index = index[o]
             new = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
             return index[new], np.add.reduceat(grad[o], new, axis=0)
 
-        grads = []
-        ti, tg = rows(np.concatenate((target, drawn)), np.concatenate((gs[:, None] * q, gn.T @ q)), size)
-        bi, bg = rows(np.concatenate((target, drawn)), np.concatenate((gs, gn.sum(axis=0))), size)
-        ri, rg = rows(np.concatenate((c1, c2)), np.concatenate((gq * model.c1, gq * model.c2)), size + 1)
+        ti, tg = rows(np.concatenate((target, drawn)), np.concatenate((gs[:, None] * q, gn.T @ q)))
+        bi, bg = rows(np.concatenate((target, drawn)), np.concatenate((gs, gn.sum(axis=0))))
+        ri, rg = rows(np.concatenate((c1, c2)), np.concatenate((gq * model.c1, gq * model.c2)))
         grads = [(0, ri, rg), (1, ti, tg), (2, slice(None), (gq * r1).sum(axis=0)), (3, slice(None), (gq * r2).sum(axis=0)), (4, bi, bg)]
         params = model.arrays()
         for k, i, grad in grads:
@@ -213,7 +218,7 @@ def nce_epoch(model: Model, adagrad: list[np.ndarray], w1, w2, w, weight, noise_
             params[k][i] += rate * grad / np.sqrt(adagrad[k][i])
 
 
-def train(docs: DataFrame, shared, dims: int = 24, noise: int = 48, rate: float = 0.15, batch: int = 1024, seed: int = 11) -> Model:
+def train(docs: DataFrame, shared, dims: int = 24, noise: int = 128, rate: float = 0.1, batch: int = 512, seed: int = 11) -> Model:
     """Parameters mixed over the partitions of the training documents."""
 
     def run(batches):
@@ -230,16 +235,17 @@ def train(docs: DataFrame, shared, dims: int = 24, noise: int = 48, rate: float
             keys, counts = keys[order], np.concatenate([c for _, c in held])[order]
             new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             keys, counts = keys[new], np.add.reduceat(counts, new)
-            base = s.size + 1
+            base = s.start + 1
             nce_epoch(model, adagrad, keys // (base * base), keys // base % base, keys % base, counts, noise_p, rng, noise, rate, batch)
 
         for arrow in batches:
             arrow = arrow.filter(pa.array(trains(arrow.column(0))))
             for a, b in T.slices(arrow.column(1)):
-                words, per_doc = tokens(arrow.column(1).slice(a, b - a))
+                texts = arrow.column(1).slice(a, b - a)
+                words, per_doc, is_word = tokens(texts)
                 ids = s.look_up(words)[1]
-                w1, w2 = contexts(ids, per_doc, s.size)
-                base = s.size + 1
+                w1, w2 = contexts(texts, ids, is_word, per_doc, s)
+                base = s.start + 1
                 keys, counts = np.unique((w1.astype(np.int64) * base + w2) * base + ids, return_counts=True)
                 held.append((keys, counts))
                 size += keys.size
@@ -259,7 +265,7 @@ def train(docs: DataFrame, shared, dims: int = 24, noise: int = 48, rate: float
         seen = sum(table.column("seen").to_pylist())
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "seen": pa.array([seen], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.mapInArrow(run, "block long, seen long, sums binary")
+    parts = docs.mapInArrow(T.lean(run), "block long, seen long, sums binary")
     mixed = parts.groupBy("block").applyInArrow(add, "block long, seen long, sums binary").collect()  # the model's size, whatever the input
     start = Model.start(shared.value, dims, seed)
     mixed.sort(key=lambda r: r["block"])
@@ -270,18 +276,18 @@ def train(docs: DataFrame, shared, dims: int = 24, noise: int = 48, rate: float
 
 def score_slice(s: Shared, m: Model, texts: pa.Array):
     """Per text: tokens, known frequent tokens, base sum and model sum without rare words, and the rare words."""
-    words, per_doc = tokens(texts)
+    words, per_doc, is_word = tokens(texts)
     n = len(texts)
     place, ids = s.look_up(words)
     base_log = np.log10((s.counts + 0.1) / (s.total + 0.1 * (s.distinct + 1)))
     frequent = place >= 0
     base = np.zeros(len(words))
     base[frequent] = base_log[place[frequent]]
-    w1, w2 = contexts(ids, per_doc, s.size)
-    u1, u2, u, inverse, _ = distinct_triples(w1, w2, ids, s.size + 1)
-    pair = u1 * (s.size + 1) + u2
-    pairs, at = np.unique(pair, return_inverse=True)
-    z = m.log_normalisers(pairs // (s.size + 1), pairs % (s.size + 1))
+    w1, w2 = contexts(texts, ids, is_word, per_doc, s)
+    base_id = s.start + 1
+    u1, u2, u, inverse, _ = distinct_triples(w1, w2, ids, base_id)
+    pairs, at = np.unique(u1 * base_id + u2, return_inverse=True)
+    z = m.log_normalisers(pairs // base_id, pairs % base_id)
     logit = np.empty(len(u))
     for a in range(0, len(u), 1 << 16):
         k = slice(a, a + (1 << 16))
@@ -333,7 +339,7 @@ def prepare(docs: DataFrame, vocab: int, heavy: int) -> tuple[DataFrame, Shared]
     return rare, Shared(words, c, total, distinct, vocab)
 
 
-def score(docs: DataFrame, vocab: int = 2047, heavy: int = 1 << 17, dims: int = 24) -> DataFrame:
+def score(docs: DataFrame, vocab: int = 1023, heavy: int = 1 << 17, dims: int = 24) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -341,7 +347,7 @@ def score(docs: DataFrame, vocab: int = 2047, heavy: int = 1 << 17, dims: int =
     rare, found = prepare(docs, vocab, heavy)
     shared = spark.sparkContext.broadcast(found)
     model = spark.sparkContext.broadcast(train(docs, shared, dims))
-    rows = materialize(docs.mapInArrow(_first_pass(shared, model), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, times array<int>"))
+    rows = materialize(docs.mapInArrow(T.lean(_first_pass(shared, model)), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, times array<int>"))
     each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("e")).select("row", F.col("e.words").alias("word"), F.col("e.times").alias("times"))
     each = each.join(rare, "word", "left").select("row", "times", F.coalesce("c", F.lit(0)).alias("c"))
     tail = each.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known"),
