@@ -73,7 +73,7 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def lexicon(docs: DataFrame, min_share: float = 0.0005, max_share: float = 0.1, max_terms: int = 1 << 19) -> np.ndarray:
     """Sorted 64-bit hashes of the words in the idf band; at most ``max_terms`` of them."""
     ship_package(docs.sparkSession)
-    df = docs.select("text").mapInArrow(_document_frequency, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    df = docs.select("text").mapInArrow(T.lean(_document_frequency), "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
     n = docs.count()
     low, high = max(2, int(np.ceil(n * min_share))), max(2, int(n * max_share))
     from quiver.session import materialize

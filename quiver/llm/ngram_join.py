@@ -50,7 +50,7 @@ from quiver.session import materialize, ship_package
 
 LOW_BITS = 40
 LOW_MASK = T.U64((1 << LOW_BITS) - 1)
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 CHUNK_DOCS = 60_000
 BLOCK_DOCS = 384
 
@@ -352,7 +352,7 @@ def _block_links(rows: DataFrame, pairs, num: int, den: int) -> DataFrame:
     dealt = rows.select("cluster", F.explode(pairs).alias("p"), "doc_id", "n_shingles", "tokens", "open")
     dealt = dealt.select("cluster", "p.i", "p.j", "doc_id", "n_shingles", "tokens", "open")
     dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return dealt.mapInArrow(_block_pairs(num, den), "a long, b long")
+    return dealt.mapInArrow(T.lean(_block_pairs(num, den)), "a long, b long")
 
 
 def verified_components(sets: DataFrame, clusters: DataFrame, num: int, den: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -367,7 +367,7 @@ def verified_components(sets: DataFrame, clusters: DataFrame, num: int, den: int
     dealt = clusters.join(counts, "component").withColumn("blocks", blocks)
     dealt = materialize(dealt.select(F.col("component").alias("cluster"), F.col("node").alias("doc_id"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
     small = dealt.where("blocks = 1").select("cluster", "doc_id").join(sets, "doc_id").select("cluster", "doc_id", "n_shingles", "tokens", F.lit(True).alias("open"))
-    settled = small.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_whole_clusters(num, den), "node long, component long")
+    settled = small.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(T.lean(_whole_clusters(num, den)), "node long, component long")
     large = dealt.where("blocks > 1")
     if large.isEmpty():
         return settled
@@ -394,12 +394,12 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship_package(spark)
-    ranges = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = docs.mapInArrow(_send(ranges, size), _MESSAGE)
-    answered = sent.repartitionById(ranges, F.col("range")).mapInArrow(_answer, _MESSAGE)
+    sent = docs.mapInArrow(T.lean(_send(ranges, size)), _MESSAGE)
+    answered = sent.repartitionById(ranges, F.col("range")).mapInArrow(T.lean(_answer), _MESSAGE)
     by_chunk = answered.repartition("chunk").sortWithinPartitions("chunk", "kind", "range")
-    rows = by_chunk.mapInArrow(_prefixes(num, den, frequent, pair_limit),
+    rows = by_chunk.mapInArrow(T.lean(_prefixes(num, den, frequent, pair_limit)),
                                "doc_id long, n_shingles long, set1 long, set2 long, tokens binary, sigs array<long>")
     rows = materialize(rows)
     suspects = rows.where("set1 IS NOT NULL")

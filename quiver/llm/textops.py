@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _POW_LEN = 1 << 12
 
 
@@ -46,6 +46,32 @@ with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.full(_POW_LEN, 0xD1342543DE82EF95, dtype=U64))
 
 
+CACHES: list = []  # what other operators' tasks left in this worker: functions that drop it
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; the C library would keep it in the worker, which outlives its tasks."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """A task function that starts without other operators' caches and leaves no freed memory behind."""
+
+    def task(batches):
+        for drop in CACHES:
+            drop()
+        _give_back()
+        yield from run(batches)
+        _give_back()
+
+    return task
+
+
 class Words(NamedTuple):
     """Words of one slice: hash, index of the text in the slice, and words per text."""
 
@@ -132,6 +158,31 @@ def code_point_count(texts: pa.Array) -> np.ndarray:
     return np.diff(heads[offsets])
 
 
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def word_ends(texts: pa.Array, classes: int) -> np.ndarray:
+    """For every word of ``word_table``, in order, a class of the last three bytes before its closing marks."""
+    data, offsets = utf8_parts(texts)
+    space = _SPACE[data]
+    first, last = ~space, ~space
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < data.size)]
+    first[inner] = ~space[inner]
+    last[inner - 1] = ~space[inner - 1]
+    start, at = np.flatnonzero(first), np.flatnonzero(last)
+    for _ in range(3):
+        at = at - (_MARKS[data[at]] & (at > start))
+    with np.errstate(over="ignore"):
+        code = np.zeros(at.size, U64)
+        for back, factor in ((0, 3), (1, 5), (2, 7)):
+            code += np.where(at - back >= start, _VALUES[data[np.maximum(at - back, 0)]] * U64(factor), U64(0))
+    return (mix64(code) % U64(classes)).astype(np.int64)
+
+
 def segment_sum(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sum of consecutive runs of ``values``; an empty run gives 0."""
     out = np.zeros(len(lengths), dtype=values.dtype)

@@ -19,6 +19,8 @@ import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
+from quiver.llm import textops as T
+
 MEMO_ENTRIES = 400_000
 _UNSAFE = re.compile(r"\s\s(?:\s|$)|\0")
 
@@ -178,3 +180,6 @@ def encoded(encoder: Encoder, texts, end_id: int) -> Iterator[np.ndarray]:
     ends = np.cumsum(sizes)
     for a, b in zip(ends - sizes, ends):
         yield np.append(ids[a:b], np.uint32(end_id))
+
+
+T.CACHES.append(Encoder.held.clear)
