@@ -1,14 +1,17 @@
 """Language-model scoring: a log-bilinear neural model trained with noise-contrastive estimation.
 
-The vocabulary is the ``vocab`` most frequent training tokens, and one class for all other words; the end
-of a text is a token. In contexts, other words are told apart by ``ENDINGS`` classes of their last letters,
-which carry language and grammar. The model predicts a token from the two before it: context vector
-q = r[w1] * c1 + r[w2] * c2 (element-wise context weights), score s(w) = q . t[w] + b[w], and
-P(w | w1, w2) is the softmax over the vocabulary, normalised exactly. A word outside the vocabulary gets
-P(other | w1, w2) times its share of the smoothed counts of all such words, so the probabilities of all
-words, unseen ones included, add up to 1.
+The model predicts a token from the two before it: context vector q = r[w1] * c1 + r[w2] * c2 (element-wise
+context weights), score s(w) = q . t[w] + b[w]. The softmax has levels, each normalised exactly. The head is
+the ``vocab`` most frequent training tokens, and one entry for all other words; the end of a text is a token.
+The other frequent words (the tail) lie in classes of about the square root of their number, ordered by
+ending and frequency, so the classes grow with the counts: P(w | w1, w2) = P(other | w1, w2) *
+P(class | other, w1, w2) * P(w | class, w1, w2). All further words, unseen ones included, lie in ``ENDINGS``
+more classes by their last letters, which carry language and grammar; such a word gets the probability of its
+class in the context times its share of the smoothed counts of the class (one unseen word a class), so the
+probabilities add up to 1. In contexts, words outside the head are told apart by these endings.
 
 1. Count: every task adds up its training tokens; counts of all words are exact and cover all documents.
+   A word's ending goes with its count.
 2. Frequent words (at most ``heavy`` of them, found from a histogram of counts) are broadcast with their
    counts; all others stay in a table and are joined.
 3. Train: every partition runs mini-batch NCE from the same start over all its training tokens (each
@@ -25,6 +28,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -58,25 +62,35 @@ def trains(ids: pa.Array) -> np.ndarray:
     return np.fromiter((i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i in ids.to_pylist()), bool, len(ids))
 
 
+def endings(texts: pa.Array, is_word: np.ndarray) -> np.ndarray:
+    """Class of the last letters of every token; 0 for the end token."""
+    out = np.zeros(len(is_word), np.int8)
+    out[is_word] = T.word_ends(texts, ENDINGS)
+    return out
+
+
 def _count(batches):
     held, size = [], 0
 
     def merged():
-        word = np.concatenate([w for w, _ in held])
+        word = np.concatenate([w for w, _, _ in held])
         order = np.argsort(word, kind="stable")
-        word, count = word[order], np.concatenate([c for _, c in held])[order]
+        word, ending, count = word[order], np.concatenate([e for _, e, _ in held])[order], np.concatenate([c for _, _, c in held])[order]
         new = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        return word[new], np.add.reduceat(count, new)
+        return word[new], ending[new], np.add.reduceat(count, new)
 
-    def out(word, count):
+    def out(word, ending, count):
         for i in range(0, len(word), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(word[i : i + (1 << 17)].view(np.int64)), pa.array(count[i : i + (1 << 17)])], ["word", "c"])
+            k = slice(i, i + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(word[k].view(np.int64)), pa.array(ending[k]), pa.array(count[k])], ["word", "ending", "c"])
 
     for batch in batches:
         batch = batch.filter(pa.array(trains(batch.column(0))))
         for a, b in T.slices(batch.column(1)):
-            word, count = np.unique(tokens(batch.column(1).slice(a, b - a))[0], return_counts=True)
-            held.append((word, count.astype(np.int64)))
+            texts = batch.column(1).slice(a, b - a)
+            words, _, is_word = tokens(texts)
+            word, first, count = np.unique(words, return_index=True, return_counts=True)
+            held.append((word, endings(texts, is_word)[first], count.astype(np.int64)))
             size += word.size
         if size > _FLUSH:
             held = [merged()]
@@ -89,14 +103,18 @@ def _count(batches):
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): training count of every distinct token hash."""
-    return docs.mapInArrow(T.lean(_count), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    """(word, ending, c): ending class and training count of every distinct token hash."""
+    return docs.mapInArrow(T.lean(_count), "word long, ending byte, c long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
 
 class Shared:
-    """What every task needs: counts of the frequent words, and the vocabulary's words by id."""
+    """What every task needs: counts of the frequent words, the head's words by id, and the classes of all others.
+
+    ``ending`` holds the ending class of every frequent word, ``rest`` tokens and words of all that are not
+    frequent, by ending class; left out, they count as class 0."""
 
-    def __init__(self, heavy: np.ndarray, heavy_counts: np.ndarray, total: int, distinct: int, vocab: int) -> None:
+    def __init__(self, heavy: np.ndarray, heavy_counts: np.ndarray, total: int, distinct: int, vocab: int,
+                 ending: np.ndarray | None = None, rest: np.ndarray | None = None) -> None:
         order = np.argsort(heavy)
         self.heavy, self.counts = heavy[order], heavy_counts[order]
         self.total, self.distinct = total, distinct
@@ -108,6 +126,23 @@ class Shared:
         self.vocab_counts = np.concatenate(([max(total - int(self.counts[rank].sum()), 0) + 1], self.counts[rank])).astype(float)
         self.other_tokens = total - int(self.counts[rank].sum())
         self.other_words = distinct - len(rank)
+        # the tail: frequent words outside the head, by ending and frequency
+        ending = np.zeros(len(heavy), np.int64) if ending is None else ending[order].astype(np.int64)
+        tail = np.flatnonzero(self.ids == 0)
+        tail = tail[np.lexsort((self.heavy[tail], -self.counts[tail], ending[tail]))]
+        self.n_tail = len(tail)
+        self.per_class = max(1, math.isqrt(self.n_tail))
+        self.tail_classes = -(-self.n_tail // self.per_class)
+        self.tail_at = np.full(len(heavy), -1, np.int32)
+        self.tail_at[tail] = np.arange(self.n_tail)
+        self.tail_counts = self.counts[tail].astype(float)
+        if rest is None:
+            rest = np.zeros((2, ENDINGS), np.int64)
+            rest[:, 0] = self.other_tokens - int(self.counts[tail].sum()), self.other_words - self.n_tail
+        self.rest_mass = rest[0] + 0.1 * (rest[1] + 1)  # one unseen word an ending
+        starts = np.arange(0, self.n_tail, self.per_class)
+        self.class_counts = np.concatenate((np.add.reduceat(self.tail_counts, starts) if self.n_tail else np.zeros(0), self.rest_mass))
+        self.targets = self.size + self.n_tail + ENDINGS
         self.probe = np.zeros(1 << 22, bool)
         self.probe[(self.heavy & T.U64((1 << 22) - 1)).astype(np.int64)] = True
 
@@ -121,26 +156,43 @@ class Shared:
             place[at[hit]] = found[hit]
         return place, np.where(place >= 0, self.ids[place] if len(self.ids) else 0, 0)
 
+    def target(self, place: np.ndarray, ids: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        """What is predicted: a word of the head, a word of the tail, or the ending of any other word."""
+        out = np.where(ids > 0, ids, self.size + self.n_tail + ending.astype(np.int64))
+        at = np.flatnonzero((ids == 0) & (place >= 0))
+        out[at] = self.size + self.tail_at[place[at]]
+        return out
+
+    def levels(self, target: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
+        """Rows and entries of each level: the head for all, classes for words outside it, words for the tail."""
+        other = np.flatnonzero(target >= self.size)
+        code = target[other] - self.size
+        tail = code < self.n_tail
+        return [(slice(None), np.where(target < self.size, target, 0)),
+                (other, np.where(tail, code // self.per_class, code - self.n_tail + self.tail_classes)), (other[tail], code[tail])]
+
 
 class Model:
-    """Parameters: context vectors r, target vectors t, context weights c1 and c2, biases b."""
+    """Parameters: context vectors r, context weights c1 and c2, and target vectors t and biases b of the levels
+    (k: classes, w: words of the tail)."""
 
-    def __init__(self, r, t, c1, c2, b) -> None:
+    def __init__(self, r, t, c1, c2, b, tk, bk, tw, bw) -> None:
         self.r, self.t, self.c1, self.c2, self.b = r, t, c1, c2, b
+        self.tk, self.bk, self.tw, self.bw = tk, bk, tw, bw
 
     @classmethod
     def start(cls, shared: Shared, dims: int, seed: int) -> "Model":
         rng = np.random.default_rng(seed)
-        p = shared.vocab_counts / shared.vocab_counts.sum()
-        draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        return cls(draw(shared.start + 1, dims), draw(shared.size, dims), np.ones(dims, np.float32) * 0.5, np.ones(dims, np.float32),
-                   np.log(p).astype(np.float32))
+        draw = lambda *shape: rng.standard_normal(shape, np.float32) * np.float32(0.1)
+        log = lambda counts: np.log(counts / max(counts.sum(), 1)).astype(np.float32)
+        return cls(draw(shared.start + 1, dims), draw(shared.size, dims), np.ones(dims, np.float32) * 0.5, np.ones(dims, np.float32), log(shared.vocab_counts),
+                   draw(len(shared.class_counts), dims), log(shared.class_counts), draw(shared.n_tail, dims), log(shared.tail_counts))
 
     def arrays(self):
-        return [self.r, self.t, self.c1, self.c2, self.b]
+        return [self.r, self.t, self.c1, self.c2, self.b, self.tk, self.bk, self.tw, self.bw]
 
     def pack(self) -> np.ndarray:
-        return np.concatenate([a.ravel() for a in self.arrays()]).astype(np.float64)
+        return np.concatenate([a.ravel() for a in self.arrays()])
 
     def unpack(self, flat: np.ndarray) -> "Model":
         out, at = [], 0
@@ -153,20 +205,27 @@ class Model:
         return self.r[w1] * self.c1 + self.r[w2] * self.c2
 
     def log_normalisers(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        out = np.empty(len(w1))
-        for a in range(0, len(w1), 2048):
-            s = self.context(w1[a : a + 2048], w2[a : a + 2048]) @ self.t.T + self.b
-            high = s.max(axis=1)
-            out[a : a + 2048] = high + np.log(np.exp(s - high[:, None]).sum(axis=1))
-        return out
+        return log_sums(self.context(w1, w2), self.t, self.b)
+
+
+def log_sums(q: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(q . t + b) for every row of ``q``, in pieces that fit the processor's cache."""
+    out = np.empty(len(q))
+    step = max(16, (1 << 18) // max(len(b), 1))
+    for a in range(0, len(q), step):
+        s = q[a : a + step] @ t.T
+        s += b
+        high = s.max(axis=1)
+        s -= high[:, None]
+        np.exp(s, out=s)
+        out[a : a + step] = high + np.log(s.sum(axis=1))
+    return out
 
 
-def contexts(texts: pa.Array, ids: np.ndarray, is_word: np.ndarray, per_doc: np.ndarray, shared: "Shared") -> tuple[np.ndarray, np.ndarray]:
-    """The two tokens before every token: vocabulary ids, classes of other words, or ``shared.start`` before the text."""
+def contexts(ids: np.ndarray, ending: np.ndarray, per_doc: np.ndarray, shared: "Shared") -> tuple[np.ndarray, np.ndarray]:
+    """The two tokens before every token: ids of the head, classes of other words, or ``shared.start`` before the text."""
     start = shared.start
-    ending = np.zeros(len(ids), np.int64)
-    ending[is_word] = T.word_ends(texts, ENDINGS)
-    ids = np.where(ids == 0, shared.size + ending, ids)
+    ids = np.where(ids == 0, shared.size + ending.astype(np.int64), ids)
     first = np.zeros(len(ids), bool)
     first[np.cumsum(per_doc) - per_doc] = True
     w2 = np.append(start, ids[:-1])
@@ -176,46 +235,63 @@ def contexts(texts: pa.Array, ids: np.ndarray, is_word: np.ndarray, per_doc: np.
     return w1, w2
 
 
-def distinct_triples(w1, w2, w, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    key = (w1.astype(np.int64) * base + w2) * base + w
-    unique, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    return unique // (base * base), unique // base % base, unique % base, inverse, count
-
-
-def nce_epoch(model: Model, adagrad: list[np.ndarray], w1, w2, w, weight, noise_p: np.ndarray, rng, noise: int, rate: float, batch: int) -> None:
-    """One pass over weighted triples in random order. All targets of a batch share its noise words."""
+def nce_epoch(model: Model, adagrad: list[np.ndarray], shared: Shared, w1, w2, w, weight, rng, noise: int, rate: float, batch: int) -> None:
+    """One pass over weighted triples in random order. All targets of a batch share a level's noise words."""
     order = rng.permutation(len(w))
-    cumulative = np.cumsum(noise_p)
-    cumulative[-1] = 1.0
+    draws = []
+    for counts in (shared.vocab_counts, shared.class_counts, shared.tail_counts):
+        p = counts / max(counts.sum(), 1e-9)
+        cumulative = np.cumsum(p)
+        cumulative[-1:] = 1.0
+        draws.append((cumulative, np.log(noise * p).astype(np.float32)))
+    params = model.arrays()
+
+    def step(k, i, grad):
+        adagrad[k][i] += grad * grad
+        params[k][i] += rate * grad / np.sqrt(adagrad[k][i])
+
+    # add up gradients by vocabulary row with sorted segments
+    def rows(index, grad):
+        o = np.argsort(index, kind="stable")
+        index = index[o]
+        new = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+        return index[new], np.add.reduceat(grad[o], new, axis=0)
+
     for a in range(0, len(order), batch):
         at = order[a : a + batch]
-        c1, c2, target, g = w1[at], w2[at], w[at], weight[at].astype(np.float32)
-        drawn = np.searchsorted(cumulative, rng.random(noise))
+        c1, c2, weights = w1[at], w2[at], weight[at].astype(np.float32)
+        scale = 1.0 / weights.sum()
         r1, r2 = model.r[c1], model.r[c2]
-        q = r1 * model.c1 + r2 * model.c2
-        # log(k p_n) enters as the log-odds of noise; the model's own scores are taken as log-probabilities
-        s = np.einsum("ij,ij->i", q, model.t[target]) + model.b[target] - np.log(noise * noise_p[target]).astype(np.float32)
-        n = q @ model.t[drawn].T + model.b[drawn] - np.log(noise * noise_p[drawn]).astype(np.float32)
-        gs = g / (1 + np.exp(np.clip(s, -30, 30)))  # gradient of log sigmoid(s)
-        gn = -g[:, None] / (1 + np.exp(np.clip(-n, -30, 30)))
-        gq = gs[:, None] * model.t[target] + gn @ model.t[drawn]
-        scale = 1.0 / g.sum()
-        # add up gradients by vocabulary row with sorted segments
-        def rows(index, grad):
-            o = np.argsort(index, kind="stable")
-            index = index[o]
-            new = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-            return index[new], np.add.reduceat(grad[o], new, axis=0)
-
-        ti, tg = rows(np.concatenate((target, drawn)), np.concatenate((gs[:, None] * q, gn.T @ q)))
-        bi, bg = rows(np.concatenate((target, drawn)), np.concatenate((gs, gn.sum(axis=0))))
-        ri, rg = rows(np.concatenate((c1, c2)), np.concatenate((gq * model.c1, gq * model.c2)))
-        grads = [(0, ri, rg), (1, ti, tg), (2, slice(None), (gq * r1).sum(axis=0)), (3, slice(None), (gq * r2).sum(axis=0)), (4, bi, bg)]
-        params = model.arrays()
-        for k, i, grad in grads:
-            grad = grad * scale
-            adagrad[k][i] += grad * grad
-            params[k][i] += rate * grad / np.sqrt(adagrad[k][i])
+        q_all = r1 * model.c1 + r2 * model.c2
+        gq_all = np.zeros_like(q_all)
+        for (some, target), (cumulative, log_noise), (kt, kb) in zip(shared.levels(w[at]), draws, ((1, 4), (5, 6), (7, 8))):
+            if not target.size:
+                continue
+            t, b, q, g = params[kt], params[kb], q_all[some], weights[some]
+            drawn = np.searchsorted(cumulative, rng.random(noise))
+            tt, td = t[target], t[drawn]
+            # log(k p_n) enters as the log-odds of noise; the model's own scores are taken as log-probabilities
+            s = np.einsum("ij,ij->i", q, tt) + b[target] - log_noise[target]
+            n = q @ td.T
+            n += b[drawn] - log_noise[drawn]
+            with np.errstate(over="ignore"):  # the gradient is then 0
+                gs = g / (1 + np.exp(s))  # gradient of log sigmoid(s)
+                gn = np.exp(np.negative(n, out=n), out=n)
+            gn += 1
+            np.divide(-g[:, None], gn, out=gn)
+            gq_all[some] += gs[:, None] * tt + gn @ td
+            grad = np.empty((len(target) + noise, q.shape[1] + 1), np.float32)
+            grad[: len(target), :-1], grad[: len(target), -1] = gs[:, None] * q, gs
+            grad[len(target) :, :-1], grad[len(target) :, -1] = gn.T @ q, gn.sum(axis=0)
+            i, grad = rows(np.concatenate((target, drawn)), grad)
+            grad *= scale
+            step(kt, i, grad[:, :-1])
+            step(kb, i, grad[:, -1])
+        ri, rg = rows(np.concatenate((c1, c2)), np.concatenate((gq_all * model.c1, gq_all * model.c2)))
+        gc1, gc2 = (gq_all * r1).sum(axis=0), (gq_all * r2).sum(axis=0)
+        step(0, ri, rg * scale)
+        step(2, slice(None), gc1 * scale)
+        step(3, slice(None), gc2 * scale)
 
 
 def train(docs: DataFrame, shared, dims: int = 24, noise: int = 128, rate: float = 0.1, batch: int = 512, seed: int = 11) -> Model:
@@ -226,7 +302,7 @@ def train(docs: DataFrame, shared, dims: int = 24, noise: int = 128, rate: float
         model = Model.start(s, dims, seed)
         adagrad = [np.full(a.shape, 1e-6, np.float32) for a in model.arrays()]
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        noise_p = s.vocab_counts / s.vocab_counts.sum()
+        base = s.start + 1
         seen, held, size = 0, [], 0
 
         def learn():
@@ -235,18 +311,18 @@ def train(docs: DataFrame, shared, dims: int = 24, noise: int = 128, rate: float
             keys, counts = keys[order], np.concatenate([c for _, c in held])[order]
             new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             keys, counts = keys[new], np.add.reduceat(counts, new)
-            base = s.start + 1
-            nce_epoch(model, adagrad, keys // (base * base), keys // base % base, keys % base, counts, noise_p, rng, noise, rate, batch)
+            pairs = keys // s.targets
+            nce_epoch(model, adagrad, s, pairs // base, pairs % base, keys % s.targets, counts, rng, noise, rate, batch)
 
         for arrow in batches:
             arrow = arrow.filter(pa.array(trains(arrow.column(0))))
             for a, b in T.slices(arrow.column(1)):
                 texts = arrow.column(1).slice(a, b - a)
                 words, per_doc, is_word = tokens(texts)
-                ids = s.look_up(words)[1]
-                w1, w2 = contexts(texts, ids, is_word, per_doc, s)
-                base = s.start + 1
-                keys, counts = np.unique((w1.astype(np.int64) * base + w2) * base + ids, return_counts=True)
+                place, ids = s.look_up(words)
+                ending = endings(texts, is_word)
+                w1, w2 = contexts(ids, ending, per_doc, s)
+                keys, counts = np.unique((w1.astype(np.int64) * base + w2) * s.targets + s.target(place, ids, ending), return_counts=True)
                 held.append((keys, counts))
                 size += keys.size
                 seen += len(ids)
@@ -255,23 +331,56 @@ def train(docs: DataFrame, shared, dims: int = 24, noise: int = 128, rate: float
                     held, size = [], 0
         if held:
             learn()
-        flat = model.pack() * seen
+        if not seen:
+            return
+        flat = model.pack()
         for block in range(0, len(flat), 4096):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([seen], pa.int64()),
-                                              pa.array([flat[block : block + 4096].tobytes()], pa.binary())], ["block", "seen", "sums"])
+                                              pa.array([flat[block : block + 4096].tobytes()], pa.binary())], ["block", "seen", "part"])
 
     def add(key, table):
-        total = np.sum([np.frombuffer(x) for x in table.column("sums").to_pylist()], axis=0)
-        seen = sum(table.column("seen").to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "seen": pa.array([seen], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+        seen = table.column("seen").to_pylist()
+        total = sum(np.frombuffer(x.as_py(), np.float32) * float(n) for x, n in zip(table.column("part"), seen))
+        mean = (total / sum(seen)).astype(np.float32)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([mean.tobytes()], pa.binary())})
 
-    parts = docs.mapInArrow(T.lean(run), "block long, seen long, sums binary")
-    mixed = parts.groupBy("block").applyInArrow(add, "block long, seen long, sums binary").collect()  # the model's size, whatever the input
+    parts = docs.mapInArrow(T.lean(run), "block long, seen long, part binary")
+    mixed = parts.groupBy("block").applyInArrow(add, "block long, part binary").collect()  # the model's size: some 13 MB at most
     start = Model.start(shared.value, dims, seed)
     mixed.sort(key=lambda r: r["block"])
-    if not mixed or mixed[0]["seen"] == 0:
+    if not mixed:
         return start
-    return start.unpack(np.concatenate([np.frombuffer(r["sums"]) for r in mixed]) / mixed[0]["seen"])
+    return start.unpack(np.concatenate([np.frombuffer(r["part"], np.float32) for r in mixed]))
+
+
+def log_probabilities(s: Shared, m: Model, w1: np.ndarray, w2: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log P(target | w1, w2): of the word in the head or tail, else of the class of endings."""
+    base = s.start + 1
+    pairs, at = np.unique(w1 * base + w2, return_inverse=True)
+    context = m.context(pairs // base, pairs % base)
+    out = np.zeros(len(target))
+    (_, head), (other, classes), (tail, words) = s.levels(target)
+
+    def add(rows, entries, t, b):
+        for a in range(0, len(rows), 1 << 16):
+            k = rows[a : a + (1 << 16)]
+            e = entries[a : a + (1 << 16)]
+            out[k] += np.einsum("ij,ij->i", context[at[k]], t[e]) + b[e]
+
+    add(np.arange(len(target)), head, m.t, m.b)
+    out -= log_sums(context, m.t, m.b)[at]
+    add(other, classes, m.tk, m.bk)
+    some, place = np.unique(at[other], return_inverse=True)
+    out[other] -= log_sums(context[some], m.tk, m.bk)[place]
+    add(tail, words, m.tw, m.bw)
+    kinds = words // s.per_class
+    order = np.argsort(kinds, kind="stable")
+    cuts = np.searchsorted(kinds[order], np.arange(s.tail_classes + 1))
+    for kind in np.flatnonzero(np.diff(cuts)):
+        rows = tail[order[cuts[kind] : cuts[kind + 1]]]
+        k = slice(kind * s.per_class, (kind + 1) * s.per_class)
+        out[rows] -= log_sums(context[at[rows]], m.tw[k], m.bw[k])
+    return out
 
 
 def score_slice(s: Shared, m: Model, texts: pa.Array):
@@ -283,21 +392,13 @@ def score_slice(s: Shared, m: Model, texts: pa.Array):
     frequent = place >= 0
     base = np.zeros(len(words))
     base[frequent] = base_log[place[frequent]]
-    w1, w2 = contexts(texts, ids, is_word, per_doc, s)
+    ending = endings(texts, is_word)
+    w1, w2 = contexts(ids, ending, per_doc, s)
     base_id = s.start + 1
-    u1, u2, u, inverse, _ = distinct_triples(w1, w2, ids, base_id)
-    pairs, at = np.unique(u1 * base_id + u2, return_inverse=True)
-    z = m.log_normalisers(pairs // base_id, pairs % base_id)
-    logit = np.empty(len(u))
-    for a in range(0, len(u), 1 << 16):
-        k = slice(a, a + (1 << 16))
-        logit[k] = np.einsum("ij,ij->i", m.context(u1[k], u2[k]), m.t[u[k]]) + m.b[u[k]]
-    model = ((logit - z[at]) / np.log(10))[inverse]
-    other = (ids == 0)
-    share = np.zeros(len(words))
-    seen_other = other & frequent
-    share[seen_other] = np.log10(s.counts[place[seen_other]] + 0.1)
-    model += np.where(other, share - np.log10(s.other_tokens + 0.1 * (s.other_words + 1)), 0.0)
+    keys, inverse = np.unique((w1.astype(np.int64) * base_id + w2) * s.targets + s.target(place, ids, ending), return_inverse=True)
+    pairs = keys // s.targets
+    model = (log_probabilities(s, m, pairs // base_id, pairs % base_id, keys % s.targets) / np.log(10))[inverse]
+    model[~frequent] -= np.log10(s.rest_mass)[ending[~frequent]]  # the log of the count is added by the join
     doc = np.repeat(np.arange(n), per_doc)
     rare_doc, rare = doc[~frequent], words[~frequent]
     values, counts, rare_per_doc = T.distinct_per_doc(rare_doc, rare, n)
@@ -335,8 +436,12 @@ def prepare(docs: DataFrame, vocab: int, heavy: int) -> tuple[DataFrame, Shared]
     frequent = counts.where(F.col("c") >= least).toArrow() if least is not None else None
     words = frequent.column("word").to_numpy().view(T.U64) if frequent is not None else np.zeros(0, T.U64)
     c = frequent.column("c").to_numpy() if frequent is not None else np.zeros(0, np.int64)
+    ending = frequent.column("ending").to_numpy() if frequent is not None else np.zeros(0, np.int8)
     rare = counts.where(F.col("c") < least) if least is not None else counts
-    return rare, Shared(words, c, total, distinct, vocab)
+    rest = np.zeros((2, ENDINGS), np.int64)
+    for r in rare.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():  # a row an ending
+        rest[:, r["ending"]] = r["c"], r["n"]
+    return rare.select("word", "c"), Shared(words, c, total, distinct, vocab, ending, rest)
 
 
 def score(docs: DataFrame, vocab: int = 1023, heavy: int = 1 << 17, dims: int = 24) -> DataFrame:

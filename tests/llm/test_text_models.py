@@ -217,6 +217,28 @@ def test_probabilities_add_up_to_one():
     assert abs(share - 1) < 1e-9
 
 
+def test_words_beyond_the_head_have_scores_by_context():
+    rng = np.random.default_rng(3)
+    heavy = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    rest = np.array([rng.integers(0, 9, lbl.ENDINGS), rng.integers(0, 4, lbl.ENDINGS)])
+    counts = rng.integers(2, 50, 60)
+    shared = lbl.Shared(heavy, counts, int(counts.sum() + rest[0].sum()), 60 + int(rest[1].sum()), 12, rng.integers(0, lbl.ENDINGS, 60), rest)
+    model = lbl.Model.start(shared, 5, 1)
+    every = np.append(np.arange(1, shared.size), np.arange(shared.size, shared.targets))  # all words and classes, without the entry "other"
+    logs = [lbl.log_probabilities(shared, model, np.full(len(every), w1), np.full(len(every), w2), every) for w1, w2 in ((0, 3), (shared.start, shared.start), (12, 0))]
+    for p in logs:
+        assert abs(np.exp(p).sum() - 1) < 1e-5
+    tail = (every >= shared.size) & (every < shared.size + shared.n_tail)
+    assert shared.n_tail == 48 and shared.tail_classes > 1
+    # the ratio of two words outside the head is not the same in all contexts
+    change = logs[0] - logs[1]
+    assert np.ptp(change[tail]) > 1e-3 and np.ptp(change[every >= shared.size + shared.n_tail]) > 1e-3
+    words = heavy[np.argsort(-counts, kind="stable")]
+    place, ids = shared.look_up(words)
+    target = shared.target(place, ids, np.zeros(60, np.int8))
+    assert sorted(target) == list(range(1, shared.size + shared.n_tail))
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     from conftest import SF01
 
