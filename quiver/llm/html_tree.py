@@ -61,6 +61,8 @@ _HINT = {word: i for i, words in enumerate(HINTS.values()) for word in words.spl
 _WORD = re.compile(r"[a-z]+|\d+")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
+# The rest of a tag: attributes, whose value may be quoted; possessive, so read in one pass
+_TAG = re.compile(r"""(?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+>""")
 N_FEATURES = len(BLOCKS) + len(HINTS) + 11
 _PARTS = (1 << (len(HINTS) - 1)) - 1  # every hint but the last names a part that is not main text
 
@@ -209,15 +211,10 @@ class Page:
 
 def _tag_end(source: str, at: int) -> int:
     """Place of the ``>`` that ends a tag, quoted values aside; -1: the source ends before."""
-    end = source.find(">", at)
-    for _ in range(20):
-        if end < 0:
-            break
-        inner = source[at:end]
-        if inner.count('"') % 2 == 0 and (inner.count("'") % 2 == 0 or '"' in inner):
-            return end
-        end = source.find(">", end + 1)
-    return source.find(">", at)
+    found = _TAG.match(source, at)
+    if found:
+        return found.end() - 1
+    return source.find(">", at)  # a quote that never closes
 
 
 def _raw_end(source: str, name: str, at: int) -> int:

@@ -76,6 +76,16 @@ def test_text_rules(source, text):
     assert H.main_texts([source], MODEL) == [text]
 
 
+@pytest.mark.parametrize("tag", [
+    "<p data-x='" + "<i>x</i></article>" * 30 + "'>", '<p onclick="' + "a > b;" * 500 + '">', "<p title=it's>", '<p a = "' + ">" * 21 + '"b=\'>\'>', '<p a=b="c>', '<p a="never closed>',
+])
+def test_a_tag_ends_outside_quoted_values(tag):
+    closing = tag.count('"') % 2 == 0
+    assert H.main_texts([f"<article><p>one two.</p>{tag}kept too</p><p{' id="z"' if closing else ''}>last</p></article>"], MODEL) == ["one two. kept too last"]
+    many = "<p " + "a='>' " * 300_000 + ">"
+    assert H._tag_end(many, 2) == len(many) - 1 and H._tag_end("<p " + 'a="b" ' * 300_000, 2) == -1
+
+
 LAYOUTS = {
     "divs": '<body><div id="top-nav"><a href="/">Home</a></div><div class="content"><h1>Head</h1><p>The main text has a first sentence. And a second.</p><div class="comments"><p>Nice post, thank you all. Really.</p></div></div><div class="sidebar"><p>Side words here.</p></div><div class="footer">Foot.</div></body>',
     "semantic": '<body><header>Site</header><main><h1>Head</h1><p>The main text has a first sentence. And a second.</p></main><aside><p>Side words here. Side words.</p></aside><section id="comments"><h2>Comments</h2><p>Nice post, thank you all. Really.</p></section><form><p>Name</p></form><footer>Foot.</footer></body>',
