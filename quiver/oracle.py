@@ -397,3 +397,37 @@ SELECT '{task}' AS task, '{objective}' AS metric, t.*, r.accuracy, r.{objective}
 
 def search_ctes() -> str:
     return "WITH scored AS (" + _search_task("embeddings", "macro_f1") + " UNION ALL " + _search_task("parity", "accuracy") + ")\n"
+
+
+def _grids_task(task: str, objective: str) -> str:
+    tkey = "CAST(e AS VARCHAR) || ':' || CAST(b AS VARCHAR) || ':' || CAST(t AS VARCHAR)"
+    two60 = "1152921504606846976.0"
+    keys = ["family", "trial_id"]
+    return f"""(WITH {split_ctes(TASKS[task])},
+{bootstrap_ctes('train', 'vec_id', 11)},
+families AS (SELECT * FROM (VALUES ('roberta', 'trial', [3, 5], [32, 16], 5), ('distilroberta', 'trial-distilroberta', [9, 11], [16, 32], 5),
+  ('gpt2', 'trial-gpt2', [2], [16, 32], 3), ('deberta', 'trial-deberta', [5], [16], 3)) f(family, seed, es, bs, n)),
+grid AS (SELECT family, seed, e, b, CAST(unnest(range(n)) AS INTEGER) AS t FROM (
+  SELECT family, seed, n, e, CAST(unnest(bs) AS INTEGER) AS b FROM (
+  SELECT family, seed, n, bs, CAST(unnest(es) AS INTEGER) AS e FROM families))),
+trials AS (SELECT family, 'e-' || CAST(e AS VARCHAR) || '-b-' || CAST(b AS VARCHAR) || '-t-' || CAST(t AS VARCHAR) AS trial_id,
+  e AS epochs, b AS batch,
+  0.00001 + (0.00005 - 0.00001) * (CAST({H("seed || '-lr'", tkey)} AS DOUBLE) / {two60}) AS learning_rate,
+  CASE WHEN family = 'deberta' THEN CAST(0.01 AS DOUBLE)
+    ELSE 0.005 + (0.2 - 0.005) * (CAST({H("seed || '-wd'", tkey)} AS DOUBLE) / {two60}) END AS weight_decay FROM grid),
+cells AS (SELECT s.replica, t.label AS class_id, s.mult, CAST(unnest(t.embedding) AS DOUBLE) AS x,
+  CAST(generate_subscripts(t.embedding, 1) - 1 AS INTEGER) AS dim FROM samples s JOIN train t USING (vec_id)),
+sums AS (SELECT replica, class_id, dim, sum(mult * x) AS sx, sum(mult) AS sw FROM cells GROUP BY ALL),
+per_trial AS (SELECT t.family, t.trial_id, s.replica, s.class_id, s.dim,
+  s.sx / (CAST(s.sw AS DOUBLE) + 100.0 * t.weight_decay) AS value FROM sums s JOIN trials t ON s.replica < t.epochs),
+{scoring_ctes('test', 'per_trial', 'vec_id', [*keys, 'replica'])},
+{vote_ctes('probs', 'vec_id', keys)},
+aligned AS (SELECT p.family, p.trial_id, p.vec_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (vec_id)),
+conf AS (SELECT family, trial_id, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
+{report_ctes('conf', keys)}
+SELECT '{task}' AS task, CASE WHEN t.family = 'deberta' THEN 'accuracy' ELSE '{objective}' END AS metric, t.*, r.accuracy,
+  CASE WHEN t.family = 'deberta' THEN r.accuracy ELSE r.{objective} END AS objective FROM trials t JOIN report r USING (family, trial_id))"""
+
+
+def grids_ctes() -> str:
+    return "WITH scored AS (" + _grids_task("embeddings", "macro_f1") + " UNION ALL " + _grids_task("parity", "accuracy") + ")\n"

@@ -6,7 +6,8 @@ learner is the bagged centroid model, with ``epochs`` = number of bagged replica
 ``weight_decay`` shrinking each centroid (mean = sum(mult*x) / (sum(mult) + 100*wd)). It has a
 closed form, so ``learning_rate`` and ``batch`` have no effect on it; the output says so in
 ``no_effect``. The objective is the task's selection metric: macro F1 for a task of many classes,
-accuracy for a binary one.
+accuracy for a binary one; a search of ``GRIDS`` may name its own. ``grid_trials`` has the trials of all
+searches, keyed by ``family`` and ``trial_id``.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ LR_RANGE = (1e-5, 5e-5)
 WD_RANGE = (5e-3, 2e-1)
 # ---------------------------------------------------------------------------------------------
 SHRINK_SCALE = 100.0
-# The searches of the reference's model families: grid, draws a cell, what is drawn
+# The searches of the reference's model families: grid, draws a cell, what is drawn, objective if it is not the task's
 GRIDS = {
     "roberta": {"epochs": [3, 5], "batches": [32, 16], "n": 5},
     "distilroberta": {"epochs": [9, 11], "batches": [16, 32], "n": 5},
     "gpt2": {"epochs": [2], "batches": [16, 32], "n": 3},
-    "deberta": {"epochs": [5], "batches": [16], "n": 3, "fixed_weight_decay": 0.01},  # learning rate only
+    "deberta": {"epochs": [5], "batches": [16], "n": 3, "fixed_weight_decay": 0.01, "objective": "accuracy"},  # learning rate only
 }
 OBJECTIVES = {"embeddings": "macro_f1", "parity": "accuracy"}
 NO_EFFECT = "batch,learning_rate"
@@ -58,10 +59,22 @@ def make_trials(spark: SparkSession, epochs: Sequence[int] = tuple(EPOCHS), batc
         (F.lit(wlo) + F.lit(whi - wlo) * u(F.lit(f"{seed}-wd"), tkey) if fixed_weight_decay is None else F.lit(fixed_weight_decay)).alias("weight_decay"))
 
 
+def grid_trials(spark: SparkSession) -> DataFrame:
+    """T7 of every search of ``GRIDS``: the columns of ``make_trials`` and ``family``. Families draw apart from each other."""
+    out = None
+    for family, grid in GRIDS.items():
+        args = {k: v for k, v in grid.items() if k != "objective"}
+        own = make_trials(spark, **args, seed="trial" if family == "roberta" else f"trial-{family}").withColumn("family", F.lit(family))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def trial_objectives(emb: DataFrame, trials: DataFrame, key: str = "vec_id", task: str = "embeddings") -> DataFrame:
-    """Objective of every trial: ``(task, metric, trial_id, epochs, batch, learning_rate, weight_decay, accuracy, objective, no_effect)``."""
+    """Objective of every trial: ``(task, metric, trial_id, epochs, batch, learning_rate, weight_decay, accuracy, objective, no_effect)``;
+    trials of several families are keyed by ``family`` too."""
     from quiver.plans.evaluate import TASK_LABELS
 
+    ids = ["family", "trial_id"] if "family" in trials.columns else ["trial_id"]
     epochs = sorted({r[0] for r in trials.select("epochs").distinct().collect()})  # grid values (bounded)
     train, test = train_test(emb.select(key, "embedding", F.expr(TASK_LABELS[task]).cast("int").alias("label")), key)
     samples = sampling.bootstrap_exact(train, key, max(epochs))
@@ -72,19 +85,21 @@ def trial_objectives(emb: DataFrame, trials: DataFrame, key: str = "vec_id", tas
     # Each replica serves every trial whose epochs exceed it: equi-join on epochs, trials broadcast (grid-sized).
     per_trial = (sums.withColumn("epochs", F.explode(F.filter(F.array(*[F.lit(e) for e in epochs]),
                                                               lambda e: e > F.col("replica"))))
-                 .join(F.broadcast(trials.select("trial_id", "epochs", "weight_decay")), "epochs")
-                 .select("trial_id", "replica", "class_id", "dim",
+                 .join(F.broadcast(trials.select(*ids, "epochs", "weight_decay")), "epochs")
+                 .select(*ids, "replica", "class_id", "dim",
                          (F.col("sx") / (F.col("sw") + F.lit(SHRINK_SCALE) * F.col("weight_decay"))).alias("value")))
     from quiver.operators.learn import pack_centroids
 
-    mc = ["trial_id", "replica"]
+    mc = [*ids, "replica"]
     models = materialize(pack_centroids(per_trial, mc).withColumn("task", F.lit(task)))
     aligned = score.score_centroids(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
-                                    vote_by=["trial_id"], predict=True, label="label").drop("task")
-    rep = metrics.classification_report(metrics.confusion(aligned, ["trial_id"]), ["trial_id"])
-    metric = OBJECTIVES[task]
-    scored = trials.join(rep.select("trial_id", "accuracy", F.col(metric).alias("objective")), "trial_id")
-    return scored.select(F.lit(task).alias("task"), F.lit(metric).alias("metric"), *scored.columns, F.lit(NO_EFFECT).alias("no_effect"))
+                                    vote_by=ids, predict=True, label="label").drop("task")
+    rep = metrics.classification_report(metrics.confusion(aligned, ids), ids)
+    metric, objective = F.lit(OBJECTIVES[task]), F.col(OBJECTIVES[task])
+    for family, own in ((f, g["objective"]) for f, g in GRIDS.items() if "family" in ids and "objective" in g):
+        metric, objective = F.when(F.col("family") == family, own).otherwise(metric), F.when(F.col("family") == family, F.col(own)).otherwise(objective)
+    scored = trials.join(rep.select(*ids, "accuracy", objective.alias("objective")), ids)
+    return scored.select(F.lit(task).alias("task"), metric.alias("metric"), *scored.columns, F.lit(NO_EFFECT).alias("no_effect"))
 
 
 def best_trial(scored: DataFrame, cell: Sequence[str] = ("task", "epochs", "batch")) -> DataFrame:

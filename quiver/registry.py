@@ -510,6 +510,26 @@ def q_best_trial(spark, sf):
     return rounded(SE.best_trial(_scored_trials(spark, sf)))
 
 
+def _scored_grids(spark, sf) -> DataFrame:
+    emb, trials = table(spark, sf, "embeddings"), SE.grid_trials(spark)
+    return SE.trial_objectives(emb, trials, task="embeddings").unionByName(SE.trial_objectives(emb, trials, task="parity"))
+
+
+@register("trial_objectives_grids", O.grids_ctes() + "SELECT task, metric, family, trial_id, epochs, batch, 'batch,learning_rate' AS no_effect, " +
+          ", ".join(O.rnd(c, c) for c in ["learning_rate", "weight_decay", "accuracy", "objective"]) + " FROM scored")
+def q_trial_objectives_grids(spark, sf):
+    """The searches of all model families, scored in one plan a task."""
+    return rounded(_scored_grids(spark, sf))
+
+
+@register("best_trial_grids", O.grids_ctes() + f"""SELECT family, task, epochs, batch, n_trials, trial_id, {O.rnd('learning_rate', 'learning_rate')},
+  {O.rnd('weight_decay', 'weight_decay')}, {O.rnd('objective', 'objective')} FROM (
+  SELECT *, count(*) OVER (PARTITION BY family, task, epochs, batch) AS n_trials,
+    row_number() OVER (PARTITION BY family, task, epochs, batch ORDER BY round_even(objective, 9) DESC, trial_id) AS _r FROM scored) WHERE _r = 1""")
+def q_best_trial_grids(spark, sf):
+    return rounded(SE.best_trial(_scored_grids(spark, sf), ("family", "task", "epochs", "batch")))
+
+
 # ---- sources and sinks: S1, S4, S5, S7, S8, written from driver tables and read back --------------------
 
 from quiver.session import tables_dir  # noqa: E402
