@@ -34,17 +34,18 @@ from quiver.session import ship_package
 
 # Elements, as HTML names them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select canvas audio video head".split())
+RAW = frozenset("script style title textarea noscript template iframe canvas audio video head".split())
+_TO_END = frozenset("script style title textarea".split())  # never closed, these hold the rest of the page
 BLOCKS = ["body", "article", "main", "section", "div", "p", "h", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "tr", "td",
           "blockquote", "pre", "figure", "dl", "dd", "button", "label", "other"]
 _ALIAS = {f"h{i}": "h" for i in range(1, 7)} | {"th": "td", "tbody": "table", "thead": "table", "tfoot": "table", "caption": "td", "figcaption": "figure", "dt": "dd", "menu": "ul",
                                                "address": "other", "details": "other", "summary": "other", "fieldset": "form", "legend": "label", "dialog": "aside", "center": "div",
-                                               "hgroup": "header", "search": "form", "option": "label", "frameset": "div", "html": "body"}
+                                               "hgroup": "header", "search": "form", "select": "label", "optgroup": "label", "option": "label", "frameset": "div", "html": "body"}
 _KIND = {name: i for i, name in enumerate(BLOCKS)} | {name: BLOCKS.index(kind) for name, kind in _ALIAS.items()}
 # An opening element closes these open elements, up to the given limits
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead"}, {"table"}), "option": ({"option"}, {"select"})}
-_IN_P = frozenset("button label legend".split())
+_IN_P = frozenset("button label legend select optgroup option".split())
 # Words of class, id and role attributes, by what they hint at
 HINTS = {
     "menu": "nav navigation menu navbar menubar breadcrumb breadcrumbs toc pager pagination skip toolbar tabs",
@@ -156,16 +157,17 @@ class Page:
             if name in VOID:
                 continue
             if name in RAW:
-                if rest.endswith("/") and name in ("svg", "math"):
-                    continue
                 at = _raw_end(source, name, at)
                 continue
             if name in ("html", "body"):
                 self._attributes(0, rest, marks)
                 continue
             if name not in _KIND:
-                links += name == "a"
-                stack.append((name, stack[-1][1]))
+                if name == "text":  # svg places its texts apart
+                    held.append(" ")
+                if name == "a" or not rest.endswith("/"):  # svg and math close empty elements so
+                    links += name == "a"
+                    stack.append((name, stack[-1][1]))
                 continue
             flush()
             if name not in _IN_P:
@@ -220,7 +222,9 @@ def _tag_end(source: str, at: int) -> int:
 def _raw_end(source: str, name: str, at: int) -> int:
     close = re.compile(rf"</{name}\b[^>]*(>|$)" if name != "head" else r"</head\b[^>]*>|(?=<body\b)|(?=<(?:article|div|p|nav|main|header|section|h1)\b)", re.I)
     found = close.search(source, at)
-    return len(source) if not found else found.end()
+    if found:
+        return found.end()
+    return len(source) if name in _TO_END else at
 
 
 class Forest:

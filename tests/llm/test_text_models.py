@@ -86,6 +86,24 @@ def test_a_tag_ends_outside_quoted_values(tag):
     assert H._tag_end(many, 2) == len(many) - 1 and H._tag_end("<p " + 'a="b" ' * 300_000, 2) == -1
 
 
+@pytest.mark.parametrize("inside, text", [
+    ("<p>so <math><mi>x</mi><mo>+</mo><mi>y</mi></math> is one</p><p>last words</p>", "so x+y is one last words"),
+    ('<p>in <svg><title>no</title><path d="M0"/><text>red</text><text>blue</text></svg> ink</p>', "in red blue ink"),
+    ("<p>open <svg><path d='M0'>drawing</p><p>last words</p>", "open drawing last words"),
+    ("<p>open <math><mi>x</p><p>last words</p>", "open x last words"),
+    ("<p>see <object data='a'>the other form</object> here</p>", "see the other form here"),
+    ("<p>one two.</p><canvas><p>last words</p>", "one two. last words"),
+    ("<p>one two.</p><script>var a;<p>last words</p>", "one two."),
+])
+def test_text_of_inline_elements_is_kept(inside, text):
+    assert H.main_texts([f"<article><p>Some words of it. More.</p>{inside}</article>"], MODEL) == ["Some words of it. More. " + text]
+
+
+def test_options_are_read():
+    page = H.Page("<article><p>Pick <select><option>red<option>blue</select> now</p></article>")
+    assert [t for _, t in page.runs] == ["Pick", "red", "blue", "now"] and page.runs[0][0] == page.runs[3][0]
+
+
 LAYOUTS = {
     "divs": '<body><div id="top-nav"><a href="/">Home</a></div><div class="content"><h1>Head</h1><p>The main text has a first sentence. And a second.</p><div class="comments"><p>Nice post, thank you all. Really.</p></div></div><div class="sidebar"><p>Side words here.</p></div><div class="footer">Foot.</div></body>',
     "semantic": '<body><header>Site</header><main><h1>Head</h1><p>The main text has a first sentence. And a second.</p></main><aside><p>Side words here. Side words.</p></aside><section id="comments"><h2>Comments</h2><p>Nice post, thank you all. Really.</p></section><form><p>Name</p></form><footer>Foot.</footer></body>',
