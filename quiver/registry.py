@@ -621,8 +621,5 @@ def q_append_variance_report(spark, sf):
 def q_read_results(spark, sf):
     """A results CSV with empty times and CRLF line ends."""
     path = _scratch(spark)
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in SK.REPORT_COLUMNS]
-    lines = _supplier_results(spark, sf).coalesce(1).select(F.concat(F.concat_ws(",", *cells), F.lit("\r")).alias("value"))
-    head = spark.range(0, 1, 1, 1).select(F.lit(",".join(SK.REPORT_COLUMNS) + "\r").alias("value"))
-    head.unionByName(lines).coalesce(1).write.text(path)
+    _supplier_results(spark, sf).select(*SK.REPORT_COLUMNS).write.csv(path, header=True, lineSep="\r\n")
     return rounded(RD.read_results(spark, path))

@@ -53,6 +53,16 @@ def test_results_csv_and_append_sinks(spark):
     assert back.count() == 2 and sorted(r[0] for r in back.select("run_id").collect()) == [0, 1]
 
 
+def test_results_are_written_in_parts(spark, tmp_path):
+    from quiver import registry as R
+
+    spark.read.parquet(f"{SF001}/supplier.parquet").repartition(3).write.parquet(f"{tmp_path}/supplier.parquet")
+    out = R.QUERIES["read_results"](spark, str(tmp_path))
+    assert len(out.inputFiles()) > 1
+    assert all("\r\n" in open(f.removeprefix("file://"), newline="").read() for f in out.inputFiles())
+    assert sorted(map(str, out.collect())) == sorted(map(str, R.QUERIES["read_results"](spark, SF001).collect()))
+
+
 def test_streaming_scoring_matches_batch(spark):
     from quiver.plans import centroid_ensemble as CE
     from quiver.streaming import scoring as ST
