@@ -198,12 +198,14 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, shr
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, shrinkage: float = 0.1, sample: int = 20_000) -> DataFrame:
     """The rows of ``docs``, all columns, that score at least ``threshold``; row by row, without a shuffle.
 
-    The model is fitted on at most ``sample`` labelled documents (the first ones by a hash of doc_id), so that
-    their ids can be broadcast; all rows are scored.
+    The model is fitted on at most ``sample`` label rows of documents (the first ones by a hash of doc_id), so that
+    their ids can be broadcast; rows that cannot train, without a quality or a document, do not count. All rows are scored.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    known = trained_on(labels).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = trained_on(labels).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("doc_id").isNotNull() & F.col("quality").cast("int").isin(0, 1))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    known = materialize(known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
     model = spark.sparkContext.broadcast(train(features(labelled), known, shrinkage))
 

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF001
 from edge_fixtures import edge_docs, empty_docs  # noqa: F401
@@ -198,6 +199,17 @@ def test_keep_good_keeps_columns(spark, edge_docs):
     assert Q.keep_good(edge_docs.limit(0), labels).collect() == []
 
 
+def test_rows_that_cannot_train_do_not_use_up_the_sample(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF001}/labels.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    strangers = spark.range(10**9, 10**9 + 2000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    unknown = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(labels, "doc_id", "left_anti").crossJoin(spark.createDataFrame([(None,), (7,)], "quality int"))
+    kept = lambda labels: sorted(r["doc_id"] for r in Q.keep_good(docs, labels, sample=40).collect())
+    alone = kept(labels)
+    assert 0 < len(alone) < docs.count()
+    assert kept(labels.unionByName(strangers).unionByName(unknown)) == alone
+
+
 # ---- language model -----------------------------------------------------------------------------------
 
 def brute_base(docs):
