@@ -204,11 +204,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     spark = docs.sparkSession
     ship_package(spark)
     known = trained_on(labels).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("doc_id").isNotNull() & F.col("quality").cast("int").isin(0, 1))
-    first = lambda rows, n: materialize(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n))
-    chosen = first(known, sample + 1)
-    if chosen.count() > sample:  # fewer are all taken, and those without a document find none below
-        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        chosen = first(known.join(ids, "doc_id", "left_semi"), sample)
+    first = lambda rows: materialize(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    ids, chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")), first(known)
+    own = chosen.select("doc_id").distinct()
+    if ids.join(F.broadcast(own), "doc_id", "left_semi").distinct().count() < own.count():  # some have no document
+        chosen = first(known.join(ids.distinct(), "doc_id", "left_semi"))
     known = chosen
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
     model = spark.sparkContext.broadcast(train(features(labelled), known, shrinkage))
