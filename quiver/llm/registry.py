@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quiver.llm import decontam, html_tree, imatch, lbl, ngram_join, packing, pii, quality, reply_trees, shards
+from quiver.llm import decontam, html_tree, imatch, lbl, ngram_join, packing, pii, quality, repair, reply_trees, shards
 
 QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join,
            "op2_html_tree": html_tree.op2_html_tree,
@@ -13,5 +13,6 @@ QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join,
            "op7_quality": quality.op7_quality,
            "op8_lbl": lbl.op8_lbl,
            "op9_decontam": decontam.op9_decontam,
-           "op10_imatch": imatch.op10_imatch}
+           "op10_imatch": imatch.op10_imatch,
+           "op13_hirschberg_repair": repair.op13_hirschberg_repair}
 ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.SQL, "op4_reply_trees": reply_trees.SQL}
