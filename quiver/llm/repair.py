@@ -193,6 +193,11 @@ def ordered_rows(rows: DataFrame) -> DataFrame:
     return materialize(sorted_rows.select("conv", "turn", "role", "text", F.monotonically_increasing_id().alias("place"), "code"))
 
 
+def _spread(runs: DataFrame) -> DataFrame:
+    """Runs are few bytes and much work: they are dealt by number, not by size."""
+    return runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv", "run")
+
+
 def _runs(rows: DataFrame) -> DataFrame:
     """(conv, run, first place, codes, cost, order) of runs of at most ``CHUNK`` rows."""
     listed = F.sort_array(F.collect_list(F.struct("place", "code")))
@@ -205,7 +210,7 @@ def _runs(rows: DataFrame) -> DataFrame:
             flat = lambda k: pa.array([[v for row in s[k] for v in row] for s in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(3).cast(pa.list_(pa.int32())), flat(0), flat(1)], ["conv", "run", "first", "codes", "cost", "ranks"])
 
-    return materialize(runs.mapInArrow(reduce_run, "conv string, run long, first long, codes array<int>, cost array<long>, ranks array<long>"))
+    return materialize(_spread(runs).mapInArrow(reduce_run, "conv string, run long, first long, codes array<int>, cost array<long>, ranks array<long>"))
 
 
 def _meet(batches):
@@ -246,7 +251,7 @@ def repair(rows: DataFrame) -> Repaired:
     met = gathered.mapInArrow(_meet, "conv string, cost long, states array<struct<run: long, begin: int, finish: int>>")
     met = materialize(met)
     solved = runs.join(met.select("conv", F.inline("states")), ["conv", "run"]).select("conv", "run", "first", "codes", "begin", "finish")
-    solved = materialize(solved.mapInArrow(_solve, "conv string, run long, first long, audit string, writes array<string>"))
+    solved = materialize(_spread(solved).mapInArrow(_solve, "conv string, run long, first long, audit string, writes array<string>"))
     each = solved.select("first", F.posexplode("writes").alias("k", "writes")).where("writes <> ''")
     each = each.select((F.col("first") + F.col("k")).alias("place"), F.posexplode(F.split("writes", "")).alias("part", "mark"))
     mark = F.col("mark")

@@ -24,7 +24,7 @@ def test_one_query_for_each_operator():
     import __spark_entry__ as entry
 
     names = [k.split("_")[0] for k in entry.queries() if k.startswith("op") and k.split("_")[0][2:].isdigit()]
-    assert sorted(names, key=lambda x: int(x[2:])) == [f"op{n}" for n in range(1, 11)] and "pipeline" in entry.queries()
+    assert sorted(names, key=lambda x: int(x[2:])) == [f"op{n}" for n in range(1, 14)] and "pipeline" in entry.queries()
 
 
 def test_nothing_else_imports_the_subpackage():
