@@ -1,4 +1,4 @@
-"""Distributed learners trained for many replicas at once.
+"""Distributed learners trained for many replicas at once (T1, T2; T3 is in ``linear``).
 
 Every learner takes a multiplicity column, so a bootstrap replica is a weighting of
 the rows, never a copy of them, and all replicas train in one aggregation.
@@ -151,57 +151,3 @@ def train_naive_bayes(train: DataFrame, samples: DataFrame | None, key: str, tex
     prior = classes.select(*mc, "class_id",
                            F.log(F.col("docs") / F.sum("docs").over(Window.partitionBy(*mc))).alias("log_prior"))
     return loglik, prior
-
-
-def train_logistic(train: DataFrame, samples: DataFrame, key: str, replicas: Sequence[int], vec: str = "embedding",
-                   label: str = "label", reg_param: float = 0.05, elastic_net: float = 0.0, max_iter: int = 200,
-                   tol: float = 1e-9, parallel: int = 4):
-    """One distributed multinomial logistic regression per replica, multiplicity as weight.
-
-    Each replica is an MLlib fit over the whole (distributed) training table with ``weightCol = mult``; up to
-    ``parallel`` fits run at the same time as jobs of one application. ``reg_param`` is the weight decay of
-    the hyperparameter table or a trial, ``max_iter`` its number of epochs; intercepts are not penalised.
-    With no penalty separable classes have no finite optimum, so 0 is refused. Returns {replica: fitted model}.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark import inheritable_thread_target
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    from quiver.session import materialize
-
-    if reg_param <= 0:
-        raise ValueError("reg_param must be positive: separable classes have no finite optimum without a penalty")
-    data = samples.join(train.select(key, vec, label), key).select(
-        "replica", array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"),
-        F.col(label).cast("double").alias("label"), F.col("mult").cast("double").alias("mult"))
-    # every fit passes over its rows many times: the joined input is written once
-    data = materialize(data)
-
-    def fit(replica: int):
-        return LogisticRegression(featuresCol="features", labelCol="label", weightCol="mult", family="multinomial", regParam=reg_param,
-                                  elasticNetParam=elastic_net, maxIter=max_iter, tol=tol).fit(data.filter(F.col("replica") == replica))
-
-    with ThreadPoolExecutor(max(1, parallel)) as pool:
-        return dict(zip(replicas, pool.map(inheritable_thread_target(fit), replicas)))
-
-
-def logistic_coefficients(spark, models) -> DataFrame:
-    """``(replica, class_id, dim, coef, intercept)`` of the models of :func:`train_logistic` (models x classes x dims values)."""
-    rows = []
-    for replica, model in models.items():
-        coef, intercept = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-        rows += [(int(replica), c, d, float(coef[c, d]), float(intercept[c])) for c in range(coef.shape[0]) for d in range(coef.shape[1])]
-    return spark.createDataFrame(rows, "replica int, class_id int, dim int, coef double, intercept double")
-
-
-def logistic_scores(rows: DataFrame, models, key: str, vec: str = "embedding", keep: Sequence[str] = ()) -> DataFrame:
-    """``(replica, key, keep..., class_id, prob)`` of every row under every model; one map-only pass a model."""
-    from functools import reduce
-
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    base = rows.select(key, *keep, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"))
-    parts = [m.transform(base).select(F.lit(int(r)).alias("replica"), key, *keep, F.posexplode(vector_to_array("probability")).alias("class_id", "prob")) for r, m in models.items()]
-    return reduce(DataFrame.unionByName, parts)

@@ -1,8 +1,9 @@
 """Scoring rows with many small models (T4).
 
-Centroid models are packed one row per model (``classes: array<struct<class_id, mu>>``). They are
-broadcast in blocks whose bytes are measured first, and every Arrow batch of rows is scored with one
-matrix product per block inside its task: rows are never shuffled for scoring, and no block grows with
+Models are packed one row per model: centroids (``classes: array<struct<class_id, mu>>``) or linear classifiers
+(``classes: array<struct<class_id, w, b>>``); a centroid's score is linear too, up to a part that all classes of a row
+share. They are broadcast in blocks whose bytes are measured first, and every Arrow batch of rows is scored with
+one matrix product per block inside its task: rows are never shuffled for scoring, and no block grows with
 the number of models.
 """
 
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 from quiver.operators.ensemble import TIE_DECIMALS
 from quiver.session import ship_package
 
-BLOCK_BYTES = 256 << 20  # of centroid values in one broadcast
+BLOCK_BYTES = 256 << 20  # of model values in one broadcast
+LEAST_SHARE = 1e-300  # of a vote, for the logarithm
 
 
 def softmax_by_segment(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -32,26 +34,29 @@ def softmax_by_segment(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Some models of every task as arrays: per task the model of each column, its class, its centroid."""
+    """Some models of every task as arrays: per task the model of each column, its class, its weights and intercept."""
 
     def __init__(self, rows, on: int, model_cols: int) -> None:
-        found: dict[tuple, tuple[list, list, list, list, list]] = {}
+        found: dict[tuple, tuple[list, list, list, list, list, list]] = {}
         for r in rows:
-            metas, classes, mus, starts, members = found.setdefault(tuple(r[:on]), ([], [], [], [], []))
+            metas, classes, weights, shifts, starts, members = found.setdefault(tuple(r[:on]), ([], [], [], [], [], []))
             starts.append(len(classes))
             own = [tuple(m) for m in r[on + model_cols + 1]] if len(r) > on + model_cols + 1 else None
             for c in r[on + model_cols]:
                 metas.append(tuple(r[on : on + model_cols]))
                 classes.append(c["class_id"])
-                mus.append(np.asarray(c["mu"], np.float64))
+                vector = np.asarray(c[1], np.float64)  # mu, or w with the intercept b after it
+                weights.append(vector if len(c) > 2 else 2 * vector)
+                shifts.append(c[2] if len(c) > 2 else -(vector * vector).sum())
                 members.append(own)
-        self.tasks = {t: (m, np.asarray(c, np.int32), np.vstack(u), np.asarray(s), o) for t, (m, c, u, s, o) in found.items()}
+        self.tasks = {t: (m, np.asarray(c, np.int32), np.vstack(u), np.asarray(b), np.asarray(s), o) for t, (m, c, u, b, s, o) in found.items()}
 
 
 def model_blocks(models: DataFrame, on: Sequence[str], model_cols: Sequence[str], block_bytes: int = BLOCK_BYTES, members: str | None = None) -> list:
     """Broadcast blocks of the packed ``models``; their number follows the measured bytes."""
     sc = models.sparkSession.sparkContext
-    cells = F.aggregate(F.col("classes"), F.lit(0).cast("long"), lambda acc, c: acc + F.size(c["mu"]))
+    vector = models.schema["classes"].dataType.elementType.names[1]
+    cells = F.aggregate(F.col("classes"), F.lit(0).cast("long"), lambda acc, c: acc + F.size(c[vector]))
     size = 8 * (models.agg(F.sum(cells)).first()[0] or 0)
     n = max(1, math.ceil(size / max(1, block_bytes)))
     names = [*on, *model_cols]
@@ -104,10 +109,42 @@ def score_centroids(rows: DataFrame, models: DataFrame, key: str, vec: str = "em
     return align_truth(found, rows, key, label).withColumn("y_true", F.col("y_true").cast("int")) if label else found
 
 
-def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: list, on: list, vote_by: list | None, predict: bool, label: str | None, members: str | None) -> DataFrame:
+def confusion_counts(rows: DataFrame, models: DataFrame, key: str, label: str = "label", vec: str = "embedding", model_cols: Sequence[str] = ("replica",),
+                     on: Sequence[str] = ("task",), vote_by: Sequence[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """G3 and the log-loss of many ensembles: ``(on..., vote_by..., y_true, y_pred, n, loss)``, added up inside the scoring tasks.
+
+    So no prediction leaves a task. ``vote_by`` (default: every model is an ensemble of its own) names the models that
+    vote together; ``loss`` is the sum, over the n rows, of minus the log of the vote's share for the true class. Rows
+    without a label are left out.
+    """
+    ship_package(rows.sparkSession)
+    mc, on = list(model_cols), list(on)
+    vote_by = mc if vote_by is None else list(vote_by)
+    blocks = model_blocks(models, on, mc, block_bytes)
+    known = rows.where(F.col(label).isNotNull())
+    if len(blocks) == 1 or set(vote_by) == set(mc):  # no ensemble spans two blocks
+        counted = reduce(DataFrame.unionByName, [_pass(known, models, b, key, vec, mc, on, vote_by, True, label, None, counts=True) for b in blocks])
+    else:
+        totals = score_centroids(known, models, key, vec, mc, on, blocks=blocks, vote_by=vote_by)
+        truth = known.select(*on, key, F.col(label).cast("int").alias("y_true"))
+        per = totals.join(truth, [*on, key]).groupBy(*on, *vote_by, key, "y_true").agg(
+            F.max_by("class_id", F.struct(F.bround("total", TIE_DECIMALS), -F.col("class_id"))).alias("y_pred"), F.sum("total").alias("all"),
+            F.sum(F.when(F.col("class_id") == F.col("y_true"), F.col("total")).otherwise(0.0)).alias("own"))
+        counted = per.withColumn("n", F.lit(1).cast("long")).withColumn("loss", -F.log(F.greatest(F.col("own") / F.col("all"), F.lit(LEAST_SHARE))))
+    return counted.groupBy(*on, *vote_by, "y_true", "y_pred").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+
+
+def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: list, on: list, vote_by: list | None, predict: bool, label: str | None, members: str | None,
+          counts: bool = False) -> DataFrame:
     """One pass of one block over the rows."""
-    kinds = [_field(models.schema, c) for c in on] + [_field(models.schema[members].dataType.elementType if members and vote_by is not None else models.schema, c) for c in (mc if vote_by is None else vote_by)] + [_field(rows.schema, key)]
-    if vote_by is None:
+    kinds = [_field(models.schema, c) for c in on] + [_field(models.schema[members].dataType.elementType if members and vote_by is not None else models.schema, c) for c in (mc if vote_by is None else vote_by)]
+    if counts:
+        kinds += [T.StructField("y_true", T.IntegerType()), T.StructField("y_pred", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType())]
+    else:
+        kinds.append(_field(rows.schema, key))
+    if counts:
+        pass
+    elif vote_by is None:
         kinds += [T.StructField("class_id", T.IntegerType()), T.StructField("prob", T.DoubleType())]
     elif predict:
         kinds += ([T.StructField("y_true", T.IntegerType())] if label else []) + [T.StructField("y_pred", T.IntegerType())]
@@ -127,10 +164,10 @@ def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: lis
         return [np.tile(np.array([v[i] for v in values]), n) for i in range(len(values[0]))] if values and values[0] else []
 
     def score(batch: pa.RecordBatch, task: tuple):
-        metas, classes, mu, starts, owners = block.value.tasks[task]
+        metas, classes, weights, shifts, starts, owners = block.value.tasks[task]
         n = len(batch)
         x = batch.column(width + 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-        p = softmax_by_segment(2 * (x @ mu.T) - (mu * mu).sum(axis=1), starts)  # |x|^2 is common to a row's classes
+        p = softmax_by_segment(x @ weights.T + shifts, starts)  # for centroids |x|^2 is common to a row's classes
         keys = batch.column(width)
         again = lambda k: keys.take(pa.array(np.repeat(np.arange(n), k)))
         fixed = lambda k: [pa.array([t] * (n * k)) for t in task]
@@ -151,11 +188,24 @@ def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: lis
         if not predict:
             return emit([*fixed(len(unique)), *spread([u[0] for u in unique], n), again(len(unique)), np.tile(np.array([u[1] for u in unique], np.int32), n), totals.ravel()])
         groups = sorted({u[0] for u in unique})
+        if counts:
+            truth = batch.column(width + 2).to_numpy()
+            share = np.zeros((n, len(groups)))
+            for i, (group, c) in enumerate(unique):
+                share[:, groups.index(group)] += np.where(truth == c, totals[:, i], 0.0)
+            whole = np.column_stack([totals[:, [i for i, u in enumerate(unique) if u[0] == g]].sum(axis=1) for g in groups])
+            loss = -np.log(np.maximum(share / whole, LEAST_SHARE))
         totals = np.round(totals, TIE_DECIMALS)
         best = np.empty((n, len(groups)), np.int32)
         for g, group in enumerate(groups):
             own = [i for i, u in enumerate(unique) if u[0] == group]  # ascending classes: the first maximum is the lowest
             best[:, g] = np.array([unique[i][1] for i in own], np.int32)[np.argmax(totals[:, own], axis=1)]
+        if counts:
+            cells, place = np.unique(np.stack([np.tile(np.arange(len(groups)), n), np.repeat(truth, len(groups)), best.ravel()]), axis=1, return_inverse=True)
+            place = place.ravel()
+            made = [groups[g] for g in cells[0]]
+            return emit([*[pa.array([t] * len(made)) for t in task], *[[m[i] for m in made] for i in range(len(vote_by))], cells[1].astype(np.int32), cells[2].astype(np.int32),
+                         np.bincount(place, minlength=len(made)), np.bincount(place, loss.ravel(), len(made))])
         truth = [batch.column(width + 2).take(pa.array(np.repeat(np.arange(n), len(groups))))] if label else []
         return emit([*fixed(len(groups)), *spread(groups, n), again(len(groups)), *truth, best.ravel()])
 
@@ -170,7 +220,7 @@ def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: lis
                     for a in range(0, len(own), step):
                         yield score(own.slice(a, step), task)
 
-    extra = [label] if label and predict and vote_by is not None else []
+    extra = [F.col(label).cast("int").alias(label)] if label and predict and vote_by is not None else []
     return rows.where(F.col(vec).isNotNull()).select(*on, key, F.col(vec).alias("_vec"), *extra).mapInArrow(run, schema)
 
 

@@ -371,42 +371,40 @@ def variance_ctes() -> str:
 
 # ---- trial search ------------------------------------------------------------------------------
 
-def _search_task(task: str, objective: str) -> str:
-    tkey = "CAST(e AS VARCHAR) || ':' || CAST(b AS VARCHAR) || ':' || CAST(t AS VARCHAR)"
-    two60 = "1152921504606846976.0"
-    return f"""(WITH {split_ctes(TASKS[task])},
-{bootstrap_ctes('train', 'vec_id', 5)},
-grid AS (SELECT CAST(e AS INTEGER) AS e, CAST(b AS INTEGER) AS b, CAST(t AS INTEGER) AS t
-  FROM (VALUES (3), (5)) ge(e), (VALUES (32), (16)) gb(b), range(5) gt(t)),
-trials AS (SELECT 'e-' || CAST(e AS VARCHAR) || '-b-' || CAST(b AS VARCHAR) || '-t-' || CAST(t AS VARCHAR) AS trial_id,
-  e AS epochs, b AS batch,
-  0.00001 + (0.00005 - 0.00001) * (CAST({H("'trial-lr'", tkey)} AS DOUBLE) / {two60}) AS learning_rate,
-  0.005 + (0.2 - 0.005) * (CAST({H("'trial-wd'", tkey)} AS DOUBLE) / {two60}) AS weight_decay FROM grid),
-cells AS (SELECT s.replica, t.label AS class_id, s.mult, CAST(unnest(t.embedding) AS DOUBLE) AS x,
-  CAST(generate_subscripts(t.embedding, 1) - 1 AS INTEGER) AS dim FROM samples s JOIN train t USING (vec_id)),
-sums AS (SELECT replica, class_id, dim, sum(mult * x) AS sx, sum(mult) AS sw FROM cells GROUP BY ALL),
-per_trial AS (SELECT t.trial_id, s.replica, s.class_id, s.dim,
-  s.sx / (CAST(s.sw AS DOUBLE) + 100.0 * t.weight_decay) AS value FROM sums s JOIN trials t ON s.replica < t.epochs),
-{scoring_ctes('test', 'per_trial', 'vec_id', ['trial_id', 'replica'])},
-{vote_ctes('probs', 'vec_id', ['trial_id'])},
-aligned AS (SELECT p.trial_id, p.vec_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (vec_id)),
-conf AS (SELECT trial_id, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
-{report_ctes('conf', ['trial_id'])}
-SELECT '{task}' AS task, '{objective}' AS metric, t.*, r.accuracy, r.{objective} AS objective FROM trials t JOIN report r USING (trial_id))"""
-
-
-def search_ctes() -> str:
-    return "WITH scored AS (" + _search_task("embeddings", "macro_f1") + " UNION ALL " + _search_task("parity", "accuracy") + ")\n"
-
-
-def _grids_task(task: str, objective: str) -> str:
+# Softmax classifiers as nested lists: x has a 1 at its end, w is a list of classes. ``xt`` holds the columns of ``x``.
+_PROBS = ("list_transform(list_transform(z, lambda r: list_transform(r, lambda v: exp(v - list_max(r)))), "
+          "lambda e: list_transform(e, lambda v: v / list_sum(e)))")
+_SCORES = "list_transform(x, lambda r: list_transform(w, lambda c: list_dot_product(r, c)))"
+
+
+def _residuals(weight: str = "1.0") -> str:
+    return (f"list_transform(range(1, len(w) + 1), lambda c: list_transform(range(1, len(x) + 1), "
+            f"lambda i: {weight} * (p[i][c] - CASE WHEN ys[i] = c - 1 THEN 1.0 ELSE 0.0 END)))")
+
+
+_GRADIENT = "list_transform(r, lambda q: list_transform(xt, lambda k: list_dot_product(k, q)))"
+
+
+def _zeros(classes: str, dims: str) -> str:
+    return f"list_transform(range({classes}), lambda c: list_transform(range({dims}), lambda k: CAST(0.0 AS DOUBLE)))"
+
+
+def _stepped(w: str, rate: str, scale: str, decay: str) -> str:
+    """w - rate * (g / scale + decay * w), without decay of the last (constant) column."""
+    return (f"list_transform(range(1, len({w}) + 1), lambda c: list_transform(range(1, len({w}[1]) + 1), lambda k: "
+            f"{w}[c][k] - {rate} * (g[c][k] / {scale} + CASE WHEN k < len({w}[1]) THEN {decay} * {w}[c][k] ELSE 0.0 END)))")
+
+
+def _search_task(task: str, objective: str, families: list[str]) -> str:
+    """Mini-batch descent, trial by trial, as one recursive step a batch; for training halves of at most one slice (4,096 rows)."""
     tkey = "CAST(e AS VARCHAR) || ':' || CAST(b AS VARCHAR) || ':' || CAST(t AS VARCHAR)"
     two60 = "1152921504606846976.0"
     keys = ["family", "trial_id"]
-    return f"""(WITH {split_ctes(TASKS[task])},
-{bootstrap_ctes('train', 'vec_id', 11)},
+    x = "list_append(CAST(embedding AS DOUBLE[]), 1.0)"
+    chosen = ", ".join(f"'{f}'" for f in families)
+    return f"""(WITH RECURSIVE {split_ctes(TASKS[task])},
 families AS (SELECT * FROM (VALUES ('roberta', 'trial', [3, 5], [32, 16], 5), ('distilroberta', 'trial-distilroberta', [9, 11], [16, 32], 5),
-  ('gpt2', 'trial-gpt2', [2], [16, 32], 3), ('deberta', 'trial-deberta', [5], [16], 3)) f(family, seed, es, bs, n)),
+  ('gpt2', 'trial-gpt2', [2], [16, 32], 3), ('deberta', 'trial-deberta', [5], [16], 3)) f(family, seed, es, bs, n) WHERE family IN ({chosen})),
 grid AS (SELECT family, seed, e, b, CAST(unnest(range(n)) AS INTEGER) AS t FROM (
   SELECT family, seed, n, e, CAST(unnest(bs) AS INTEGER) AS b FROM (
   SELECT family, seed, n, bs, CAST(unnest(es) AS INTEGER) AS e FROM families))),
@@ -415,19 +413,76 @@ trials AS (SELECT family, 'e-' || CAST(e AS VARCHAR) || '-b-' || CAST(b AS VARCH
   0.00001 + (0.00005 - 0.00001) * (CAST({H("seed || '-lr'", tkey)} AS DOUBLE) / {two60}) AS learning_rate,
   CASE WHEN family = 'deberta' THEN CAST(0.01 AS DOUBLE)
     ELSE 0.005 + (0.2 - 0.005) * (CAST({H("seed || '-wd'", tkey)} AS DOUBLE) / {two60}) END AS weight_decay FROM grid),
-cells AS (SELECT s.replica, t.label AS class_id, s.mult, CAST(unnest(t.embedding) AS DOUBLE) AS x,
-  CAST(generate_subscripts(t.embedding, 1) - 1 AS INTEGER) AS dim FROM samples s JOIN train t USING (vec_id)),
-sums AS (SELECT replica, class_id, dim, sum(mult * x) AS sx, sum(mult) AS sw FROM cells GROUP BY ALL),
-per_trial AS (SELECT t.family, t.trial_id, s.replica, s.class_id, s.dim,
-  s.sx / (CAST(s.sw AS DOUBLE) + 100.0 * t.weight_decay) AS value FROM sums s JOIN trials t ON s.replica < t.epochs),
-{scoring_ctes('test', 'per_trial', 'vec_id', [*keys, 'replica'])},
-{vote_ctes('probs', 'vec_id', keys)},
-aligned AS (SELECT p.family, p.trial_id, p.vec_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (vec_id)),
+ordered AS (SELECT {x} AS x, label, row_number() OVER (ORDER BY {H("'sgd'", "vec_id")}, vec_id) - 1 AS pos FROM train),
+batches AS (SELECT batch, CAST(pos // batch AS INTEGER) AS step, list(x ORDER BY pos) AS x, list(label ORDER BY pos) AS ys
+  FROM ordered CROSS JOIN (SELECT DISTINCT batch FROM trials) GROUP BY ALL),
+turned AS (SELECT *, list_transform(range(1, len(x[1]) + 1), lambda k: list_transform(x, lambda r: r[k])) AS xt FROM batches),
+sizes AS (SELECT (SELECT max(label) + 1 FROM train) AS classes, (SELECT len(x) FROM ordered LIMIT 1) AS dims),
+lengths AS (SELECT batch, count(*) AS steps FROM batches GROUP BY batch),
+descent(family, trial_id, batch, rate, decay, last, step, w) AS (
+  SELECT family, trial_id, t.batch, 40000.0 * learning_rate, weight_decay, epochs * steps, CAST(0 AS BIGINT), {_zeros('classes', 'dims')}
+  FROM trials t JOIN lengths l ON l.batch = t.batch CROSS JOIN sizes
+  UNION ALL SELECT family, trial_id, batch, rate, decay, last, step + 1, {_stepped('w', 'rate', 'len(x)', 'decay')} FROM (
+    SELECT *, {_GRADIENT} AS g FROM (SELECT *, {_residuals()} AS r FROM (SELECT *, {_PROBS} AS p FROM (
+      SELECT d.*, b.x, b.xt, b.ys, list_transform(b.x, lambda r: list_transform(d.w, lambda c: list_dot_product(r, c))) AS z FROM descent d JOIN lengths l ON l.batch = d.batch
+      JOIN turned b ON b.batch = d.batch AND b.step = d.step % l.steps WHERE d.step < d.last))))),
+models AS (SELECT family, trial_id, w FROM descent WHERE step = last),
+scores AS (SELECT family, trial_id, vec_id, label, list_transform(w, lambda c: list_dot_product({x}, c)) AS z FROM models CROSS JOIN test),
+shares AS (SELECT family, trial_id, vec_id, label, list_transform(e, lambda v: v / list_sum(e)) AS p
+  FROM (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM scores)),
+aligned AS (SELECT family, trial_id, label AS y_true, p[label + 1] AS own, list_position(list_transform(p, lambda v: round(v, 9)), round(list_max(p), 9)) - 1 AS y_pred FROM shares),
 conf AS (SELECT family, trial_id, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
-{report_ctes('conf', keys)}
+{report_ctes('conf', keys)},
+logs AS (SELECT family, trial_id, avg(-ln(own)) AS loss FROM aligned GROUP BY ALL)
 SELECT '{task}' AS task, CASE WHEN t.family = 'deberta' THEN 'accuracy' ELSE '{objective}' END AS metric, t.*, r.accuracy,
-  CASE WHEN t.family = 'deberta' THEN r.accuracy ELSE r.{objective} END AS objective FROM trials t JOIN report r USING (family, trial_id))"""
+  CASE WHEN t.family = 'deberta' THEN r.accuracy ELSE r.{objective} END AS objective, g.loss
+FROM trials t JOIN report r USING (family, trial_id) JOIN logs g USING (family, trial_id))"""
+
+
+def search_ctes(families: list[str] | None = None) -> str:
+    families = families or ["roberta", "distilroberta", "gpt2", "deberta"]
+    return "WITH scored AS (" + _search_task("embeddings", "macro_f1", families) + " UNION ALL " + _search_task("parity", "accuracy", families) + ")\n"
+
+
+# ---- logistic regression -----------------------------------------------------------------------
+
+def hyperparams_values() -> str:
+    from quiver.plans.derived import DEBERTA_HYPERPARAMS
 
+    return ", ".join(f"('{m}', '{t}', CAST({wd} AS DOUBLE))" for m, t, _, _, _, wd in DEBERTA_HYPERPARAMS)
 
-def grids_ctes() -> str:
-    return "WITH scored AS (" + _grids_task("embeddings", "macro_f1") + " UNION ALL " + _grids_task("parity", "accuracy") + ")\n"
+
+def logistic_ctes(replicas: int = 5, steps: int = 320) -> str:
+    """CTEs train, test, fitted(model_name, task, replica, w): accelerated full-batch descent to the regularised optimum."""
+    x = "list_append(CAST(t.embedding AS DOUBLE[]), 1.0)"
+    return f"""WITH RECURSIVE {split_ctes('label')},
+{bootstrap_ctes('train', 'vec_id', replicas)},
+hp AS (SELECT * FROM (VALUES {hyperparams_values()}) h(model_name, task, weight_decay)),
+data AS (SELECT s.replica, list({x} ORDER BY t.vec_id) AS x, list(t.label ORDER BY t.vec_id) AS ys, list(CAST(s.mult AS DOUBLE) ORDER BY t.vec_id) AS ms, CAST(sum(s.mult) AS DOUBLE) AS total
+  FROM samples s JOIN train t USING (vec_id) GROUP BY s.replica),
+turned AS (SELECT *, list_transform(range(1, len(x[1]) + 1), lambda k: list_transform(x, lambda r: r[k])) AS xt FROM data),
+sizes AS (SELECT (SELECT max(label) + 1 FROM train) AS classes, (SELECT len(x[1]) FROM data LIMIT 1) AS dims),
+penalties AS (SELECT DISTINCT weight_decay AS decay FROM hp),
+descent(replica, decay, step, v, w) AS (
+  SELECT replica, decay, 0, {_zeros('classes', 'dims')}, {_zeros('classes', 'dims')} FROM data CROSS JOIN penalties CROSS JOIN sizes
+  UNION ALL SELECT replica, decay, step + 1, next, list_transform(range(1, len(next) + 1), lambda c: list_transform(range(1, len(next[1]) + 1), lambda k:
+      next[c][k] + (1 - sqrt(decay / (1.0 + decay))) / (1 + sqrt(decay / (1.0 + decay))) * (next[c][k] - v[c][k]))) FROM (
+    SELECT *, {_stepped('w', '(1 / (1.0 + decay))', 'total', 'decay')} AS next FROM (
+    SELECT *, {_GRADIENT} AS g FROM (SELECT *, {_residuals('ms[i]')} AS r FROM (SELECT *, {_PROBS} AS p FROM (
+      SELECT d.*, b.x, b.xt, b.ys, b.ms, b.total, list_transform(b.x, lambda r: list_transform(d.w, lambda c: list_dot_product(r, c))) AS z
+      FROM descent d JOIN turned b USING (replica) WHERE d.step < {steps})))))),
+fitted AS (SELECT hp.model_name, hp.task, d.replica, d.v AS w FROM descent d JOIN hp ON hp.weight_decay = d.decay WHERE d.step = {steps})
+"""
+
+
+def logistic_report_select() -> str:
+    keys = ["model_name", "task"]
+    return f""", scores AS (SELECT model_name, task, replica, vec_id, label, list_transform(w, lambda c: list_dot_product(list_append(CAST(embedding AS DOUBLE[]), 1.0), c)) AS z FROM fitted CROSS JOIN test),
+shares AS (SELECT model_name, task, replica, vec_id, label, list_transform(e, lambda v: v / list_sum(e)) AS p FROM (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM scores)),
+cells AS (SELECT model_name, task, vec_id, label, unnest(p) AS prob, unnest(range(len(p))) AS class_id FROM shares),
+probs AS (SELECT model_name, task, vec_id, class_id, prob FROM cells),
+{vote_ctes('probs', 'vec_id', keys)},
+aligned AS (SELECT p.model_name, p.task, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (vec_id)),
+conf AS (SELECT model_name, task, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
+{report_ctes('conf', keys)}
+""" + report_select("report", keys)

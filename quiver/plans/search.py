@@ -1,44 +1,45 @@
 """Hyperparameter trials (T7) and best trial per grid cell.
 
 Trials are a grid (epochs x batch) times n seeded random draws of learning rate and
-weight decay. Every trial of a task is evaluated in the same plan, keyed by ``trial_id``: the
-learner is the bagged centroid model, with ``epochs`` = number of bagged replicas and
-``weight_decay`` shrinking each centroid (mean = sum(mult*x) / (sum(mult) + 100*wd)). It has a
-closed form, so ``learning_rate`` and ``batch`` have no effect on it; the output says so in
-``no_effect``. The objective is the task's selection metric: macro F1 for a task of many classes,
-accuracy for a binary one; a search of ``GRIDS`` may name its own. ``grid_trials`` has the trials of all
-searches, keyed by ``family`` and ``trial_id``.
+weight decay. The learner of a trial is a softmax classifier trained by mini-batch gradient descent, so that all
+four matter: ``epochs`` passes over the training half, steps of ``batch`` rows, ``weight_decay`` on the weights,
+and a rate of ``RATE_SCALE`` times ``learning_rate`` (the drawn rates are those of fine-tuned networks; a linear
+model needs larger ones). All trials of all tasks train together: an epoch is one scan, in which
+every slice of the rows runs its batches and the slices' parameters are averaged (``operators.linear.train_sgd``).
+The objective is the task's selection metric: macro F1 for a task of many classes, accuracy for a binary one; a
+search of ``GRIDS`` may name its own. ``grid_trials`` has the trials of all searches, keyed by ``family`` and ``trial_id``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quiver.functions.hashing import u
-from quiver.operators import metrics, sampling, score
+from quiver.operators import linear, metrics, score
 from quiver.plans.centroid_ensemble import train_test
 from quiver.session import materialize
 
-# ---- fixed values: the reference's search grid and ranges ----------------------------------
+# ---- fixed values: the searches of the reference's model families: epochs, batches and draws a cell, what is
+# drawn in which range, and the objective if it is not the task's ----------------------------
 EPOCHS = [3, 5]
 BATCHES = [32, 16]
 TRIALS_PER_CELL = 5
 LR_RANGE = (1e-5, 5e-5)
 WD_RANGE = (5e-3, 2e-1)
-# ---------------------------------------------------------------------------------------------
-SHRINK_SCALE = 100.0
-# The searches of the reference's model families: grid, draws a cell, what is drawn, objective if it is not the task's
 GRIDS = {
     "roberta": {"epochs": [3, 5], "batches": [32, 16], "n": 5},
     "distilroberta": {"epochs": [9, 11], "batches": [16, 32], "n": 5},
     "gpt2": {"epochs": [2], "batches": [16, 32], "n": 3},
     "deberta": {"epochs": [5], "batches": [16], "n": 3, "fixed_weight_decay": 0.01, "objective": "accuracy"},  # learning rate only
 }
+# ---------------------------------------------------------------------------------------------
+RATE_SCALE = 4e4
 OBJECTIVES = {"embeddings": "macro_f1", "parity": "accuracy"}
-NO_EFFECT = "batch,learning_rate"
 
 
 def make_trials(spark: SparkSession, epochs: Sequence[int] = tuple(EPOCHS), batches: Sequence[int] = tuple(BATCHES),
@@ -69,37 +70,31 @@ def grid_trials(spark: SparkSession) -> DataFrame:
     return out
 
 
-def trial_objectives(emb: DataFrame, trials: DataFrame, key: str = "vec_id", task: str = "embeddings") -> DataFrame:
-    """Objective of every trial: ``(task, metric, trial_id, epochs, batch, learning_rate, weight_decay, accuracy, objective, no_effect)``;
-    trials of several families are keyed by ``family`` too."""
+def trial_objectives(emb: DataFrame, trials: DataFrame, key: str = "vec_id", tasks: Sequence[str] = tuple(OBJECTIVES)) -> DataFrame:
+    """Objective and mean log-loss, on the test half, of every trial of every task: ``(task, metric, trial_id, epochs, batch,
+    learning_rate, weight_decay, accuracy, objective, loss)``; trials of several families are keyed by ``family`` too."""
     from quiver.plans.evaluate import TASK_LABELS
 
     ids = ["family", "trial_id"] if "family" in trials.columns else ["trial_id"]
-    epochs = sorted({r[0] for r in trials.select("epochs").distinct().collect()})  # grid values (bounded)
-    train, test = train_test(emb.select(key, "embedding", F.expr(TASK_LABELS[task]).cast("int").alias("label")), key)
-    samples = sampling.bootstrap_exact(train, key, max(epochs))
-    cells = samples.join(train.select(key, "embedding", "label"), key).select(
-        "replica", F.col("label").cast("int").alias("class_id"), "mult", F.posexplode("embedding").alias("dim", "x"))
-    sums = materialize(cells.groupBy("replica", "class_id", "dim").agg(
-        F.sum(F.col("mult") * F.col("x").cast("double")).alias("sx"), F.sum("mult").alias("sw")))
-    # Each replica serves every trial whose epochs exceed it: equi-join on epochs, trials broadcast (grid-sized).
-    per_trial = (sums.withColumn("epochs", F.explode(F.filter(F.array(*[F.lit(e) for e in epochs]),
-                                                              lambda e: e > F.col("replica"))))
-                 .join(F.broadcast(trials.select(*ids, "epochs", "weight_decay")), "epochs")
-                 .select(*ids, "replica", "class_id", "dim",
-                         (F.col("sx") / (F.col("sw") + F.lit(SHRINK_SCALE) * F.col("weight_decay"))).alias("value")))
-    from quiver.operators.learn import pack_centroids
-
-    mc = [*ids, "replica"]
-    models = materialize(pack_centroids(per_trial, mc).withColumn("task", F.lit(task)))
-    aligned = score.score_centroids(test.withColumn("task", F.lit(task)), models, key, model_cols=mc,
-                                    vote_by=ids, predict=True, label="label").drop("task")
-    rep = metrics.classification_report(metrics.confusion(aligned, ids), ids)
-    metric, objective = F.lit(OBJECTIVES[task]), F.col(OBJECTIVES[task])
+    labelled = emb.select(key, "embedding", *[F.expr(TASK_LABELS[t]).cast("int").alias(t) for t in tasks])
+    train, test = train_test(labelled, key)
+    shape = train.agg(F.max(F.size("embedding")).alias("dims"), *[F.max(t).alias(t) for t in tasks]).first()
+    classes = {t: (shape[t] or 0) + 1 for t in tasks}
+    grid = trials.collect()  # grid-sized
+    plan = [linear.Trial(tuple(r[c] for c in ids), t, r["epochs"], r["batch"], RATE_SCALE * r["learning_rate"], r["weight_decay"]) for t in tasks for r in grid]
+    found = linear.train_sgd(linear.slices(train, key, "embedding", list(tasks)), plan, classes, shape["dims"] or 0)
+    names = T.StructType([T.StructField(c, T.StringType()) for c in ids])
+    models = materialize(reduce(DataFrame.unionByName, [m.packed(emb.sparkSession, names).withColumn("task", F.lit(t)) for t, m in found.items()]))
+    rows = reduce(DataFrame.unionByName, [test.select(key, "embedding", F.lit(t).alias("task"), F.col(t).alias("label")) for t in tasks])
+    conf = materialize(score.confusion_counts(rows, models, key, model_cols=ids))  # trials x classes x classes
+    rep = metrics.classification_report(conf, ["task", *ids])
+    loss = conf.groupBy("task", *ids).agg((F.sum("loss") / F.sum("n")).alias("loss"))
+    by_task = F.create_map(*[F.lit(v) for item in OBJECTIVES.items() for v in item])
+    metric = F.element_at(by_task, F.col("task"))
     for family, own in ((f, g["objective"]) for f, g in GRIDS.items() if "family" in ids and "objective" in g):
-        metric, objective = F.when(F.col("family") == family, own).otherwise(metric), F.when(F.col("family") == family, F.col(own)).otherwise(objective)
-    scored = trials.join(rep.select(*ids, "accuracy", objective.alias("objective")), ids)
-    return scored.select(F.lit(task).alias("task"), metric.alias("metric"), *scored.columns, F.lit(NO_EFFECT).alias("no_effect"))
+        metric = F.when(F.col("family") == family, own).otherwise(metric)
+    scored = trials.join(rep.join(loss, ["task", *ids]).select("task", *ids, "accuracy", "macro_f1", "loss"), ids).withColumn("metric", metric)
+    return scored.select("task", "metric", *trials.columns, "accuracy", F.when(F.col("metric") == "accuracy", F.col("accuracy")).otherwise(F.col("macro_f1")).alias("objective"), "loss")
 
 
 def best_trial(scored: DataFrame, cell: Sequence[str] = ("task", "epochs", "batch")) -> DataFrame:

@@ -443,47 +443,58 @@ def q_variance_summary(spark, sf):
     return rounded(VA.variance_summary(VA.single_vs_double(table(spark, sf, "embeddings"))[0]))
 
 
-# ---- T3: distributed logistic regression per replica ------------------------------------------------
+# ---- T3: logistic regressions of all replicas and hyperparameter rows in one joint solver -----------------
 
-from quiver.operators import learn as LN  # noqa: E402
+from quiver.operators import linear as LI  # noqa: E402
+from quiver.operators import score as SC  # noqa: E402
 
-_LOGISTIC_REPLICAS = list(range(5))
+_LOGISTIC_REPLICAS = 5
+_VARIANT = T.StructType([T.StructField("model_name", T.StringType()), T.StructField("task", T.StringType()), T.StructField("replica", T.IntegerType())])
 
 
-def _logistic(spark, sf):
-    """(train half, samples, models): weight decay and epochs come from the hyperparameter table's first row."""
+def _logistic(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, LI.Linear, dict]:
+    """(train half, test half, samples, models, penalties): each (model, task) row of the hyperparameter table trains all
+    replicas with its own weight decay; the largest number of epochs bounds the scans."""
     train, test = CE.train_test(table(spark, sf, "embeddings"), "vec_id")
-    samples = sampling.bootstrap_exact(train, "vec_id", len(_LOGISTIC_REPLICAS))
-    hp = D.hyperparams(spark).orderBy("file_row").first()
-    models = LN.train_logistic(train, samples, "vec_id", _LOGISTIC_REPLICAS, reg_param=hp["weight_decay"], max_iter=40 * hp["n_epochs"])
-    return train, test, samples, models
+    samples = sampling.bootstrap_exact(train, "vec_id", _LOGISTIC_REPLICAS)
+    hp = D.hyperparams(spark).collect()  # a small file
+    penalties = {(r["model_name"], r["task"]): r["weight_decay"] for r in hp}
+    models = LI.train_logistic(train, samples, "vec_id", reg_param=penalties, max_iter=60 * max(r["n_epochs"] for r in hp))
+    return train, test, samples, models, penalties
 
 
-@register("train_logistic")
+@register("train_logistic", O.logistic_ctes() + """SELECT model_name, task, replica, class_id, dim, round(w[class_id + 1][dim + 1], 4) AS coef, round(w[class_id + 1][65] - list_avg(list_transform(w, lambda c: c[65])), 4) AS intercept
+  FROM (SELECT model_name, task, replica, w, class_id, CAST(unnest(range(64)) AS INTEGER) AS dim FROM (SELECT *, CAST(unnest(range(len(w))) AS INTEGER) AS class_id FROM fitted))""")
 def q_train_logistic(spark, sf):
-    return LN.logistic_coefficients(spark, _logistic(spark, sf)[3])
+    """Coefficients at the optimum; intercepts, which are free up to a common shift, with mean 0 a model."""
+    packed = _logistic(spark, sf)[3].packed(spark, _VARIANT)
+    shift = F.aggregate("classes", F.lit(0.0), lambda a, c: a + c["b"]) / F.size("classes")
+    each = packed.select("model_name", "task", "replica", shift.alias("shift"), F.explode("classes").alias("c"))
+    return each.select("model_name", "task", "replica", F.col("c.class_id").alias("class_id"), F.posexplode("c.w").alias("dim", "coef"), (F.col("c.b") - F.col("shift")).alias("intercept")) \
+        .withColumn("coef", F.round("coef", 4)).withColumn("intercept", F.round("intercept", 4))
 
 
 @register("train_logistic_moments", f"""WITH {O.split_ctes('label')},
-{O.bootstrap_ctes('train', 'vec_id', 5)}
-SELECT s.replica, t.label AS class_id, round(CAST(sum(s.mult) AS DOUBLE), 2) AS fitted FROM samples s JOIN train t USING (vec_id) GROUP BY ALL""")
+{O.bootstrap_ctes('train', 'vec_id', 5)},
+hp AS (SELECT * FROM (VALUES {O.hyperparams_values()}) h(model_name, task, weight_decay)),
+cells AS (SELECT s.replica, t.label AS class_id, s.mult, unnest(list_append(CAST(t.embedding AS DOUBLE[]), 1.0)) AS x, CAST(generate_subscripts(list_append(t.embedding, 1.0), 1) - 1 AS INTEGER) AS dim
+  FROM samples s JOIN train t USING (vec_id)),
+moments AS (SELECT replica, class_id, dim, sum(mult * x) AS fitted FROM cells GROUP BY ALL)
+SELECT hp.model_name, hp.task, m.replica, m.class_id, m.dim, round(m.fitted, 4) AS fitted FROM moments m CROSS JOIN hp""")
 def q_train_logistic_moments(spark, sf):
-    """With free intercepts, the fitted probabilities of a class add up to its weighted count at the optimum;
-    two decimals are the solver's tolerance."""
-    train, _, samples, models = _logistic(spark, sf)
-    probs = LN.logistic_scores(train, models, "vec_id")
-    sums = probs.join(samples, ["replica", "vec_id"]).groupBy("replica", "class_id").agg(F.round(F.sum(F.col("mult") * F.col("prob")), 2).alias("fitted"))
-    return sums.filter(F.col("fitted") > 0)
+    """At the optimum the fitted probabilities' moments, plus the penalty's pull, equal the weighted rows': sum of
+    mult * prob * x + weight * penalty * coef, for each class and dimension (the last one is the constant 1)."""
+    train, _, samples, models, penalties = _logistic(spark, sf)
+    return LI.fitted_moments(train, samples, "vec_id", models, penalties, _VARIANT).withColumn("fitted", F.round("fitted", 4))
 
 
-@register("logistic_report")
+@register("logistic_report", O.logistic_ctes() + O.logistic_report_select())
 def q_logistic_report(spark, sf):
-    """The logistic ensemble through vote, arg-max, truth and report."""
-    from quiver.operators import ensemble
-
-    _, test, _, models = _logistic(spark, sf)
-    pred = ensemble.predict(ensemble.soft_vote(LN.logistic_scores(test, models, "vec_id"), "vec_id"), "vec_id")
-    return rounded(metrics.classification_report(metrics.confusion(ensemble.align_truth(pred, test, "vec_id"))))
+    """Each (model, task) row's logistic ensemble through vote, arg-max, truth and report (G1-G5), counted in the scoring tasks."""
+    _, test, _, models, _ = _logistic(spark, sf)
+    group = ["model_name", "task"]
+    conf = SC.confusion_counts(test, models.packed(spark, _VARIANT), "vec_id", model_cols=_VARIANT.names, on=[], vote_by=group)
+    return rounded(metrics.classification_report(conf, group))
 
 
 # ---- T7, T8: trial search --------------------------------------------------------------------
@@ -491,43 +502,35 @@ def q_logistic_report(spark, sf):
 from quiver.plans import search as SE  # noqa: E402
 
 
-def _scored_trials(spark, sf) -> DataFrame:
-    emb, trials = table(spark, sf, "embeddings"), SE.make_trials(spark)
-    return SE.trial_objectives(emb, trials, task="embeddings").unionByName(SE.trial_objectives(emb, trials, task="parity"))
+def _best(keys: str) -> str:
+    return f"""SELECT {keys}, n_trials, trial_id, {O.rnd('learning_rate', 'learning_rate')},
+  {O.rnd('weight_decay', 'weight_decay')}, {O.rnd('objective', 'objective')} FROM (
+  SELECT *, count(*) OVER (PARTITION BY {keys}) AS n_trials,
+    row_number() OVER (PARTITION BY {keys} ORDER BY round_even(objective, 9) DESC, trial_id) AS _r FROM scored) WHERE _r = 1"""
 
 
-@register("trial_objectives", O.search_ctes() + "SELECT task, metric, trial_id, epochs, batch, 'batch,learning_rate' AS no_effect, " +
-          ", ".join(O.rnd(c, c) for c in ["learning_rate", "weight_decay", "accuracy", "objective"]) + " FROM scored")
-def q_trial_objectives(spark, sf):
-    return rounded(_scored_trials(spark, sf))
+_TRIAL_VALUES = ", ".join(O.rnd(c, c) for c in ["learning_rate", "weight_decay", "accuracy", "objective", "loss"])
 
 
-@register("best_trial", O.search_ctes() + f"""SELECT task, epochs, batch, n_trials, trial_id, {O.rnd('learning_rate', 'learning_rate')},
-  {O.rnd('weight_decay', 'weight_decay')}, {O.rnd('objective', 'objective')} FROM (
-  SELECT *, count(*) OVER (PARTITION BY task, epochs, batch) AS n_trials,
-    row_number() OVER (PARTITION BY task, epochs, batch ORDER BY round_even(objective, 9) DESC, trial_id) AS _r FROM scored) WHERE _r = 1""")
-def q_best_trial(spark, sf):
-    return rounded(SE.best_trial(_scored_trials(spark, sf)))
+@register("trial_objectives", O.search_ctes(["roberta"]) + f"SELECT task, metric, trial_id, epochs, batch, {_TRIAL_VALUES} FROM scored")
+def q_trial_objectives(spark, sf):
+    return rounded(SE.trial_objectives(table(spark, sf, "embeddings"), SE.make_trials(spark)))
 
 
-def _scored_grids(spark, sf) -> DataFrame:
-    emb, trials = table(spark, sf, "embeddings"), SE.grid_trials(spark)
-    return SE.trial_objectives(emb, trials, task="embeddings").unionByName(SE.trial_objectives(emb, trials, task="parity"))
+@register("best_trial", O.search_ctes(["roberta"]) + _best("task, epochs, batch"))
+def q_best_trial(spark, sf):
+    return rounded(SE.best_trial(q_trial_objectives(spark, sf)))
 
 
-@register("trial_objectives_grids", O.grids_ctes() + "SELECT task, metric, family, trial_id, epochs, batch, 'batch,learning_rate' AS no_effect, " +
-          ", ".join(O.rnd(c, c) for c in ["learning_rate", "weight_decay", "accuracy", "objective"]) + " FROM scored")
+@register("trial_objectives_grids", O.search_ctes() + f"SELECT task, metric, family, trial_id, epochs, batch, {_TRIAL_VALUES} FROM scored")
 def q_trial_objectives_grids(spark, sf):
-    """The searches of all model families, scored in one plan a task."""
-    return rounded(_scored_grids(spark, sf))
+    """The searches of all model families and both tasks, trained together."""
+    return rounded(SE.trial_objectives(table(spark, sf, "embeddings"), SE.grid_trials(spark)))
 
 
-@register("best_trial_grids", O.grids_ctes() + f"""SELECT family, task, epochs, batch, n_trials, trial_id, {O.rnd('learning_rate', 'learning_rate')},
-  {O.rnd('weight_decay', 'weight_decay')}, {O.rnd('objective', 'objective')} FROM (
-  SELECT *, count(*) OVER (PARTITION BY family, task, epochs, batch) AS n_trials,
-    row_number() OVER (PARTITION BY family, task, epochs, batch ORDER BY round_even(objective, 9) DESC, trial_id) AS _r FROM scored) WHERE _r = 1""")
+@register("best_trial_grids", O.search_ctes() + _best("family, task, epochs, batch"))
 def q_best_trial_grids(spark, sf):
-    return rounded(SE.best_trial(_scored_grids(spark, sf), ("family", "task", "epochs", "batch")))
+    return rounded(SE.best_trial(SE.trial_objectives(table(spark, sf, "embeddings"), SE.grid_trials(spark)), ("family", "task", "epochs", "batch")))
 
 
 # ---- sources and sinks: S1, S4, S5, S7, S8, written from driver tables and read back --------------------

@@ -228,13 +228,6 @@ def test_naive_bayes_scores_do_not_depend_on_the_broadcast(spark, hot):
             assert all(abs(got[r, d, c] - math.exp(s[c]) / z) < 1e-9 for c in range(2))
 
 
-def test_logistic_needs_a_penalty(spark):
-    from quiver.operators import learn as LN
-
-    with pytest.raises(ValueError):
-        LN.train_logistic(None, None, "k", [0], reg_param=0.0)
-
-
 def test_planning_errors_trains_nothing(spark):
     from conftest import SF001
     from quiver.plans import evaluate as EV

@@ -25,6 +25,16 @@ def test_every_grid_is_scored(scored):
     assert {(r["task"], r["metric"]) for r in scored if r["family"] == "deberta"} == {("embeddings", "accuracy"), ("parity", "accuracy")}
 
 
+def test_rate_and_batch_matter(scored):
+    """Trials that differ in the learning rate alone, or in the batch size, end at other losses."""
+    own = {(r["task"], r["trial_id"]): r for r in scored if r["family"] == "deberta"}
+    for task in ("embeddings", "parity"):
+        assert len({own[task, f"e-5-b-16-t-{t}"]["loss"] for t in range(3)}) == 3
+    assert "no_effect" not in scored[0].asDict()
+    cells = {(r["batch"], r["trial_id"]): r["loss"] for r in scored if r["family"] == "gpt2" and r["task"] == "parity"}
+    assert len(set(cells.values())) == 6
+
+
 def test_the_roberta_grid_is_that_of_trial_objectives(spark, scored):
     alone = E.queries()["trial_objectives"](spark, SF001).collect()
     row = lambda r: tuple(_norm(r[c]) for c in alone[0].asDict())
