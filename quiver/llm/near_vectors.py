@@ -35,6 +35,7 @@ WIDTH = 2.0
 MATES = 64
 RECALL = 0.96
 BLOCK = 2048
+LARGE = 1000  # a component of over 1 / LARGE of the vectors is joined by broadcast, not by its key
 _STRIPE = 512
 
 
@@ -194,12 +195,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec: str = "emb
     """(vec_id, n_links, component_id, kept), a row for every row of ``vectors``."""
     ship_package(vectors.sparkSession)
     found = classes(vectors, vec, key)
+    total = found.count()
     per_group = links(found, threshold, **how)
     counts = per_group.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(per_group.where("node <> root"), "root", "node")
     named = joined.join(found.select("node", "rep"), "node")
-    lowest = named.groupBy("component").agg(F.min("rep").alias("low"))
-    low = named.join(lowest, "component").select("node", "low")
+    lowest = materialize(named.groupBy("component").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("size")))
+    large = F.broadcast(lowest.where(F.col("size") * LARGE > total).select("component", "low"))  # fewer than LARGE components
+    low = named.join(large, "component").unionByName(named.join(large, "component", "left_anti").join(lowest.drop("size"), "component")).select("node", "low")
     results = found.join(counts, "node", "left").join(low, "node", "left").select(
         "vec", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vec).alias("_vec"))
