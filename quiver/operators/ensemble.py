@@ -29,3 +29,22 @@ def predict(totals: DataFrame, key: str, group: Sequence[str] = ()) -> DataFrame
 def align_truth(pred: DataFrame, truth: DataFrame, key: str, label_col: str = "label") -> DataFrame:
     """Pair each prediction with the true label by key (inner equi-join)."""
     return pred.join(truth.select(key, F.col(label_col).alias("y_true")), key)
+
+
+def audited_align(pred: DataFrame, truth: DataFrame, key: str, label_col: str = "label") -> tuple[DataFrame, DataFrame]:
+    """X7 with an account of the keys: (pairs, audit).
+
+    Both sides are counted per key in one pass, pre-aggregated, so a key of any number of copies is one row a task. ``pairs``
+    ``(key, y_pred, y_true)`` holds the keys with one prediction and one truth; ``audit`` ``(status, n_keys, n_rows)`` counts all
+    keys: matched, no truth, no prediction, duplicate prediction, duplicate truth, duplicate both (where a duplicate side
+    lacks the other, that is what counts) and null key. Null keys match nothing.
+    """
+    none = F.lit(None)
+    left = pred.select(F.col(key).alias("_k"), F.lit(1).alias("p"), F.lit(0).alias("t"), F.col("y_pred"), none.cast(truth.schema[label_col].dataType).alias("y_true"))
+    right = truth.select(F.col(key).alias("_k"), F.lit(0).alias("p"), F.lit(1).alias("t"), none.cast(pred.schema["y_pred"].dataType).alias("y_pred"), F.col(label_col).alias("y_true"))
+    keys = left.unionByName(right).groupBy("_k").agg(F.sum("p").alias("p"), F.sum("t").alias("t"), F.max("y_pred").alias("y_pred"), F.max("y_true").alias("y_true"))
+    status = F.when(F.col("_k").isNull(), "null key").when(F.col("t") == 0, "no truth").when(F.col("p") == 0, "no prediction") \
+        .when((F.col("p") > 1) & (F.col("t") > 1), "duplicate both").when(F.col("p") > 1, "duplicate prediction").when(F.col("t") > 1, "duplicate truth").otherwise("matched")
+    keys = keys.withColumn("status", status)
+    audit = keys.groupBy("status").agg(F.count(F.lit(1)).alias("n_keys"), F.sum(F.col("p") + F.col("t")).alias("n_rows"))
+    return keys.where("status = 'matched'").select(F.col("_k").alias(key), "y_pred", "y_true"), audit

@@ -10,6 +10,7 @@ the number of models.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Sequence
 from functools import reduce
 
@@ -110,28 +111,29 @@ def score_centroids(rows: DataFrame, models: DataFrame, key: str, vec: str = "em
 
 
 def confusion_counts(rows: DataFrame, models: DataFrame, key: str, label: str = "label", vec: str = "embedding", model_cols: Sequence[str] = ("replica",),
-                     on: Sequence[str] = ("task",), vote_by: Sequence[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """G3 and the log-loss of many ensembles: ``(on..., vote_by..., y_true, y_pred, n, loss)``, added up inside the scoring tasks.
+                     on: Sequence[str] = ("task",), vote_by: Sequence[str] | None = None, block_bytes: int = BLOCK_BYTES, members: str | None = None) -> DataFrame:
+    """G3, the log-loss and the time of many ensembles: ``(on..., vote_by..., y_true, y_pred, n, loss, seconds)``, added up inside the scoring tasks.
 
     So no prediction leaves a task. ``vote_by`` (default: every model is an ensemble of its own) names the models that
-    vote together; ``loss`` is the sum, over the n rows, of minus the log of the vote's share for the true class. Rows
-    without a label are left out.
+    vote together, or ``members`` the ensembles of each model; ``loss`` is the sum, over the n rows, of minus the log of the
+    vote's share for the true class. Rows without a label are left out. ``seconds`` is the time that tasks spent on an ensemble,
+    its share of the models' scores included; its sum over an ensemble's cells is the ensemble's (0 where ensembles span blocks).
     """
     ship_package(rows.sparkSession)
     mc, on = list(model_cols), list(on)
     vote_by = mc if vote_by is None else list(vote_by)
-    blocks = model_blocks(models, on, mc, block_bytes)
+    blocks = model_blocks(models, on, mc, block_bytes, members)
     known = rows.where(F.col(label).isNotNull())
     if len(blocks) == 1 or set(vote_by) == set(mc):  # no ensemble spans two blocks
-        counted = reduce(DataFrame.unionByName, [_pass(known, models, b, key, vec, mc, on, vote_by, True, label, None, counts=True) for b in blocks])
+        counted = reduce(DataFrame.unionByName, [_pass(known, models, b, key, vec, mc, on, vote_by, True, label, members, counts=True) for b in blocks])
     else:
-        totals = score_centroids(known, models, key, vec, mc, on, blocks=blocks, vote_by=vote_by)
+        totals = score_centroids(known, models, key, vec, mc, on, blocks=blocks, vote_by=vote_by, members=members)
         truth = known.select(*on, key, F.col(label).cast("int").alias("y_true"))
         per = totals.join(truth, [*on, key]).groupBy(*on, *vote_by, key, "y_true").agg(
             F.max_by("class_id", F.struct(F.bround("total", TIE_DECIMALS), -F.col("class_id"))).alias("y_pred"), F.sum("total").alias("all"),
             F.sum(F.when(F.col("class_id") == F.col("y_true"), F.col("total")).otherwise(0.0)).alias("own"))
-        counted = per.withColumn("n", F.lit(1).cast("long")).withColumn("loss", -F.log(F.greatest(F.col("own") / F.col("all"), F.lit(LEAST_SHARE))))
-    return counted.groupBy(*on, *vote_by, "y_true", "y_pred").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+        counted = per.withColumn("n", F.lit(1).cast("long")).withColumn("loss", -F.log(F.greatest(F.col("own") / F.col("all"), F.lit(LEAST_SHARE)))).withColumn("seconds", F.lit(0.0))
+    return counted.groupBy(*on, *vote_by, "y_true", "y_pred").agg(*[F.sum(c).alias(c) for c in ("n", "loss", "seconds")])
 
 
 def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: list, on: list, vote_by: list | None, predict: bool, label: str | None, members: str | None,
@@ -139,7 +141,7 @@ def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: lis
     """One pass of one block over the rows."""
     kinds = [_field(models.schema, c) for c in on] + [_field(models.schema[members].dataType.elementType if members and vote_by is not None else models.schema, c) for c in (mc if vote_by is None else vote_by)]
     if counts:
-        kinds += [T.StructField("y_true", T.IntegerType()), T.StructField("y_pred", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType())]
+        kinds += [T.StructField("y_true", T.IntegerType()), T.StructField("y_pred", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType()), T.StructField("seconds", T.DoubleType())]
     else:
         kinds.append(_field(rows.schema, key))
     if counts:
@@ -166,6 +168,7 @@ def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: lis
     def score(batch: pa.RecordBatch, task: tuple):
         metas, classes, weights, shifts, starts, owners = block.value.tasks[task]
         n = len(batch)
+        began = time.perf_counter()
         x = batch.column(width + 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
         p = softmax_by_segment(x @ weights.T + shifts, starts)  # for centroids |x|^2 is common to a row's classes
         keys = batch.column(width)
@@ -185,6 +188,7 @@ def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: lis
         for i, own in enumerate(cells):
             member[i, [index[u] for u in own]] = 1.0
         totals = p @ member
+        shared = time.perf_counter() - began
         if not predict:
             return emit([*fixed(len(unique)), *spread([u[0] for u in unique], n), again(len(unique)), np.tile(np.array([u[1] for u in unique], np.int32), n), totals.ravel()])
         groups = sorted({u[0] for u in unique})
@@ -197,15 +201,23 @@ def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: lis
             loss = -np.log(np.maximum(share / whole, LEAST_SHARE))
         totals = np.round(totals, TIE_DECIMALS)
         best = np.empty((n, len(groups)), np.int32)
+        spent = np.zeros(len(groups))
+        if counts:
+            for own in cells:  # a model's time is its ensembles', in equal parts
+                for u in own:
+                    spent[groups.index(u[0])] += shared / (len(cells) * len(own))
         for g, group in enumerate(groups):
+            began = time.perf_counter()
             own = [i for i, u in enumerate(unique) if u[0] == group]  # ascending classes: the first maximum is the lowest
             best[:, g] = np.array([unique[i][1] for i in own], np.int32)[np.argmax(totals[:, own], axis=1)]
+            spent[g] += time.perf_counter() - began
         if counts:
             cells, place = np.unique(np.stack([np.tile(np.arange(len(groups)), n), np.repeat(truth, len(groups)), best.ravel()]), axis=1, return_inverse=True)
             place = place.ravel()
             made = [groups[g] for g in cells[0]]
+            share = spent[cells[0]] / np.bincount(cells[0], minlength=len(groups))[cells[0]]
             return emit([*[pa.array([t] * len(made)) for t in task], *[[m[i] for m in made] for i in range(len(vote_by))], cells[1].astype(np.int32), cells[2].astype(np.int32),
-                         np.bincount(place, minlength=len(made)), np.bincount(place, loss.ravel(), len(made))])
+                         np.bincount(place, minlength=len(made)), np.bincount(place, loss.ravel(), len(made)), share])
         truth = [batch.column(width + 2).take(pa.array(np.repeat(np.arange(n), len(groups))))] if label else []
         return emit([*fixed(len(groups)), *spread(groups, n), again(len(groups)), *truth, best.ravel()])
 

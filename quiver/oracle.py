@@ -306,7 +306,13 @@ errs AS (SELECT run_id, config, task, 'missing ' || CAST(count(*) FILTER (WHERE
 
 
 def errors_sql(runs: tuple[int, ...] = (0,), seed: str = "'models'") -> str:
-    return " UNION ALL ".join(f"(WITH {_plan_ctes(t, runs, seed)} SELECT run_id, config, task, error FROM errs)" for t in TASKS)
+    """Errors of the planted evaluation: no such task, factors out of range (config % 7 = 6), untrained models, bad weights (model 3 of parity)."""
+    runs_sql = ", ".join(f"({r})" for r in runs)
+    known = " UNION ALL ".join(f"""(WITH {_plan_ctes(t, runs, seed)} SELECT run_id, config, task,
+  CASE WHEN config % 7 = 6 THEN 'pruning factor 1.5' WHEN bool_or(NOT ok) THEN 'missing ' || CAST(count(*) FILTER (WHERE NOT ok) AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) || ' models'
+    WHEN task = 'parity' AND bool_or(model_no = 3) THEN 'model 3: weights not finite' END AS error FROM checked GROUP BY run_id, config, task)""" for t in TASKS)
+    return f"""SELECT * FROM ({known} UNION ALL SELECT CAST(r.run_id AS INTEGER), CAST(n_nationkey AS INTEGER), 'sentiment', 'unknown task sentiment'
+  FROM nation CROSS JOIN (VALUES {runs_sql}) r(run_id)) WHERE error IS NOT NULL"""
 
 
 def _evaluate_task(task: str, label: str, runs: tuple[int, ...], seed: str) -> str:

@@ -112,6 +112,33 @@ def q_align_truth(spark, sf):
     return _flagship(spark, sf).aligned
 
 
+_ALIGNED_SQL = """WITH p AS (SELECT vec_id, CAST(label AS INTEGER) AS y_pred FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id, CAST(label AS INTEGER) FROM embeddings WHERE vec_id % 11 = 0),
+t AS (SELECT vec_id, CAST(label % 2 AS INTEGER) AS y_true FROM embeddings WHERE vec_id % 13 <> 0 UNION ALL SELECT vec_id, CAST(label % 2 AS INTEGER) FROM embeddings WHERE vec_id % 17 = 0),
+k AS (SELECT vec_id, coalesce(a.n, 0) AS p, coalesce(b.n, 0) AS t FROM (SELECT vec_id, count(*) AS n FROM p GROUP BY ALL) a FULL JOIN (SELECT vec_id, count(*) AS n FROM t GROUP BY ALL) b USING (vec_id)),
+s AS (SELECT vec_id, p + t AS n, CASE WHEN t = 0 THEN 'no truth' WHEN p = 0 THEN 'no prediction' WHEN p > 1 AND t > 1 THEN 'duplicate both' WHEN p > 1 THEN 'duplicate prediction'
+  WHEN t > 1 THEN 'duplicate truth' ELSE 'matched' END AS status FROM k)
+"""
+
+
+def _planted_alignment(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Predictions and truths derived from the embeddings with planted gaps (ids divisible by 7, 13) and copies (11, 17)."""
+    emb, i = table(spark, sf, "embeddings"), F.col("vec_id")
+    with_copies = lambda gap, copy, value, name: emb.select("vec_id", value.cast("int").alias(name)).where(i % gap != 0).unionByName(emb.select("vec_id", value.cast("int").alias(name)).where(i % copy == 0))
+    return ensemble.audited_align(with_copies(7, 11, F.col("label"), "y_pred"), with_copies(13, 17, F.col("label") % 2, "y_true"), "vec_id", "y_true")
+
+
+@register("align_audit", _ALIGNED_SQL + "SELECT status, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows FROM s GROUP BY status")
+def q_align_audit(spark, sf):
+    """X7's account of duplicate and missing keys."""
+    return _planted_alignment(spark, sf)[1]
+
+
+@register("align_matched", _ALIGNED_SQL + "SELECT s.vec_id, p.y_pred, t.y_true FROM s JOIN p USING (vec_id) JOIN t USING (vec_id) WHERE status = 'matched'")
+def q_align_matched(spark, sf):
+    """X7's pairs of the keys that are unique on both sides."""
+    return _planted_alignment(spark, sf)[0]
+
+
 @register("confusion", O.flagship_ctes() + "SELECT y_true, y_pred, n FROM conf")
 def q_confusion(spark, sf):
     return _flagship(spark, sf).confusion
@@ -408,9 +435,36 @@ def q_evaluate_config(spark, sf):
     return rounded(_evaluation(spark, sf).results)
 
 
+def _poisoned_evaluation(spark, sf) -> EV.Evaluation:
+    """Units that fail in four ways beside those that do not: untrained models, a task that does not exist, factors out of range
+    (every seventh nation), and weights that are not finite (replica 3 of the parity task)."""
+    configs = EV.configs_from_nation(table(spark, sf, "nation"), ("embeddings", "parity", "sentiment"))
+    configs = configs.withColumn("pruning_factor", F.when(F.col("config") % 7 == 6, 1.5).otherwise(F.col("pruning_factor")))
+
+    def weights(task, trained):
+        broken = (F.col("replica") == 3) & (F.col("dim") == 5) & F.lit(task == "parity")
+        return trained.withColumn("value", F.when(broken, float("nan")).otherwise(F.col("value")))
+
+    return EV.evaluate(table(spark, sf, "embeddings"), configs, weights=weights)
+
+
 @register("report_errors", O.errors_sql())
 def q_report_errors(spark, sf):
-    return _evaluation(spark, sf).errors
+    """An error row for every unit that failed."""
+    return _poisoned_evaluation(spark, sf).all_errors
+
+
+@register("evaluate_isolated", O.evaluate_ctes() + f", bad AS ({O.errors_sql()}) SELECT run_id, config, task, {O.rnd('accuracy', 'accuracy')}, "
+          f"{O.rnd('macro_f1', 'macro_f1')} FROM results r WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.run_id = r.run_id AND b.config = r.config AND b.task = r.task)")
+def q_evaluate_isolated(spark, sf):
+    """The units beside failing ones have the results that they have without them."""
+    return rounded(_poisoned_evaluation(spark, sf).results)
+
+
+@register("evaluate_times", O.evaluate_ctes() + "SELECT run_id, config, task, true AS timed FROM results")
+def q_evaluate_times(spark, sf):
+    """Every unit has a time of its own, measured in the scoring tasks (its value differs from run to run, its presence does not)."""
+    return _evaluation(spark, sf).timed.select(*EV.UNIT, (F.col("time") > 0).alias("timed"))
 
 
 @register("consolidate", O.evaluate_ctes((0, 1)) + ", " + O.consolidated_cte() +
@@ -590,9 +644,9 @@ _RESULTS_SQL = """SELECT CAST(s_suppkey AS INTEGER) AS config, ['CB', 'BoolQ', '
 
 @register("append_report", f"{_RESULTS_SQL}, CAST(r AS INTEGER) AS run_id FROM supplier CROSS JOIN range(2) t(r)")
 def q_append_report(spark, sf):
-    """Two runs appended to one table, nothing rewritten."""
+    """Two runs appended to one table; the replay of one leaves one copy."""
     path = _scratch(spark)
-    for run_id in (0, 1):
+    for run_id in (0, 1, 0):  # the first run is written again, as after a lost driver
         SK.append_report(_supplier_results(spark, sf), path, run_id)
     return rounded(spark.read.parquet(path).select("config", "task", "time", "accuracy", "macro_f1", "run_id"))
 
@@ -615,7 +669,7 @@ def q_append_variance_report(spark, sf):
     rows = table(spark, sf, "supplier").select(key.cast("int").alias("config"), F.lit("centroid").alias("model_name"), F.lit("CB").alias("task"),
                                                *[(key % m / 16.0).alias(c) for m, c in ((10, "single_accuracy"), (11, "single_macro_f1"), (12, "double_accuracy"), (13, "double_macro_f1"))])
     path = _scratch(spark)
-    for run_id in (0, 1):
+    for run_id in (0, 1, 1):
         SK.append_variance_report(rows, path, run_id)
     return rounded(spark.read.parquet(path))
 
