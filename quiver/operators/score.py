@@ -236,12 +236,12 @@ def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: lis
     return rows.where(F.col(vec).isNotNull()).select(*on, key, F.col(vec).alias("_vec"), *extra).mapInArrow(run, schema)
 
 
-HOT_TOKENS = 20_000  # model rows of the most frequent tokens are broadcast; one row holds replicas x classes doubles
+HOT_BYTES = 64 << 20  # of the most likely tokens' log-likelihoods in one broadcast
 
 
 def pack_naive_bayes(loglik: DataFrame, prior: DataFrame, model_cols: Sequence[str] = ("replica",)) -> DataFrame:
     """The scoring form of a naive-Bayes ensemble: one row per token, ``cells`` = array of
-    (model, class, loglik) in (model, class) order, ``df`` = how many of them the token reaches, and the
+    (model, class, loglik) in (model, class) order, ``top`` = the largest of them, and the
     priors under a null token. Build and write it once after training."""
     entry = F.struct(*model_cols, "class_id", "loglik")
     by_token = loglik.groupBy("token").agg(F.sort_array(F.collect_list(entry)).alias("cells"), F.max("loglik").alias("top"))
@@ -249,18 +249,41 @@ def pack_naive_bayes(loglik: DataFrame, prior: DataFrame, model_cols: Sequence[s
     return by_token.unionByName(priors.select(F.lit(None).cast("string").alias("token"), "cells", F.lit(0.0).alias("top")))
 
 
+def _dense(packed: DataFrame, cells: list[tuple], mc: list) -> DataFrame:
+    """(token, top, ll): the log-likelihoods of a token under all models and classes as one array; unknown ones add 0."""
+    place = {c: i for i, c in enumerate(cells)}
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(1)
+            entries, owner = own.flatten(), np.repeat(np.arange(len(batch)), own.value_lengths().to_numpy())
+            at = np.fromiter((place[n] for n in zip(*(entries.field(c).to_pylist() for c in (*mc, "class_id")))), np.int64, len(entries))
+            ll = np.zeros((len(batch), len(cells)))
+            ll[owner, at] = entries.field("loglik").to_numpy(zero_copy_only=False)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * len(cells), pa.int32()), pa.array(ll.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["token", "top", "ll"])
+
+    return packed.where("token IS NOT NULL").select("token", "cells", "top").mapInArrow(run, "token string, top double, ll array<double>")
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+
+
 def score_naive_bayes(rows: DataFrame, packed: DataFrame, key: str, text: str = "text", label: str | None = None,
-                      model_cols: Sequence[str] = ("replica",), predict: bool = False, hot_tokens: int = HOT_TOKENS) -> DataFrame:
+                      model_cols: Sequence[str] = ("replica",), predict: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """T4 for the text path: ``(model..., key, class_id, prob)``, or with ``predict`` the fused soft vote and
     arg-max of all models, ``(key[, y_true], y_pred)``.
 
     score = log prior + sum over the row's tokens of the model's log-likelihood (tokens the model has not
-    seen add nothing), then a softmax per (model, row). The log-likelihoods of a token are one fixed array
-    over all models and classes. Arrays of the most likely ``hot_tokens`` tokens are broadcast and added up in
-    the map tasks; only the other tokens, none of which is frequent, meet the model in a shuffle join. One row
-    per document is shuffled for the sums, and its label rides with it.
+    seen add nothing), then a softmax per (model, row). The log-likelihoods of a token are one array over all
+    models and classes, and sums are vectors in Arrow tasks, so the plan is the same for any number of models. Texts are
+    tokenised once. The arrays of the most likely tokens, as many as fit in ``hot_bytes``, are broadcast and added up
+    where the text is; the tokens of a text that are not among them go to a join with the rest of the model (none
+    of these is frequent) and come back as one partial sum a text and task. If the whole model fits there is no shuffle.
     """
     from quiver.operators.learn import tokens
+    from quiver.session import materialize
 
     ship_package(rows.sparkSession)
     mc = list(model_cols)
@@ -270,44 +293,112 @@ def score_naive_bayes(rows: DataFrame, packed: DataFrame, key: str, text: str =
     start = np.zeros(len(cells))
     for r in prior:
         start[place[tuple(r[c] for c in (*mc, "class_id"))]] = r["loglik"]
-    slots = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, (*mc, "class_id"))]) for c in cells])
-    # a token may be unknown to some replicas: their slots add 0
-    known = F.map_from_entries(F.transform("cells", lambda c: F.struct(F.struct(*[c[n].alias(n) for n in (*mc, "class_id")]), c["loglik"])))
-    model = packed.where("token IS NOT NULL").withColumn("known", known).select("token", "top", F.transform(slots, lambda s: F.coalesce(F.try_element_at("known", s), F.lit(0.0))).alias("ll"))
-    hot = model.orderBy(F.desc("top"), "token").limit(hot_tokens).select("token", "ll")
-    hot_names = F.broadcast(hot.select("token"))
-    sums = [F.sum(F.coalesce(F.col("ll")[i], F.lit(0.0))).alias(f"s{i}") for i in range(len(cells))]
+    model = materialize(_dense(packed, cells, mc))
+    room = hot_bytes // (8 * len(cells) + 64)
+    first = model.orderBy(F.desc("top"), "token").limit(room).toArrow() if room else model.limit(0).toArrow()  # at most hot_bytes
+    whole = len(first) == model.count()
+    hot = rows.sparkSession.sparkContext.broadcast((first.column("token").combine_chunks(), first.column("ll").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(first), len(cells))))
     truth = F.col(label).cast("int") if label else F.lit(None).cast("int")
-    # a null token keeps documents without any known token
-    said = rows.select(key, truth.alias("y_true"), F.explode(F.array_append(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), F.lit(None).cast("string"))).alias("token"))
-    frequent = said.join(F.broadcast(hot), "token", "left").groupBy(key).agg(F.max("y_true").alias("y_true"), *sums)
-    others = said.where("token IS NOT NULL").join(hot_names, "token", "left_anti").join(model.join(hot_names, "token", "left_anti"), "token")
-    others = others.groupBy(key).agg(F.lit(None).cast("int").alias("y_true"), *sums)
-    total = frequent.unionByName(others).groupBy(key).agg(F.max("y_true").alias("y_true"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(cells))])
-    scored = total.select(key, *(["y_true"] if label else []), F.array(*[F.col(f"s{i}") + float(start[i]) for i in range(len(cells))]).alias("s"))
+    said = rows.select(F.col(key), truth.alias("y_true"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
+
+    def add_hot(batches):
+        """(key, y_true, s, rest): the sum over the text's hot tokens, and its other tokens."""
+        import pyarrow.compute as pc
+
+        names, table = hot.value
+        step = max(1, 2_000_000 // len(cells))
+        for batch in batches:
+            listed = batch.column(2)
+            flat, sizes = listed.flatten(), listed.value_lengths().to_numpy().astype(np.int64)
+            at = pc.index_in(flat, value_set=names).fill_null(-1).to_numpy() if len(names) else np.full(len(flat), -1)
+            owner = np.repeat(np.arange(len(batch)), sizes)
+            known = np.flatnonzero(at >= 0)
+            s = np.zeros((len(batch), len(cells)))
+            for a in range(0, len(known), step):
+                part = known[a : a + step]
+                edges = np.flatnonzero(np.append(True, owner[part][1:] != owner[part][:-1]))
+                s[owner[part][edges]] += np.add.reduceat(table[at[part]], edges, axis=0)
+            other = np.flatnonzero(at < 0)
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(owner[other], minlength=len(batch)))))
+            rest = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat.take(pa.array(other)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(s), rest], [key, "y_true", "s", "rest"])
+
+    id_field = _field(rows.schema, key)
+    partial = T.StructType([id_field, T.StructField("y_true", T.IntegerType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
+    hot_sums = said.mapInArrow(add_hot, T.StructType([*partial.fields, T.StructField("rest", T.ArrayType(T.StringType()))]))
+    if whole:
+        total = hot_sums.drop("rest")
+    else:
+        hot_sums = materialize(hot_sums)
+        names = F.broadcast(rows.sparkSession.createDataFrame([(t,) for t in first.column("token").to_pylist()], "token string"))
+        rare = hot_sums.select(key, F.explode("rest").alias("token")).join(model.join(names, "token", "left_anti").select("token", "ll"), "token")
+
+        def add_up(batches):
+            """Partial sums of a task: one vector a text, as long as they fit."""
+            held: dict = {}
+            for batch in batches:
+                ll = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                for k, v in zip(batch.column(0).to_pylist(), ll):
+                    held[k] = held[k] + v if k in held else v.copy()
+                if len(held) * len(cells) > 4_000_000:
+                    yield emit(held)
+                    held = {}
+            if held:
+                yield emit(held)
+
+        def emit(held):
+            kind = to_arrow_schema(partial).field(0).type
+            return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.nulls(len(held), pa.int32()), _lists(np.stack(list(held.values())))], partial.names)
+
+        def merge(batches):
+            """Texts lie together, sorted by key: their vectors are added up."""
+            last, truth, total = None, None, None
+            for batch in batches:
+                s = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                out = []
+                for k, y, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), s):
+                    if total is not None and k == last:
+                        total, truth = total + v, y if truth is None else truth
+                    else:
+                        if total is not None:
+                            out.append((last, truth, total))
+                        last, truth, total = k, y, v.copy()
+                if out:
+                    yield finished(out)
+            if total is not None:
+                yield finished([(last, truth, total)])
+
+        def finished(out):
+            arrow = to_arrow_schema(partial)
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], arrow.field(0).type), pa.array([o[1] for o in out], pa.int32()), _lists(np.stack([o[2] for o in out]))], partial.names)
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        both = hot_sums.drop("rest").unionByName(rare.select(key, "ll").mapInArrow(add_up, partial))
+        total = both.repartition(key).sortWithinPartitions(key).mapInArrow(merge, partial)
 
     models = [c[:-1] for c in cells]
     starts = np.array([i for i, m in enumerate(models) if not i or m != models[i - 1]])
     classes = np.array([c[-1] for c in cells], np.int32)
     unique = np.unique(classes)
     if predict:
-        schema = T.StructType([_field(rows.schema, key)] + ([T.StructField("y_true", T.IntegerType())] if label else []) + [T.StructField("y_pred", T.IntegerType())])
+        schema = T.StructType([id_field] + ([T.StructField("y_true", T.IntegerType())] if label else []) + [T.StructField("y_pred", T.IntegerType())])
     else:
-        schema = T.StructType([_field(packed.schema["cells"].dataType.elementType, c) for c in mc] + [_field(rows.schema, key), T.StructField("class_id", T.IntegerType()), T.StructField("prob", T.DoubleType())])
+        schema = T.StructType([_field(packed.schema["cells"].dataType.elementType, c) for c in mc] + [id_field, T.StructField("class_id", T.IntegerType()), T.StructField("prob", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             n = len(batch)
             if not n:
                 continue
-            p = softmax_by_segment(batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(n, -1), starts)
+            p = softmax_by_segment(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) + start, starts)
             if predict:
                 votes = np.round(np.column_stack([p[:, classes == c].sum(axis=1) for c in unique]), TIE_DECIMALS)
-                out = [*batch.columns[:-1], pa.array(unique[np.argmax(votes, axis=1)].astype(np.int32))]
+                out = [batch.column(0), *([batch.column(1)] if label else []), pa.array(unique[np.argmax(votes, axis=1)].astype(np.int32))]
             else:
                 k = len(cells)
                 out = [*[pa.array(np.tile(np.array([m[i] for m in models]), n), pa.int32()) for i in range(len(mc))],
                        batch.column(0).take(pa.array(np.repeat(np.arange(n), k))), pa.array(np.tile(classes, n)), pa.array(p.ravel())]
             yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return scored.mapInArrow(run, schema)
+    return total.mapInArrow(run, schema)
