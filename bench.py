@@ -55,6 +55,8 @@ HEADLINE = {
     "expand_config": R.QUERIES["expand_config"],
     "flatten_nested_qa": R.QUERIES["flatten_nested_qa"],
     "label_encode": R.QUERIES["label_encode"],
+    "trial_objectives_grids": R.QUERIES["trial_objectives_grids"],
+    "logistic_report": R.QUERIES["logistic_report"],
 }
 
 

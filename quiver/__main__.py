@@ -52,7 +52,10 @@ def main(argv: list[str] | None = None) -> None:
         from quiver.plans import variance as VA
         from quiver.sources.sinks import append_variance_report
 
-        _, paired = VA.single_vs_double(read("embeddings"))
+        from quiver.plans import derived, experiment
+
+        cases = VA.variance_cases(experiment.experiment_clean(derived.experiment_table(read("orders"))), derived.hyperparams(spark))
+        _, paired = VA.single_vs_double(read("embeddings"), cases)
         rows = paired.select("config", "model_name", "task", "single_accuracy", "single_macro_f1", "double_accuracy", "double_macro_f1")
         append_variance_report(rows, args.out, args.run_id, args.format)
     release_tables(spark)

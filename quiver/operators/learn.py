@@ -24,6 +24,13 @@ def train_centroids(train: DataFrame, samples: DataFrame | None, key: str, vec:
     without any join. Every task multiplies its multiplicity matrix with its vectors, so the shuffle carries
     at most models x classes x dims partial sums per task and no vector is ever copied per model.
     """
+    sums = centroid_sums(train, samples, key, vec, label, model_cols, reps)
+    return sums.select(*model_cols, "class_id", "dim", (F.col("sx") / F.col("sw")).alias("value"))
+
+
+def centroid_sums(train: DataFrame, samples: DataFrame | None, key: str, vec: str = "embedding",
+                  label: str = "label", model_cols: Sequence[str] = ("replica",), reps=None) -> DataFrame:
+    """The sums behind T1, ``(model..., class_id, dim, sx, sw)``: weighted sum and weight, which add up over classes that are joined."""
     from quiver.session import ship_package
 
     ship_package(train.sparkSession)
@@ -72,7 +79,7 @@ def train_centroids(train: DataFrame, samples: DataFrame | None, key: str, vec:
             yield pa.RecordBatch.from_arrays(columns, arrow.names)
 
     cells = rows.mapInArrow(partial, schema).select(*mc, "class_id", "weight", F.posexplode("sums").alias("dim", "x"))
-    return cells.groupBy(*mc, "class_id", "dim").agg((F.sum("x") / F.sum("weight")).alias("value"))
+    return cells.groupBy(*mc, "class_id", "dim").agg(F.sum("x").alias("sx"), F.sum("weight").alias("sw"))
 
 
 def pack_centroids(cent: DataFrame, model_cols: Sequence[str] = ("replica",)) -> DataFrame:

@@ -355,24 +355,27 @@ def leaderboard_select(src: str = "cons") -> str:
   ON f.task = a.task AND f._r = 1 WHERE a._r = 1"""
 
 
-def _variance_case(config: int, model: str, task: str) -> str:
-    return f"""(WITH {split_ctes(TASKS[task])},
+def variance_ctes() -> str:
+    group = ["task", "row_id", "kind", "i"]
+    classes = "CASE t.task WHEN 'CB' THEN {0} % 3 WHEN 'BoolQ' THEN {0} % 2 ELSE {0} // 2 % 2 END"
+    return f"""WITH {experiment_ctes()}, {hp_cte()},
+cases AS (SELECT c.row_id, c.config, c.model_type AS model_name, c.task, h.weight_decay FROM exp_clean c JOIN hp_first h ON h.model_name = c.model_type AND h.task = c.task
+  WHERE c.is_baseline = 0 QUALIFY row_number() OVER (PARTITION BY c.model_type, c.task ORDER BY c.row_id) = 1),
+{split_ctes('label')},
 {bootstrap_ctes('train', 'vec_id', 10)},
 {double_bootstrap_ctes('train', 'vec_id')},
 allsamp AS (SELECT 'Single' AS kind, replica AS i, 0 AS j, vec_id, mult FROM samples
   UNION ALL SELECT 'Double', i, j, vec_id, mult FROM dsamples),
-{centroid_ctes('train', 'allsamp', 'vec_id', ['kind', 'i', 'j'])},
-{scoring_ctes('test', 'cent', 'vec_id', ['kind', 'i', 'j'])},
-{vote_ctes('probs', 'vec_id', ['kind', 'i'])},
-aligned AS (SELECT p.kind, p.i, p.vec_id, p.y_pred, t.label AS y_true FROM pred p JOIN test t USING (vec_id)),
-conf AS (SELECT kind, i, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
-{report_ctes('conf', ['kind', 'i'])}
-SELECT {config} AS config, '{model}' AS model_name, '{task}' AS task, * FROM report)"""
-
-
-def variance_ctes() -> str:
-    cases = [(0, "centroid", "embeddings"), (1, "centroid", "parity")]
-    return "WITH report AS (" + " UNION ALL ".join(_variance_case(*c) for c in cases) + ")\n"
+tx AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM train),
+cent AS (SELECT t.task, t.row_id, s.kind, s.i, s.j, CAST({classes.format('x.label')} AS INTEGER) AS class_id, x.dim, sum(s.mult * x.x) / (sum(s.mult) + 100.0 * any_value(t.weight_decay)) AS value
+  FROM allsamp s JOIN tx x USING (vec_id) CROSS JOIN cases t GROUP BY ALL),
+{scoring_ctes('test', 'cent', 'vec_id', ['task', 'row_id', 'kind', 'i', 'j'])},
+{vote_ctes('probs', 'vec_id', group)},
+aligned AS (SELECT t.task, t.row_id, t.kind, t.i, t.y_pred, CAST({classes.format('e.label')} AS INTEGER) AS y_true FROM pred t JOIN test e USING (vec_id)),
+conf AS (SELECT task, row_id, kind, i, y_true, y_pred, count(*) AS n FROM aligned GROUP BY ALL),
+{report_ctes('conf', group, 'v_')},
+report AS (SELECT c.config, c.model_name, v.* EXCLUDE (row_id) FROM v_report v JOIN cases c ON c.row_id = v.row_id)
+"""
 
 
 # ---- trial search ------------------------------------------------------------------------------

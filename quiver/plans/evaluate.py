@@ -58,8 +58,8 @@ def bad_models(weights: DataFrame, model: str = "replica") -> DataFrame:
     """(model, problem) of models whose weights are not all finite numbers, or are not as many as most models have in each class."""
     v = F.col("value")
     per_class = weights.groupBy(model, "class_id").agg(F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias("odd"), F.count(F.lit(1)).alias("n"))
-    usual = per_class.agg(F.mode("n", True).alias("usual"))
-    return per_class.join(F.broadcast(usual)).groupBy(model).agg(F.sum("odd").alias("odd"), F.count_if(F.col("n") != F.col("usual")).alias("uneven")) \
+    usual = per_class.agg(F.mode("n", True)).first()[0]  # weights a class
+    return per_class.groupBy(model).agg(F.sum("odd").alias("odd"), F.count_if(F.col("n") != F.lit(usual)).alias("uneven")) \
         .where("odd > 0 OR uneven > 0").select(model, F.when(F.col("odd") > 0, "weights not finite").otherwise("weights missing").alias("problem"))
 
 

@@ -155,11 +155,11 @@ def attach_factor(models: DataFrame, factors: DataFrame, keys: Sequence[str] = (
 
 def lookup_hyperparams(rows: DataFrame, hp: DataFrame, name_col: str = "model_type", task_col: str = "task") -> DataFrame:
     """The first hyperparameter row (file order) equal on (model name, task); misses are
-    quarantined with ``hp_status``. The hyperparameter table is a small dimension: broadcast."""
+    quarantined with ``hp_status``. Spark broadcasts the table if its measured size allows it."""
     first = hp.groupBy("model_name", "task").agg(
         F.min_by(F.struct("n_epochs", "train_batch_size", "learning_rate", "weight_decay"), "file_row").alias("_hp"))
     first = first.withColumnRenamed("model_name", "_name").withColumnRenamed("task", "_task")
-    j = rows.join(F.broadcast(first), (F.col(name_col) == F.col("_name")) & (F.col(task_col) == F.col("_task")), "left")
+    j = rows.join(first, (F.col(name_col) == F.col("_name")) & (F.col(task_col) == F.col("_task")), "left")
     return j.select(*rows.columns, "_hp.n_epochs", "_hp.train_batch_size", "_hp.learning_rate", "_hp.weight_decay",
                     F.when(F.col("_name").isNull(), F.lit("missing hyperparameters")).otherwise(F.lit("ok"))
                     .alias("hp_status"))

@@ -480,13 +480,17 @@ def q_leaderboard(spark, sf):
 
 # ---- single vs double bootstrap (V1, V2) -------------------------------------------------------
 
+def _variance(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return VA.single_vs_double(table(spark, sf, "embeddings"), VA.variance_cases(_clean(spark, sf), D.hyperparams(spark)))
+
+
 @register("single_vs_double", O.variance_ctes() + f"""SELECT config, model_name, task, i,
   round(max(accuracy) FILTER (WHERE kind = 'Single'), {O.R}) AS single_accuracy,
   round(max(macro_f1) FILTER (WHERE kind = 'Single'), {O.R}) AS single_macro_f1,
   round(max(accuracy) FILTER (WHERE kind = 'Double'), {O.R}) AS double_accuracy,
   round(max(macro_f1) FILTER (WHERE kind = 'Double'), {O.R}) AS double_macro_f1 FROM report GROUP BY config, model_name, task, i""")
 def q_single_vs_double(spark, sf):
-    return rounded(VA.single_vs_double(table(spark, sf, "embeddings"))[1])
+    return rounded(_variance(spark, sf)[1])
 
 
 @register("variance_summary", O.variance_ctes() + f"""SELECT config, model_name, task, kind, count(*) AS n_models,
@@ -494,7 +498,7 @@ def q_single_vs_double(spark, sf):
   {O.rnd('avg(macro_f1)', 'mean_macro_f1')}, {O.rnd('var_samp(macro_f1)', 'var_macro_f1')}, {O.rnd('stddev_samp(macro_f1)', 'std_macro_f1')}
   FROM report GROUP BY config, model_name, task, kind""")
 def q_variance_summary(spark, sf):
-    return rounded(VA.variance_summary(VA.single_vs_double(table(spark, sf, "embeddings"))[0]))
+    return rounded(VA.variance_summary(_variance(spark, sf)[0]))
 
 
 # ---- T3: logistic regressions of all replicas and hyperparameter rows in one joint solver -----------------

@@ -127,7 +127,8 @@ def test_cli_evaluate_and_variance_append(spark):
     cons = consolidate(res.select("config", "task", "run_id", "accuracy", "macro_f1"))
     assert cons.count() == 40 and cons.filter("run_id = 1 AND n_runs = 2").count() == 40
     main(["variance", "--tables", SF001, "--out", f"{out}/var", "--run-id", "0"])
-    assert spark.read.parquet(f"{out}/var").count() == 20
+    rows = spark.read.parquet(f"{out}/var")
+    assert rows.count() == 10 * rows.select("config", "model_name", "task").distinct().count() >= 80
 
 
 def test_experiment_table_of_several_files_is_refused(spark):
