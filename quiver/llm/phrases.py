@@ -13,8 +13,9 @@ no false negatives, and a phrase counted too early only brings exact counts of a
 limit work and never results. They have at most 2 ** ``BITS`` bits, whatever the corpus. Partial counts are sorted and
 packed by hash range, shuffled, added up and written. A phrase's count is the sum over the last ``shards`` scans, each shard once;
 only hashes with at least threshold / shards occurrences in some shard can reach the threshold, and only those
-are looked up among the rare ones. Phrase hashes have 61 bits and a length; a last scan brings the texts of all frequent
-phrases with a second hash, and if two texts share a hash the work is done again with another seed.
+are looked up among the rare ones. Phrase hashes have 61 bits and a length. Texts of frequent phrases come from samples first and from a
+last scan of all documents, which compares every occurrence by a second hash; if two texts share a hash the work is done again
+with another seed.
 
 Score of a frequent phrase: the least, over its cuts into two parts l and r, of floor(1000 * a * n / (l * r)) in exact decimals;
 phrases that lie inside a longer one as frequent (``absorb`` percent) are dropped.
@@ -297,71 +298,131 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST
         step += 1
 
 
-def texts_of(found: DataFrame, kept: DataFrame, longest: int, seed: int) -> DataFrame:
-    """(name, other, lang, phrase, cuts, inner, n): the frequent phrases' texts as tasks meet them, a second hash, the names of their
-    parts (both sides of each cut) and of all shorter phrases inside; rows without a name hold the words of a language."""
-    bitmap = found.sparkSession.sparkContext.broadcast(bitmaps(found, all=F.lit(True))["all"])
-    schema = "name long, other long, lang string, phrase string, cuts array<long>, inner array<long>, n long"
+def phrase_texts(words: Words, at: np.ndarray, length: int) -> pa.Array:
+    """The phrases at these words, lower-cased, their words joined by one space."""
+    place = at[:, None] + np.arange(length)
+    sizes = words.end[place] - words.start[place] + (np.arange(length) < length - 1)
+    total = np.concatenate(([0], np.cumsum(sizes.sum(axis=1))))
+    flat = sizes.ravel()
+    inside = np.arange(int(total[-1])) - np.repeat(np.cumsum(flat) - flat, flat)
+    source = np.repeat(words.start[place].ravel(), flat) + inside
+    space = source == np.repeat(words.end[place].ravel(), flat)  # the place after a word stands for the space
+    data = np.where(space, np.uint8(32), _LOWER[words.data[np.where(space, 0, source)]])
+    return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(total.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def texts_of(found: DataFrame, docs: DataFrame, known: DataFrame | None, longest: int, seed: int, totals: bool) -> DataFrame:
+    """(name, other, lang, phrase, n) of the frequent phrases in ``docs`` whose names are not among the ``known`` ones, or are
+    so with another second hash ``other``. Each task names a phrase once.
+
+    With ``totals``, rows without a name hold the number of words of a language.
+    """
+    context = found.sparkSession.sparkContext
+    frequent_names = context.broadcast(bitmaps(found, all=F.lit(True))["all"])
+    done = missing = None
+    if known is not None:
+        met_before = known.where("name IS NOT NULL").select("name", "both")
+        done = context.broadcast(bitmaps(met_before.select("both").distinct(), "both", all=F.lit(True))["all"])
+        missing = context.broadcast(bitmaps(found.join(met_before, "name", "left_anti"), all=F.lit(True))["all"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    columns = ["name", "other", "both", "lang", "phrase", "n"]
 
     def run(batches):
-        known_names = np.zeros(0, np.uint64)
+        met = np.zeros(0, np.uint64)
         total: dict[str, int] = {}
         for texts, words, langs, own in _batches(batches, seed):
-            second = words_of(texts, seed + 7919)
-            for lang, n in zip(own, np.bincount(words.doc, minlength=len(own)).tolist()):
-                total[lang] = total.get(lang, 0) + n
-            raws: dict[int, np.ndarray] = {}
-            rows = []
-            for length, at, names, known, raw in phrases_in(words, langs, bitmap.value, longest):
-                raws[length] = raw
-                at, names = at[known], names[known]
-                if not at.size:
-                    continue
+            if totals:
+                for lang, n in zip(own, np.bincount(words.doc, minlength=len(own)).tolist()):
+                    total[lang] = total.get(lang, 0) + n
+            second = words_of(texts, seed + 7919).hash
+            of_doc = np.array(own, dtype=object)
+            for length, at, names, found_here, _ in phrases_in(words, langs, frequent_names.value, longest):
+                at, names = at[found_here], names[found_here]
                 other = langs[words.doc[at]]
                 with np.errstate(over="ignore"):
                     for j in range(length):
-                        other = T.mix64(other * _C + second.hash[at + j])
+                        other = T.mix64(other * _C + second[at + j])
                     both = T.mix64(names ^ (other * np.uint64(0xD1342543DE82EF95)))
+                new = np.ones(len(at), bool) if done is None else missing.value.has(names) | ~done.value.has(both)
+                at, names, other, both = at[new], names[new], other[new], both[new]
                 both, first = np.unique(both, return_index=True)
-                new = ~np.isin(both, known_names)
-                known_names = np.concatenate((known_names, both[new]))
-                for i in first[new].tolist():
-                    p = int(at[i])
-                    name = lambda m, o: int(tagged(raws[m][p + o : p + o + 1], m).view(np.int64)[0])  # noqa: B023, E731
-                    phrase = b" ".join(words.data[words.start[p + j] : words.end[p + j]].tobytes() for j in range(length))
-                    cuts = [x for j in range(1, length) for x in (name(j, 0), name(length - j, j))]
-                    inner = [name(m, o) for m in range(2, length) for o in range(length - m + 1)]
-                    rows.append((int(names[i : i + 1].view(np.int64)[0]), int(other[i : i + 1].view(np.int64)[0]), own[int(words.doc[p])], phrase.decode().translate(_LOWER), cuts, inner, None))
-            if known_names.size > _HELD:
-                known_names = known_names[:0]
-            if rows:
-                yield _as_batch(rows)
+                new = ~np.isin(both, met)
+                both, first = both[new], first[new]
+                if not first.size:
+                    continue
+                met = np.concatenate((met, both))
+                at = at[first]
+                values = [names[first].view(np.int64), other[first].view(np.int64), both.view(np.int64), of_doc[words.doc[at]].tolist(), phrase_texts(words, at, length), pa.nulls(len(at), pa.int64())]
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds)], columns)
+            if met.size > _HELD:
+                met = met[:0]
         if total:
-            yield _as_batch([(None, None, lang, None, None, None, n) for lang, n in total.items()])
+            empty = [pa.nulls(len(total), k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*empty[:3], pa.array(list(total), pa.string()), empty[4], pa.array(list(total.values()), pa.int64())], columns)
+
+    return materialize(docs.select("lang", "text").mapInArrow(T.lean(run), "name long, other long, both long, lang string, phrase string, n long"))
 
-    return materialize(kept.select("lang", "text").mapInArrow(T.lean(run), schema))
 
+def resolved(found: DataFrame, kept: DataFrame, longest: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """((name, f, lang, phrase) of all frequent phrases, (lang, n) words of each language).
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+    Most texts come from two samples of the documents, so that they are not named by every task; the last scan, over all documents, names
+    the rest, and every phrase that has the name of another one.
+    """
+    spread = F.pmod(F.xxhash64("text"), F.lit(16))
+    samples = [kept.where((F.col("shard") == 0) & (spread == 0)), kept.where((F.col("shard") == 0) & (spread < 8)), kept]
+    met = None
+    for k, docs in enumerate(samples):
+        own = texts_of(found, docs, met, longest, seed, totals=k == len(samples) - 1)
+        met = own if met is None else met.unionByName(own)
+    said = met.where("name IS NOT NULL").groupBy("name").agg(F.min("other").alias("other"), F.max("other").alias("other2"), F.min(F.struct("lang", "phrase")).alias("said"))
+    said = materialize(said.join(found, "name").select("name", "f", "said.lang", "said.phrase", (F.col("other") != F.col("other2")).alias("shared")))
+    if not said.where("shared").isEmpty():
+        raise Collision(f"two frequent phrases share a hash of seed {seed}")
+    return said.drop("shared"), met.where("name IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], ["name", "other", "lang", "phrase", "cuts", "inner", "n"])
+def parts_of(said: DataFrame, longest: int, seed: int) -> DataFrame:
+    """(name, lang, phrase, a, cuts, inner) of phrases of at least two words: the names of both sides of each cut, and of all shorter ones inside."""
+
+    def run(batches):
+        for batch in batches:
+            words = words_of(batch.column(2), seed)
+            langs = lang_hash(batch.column(1).to_pylist(), seed)
+            n = np.bincount(words.doc, minlength=len(batch))
+            first = np.cumsum(n) - n
+            raws = [T.mix64(words.hash ^ langs[words.doc])]
+            with np.errstate(over="ignore"):
+                for length in range(2, longest + 1):
+                    following = words.hash[np.minimum(np.arange(len(words.hash)) + length - 1, len(words.hash) - 1)]
+                    raws.append(T.mix64(raws[-1] * _C + following))
+            for length in range(2, longest + 1):
+                rows = np.flatnonzero(n == length)
+                if not rows.size:
+                    continue
+                name = lambda m, o: tagged(raws[m - 1][first[rows] + o], m).view(np.int64)  # noqa: B023, E731
+                cuts = np.stack([x for j in range(1, length) for x in (name(j, 0), name(length - j, j))], axis=1)
+                inside = [name(m, o) for m in range(2, length) for o in range(length - m + 1)]
+                inner = np.stack(inside, axis=1) if inside else np.zeros((len(rows), 0), np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (cuts, inner)]
+                own = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*own.columns, *lists], ["name", "lang", "phrase", "a", "cuts", "inner"])
+
+    rows = said.where(F.pmod("name", F.lit(8)) > 1).select("name", "lang", "phrase", F.col("f").alias("a"))
+    return materialize(rows.mapInArrow(run, "name long, lang string, phrase string, a long, cuts array<long>, inner array<long>"))
 
 
 def scored(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, absorb: int = 100, shards: int = SHARDS, seed: int = 1) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of all candidates of 2 to ``longest`` words that no longer one absorbs."""
     found, kept = frequent(docs, threshold, longest, shards, seed)
-    met = texts_of(found, kept, longest, seed)
-    said = met.where("name IS NOT NULL").groupBy("name").agg(F.min("other").alias("other"), F.max("other").alias("other2"), F.first("lang").alias("lang"), F.first("phrase").alias("phrase"), F.first("cuts").alias("cuts"), F.first("inner").alias("inner"))
-    said = materialize(said.join(found, "name"))
-    if not said.where("other <> other2").isEmpty():
-        raise Collision(f"two frequent phrases share a hash of seed {seed}")
-    many = said.where(F.size("cuts") > 0).select("name", "lang", "phrase", "cuts", "inner", F.col("f").alias("a"))
+    said, totals = resolved(found, kept, longest, seed)
+    many = parts_of(said, longest, seed)
     longer = many.select("a", F.explode("inner").alias("name")).groupBy("name").agg(F.max("a").alias("longer"))
     rest = many.join(longer, "name", "left").where(F.coalesce(F.lit(100) * F.col("longer") < F.lit(absorb) * F.col("a"), F.lit(True)))
-    totals = met.where("name IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     each = rest.join(totals, "lang").select("name", "lang", "phrase", "a", "n", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("cuts") / 2 - 1).cast("int")), lambda k: F.struct(F.get("cuts", (2 * k).cast("int")).alias("left"), F.get("cuts", (2 * k + 1).cast("int")).alias("right")))).alias("k", "cut"))
     left, right = found.select(F.col("name").alias("left"), F.col("f").alias("l")), found.select(F.col("name").alias("right"), F.col("f").alias("r"))
     each = each.select("name", "lang", "phrase", "a", "n", "k", "cut.left", "cut.right").join(left, "left").join(right, "right")
