@@ -24,6 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quiver.llm import textops as T
 from quiver.session import ship_package
 
 RATE = 0.08
@@ -165,7 +166,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars
             for batch in batches:
                 yield batch.filter(pa.array([next(matcher.matches(t), None) is None for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(T.lean(run), rows.schema)
 
     for block in item_blocks(benchmark, block_chars):
         docs = filtered(docs, block)

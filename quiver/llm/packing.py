@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names[: len(rows[0])])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECE + (", ids binary" if keep_ids else ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.lean(run, drop=False), _PIECE + (", ids binary" if keep_ids else ""))
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, rows_a_salt: int = 100_000) -> DataFrame:

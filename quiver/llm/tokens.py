@@ -22,6 +22,7 @@ from pyspark.sql import SparkSession
 from quiver.llm import textops as T
 
 MEMO_ENTRIES = 400_000
+MEMO_BYTES = 32 << 20  # of chunks and of ids
 _UNSAFE = re.compile(r"\s\s(?:\s|$)|\0")
 
 
@@ -105,14 +106,15 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(MEMO_ENTRIES + 1, np.int64)
-        self.used = 0
+        self.used = self.bytes = 0
 
     @classmethod
     def of(cls, name: str) -> "Encoder":
         """The worker's encoder for a shipped vocabulary; kept between tasks."""
-        if name not in cls.held:
-            cls.held[name] = cls(SparkFiles.get(name))
-        return cls.held[name]
+        path = SparkFiles.get(name)
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
 
     def _learn(self, chunks: list[str]) -> None:
         apart = [c for c in chunks if c[:1] not in (" ", "\n") or c[-1:].isspace()]
@@ -154,9 +156,12 @@ class Encoder:
         found = list(map(self.place.get, chunks))
         if None in found:
             new = list(dict.fromkeys(c for c, k in zip(chunks, found) if k is None))
-            if len(self.place) + len(new) > MEMO_ENTRIES:
-                self.place, self.used = {}, 0
+            size = sum(map(len, new))
+            if len(self.place) + len(new) > MEMO_ENTRIES or self.bytes + size + 4 * self.used > MEMO_BYTES:
+                self.place, self.used, self.bytes = {}, 0, 0
                 new = list(dict.fromkeys(chunks))
+                size = sum(map(len, new))
+            self.bytes += size
             if len(new) > MEMO_ENTRIES:  # one slice with that many distinct chunks: encode its texts whole
                 parts = [self._direct(t) for t in texts]
                 return np.concatenate(parts), np.array([p.size for p in parts])
