@@ -12,7 +12,14 @@ Each page is worked on alone, so the job is one map over the table without a shu
 
 Text rules: scripts, styles, markup, comments and the head are dropped; character references are decoded;
 white space in a block becomes one space; blocks are trimmed and joined by one space; a line break ends a
-word. Broken pages (unclosed elements or tags, cut ends) are read as browsers read them.
+word. Broken pages (unclosed elements or tags, cut ends) are read as browsers read them; like there, blocks nested
+deeper than ``DEEPEST`` hang on their ancestor at that depth. A page is read in time linear in its length: the open
+elements are kept by name, so no tag searches the others.
+
+Words of class, id and role count where they stand: on the page's root and on a wrapper, an element that holds an
+article (or, by its own words, the text) which no such word disowns, they say nothing about the text. An article
+that is named as text is disowned by words of replies only, and a long-running section inside an article not by words that may
+be its subject (social, legal, author).
 
 Defined cases: a null or empty html, or one without main text, gives the empty text. Null ids and urls stay
 null, repeated rows are pages of their own, extra columns are ignored, an empty table gives an empty result.
@@ -64,8 +71,12 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 # The rest of a tag: attributes, whose value may be quoted; possessive, so read in one pass
 _TAG = re.compile(r"""(?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+>""")
-N_FEATURES = len(BLOCKS) + len(HINTS) + 11
+N_FEATURES = len(BLOCKS) + len(HINTS) + 12
+DEEPEST = 512
 _PARTS = (1 << (len(HINTS) - 1)) - 1  # every hint but the last names a part that is not main text
+_TEXT = 1 << (len(HINTS) - 1)
+_SOFT = sum(1 << list(HINTS).index(k) for k in ("menu", "top", "bottom", "share"))  # also name what a section is about
+_REPLIES = 1 << list(HINTS).index("replies")
 
 
 class Page:
@@ -73,9 +84,11 @@ class Page:
 
     def __init__(self, source: str, marks: bool = False) -> None:
         self.kind, self.parent, self.hints, self.label = [0], [-1], [0], [0]
-        self.chars, self.link_chars, self.stops = [0], [0], [0]
+        self.chars, self.link_chars, self.stops, self.depth = [0], [0], [0], [0]
         self.runs: list[tuple[int, str]] = []
         stack: list[tuple[str, int]] = [("body", 0)]  # open elements and the block node each belongs to
+        places: dict[str, list[int]] = {}  # where the open elements of a name are, the first one aside
+        blocks: list[int] = []  # where the open blocks are
         held: list[str] = []
         links = 0
 
@@ -95,12 +108,28 @@ class Page:
             if links:
                 self.link_chars[stack[-1][1]] += len(text)
 
-        def close(at: int) -> None:
+        def last(*names: str) -> int:
+            """Place of the innermost open element of these names, or 0."""
+            return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+        def enter(name: str, node: int) -> None:
+            places.setdefault(name, []).append(len(stack))
+            if name in _KIND:
+                blocks.append(len(stack))
+            stack.append((name, node))
+
+        def leave(at: int) -> None:
             nonlocal links
-            flush()
-            for name, _ in stack[at:]:
+            while len(stack) > at:
+                name, _ = stack.pop()
+                places[name].pop()
+                if name in _KIND:
+                    blocks.pop()
                 links -= name == "a"
-            del stack[at:]
+
+        def close(at: int) -> None:
+            flush()
+            leave(at)
 
         at, size, find = 0, len(source), source.find
         while at < size:
@@ -136,19 +165,17 @@ class Page:
             rest = source[found.end() : end]
             at = end + 1
             if closing:
-                if name == "br" or name == "p" and all(n != "p" for n, _ in stack):
+                if name == "br" or name == "p" and not places.get("p"):
                     flush()
                     continue
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        if name in _KIND:
-                            close(i)
-                        elif all(n not in _KIND for n, _ in stack[i:]):
-                            links -= sum(n == "a" for n, _ in stack[i:])
-                            del stack[i:]
-                        break
-                    if stack[i][0] in ("td", "th") and name not in ("tr", "table", "tbody", "td", "th") and name in _KIND:
-                        break
+                i = last(name)
+                if not i:
+                    continue
+                if name in _KIND:
+                    if name in ("tr", "table", "tbody", "td", "th") or last("td", "th") <= i:
+                        close(i)
+                elif not blocks or blocks[-1] < i:
+                    leave(i)
                 continue
             if name in ("br", "hr", "wbr"):
                 if name != "wbr":
@@ -167,26 +194,23 @@ class Page:
                     held.append(" ")
                 if name == "a" or not rest.endswith("/"):  # svg and math close empty elements so
                     links += name == "a"
-                    stack.append((name, stack[-1][1]))
+                    enter(name, stack[-1][1])
                 continue
             flush()
             if name not in _IN_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in ("td", "th", "button", "table"):
-                        break
+                i = last("p")
+                if i > last("td", "th", "button", "table"):
+                    close(i)
             if name in _CLOSES:
                 ended, limits = _CLOSES[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ended:
-                        close(i)
-                        break
-                    if stack[i][0] in limits:
-                        break
-            node = len(self.kind)
-            self.parent.append(stack[-1][1])
+                i = last(*ended)
+                if i > last(*limits):
+                    close(i)
+            node, above = len(self.kind), stack[-1][1]
+            if self.depth[above] >= DEEPEST:
+                above = self.parent[above]
+            self.parent.append(above)
+            self.depth.append(self.depth[above] + 1)
             self.kind.append(_KIND[name])
             self.chars.append(0)
             self.link_chars.append(0)
@@ -195,7 +219,7 @@ class Page:
             self.label.append(self.label[stack[-1][1]])
             if rest:
                 self._attributes(node, rest, marks)
-            stack.append((name, node))
+            enter(name, node)
         flush()
 
     def _attributes(self, node: int, rest: str, marks: bool) -> None:
@@ -240,14 +264,7 @@ class Forest:
         self.parent = np.where(self.root, np.arange(len(parent)), parent + base)
         self.kind, self.hints = join("kind"), join("hints")
         self.label = join("label")
-        depth = np.zeros(len(parent), np.int64)
-        at = np.flatnonzero(~self.root)
-        up = self.parent.copy()
-        moving = at
-        while moving.size:  # one step for each level
-            depth[moving] += 1
-            moving = moving[~self.root[up[moving]]]
-            up[moving] = self.parent[up[moving]]
+        depth = join("depth")
         order = np.argsort(depth, kind="stable")
         cuts = np.searchsorted(depth[order], np.arange(int(depth.max(initial=0)) + 2))
         self.levels = [order[a:b] for a, b in zip(cuts, cuts[1:])]
@@ -256,13 +273,26 @@ class Forest:
         hinted = np.zeros(len(parent), np.int64)
         semantic = np.isin(self.kind, [_KIND["article"], _KIND["main"]])
         inside = np.zeros(len(parent), bool)
+        named_text = semantic & (self.hints & _TEXT > 0)
+        self.hints[named_text] &= _TEXT | _REPLIES  # e.g. a post among featured ones
+        owned = self.hints & _PARTS == 0
+        holds = semantic & owned  # an article that no word disowns, here or below
         for level in self.levels[:0:-1]:
             np.add.at(below, self.parent[level], below[level])
             np.add.at(below_links, self.parent[level], below_links[level])
+            np.logical_or.at(holds, self.parent[level], holds[level])
+        text_below = (self.hints & _TEXT > 0) & owned & (below > 0.5 * below[np.repeat(self.base, sizes)])
+        for level in self.levels[:0:-1]:
+            np.logical_or.at(text_below, self.parent[level], text_below[level])
+        wraps = (self.root | (holds | text_below) & ~semantic) & ~owned
+        self.hints[wraps] &= _TEXT
         for level in self.levels[1:]:
             inside[level] = inside[self.parent[level]] | semantic[self.parent[level]]
-            hinted[level] = hinted[self.parent[level]] | self.hints[self.parent[level]]
         density = below_links / np.maximum(below, 1)
+        runs_on = inside & (self.kind == _KIND["section"]) & (below > 150) & (density < 0.2) & (self.hints & _REPLIES == 0)
+        self.hints[runs_on] &= ~_SOFT
+        for level in self.levels[1:]:
+            hinted[level] = hinted[self.parent[level]] | self.hints[self.parent[level]]
         n = len(parent)
         x = np.zeros((n, N_FEATURES))
         x[np.arange(n), self.kind] = 1
@@ -280,6 +310,7 @@ class Forest:
         x[:, extra + 8] = self.root
         x[:, extra + 9] = (hinted & _PARTS) > 0
         x[:, extra + 10] = semantic & ((self.hints | hinted) & _PARTS == 0)
+        x[:, extra + 11] = runs_on
         self.x = x
         # edges: 0 plain child, 1 child that names a part of a page
         self.edge = (np.isin(self.kind, [_KIND[k] for k in ("nav", "header", "footer", "aside", "form", "article", "main")]) | (self.hints > 0)).astype(int)

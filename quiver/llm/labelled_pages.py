@@ -41,6 +41,20 @@ PAGES = [
     f'<body><div class="container"><div class="row"><div class="col main-column"><div class="article-text" main><h2>Title</h2><p>{_P}</p><p>{_S}</p></div></div><div class="col side-column"><p>{_P}</p><p>{_S}</p></div></div></div></body>',
 ]
 
+# Words of parts on wrappers, on long-running sections, on the article itself, and article headers
+PAGES += [
+    f'<body class="page has-sidebar"><nav>{_LINKS}</nav><article main><h1>Title</h1><p>{_P}</p><p>{_S}</p></article><aside class="sidebar"><p>{_P}</p></aside><footer>{_S}</footer></body>',
+    f'<body><div class="layout with-sidebar"><nav>{_LINKS}</nav><article main><p>{_P}</p><p>{_P}</p></article><div class="sidebar"><p>{_P}</p></div></div><footer>{_S}</footer></body>',
+    f'<body class="comments-open"><header>Site</header><main main><h1>Title</h1><p>{_P}</p><section class="social-policy"><h2>Part</h2><p>{_P}</p><p>{_P}</p></section><section class="widget-design"><h2>Part</h2><p>{_P}</p><p>{_P}</p></section></main><footer>{_S}</footer></body>',
+    f'<body><nav>{_LINKS}</nav><article main><section class="social-history"><h2>Part</h2><p>{_P}</p><p>{_P}</p></section><section class="author-notes"><h2>Part</h2><p>{_P}</p><p>{_P}</p></section></article><footer>{_S}</footer></body>',
+    f'<body><nav>{_LINKS}</nav><article main><header><h1>Title</h1></header><p>{_P}</p><p>{_P}</p></article><footer>{_S}</footer></body>',
+    f'<body><header>{_LINKS}</header><article main><header><h1>Title words</h1><p>By a name</p></header><p>{_P}</p><p>{_S}</p><section class="comments" skip><p>{_P}</p><p>{_P}</p></section></article><footer>{_S}</footer></body>',
+    f'<body><header><h1>Site</h1>{_LINKS}</header><article main><header><h2>Title</h2></header><p>{_S}</p></article><footer>{_S}</footer></body>',
+    f'<body><nav>{_LINKS}</nav><article class="post featured-related" main><p>{_P}</p></article><footer>{_S}</footer></body>',
+    f'<body><nav>{_LINKS}</nav><article class="entry sponsored" main><h1>Title</h1><p>{_S}</p></article><footer>{_P}</footer></body>',
+    f'<body><nav>{_LINKS}</nav><article main><h1>Title</h1><p>{_P}</p><section class="reader-comments" skip><h2>Comments</h2><p>{_P}</p><p>{_P}</p><p>{_P}</p></section></article><footer>{_S}</footer></body>',
+]
+
 # Parts from which more labelled pages are put together by rule
 _ARTICLES = ["<article main>{}</article>", "<main main>{}</main>", '<div class="content" main>{}</div>', '<div id="content" main>{}</div>', '<div class="post-body" main>{}</div>',
              '<section class="story" main>{}</section>', '<div role="main" main>{}</div>', '<div class="entry" main>{}</div>', "<div main>{}</div>", '<article class="post" main>{}</article>',

@@ -129,6 +129,40 @@ def test_labelled_pages_are_learned_and_mostly_generalise():
     assert errors / total < 0.1
 
 
+_PARTS = [f"Paragraph {k} of the text runs on for a while, with clauses and a stop. And one more sentence." for k in range(4)]
+_NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>'
+
+
+@pytest.mark.parametrize("layout, title", [
+    ('<body class="page has-sidebar">{nav}<article>{text}</article>{foot}</body>', ""),
+    ('<body><div class="layout with-sidebar">{nav}<article>{text}</article></div>{foot}</body>', ""),
+    ('<body><div class="layout with-sidebar">{nav}<div class="content">{text}</div></div>{foot}</body>', ""),
+    ('<body>{nav}<article>{one}<section class="social-policy">{two}</section></article>{foot}</body>', ""),
+    ('<body>{nav}<article><header><h1>Title</h1></header>{text}</article>{foot}</body>', "Title "),
+    ('<body>{nav}<article class="post featured-related">{text}</article>{foot}</body>', ""),
+    ('<body>{nav}<article>{text}</article><div class="comments"><article class="comment"><p>Someone says so.</p></article></div>{foot}</body>', ""),
+    ('<body>{nav}<article>{text}</article><div class="footer"><div class="content"><p>Foot words.</p></div></div></body>', "")])
+def test_words_of_parts_on_wrappers_lose_no_article(layout, title):
+    ps = [f"<p>{p}</p>" for p in _PARTS]
+    page = layout.format(nav=_NAV, text="".join(ps), one="".join(ps[:2]), two="".join(ps[2:]), foot="<footer>Copyright of the site.</footer>")
+    assert H.main_texts([page], H.default_model()) == [title + " ".join(_PARTS)]
+
+
+def test_a_short_article_of_a_named_post():
+    page = f'<body>{_NAV}<article class="post featured-related"><p>{_PARTS[0]}</p></article><footer>Copyright.</footer></body>'
+    assert H.main_texts([page], H.default_model()) == [_PARTS[0]]
+
+
+@pytest.mark.parametrize("piece", ["<div><p>x</p>", "<div>", "<b><i>", "<p>", "<ul><li>", "<table><tr><td>x</b>", "</p></div>"])
+def test_nested_pages_take_linear_time(piece):
+    import time
+
+    H.default_model()
+    began = time.time()
+    H.main_texts([piece * 20_000], H.default_model())
+    assert time.time() - began < 4  # about half a second on an idle core
+
+
 def test_pages_with_nulls_repeats_and_extra_columns(spark):
     deep = "<div>" * 3000 + "<p>deep</p>"
     page = "<article><p>Some words of it. More.</p></article>"
