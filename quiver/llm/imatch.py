@@ -2,20 +2,21 @@
 
 1. One pass counts, for every word of the corpus, the documents that hold it (all documents, exact;
    each task adds up its own words first).
-2. The lexicon is the band of words whose document frequency lies between two shares of the corpus.
-   A word held by at least one document in 2,000 cannot be one of more than 2,000 x (distinct words
-   per document) words, whatever the corpus size; the size is checked all the same, and the lower
-   edge of the band rises until ``max_terms`` fit. Only then is it broadcast (8 bytes a term).
-3. A fingerprint has ``subsets`` parts. Part r hashes the sorted distinct band terms of a text that
-   fall in random lexicon subset r. Subsets are nested by a coin-flip level, and the part uses the
-   sparsest level that still holds a term of the text, so long and short texts are equally robust.
-   A text with fewer than ``min_terms`` band terms uses all its distinct words.
-4. The likeness of two fingerprints is the share of equal parts.
+2. The lexicon is the band of words whose document frequency lies between two shares of the corpus. It has at most
+   (mean distinct words of a document) / ``min_share`` words, whatever the number of documents, since every one of them
+   is in at least ``min_share`` of them; at 8 bytes each it is broadcast (on sf0.1 at most 2,000 x 269 words, 4 MB).
+3. ``RATES`` fixes lexicon subsets before any text is read: part r of a fingerprint owns the lexicon words whose
+   hash for r lies in the lowest ``RATES[r]`` of all hashes. The part is the hash of the sorted distinct band words of the
+   text inside its subset, all of them; part 0 takes the whole lexicon, as the plain method does, the others five subsets at
+   each rate from 1/4 to 1/1024. Sparse
+   subsets survive edits of long texts, dense ones tell short texts apart. A text with fewer than ``min_terms`` band words uses all
+   its distinct words.
+4. The likeness of two fingerprints is the share of equal parts among those that are not empty in both.
 
 Defined cases: a null or empty text, or one of white space only, has the fingerprint ``""``; two such
 texts have likeness 1, one of them and any other 0. Equal texts have equal fingerprints. Documents
-follow one another by (doc_id, text), null ids first; repeated rows are documents of their own.
-An empty table gives an empty result. Extra columns are ignored.
+follow one another by (doc_id, text), null ids first; repeated rows are documents of their own. Texts of any length count
+whole. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiver.llm import textops as T
-from quiver.session import materialize, ship_package
+from quiver.session import ship_package
 
-SUBSETS = 32
+RATES = (1.0, *[2.0**-k for k in range(2, 11) for _ in range(5)])
 _FLUSH = 1 << 21
 
 
@@ -70,29 +71,22 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield from out(*merged())
 
 
-def lexicon(docs: DataFrame, min_share: float = 0.0005, max_share: float = 0.1, max_terms: int = 1 << 19) -> np.ndarray:
-    """Sorted 64-bit hashes of the words in the idf band; at most ``max_terms`` of them."""
+def lexicon(docs: DataFrame, min_share: float = 0.0005, max_share: float = 0.1) -> np.ndarray:
+    """Sorted 64-bit hashes of the words in the idf band."""
     ship_package(docs.sparkSession)
     df = docs.select("text").mapInArrow(T.lean(_document_frequency), "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
     n = docs.count()
     low, high = max(2, int(np.ceil(n * min_share))), max(2, int(n * max_share))
-    band = materialize(df.where(F.col("df").between(low, high)))
-    levels = band.groupBy(F.floor(F.log2("df") * 16).cast("int").alias("level")).agg(F.min("df").alias("least"), F.count(F.lit(1)).alias("n")).collect()
-    total, edge = 0, high + 1  # levels: 16 to an octave, so at most about a thousand rows
-    for r in sorted(levels, key=lambda r: -r["level"]):
-        total += r["n"]
-        if total > max_terms:
-            break
-        edge = r["least"]
-    words = band.where(F.col("df") >= F.lit(edge)).select("word").toArrow().column(0).to_numpy()
+    words = df.where(F.col("df").between(low, high)).select("word").toArrow().column("word").to_numpy()  # bounded by min_share, see above
     return np.sort(words.view(np.uint64))
 
 
 class Fingerprinter:
     """Fingerprints of a slice of texts with a given lexicon."""
 
-    def __init__(self, lexicon: np.ndarray, subsets: int, min_terms: int) -> None:
-        self.lexicon, self.subsets, self.min_terms = lexicon, subsets, min_terms
+    def __init__(self, lexicon: np.ndarray, rates: tuple, min_terms: int) -> None:
+        self.lexicon, self.min_terms = lexicon, min_terms
+        self.limits = [(1 << 64) - 1 if r >= 1 else int(r * 2**64) for r in rates]
         self.probe = np.zeros(1 << 23, dtype=bool)
         self.probe[(lexicon & T.U64((1 << 23) - 1)).astype(np.int64)] = True
 
@@ -105,12 +99,12 @@ class Fingerprinter:
         return hit
 
     def parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x subsets) uint16 parts, and which texts hold any word."""
+        """(texts x subsets) uint16 parts, 0 for a subset without a word of the text, and which texts hold any word."""
         n = len(texts)
         w = T.word_table(texts)
-        terms, _, per_doc = T.distinct_per_doc(w.doc, w.hash, n)
+        terms, _, per_doc = T.distinct_per_doc(w.doc, w.hash, n)  # sorted within a text
         filled = per_doc > 0
-        out = np.zeros((n, self.subsets), dtype=np.uint16)
+        out = np.zeros((n, len(self.limits)), dtype=np.uint16)
         if not terms.size:
             return out, filled
         band = self.in_band(terms)
@@ -118,15 +112,17 @@ class Fingerprinter:
         few = np.bincount(doc, weights=band, minlength=n) < self.min_terms
         keep = band | few[doc]
         terms, doc = terms[keep], doc[keep]
-        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        lengths = np.diff(np.append(starts, doc.size))
         with np.errstate(over="ignore"):
-            for r in range(self.subsets):
+            for r, limit in enumerate(self.limits):
                 x = T.mix64(terms ^ T.U64((r + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-                level = x & (~x + T.U64(1))  # lowest set bit: half of the terms of a level reach the next
-                kept = level == np.repeat(np.maximum.reduceat(level, starts), lengths)
-                total = np.add.reduceat(np.where(kept, x * T.U64(0xD6E8FEB86659FD93), T.U64(0)), starts)
-                out[doc[starts], r] = (T.mix64(total) >> T.U64(48)).astype(np.uint16)
+                inside = np.flatnonzero(x <= T.U64(limit))
+                if not inside.size:
+                    continue
+                owner, x = doc[inside], terms[inside]
+                starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                place = np.arange(owner.size) - np.repeat(starts, np.diff(np.append(starts, owner.size)))
+                total = np.add.reduceat(T.mix64(x + T.mix64(place + r)), starts)  # the words in their order
+                out[owner[starts], r] = (T.mix64(total) % T.U64(65535)).astype(np.uint16) + 1
         return out, filled
 
     def hex(self, parts: np.ndarray, filled: np.ndarray) -> list[str]:
@@ -134,16 +130,17 @@ class Fingerprinter:
 
 
 def likeness(a: np.ndarray, a_filled: np.ndarray, b: np.ndarray, b_filled: np.ndarray) -> np.ndarray:
-    same = (a == b).mean(axis=1)
+    used = (a > 0) | (b > 0)
+    same = ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
     return np.where(a_filled & b_filled, same, (~a_filled & ~b_filled).astype(float))
 
 
-def fingerprints(docs: DataFrame, terms: np.ndarray, subsets: int = SUBSETS, min_terms: int = 8) -> DataFrame:
+def fingerprints(docs: DataFrame, terms: np.ndarray, rates: tuple = RATES, min_terms: int = 8) -> DataFrame:
     """``docs`` (doc_id, text) with their fingerprint: (doc_id, fingerprint)."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        f = Fingerprinter(shared.value, subsets, min_terms)
+        f = Fingerprinter(shared.value, rates, min_terms)
         for batch in batches:
             for a, b in T.slices(batch.column(1)):
                 parts, filled = f.parts(batch.column(1).slice(a, b - a))
@@ -188,7 +185,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def robustness(docs: DataFrame, terms: np.ndarray, subsets: int = SUBSETS, min_terms: int = 8) -> DataFrame:
+def robustness(docs: DataFrame, terms: np.ndarray, rates: tuple = RATES, min_terms: int = 8) -> DataFrame:
     """Fingerprint of every document and of its edited text, and the likeness to it and to the next document."""
     rows, _ = with_successor(docs)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -210,7 +207,7 @@ def robustness(docs: DataFrame, terms: np.ndarray, subsets: int = SUBSETS, min_t
         ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     def run(batches):
-        f = Fingerprinter(shared.value, subsets, min_terms)
+        f = Fingerprinter(shared.value, rates, min_terms)
         ids, texts, size, done = [], [], 0, False
         for batch in batches:
             if done:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from edge_fixtures import edge_docs, empty_docs  # noqa: F401
+from edge_fixtures import edge_docs, empty_docs, sentence  # noqa: F401
 from quiver.llm import graph, imatch, ngram_join as N, textops as T
 from quiver.llm.registry import QUERIES
 
@@ -173,11 +173,44 @@ def test_fingerprints_of_edge_cases(spark, edge_docs):
     assert by[""] == {""} and len({next(iter(v)) for t, v in by.items() if t.split()}) >= 6
 
 
+def auc(near, far):
+    """Share of pairs in which the edited text is more alike than the next document; ties count half."""
+    near, far = np.sort(near), np.sort(far)
+    return float((np.searchsorted(far, near, "left") + np.searchsorted(far, near, "right")).sum() / (2 * len(near) * len(far)))
+
+
 def test_fingerprints_tell_edits_from_strangers(spark):
     rows = QUERIES["op10_imatch"](spark, SF001).toPandas()
     assert len(rows) == spark.read.parquet(f"{SF001}/documents.parquet").count()
     long = rows[rows.n_chars > 300]
-    assert long.near_edited.mean() > 0.35 and long.near_next.mean() < 0.1
+    assert auc(long.near_edited.to_numpy(), long.near_next.to_numpy()) > 0.95 and auc(rows.near_edited.to_numpy(), rows.near_next.to_numpy()) > 0.9
+    assert long.near_next.mean() < 0.1
+
+
+def test_parts_follow_the_definition(spark, edge_docs):
+    """Every part by a plain loop: the lexicon words of the text inside a subset that is fixed by the words' hashes alone."""
+    terms = imatch.lexicon(edge_docs, min_share=0.0, max_share=1.0)
+    texts = ["alpha beta gamma", "one", None, " ", sentence(8, 60), sentence(10, 80) + " " + sentence(8, 20), "b a b a"]
+    got, filled = imatch.Fingerprinter(terms, imatch.RATES, 8).parts(pa.array(texts))
+    known, one = set(terms.tolist()), lambda v: int(T.mix64(np.array([v % 2**64], np.uint64))[0])
+    for text, row, full in zip(texts, got, filled):
+        words = sorted(set(T.word_table(pa.array([text])).hash.tolist()))
+        band = [w for w in words if w in known]
+        used = band if len(band) >= 8 else words
+        assert full == bool(words)
+        for r, rate in enumerate(imatch.RATES):
+            inside = [w for w in used if rate >= 1 or one(w ^ ((r + 1) * 0x9E3779B97F4A7C15 % 2**64)) <= int(rate * 2**64)]
+            want = one(sum(one(w + one(k + r)) for k, w in enumerate(inside))) % 65535 + 1 if inside else 0
+            assert row[r] == want
+    again = imatch.likeness(got, filled, got, filled)
+    assert (again == 1).all()
+
+
+def test_likeness_is_the_share_of_equal_parts():
+    a, b = np.array([[1, 2, 0, 4]], np.uint16), np.array([[1, 3, 0, 0]], np.uint16)
+    yes, no = np.array([True]), np.array([False])
+    assert imatch.likeness(a, yes, b, yes).tolist() == [1 / 3]
+    assert imatch.likeness(a, yes, b, no).tolist() == [0.0] and imatch.likeness(a, no, b, no).tolist() == [1.0]
 
 
 def test_fingerprints_do_not_depend_on_partitions(spark, edge_docs):
@@ -191,5 +224,7 @@ def test_fingerprints_of_nothing(empty_docs):
     assert imatch.robustness(empty_docs, imatch.lexicon(empty_docs)).collect() == []
 
 
-def test_lexicon_size_is_bounded(edge_docs):
-    assert len(imatch.lexicon(edge_docs, min_share=0.0, max_share=1.0, max_terms=20)) <= 20
+def test_lexicon_is_the_band(spark):
+    docs = spark.createDataFrame([(i, f"all {'some' if i % 4 == 0 else ''} w{i} pair{i // 2}") for i in range(40)], "doc_id long, text string")
+    found = imatch.lexicon(docs, min_share=0.05, max_share=0.5)
+    assert np.array_equal(found, np.sort(T.word_table(pa.array(["some " + " ".join(f"pair{k}" for k in range(20))])).hash))
