@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiver.llm import textops as T
 from quiver.llm.graph import components, local_components
+from quiver.llm.phrases import bitmaps
 from quiver.session import materialize, ship_package
 
 LOW_BITS = 40
@@ -420,10 +421,25 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
 
     Of repeated rows one stays; rows with a null doc_id are kept, as nothing names them.
     """
-    found = jaccard_components(docs, size, num, den)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    named = docs.join(stay, docs["doc_id"].cast("long") == stay["_stay"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    spark = docs.sparkSession
+    found = materialize(jaccard_components(docs, size, num, den))
+    stay = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count(F.lit(1)).alias("_rows")))
+    # texts move only for ids that go or have several rows, and the few others that share a bit with these
+    doubtful = found.where("doc_id <> component_id").select("doc_id").unionByName(stay.where("_rows > 1").select(F.col("_stay").alias("doc_id")))
+    shared = spark.sparkContext.broadcast(bitmaps(doubtful.select(F.xxhash64("doc_id").alias("name")).distinct(), all=F.lit(True))["all"])
+    named = docs.withColumn("_hash_of_id", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))))
+
+    def picked(wanted: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                names = batch.column(batch.num_columns - 1)
+                hit = shared.value.has(names.fill_null(0).to_numpy().view(np.uint64)) & names.is_valid().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(hit == wanted))
+
+        return named.mapInArrow(T.lean(run), docs.schema)
+
+    checked = picked(True).join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return picked(False).unionByName(checked)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
