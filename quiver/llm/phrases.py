@@ -44,7 +44,8 @@ THRESHOLD = 100
 SHARDS = 4
 BITS = 28
 RANGE_BYTES = 16 << 20
-_HELD = 1 << 21  # entries that a task sorts at once
+_HELD = 1 << 20  # entries that a task sorts at once
+_SLICE = 1 << 19  # bytes of texts that a task splits at once
 _POWERS = 1 << 12
 _C = np.uint64(0x9FB21C651E98DF25)
 
@@ -161,7 +162,7 @@ def _batches(batches, seed: int):
     """(words, language hashes, languages) of slices of whole texts."""
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        for a, b in T.slices(batch.column(1)):
+        for a, b in T.slices(batch.column(1), _SLICE):
             own = langs[a:b].tolist()
             texts = batch.column(1).slice(a, b - a)
             yield texts, words_of(texts, seed), lang_hash(own, seed), own

@@ -53,6 +53,7 @@ def _give_back() -> None:
     """Return freed memory to the system; the C library would keep it in the worker, which outlives its tasks."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library
