@@ -1,8 +1,8 @@
 """Token ids of whole texts inside Spark tasks, with a public byte-level BPE vocabulary.
 
 The vocabulary file is a parameter: ``*.json`` gives the ids of tokenizers, ``*.tiktoken`` those of
-tiktoken. Each distinct chunk of text is encoded once per worker and a bounded memo keeps the ids. Where a
-json vocabulary is plain byte-level BPE with ids in merge order, tiktoken does the merges of the chunks,
+tiktoken, which encodes whole texts faster than chunks can be looked up. For ``*.json`` each distinct chunk of
+text is encoded once per worker and a bounded memo keeps the ids. Where a json vocabulary is plain byte-level BPE with ids in merge order, tiktoken does the merges of the chunks,
 as it takes a third of the time for the same ids (tested), and tokenizers only what can't be cut. Byte-level
 BPE never merges across the boundary before a space or newline, so a text may be cut there and the ids
 joined. Texts where that does not hold (three white-space characters in a row, two at the end, or the
@@ -42,7 +42,7 @@ def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merging(ranks: dict[bytes, int]):
-    """Encoder of chunks; with ``joined`` the chunks all begin with a space or newline and end with neither, so
+    """Encoders of chunks and of whole texts; with ``joined`` the chunks all begin with a space or newline and end with neither, so
     that they are encoded as one text and told apart by their bytes."""
     import tiktoken
 
@@ -61,7 +61,11 @@ def _merging(ranks: dict[bytes, int]):
                 return ids, np.diff(at + 1, prepend=0)
         return _flat([library.encode_ordinary(c) for c in chunks])
 
-    return encode
+    def whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [library.encode_to_numpy(t, disallowed_special=()) for t in texts]
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([p.size for p in parts], np.int64)
+
+    return encode, whole
 
 
 def _rank_file(path: str) -> dict[bytes, int]:
@@ -102,7 +106,9 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.path, self._library = path, None
         ranks, self.special = (_rank_file(path), []) if path.endswith(".tiktoken") else _json_ranks(path)
-        self._batch = _merging(ranks) if ranks else self._by_library
+        self._batch, self._whole = _merging(ranks) if ranks else (self._by_library, None)
+        if not path.endswith(".tiktoken"):
+            self._whole = None  # the library decides on special tokens and odd white space
         self.place: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(MEMO_ENTRIES + 1, np.int64)
@@ -140,9 +146,11 @@ class Encoder:
         return _flat([e.ids for e in self._library.encode_batch(texts, add_special_tokens=False)])
 
     def _direct(self, text: str) -> np.ndarray:
-        return (self._batch if self.path.endswith(".tiktoken") else self._by_library)([text])[0]
+        return self._by_library([text])[0]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self._whole:
+            return self._whole(texts)
         chunks, per_text, whole = [], np.zeros(len(texts), np.int64), {}
         for i, text in enumerate(texts):
             if _UNSAFE.search(text) or any(s in text for s in self.special):

@@ -44,6 +44,15 @@ def test_ids_equal_the_library(library, path):
         assert part.tolist() == plain_ids(library, t)
 
 
+def test_ranked_vocabulary_keeps_no_memo(library):
+    encoder = K.Encoder(S.default_vocabulary())
+    for texts in ([], [""], ["some words and some more", "", "words\n\n\tagain 12"] * 3):
+        ids, sizes = encoder.ids(texts)
+        assert len(sizes) == len(texts) and sizes.sum() == len(ids) and ids.dtype == np.uint32
+        assert ids.tolist() == [i for t in texts for i in plain_ids(library, t)]
+    assert not encoder.place and not encoder.used and not encoder.bytes
+
+
 def test_memo_may_overflow(library, monkeypatch):
     monkeypatch.setattr(K, "MEMO_ENTRIES", 40)
     encoder = K.Encoder(VOCABULARY)
