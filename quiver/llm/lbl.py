@@ -42,6 +42,7 @@ from quiver.session import materialize, ship_package
 END = np.array([0x5EED0E9D0FE4D001], dtype=T.U64)
 ENDINGS = 64
 _FLUSH = 1 << 21
+KNOWN_PAIRS = 1 << 21  # of contexts whose normalisers a worker keeps, 8 bytes each
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,6 +180,7 @@ class Model:
     def __init__(self, r, t, c1, c2, b, tk, bk, tw, bw) -> None:
         self.r, self.t, self.c1, self.c2, self.b = r, t, c1, c2, b
         self.tk, self.bk, self.tw, self.bw = tk, bk, tw, bw
+        self.known: dict[int, np.ndarray] = {}
 
     @classmethod
     def start(cls, shared: Shared, dims: int, seed: int) -> "Model":
@@ -205,16 +207,45 @@ class Model:
         return self.r[w1] * self.c1 + self.r[w2] * self.c2
 
     def log_normalisers(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        return log_sums(self.context(w1, w2), self.t, self.b)
+        return log_sums(joined(self.context(w1, w2), 1), joined(self.t, self.b))
 
+    def known_sums(self, pairs: np.ndarray, context: np.ndarray, targets: np.ndarray, level: int) -> np.ndarray:
+        """``log_sums`` of distinct contexts, by ``pairs``; those met before by this worker are looked up, in a table of
+        all pairs (none if there are more than ``KNOWN_PAIRS``)."""
+        room = len(self.r) ** 2
+        if room > KNOWN_PAIRS:
+            return log_sums(context, targets)
+        if level not in self.known:
+            self.known[level] = np.full(room, np.nan)
+        found = self.known[level][pairs]
+        new = np.flatnonzero(np.isnan(found))
+        if new.size:
+            found[new] = self.known[level][pairs[new]] = log_sums(context[new], targets)
+        return found
 
-def log_sums(q: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """log of the sum of exp(q . t + b) for every row of ``q``, in pieces that fit the processor's cache."""
+
+def joined(x: np.ndarray, last) -> np.ndarray:
+    """Vectors with one more column: the biases of targets, or 1 for contexts."""
+    return np.column_stack((x, np.broadcast_to(np.float32(last), len(x))))
+
+
+def longest(x: np.ndarray) -> float:
+    return math.sqrt(float(np.einsum("ij,ij->i", x, x).max())) if len(x) else 0.0
+
+
+def log_sums(q: np.ndarray, t: np.ndarray, reach: float | None = None) -> np.ndarray:
+    """log of the sum of exp(q . t) for every row of ``q`` over all rows of ``t``, in pieces that fit the processor's
+    cache. ``reach``: what no score exceeds, in absolute value; the largest score is only looked for if that is much."""
     out = np.empty(len(q))
-    step = max(16, (1 << 18) // max(len(b), 1))
+    reach = longest(q) * longest(t) if reach is None else reach
+    step = max(16, (1 << 16) // max(len(t), 1))
+    one = np.ones(len(t), np.float32)
     for a in range(0, len(q), step):
         s = q[a : a + step] @ t.T
-        s += b
+        if reach < 80 and len(t) < 2048:  # neither exp nor its sum can leave the range of 32 bits
+            np.exp(s, out=s)
+            out[a : a + step] = np.log(s @ one)
+            continue
         high = s.max(axis=1)
         s -= high[:, None]
         np.exp(s, out=s)
@@ -236,62 +267,99 @@ def contexts(ids: np.ndarray, ending: np.ndarray, per_doc: np.ndarray, shared: "
 
 
 def nce_epoch(model: Model, adagrad: list[np.ndarray], shared: Shared, w1, w2, w, weight, rng, noise: int, rate: float, batch: int) -> None:
-    """One pass over weighted triples in random order. All targets of a batch share a level's noise words."""
+    """One pass over weighted triples in random order. All targets of a batch share a level's noise words.
+
+    A batch is sorted by target, so that a level's rows and a target's rows lie together; equal noise words are one
+    column with their number. A bias is the last column of its vectors, which meet contexts that end with 1."""
     order = rng.permutation(len(w))
-    draws = []
-    for counts in (shared.vocab_counts, shared.class_counts, shared.tail_counts):
+    params, dims = model.arrays(), model.r.shape[1]
+    levels = []
+    for counts, kt, kb in ((shared.vocab_counts, 1, 4), (shared.class_counts, 5, 6), (shared.tail_counts, 7, 8)):
         p = counts / max(counts.sum(), 1e-9)
         cumulative = np.cumsum(p)
         cumulative[-1:] = 1.0
-        draws.append((cumulative, np.log(noise * p).astype(np.float32)))
-    params = model.arrays()
-
-    def step(k, i, grad):
-        adagrad[k][i] += grad * grad
-        params[k][i] += rate * grad / np.sqrt(adagrad[k][i])
+        levels.append((cumulative, np.log(noise * p).astype(np.float32), *(np.column_stack((x[kt], x[kb])) for x in (params, adagrad))))
+    places = np.uint16 if shared.start < 1 << 16 else np.int64  # short ones sort faster
+    wide = lambda x, last: np.column_stack((x, np.full(len(x), last, np.float32)))
+    r, weights_of = wide(model.r, 1), wide(np.stack((model.c1, model.c2)), 0)
+    weights_of[0, -1] = 1  # contexts end with 1 + 0
+    r_squares, w_squares = wide(adagrad[0], 1), wide(np.stack((adagrad[2], adagrad[3])), 1)
+
+    def step(values, squares, i, grad):
+        own = squares.take(i, axis=0)
+        own += grad * grad
+        squares[i] = own
+        np.sqrt(own, out=own)
+        grad *= rate
+        grad /= own
+        grad += values.take(i, axis=0)
+        values[i] = grad
 
     # add up gradients by vocabulary row with sorted segments
+    def runs(index):
+        first = np.empty(len(index), bool)
+        first[0] = True
+        np.not_equal(index[1:], index[:-1], out=first[1:])
+        return first.nonzero()[0]
+
     def rows(index, grad):
         o = np.argsort(index, kind="stable")
-        index = index[o]
-        new = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-        return index[new], np.add.reduceat(grad[o], new, axis=0)
+        index = index.take(o)
+        new = runs(index)
+        return index[new], np.add.reduceat(grad.take(o, axis=0), new, axis=0)
 
     for a in range(0, len(order), batch):
         at = order[a : a + batch]
+        at = at[np.argsort(w[at], kind="stable")]
         c1, c2, weights = w1[at], w2[at], weight[at].astype(np.float32)
         scale = 1.0 / weights.sum()
-        r1, r2 = model.r[c1], model.r[c2]
-        q_all = r1 * model.c1 + r2 * model.c2
+        r1, r2 = r.take(c1, axis=0), r.take(c2, axis=0)
+        q_all = r1 * weights_of[0]
+        q_all += r2 * weights_of[1]
         gq_all = np.zeros_like(q_all)
-        for (some, target), (cumulative, log_noise), (kt, kb) in zip(shared.levels(w[at]), draws, ((1, 4), (5, 6), (7, 8))):
+        for (some, target), (cumulative, log_noise, values, squares) in zip(shared.levels(w[at]), levels):
             if not target.size:
                 continue
-            t, b, q, g = params[kt], params[kb], q_all[some], weights[some]
-            drawn = np.searchsorted(cumulative, rng.random(noise))
-            tt, td = t[target], t[drawn]
+            if isinstance(some, np.ndarray):  # the rows of a level lie together
+                some = slice(some[0], some[-1] + 1)
+            q, g = q_all[some], weights[some]
+            drawn = np.searchsorted(cumulative, np.sort(rng.random(noise)))
+            new = runs(drawn)
+            times, drawn = np.diff(np.append(new, noise)).astype(np.float32)[:, None], drawn[new]
+            tt, td = values.take(target, axis=0), values.take(drawn, axis=0)
             # log(k p_n) enters as the log-odds of noise; the model's own scores are taken as log-probabilities
-            s = np.einsum("ij,ij->i", q, tt) + b[target] - log_noise[target]
-            n = q @ td.T
-            n += b[drawn] - log_noise[drawn]
+            s = np.einsum("ij,ij->i", q, tt) - log_noise.take(target)
+            td[:, -1] -= log_noise.take(drawn)
             with np.errstate(over="ignore"):  # the gradient is then 0
                 gs = g / (1 + np.exp(s))  # gradient of log sigmoid(s)
-                gn = np.exp(np.negative(n, out=n), out=n)
+                gn = q @ (-td).T
+                np.exp(gn, out=gn)
             gn += 1
             np.divide(-g[:, None], gn, out=gn)
-            gq_all[some] += gs[:, None] * tt + gn @ td
-            grad = np.empty((len(target) + noise, q.shape[1] + 1), np.float32)
-            grad[: len(target), :-1], grad[: len(target), -1] = gs[:, None] * q, gs
-            grad[len(target) :, :-1], grad[len(target) :, -1] = gn.T @ q, gn.sum(axis=0)
-            i, grad = rows(np.concatenate((target, drawn)), grad)
+            tt *= gs[:, None]
+            tt += gn @ (td * times)
+            gq_all[some] += tt
+            new = runs(target)
+            own, grad, noisy = target[new], np.add.reduceat(q * gs[:, None], new, axis=0), (gn.T @ q) * times
+            o = np.argsort(own, kind="stable")  # the head's entry for all other words comes last
+            to = o[np.minimum(np.searchsorted(own, drawn, sorter=o), len(own) - 1)]
+            both = own[to] == drawn  # targets that were drawn as noise too
+            grad[to[both]] += noisy[both]
+            grad = np.concatenate((grad, noisy[~both]))
             grad *= scale
-            step(kt, i, grad[:, :-1])
-            step(kb, i, grad[:, -1])
-        ri, rg = rows(np.concatenate((c1, c2)), np.concatenate((gq_all * model.c1, gq_all * model.c2)))
-        gc1, gc2 = (gq_all * r1).sum(axis=0), (gq_all * r2).sum(axis=0)
-        step(0, ri, rg * scale)
-        step(2, slice(None), gc1 * scale)
-        step(3, slice(None), gc2 * scale)
+            step(values, squares, np.concatenate((own, drawn[~both])), grad)
+        gq_all[:, -1] = 0
+        gq_all *= scale
+        index, grad = np.concatenate((c1, c2)).astype(places), np.empty((2 * len(at), dims + 1), np.float32)
+        np.multiply(gq_all, weights_of[0], out=grad[: len(at)])
+        np.multiply(gq_all, weights_of[1], out=grad[len(at) :])
+        step(r, r_squares, *rows(index, grad))
+        step(weights_of, w_squares, [0, 1], np.stack((np.einsum("ij,ij->j", r1, gq_all), np.einsum("ij,ij->j", r2, gq_all))))
+    model.r[:], model.c1[:], model.c2[:] = r[:, :-1], weights_of[0, :-1], weights_of[1, :-1]
+    adagrad[0][:], adagrad[2][:], adagrad[3][:] = r_squares[:, :-1], w_squares[0, :-1], w_squares[1, :-1]
+    for (kt, kb), (*_, values, squares) in zip(((1, 4), (5, 6), (7, 8)), levels):
+        for x, joined in ((params, values), (adagrad, squares)):
+            x[kt][:], x[kb][:] = joined[:, :-1], joined[:, -1]
 
 
 def train(docs: DataFrame, shared, dims: int = 24, noise: int = 128, rate: float = 0.1, batch: int = 512, seed: int = 11) -> Model:
@@ -357,29 +425,30 @@ def log_probabilities(s: Shared, m: Model, w1: np.ndarray, w2: np.ndarray, targe
     """log P(target | w1, w2): of the word in the head or tail, else of the class of endings."""
     base = s.start + 1
     pairs, at = np.unique(w1 * base + w2, return_inverse=True)
-    context = m.context(pairs // base, pairs % base)
+    context = joined(m.context(pairs // base, pairs % base), 1)
+    heads, kinds, tails = joined(m.t, m.b), joined(m.tk, m.bk), joined(m.tw, m.bw)
     out = np.zeros(len(target))
     (_, head), (other, classes), (tail, words) = s.levels(target)
 
-    def add(rows, entries, t, b):
-        for a in range(0, len(rows), 1 << 16):
-            k = rows[a : a + (1 << 16)]
-            e = entries[a : a + (1 << 16)]
-            out[k] += np.einsum("ij,ij->i", context[at[k]], t[e]) + b[e]
+    def add(rows, entries, t):
+        for a in range(0, len(rows), 1 << 13):
+            k = rows[a : a + (1 << 13)]
+            out[k] += np.einsum("ij,ij->i", context.take(at[k], axis=0), t.take(entries[a : a + (1 << 13)], axis=0))
 
-    add(np.arange(len(target)), head, m.t, m.b)
-    out -= log_sums(context, m.t, m.b)[at]
-    add(other, classes, m.tk, m.bk)
+    add(np.arange(len(target)), head, heads)
+    out -= m.known_sums(pairs, context, heads, 0)[at]
+    add(other, classes, kinds)
     some, place = np.unique(at[other], return_inverse=True)
-    out[other] -= log_sums(context[some], m.tk, m.bk)[place]
-    add(tail, words, m.tw, m.bw)
-    kinds = words // s.per_class
-    order = np.argsort(kinds, kind="stable")
-    cuts = np.searchsorted(kinds[order], np.arange(s.tail_classes + 1))
+    out[other] -= m.known_sums(pairs[some], context[some], kinds, 1)[place]
+    add(tail, words, tails)
+    own = words // s.per_class
+    order = np.argsort(own.astype(np.uint16) if s.tail_classes < 1 << 16 else own, kind="stable")
+    rows = tail[order]
+    cuts = np.searchsorted(own[order], np.arange(s.tail_classes + 1))
+    reach = longest(context) * longest(tails)
     for kind in np.flatnonzero(np.diff(cuts)):
-        rows = tail[order[cuts[kind] : cuts[kind + 1]]]
-        k = slice(kind * s.per_class, (kind + 1) * s.per_class)
-        out[rows] -= log_sums(context[at[rows]], m.tw[k], m.bw[k])
+        k = rows[cuts[kind] : cuts[kind + 1]]
+        out[k] -= log_sums(context.take(at[k], axis=0), tails[kind * s.per_class : (kind + 1) * s.per_class], reach)
     return out
 
 

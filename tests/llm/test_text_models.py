@@ -275,6 +275,69 @@ def test_base_scores_equal_the_definition(spark, edge_docs, heavy, vocab):
     assert all(math.isfinite(r["score"]) for r in rows)
 
 
+def test_normalisers_of_a_context_are_computed_once_a_worker(monkeypatch):
+    rng = np.random.default_rng(4)
+    heavy = rng.integers(0, 1 << 62, 30).astype(np.uint64)
+    shared = lbl.Shared(heavy, rng.integers(1, 50, 30), 2000, 80, 12)
+    w1, w2, target = (rng.integers(0, n, 200) for n in (shared.start + 1, shared.start + 1, shared.targets))
+    sizes, plain = [], lbl.log_sums
+    monkeypatch.setattr(lbl, "log_sums", lambda q, t, *more: sizes.append((len(q), len(t))) or plain(q, t, *more))
+    model = lbl.Model.start(shared, 5, 1)
+    first = lbl.log_probabilities(shared, model, w1, w2, target)
+    assert len(sizes) > 2
+    before = len(sizes)
+    again = lbl.log_probabilities(shared, model, w1, w2, target)
+    assert (again == first).all()
+    assert all(t <= shared.per_class for _, t in sizes[before:])  # neither the head's nor the classes' sums
+    monkeypatch.setattr(lbl, "KNOWN_PAIRS", 0)
+    assert np.allclose(lbl.log_probabilities(shared, lbl.Model.start(shared, 5, 1), w1, w2, target), first, atol=1e-5)
+
+
+def test_sums_of_extreme_scores_stay_finite():
+    q, t = np.array([[30.0, 1], [-30, 1], [0, 1]], np.float32), np.array([[10.0, -3], [0, 2], [-10, -300]], np.float32)
+    exact = [math.log(sum(math.exp(a - max(r)) for a in r)) + max(r) for r in (q.astype(float) @ t.astype(float).T).tolist()]
+    assert np.allclose(lbl.log_sums(q, t), exact, rtol=1e-6)
+
+
+def test_an_epoch_equals_plain_steps():
+    """One batch: gradients of all levels by plain loops over rows and noise words, then AdaGrad."""
+    rng = np.random.default_rng(6)
+    heavy = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+    shared = lbl.Shared(heavy, rng.integers(1, 50, 40), 2000, 120, 8)
+    n, noise, rate, dims = 60, 16, 0.1, 4
+    w1, w2, w = (rng.integers(0, k, n) for k in (shared.start + 1, shared.start + 1, shared.targets - 1))
+    w += w >= 0
+    weight = rng.integers(1, 5, n)
+    model, plain = lbl.Model.start(shared, dims, 3), lbl.Model.start(shared, dims, 3)
+    squares = [np.full(a.shape, 1e-6, np.float32) for a in model.arrays()]
+    lbl.nce_epoch(model, squares, shared, w1, w2, w, weight, np.random.default_rng(9), noise, rate, n)
+    draw = np.random.default_rng(9)
+    draw.permutation(n)
+    grads = [np.zeros(a.shape) for a in plain.arrays()]
+    q, gq = plain.context(w1, w2).astype(float), np.zeros((n, dims))
+    for (some, target), counts, kt, kb in zip(shared.levels(w), (shared.vocab_counts, shared.class_counts, shared.tail_counts), (1, 5, 7), (4, 6, 8)):
+        p = counts / counts.sum()
+        cumulative = np.cumsum(p)
+        cumulative[-1] = 1.0
+        drawn = np.searchsorted(cumulative, draw.random(noise))
+        t, b = plain.arrays()[kt].astype(float), plain.arrays()[kb].astype(float)
+        for i, j in zip(np.arange(n)[some], target):
+            for word, real in [(j, True), *((d, False) for d in drawn)]:
+                share = 1 / (1 + math.exp(-(q[i] @ t[word] + b[word] - math.log(noise * p[word]))))
+                g = weight[i] * (1 - share if real else -share)
+                grads[kt][word] += g * q[i]
+                grads[kb][word] += g
+                gq[i] += g * t[word]
+    for i in range(n):
+        grads[0][w1[i]] += gq[i] * plain.c1
+        grads[0][w2[i]] += gq[i] * plain.c2
+        grads[2] += gq[i] * plain.r[w1[i]]
+        grads[3] += gq[i] * plain.r[w2[i]]
+    for got, start, g in zip(model.arrays(), plain.arrays(), grads):
+        g /= weight.sum()
+        assert np.allclose(got, start + rate * g / np.sqrt(1e-6 + g * g), atol=1e-3)
+
+
 def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(2)
     heavy = rng.integers(0, 1 << 62, 30).astype(np.uint64)
