@@ -51,7 +51,8 @@ from quiver.session import materialize, ship_package
 
 LOW_BITS = 40
 LOW_MASK = T.U64((1 << LOW_BITS) - 1)
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
+SLICE_BYTES = 1 << 18  # of text cut into shingles at once
 CHUNK_DOCS = 60_000
 BLOCK_DOCS = 384
 
@@ -81,16 +82,24 @@ def _send(ranges: int, size: int):
 
     def flush(chunk: int, ids, null, tokens, sizes):
         token = np.concatenate(tokens) if tokens else np.zeros(0, T.U64)
+        tokens.clear()
         n = np.concatenate(sizes)
         doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
         mixed = T.mix64(token)
         first = T.segment_sum(mixed, n)
         with np.errstate(over="ignore"):
             second = T.segment_sum(T.mix64(mixed ^ T.U64(0x5851F42D4C957F2D)), n)
-        place = ((token >> T.U64(32)) * T.U64(ranges)) >> T.U64(32)
-        key = (place << T.U64(LOW_BITS)) | (token & LOW_MASK)
+        del mixed
+        key = token >> T.U64(32)
+        key *= T.U64(ranges)
+        key >>= T.U64(32)
+        key <<= T.U64(LOW_BITS)
+        token &= LOW_MASK
+        key |= token
+        del token
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
+        del order
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if key.size else np.zeros(0, np.int64)
         counts = np.diff(np.append(new, key.size)).astype(np.uint16)
         unique, single = key[new], counts == 1
@@ -115,11 +124,12 @@ def _send(ranges: int, size: int):
         chunk = (TaskContext.get().partitionId() << 32) + 1
         ids, null, tokens, sizes, docs, held = [], [], [], [], 0, 0
         for batch in batches:
-            for a, b in T.slices(batch.column(1)):
+            for a, b in T.slices(batch.column(1), SLICE_BYTES):
                 for c in range(a, b, CHUNK_DOCS):
                     part = batch.slice(c, min(b, c + CHUNK_DOCS) - c)
                     if docs and (held > CHUNK_TOKENS or docs + len(part) > CHUNK_DOCS):
                         yield from flush(chunk, ids, null, tokens, sizes)
+                        T.give_back()
                         chunk, ids, null, tokens, sizes, docs, held = chunk + 1, [], [], [], [], 0, 0
                     h, per_doc = T.shingle_table(T.word_table(part.column(1)), size)
                     h, _, n = T.distinct_per_doc(np.repeat(np.arange(len(part)), per_doc), h, len(part))

@@ -49,7 +49,7 @@ with np.errstate(over="ignore"):
 CACHES: list = []  # what other operators' tasks left in this worker: functions that drop it
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system; the C library would keep it in the worker, which outlives its tasks."""
     import ctypes
 
@@ -66,9 +66,9 @@ def lean(run, drop: bool = True):
     def task(batches):
         for forget in CACHES if drop else ():
             forget()
-        _give_back()
+        give_back()
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return task
 

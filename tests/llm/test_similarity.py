@@ -228,3 +228,29 @@ def test_lexicon_is_the_band(spark):
     docs = spark.createDataFrame([(i, f"all {'some' if i % 4 == 0 else ''} w{i} pair{i // 2}") for i in range(40)], "doc_id long, text string")
     found = imatch.lexicon(docs, min_share=0.05, max_share=0.5)
     assert np.array_equal(found, np.sort(T.word_table(pa.array(["some " + " ".join(f"pair{k}" for k in range(20))])).hash))
+
+
+def test_tasks_of_the_join_hold_little_memory(monkeypatch):
+    """4 MB of texts."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quiver.llm import ngram_join as J
+
+    monkeypatch.setattr(J, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    words = np.array([f"w{i}" for i in range(5000)])
+    rng = np.random.default_rng(0)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2600)), pa.array([" ".join(words[rng.integers(0, 5000, 300)]) for _ in range(2600)])], ["doc_id", "text"])
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            run()
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    assert peak(lambda: [None for _ in J._send(128, 5)(iter([batch]))]) < 50
