@@ -237,6 +237,24 @@ def _pass(rows: DataFrame, models: DataFrame, block, key: str, vec: str, mc: lis
 
 
 HOT_BYTES = 64 << 20  # of the most likely tokens' log-likelihoods in one broadcast
+SLICE_VALUES = 1 << 18  # tokens, or values of texts' sums, that a text-scoring task works on at once
+HELD_VALUES = 1 << 21  # values of partial sums that a task holds
+
+
+def _tidy(run):
+    """A task function that leaves no freed memory in its worker, which outlives it."""
+
+    def task(batches):
+        import ctypes
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return task
 
 
 def pack_naive_bayes(loglik: DataFrame, prior: DataFrame, model_cols: Sequence[str] = ("replica",)) -> DataFrame:
@@ -254,7 +272,8 @@ def _dense(packed: DataFrame, cells: list[tuple], mc: list) -> DataFrame:
     place = {c: i for i, c in enumerate(cells)}
 
     def run(batches):
-        for batch in batches:
+        step = max(1, SLICE_VALUES // len(cells))
+        for batch in (whole.slice(a, step) for whole in batches for a in range(0, len(whole), step)):
             own = batch.column(1)
             entries, owner = own.flatten(), np.repeat(np.arange(len(batch)), own.value_lengths().to_numpy())
             at = np.fromiter((place[n] for n in zip(*(entries.field(c).to_pylist() for c in (*mc, "class_id")))), np.int64, len(entries))
@@ -263,7 +282,7 @@ def _dense(packed: DataFrame, cells: list[tuple], mc: list) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * len(cells), pa.int32()), pa.array(ll.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["token", "top", "ll"])
 
-    return packed.where("token IS NOT NULL").select("token", "cells", "top").mapInArrow(run, "token string, top double, ll array<double>")
+    return packed.where("token IS NOT NULL").select("token", "cells", "top").mapInArrow(_tidy(run), "token string, top double, ll array<double>")
 
 
 def _lists(values: np.ndarray) -> pa.ListArray:
@@ -306,26 +325,32 @@ def score_naive_bayes(rows: DataFrame, packed: DataFrame, key: str, text: str =
         import pyarrow.compute as pc
 
         names, table = hot.value
-        step = max(1, 2_000_000 // len(cells))
-        for batch in batches:
-            listed = batch.column(2)
-            flat, sizes = listed.flatten(), listed.value_lengths().to_numpy().astype(np.int64)
-            at = pc.index_in(flat, value_set=names).fill_null(-1).to_numpy() if len(names) else np.full(len(flat), -1)
-            owner = np.repeat(np.arange(len(batch)), sizes)
-            known = np.flatnonzero(at >= 0)
-            s = np.zeros((len(batch), len(cells)))
-            for a in range(0, len(known), step):
-                part = known[a : a + step]
-                edges = np.flatnonzero(np.append(True, owner[part][1:] != owner[part][:-1]))
-                s[owner[part][edges]] += np.add.reduceat(table[at[part]], edges, axis=0)
-            other = np.flatnonzero(at < 0)
-            bounds = np.concatenate(([0], np.cumsum(np.bincount(owner[other], minlength=len(batch)))))
-            rest = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat.take(pa.array(other)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(s), rest], [key, "y_true", "s", "rest"])
+        step = max(1, SLICE_VALUES // len(cells))
+        for whole in batches:
+            listed = whole.column(2)
+            flat, ends = listed.flatten(), np.cumsum(listed.value_lengths().to_numpy(), dtype=np.int64)
+            found = pc.index_in(flat, value_set=names).fill_null(-1).to_numpy() if len(names) else np.full(len(flat), -1, np.int32)
+            row = 0
+            while row < len(whole):  # some texts at once: as many as have few tokens and sums, or a single one
+                low = int(ends[row - 1]) if row else 0
+                end = min(max(int(np.searchsorted(ends, low + SLICE_VALUES, side="right")), row + 1), row + step, len(whole))
+                batch, at = whole.slice(row, end - row), found[low : ends[end - 1]]
+                owner = np.repeat(np.arange(end - row), np.diff(ends[row:end], prepend=low))
+                known = np.flatnonzero(at >= 0)
+                s = np.zeros((end - row, len(cells)))
+                for a in range(0, len(known), step):
+                    part = known[a : a + step]
+                    edges = np.flatnonzero(np.append(True, owner[part][1:] != owner[part][:-1]))
+                    s[owner[part][edges]] += np.add.reduceat(table[at[part]], edges, axis=0)
+                other = np.flatnonzero(at < 0)
+                bounds = np.concatenate(([0], np.cumsum(np.bincount(owner[other], minlength=end - row))))
+                rest = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat.take(pa.array(other + low)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(s), rest], [key, "y_true", "s", "rest"])
+                row = end
 
     id_field = _field(rows.schema, key)
     partial = T.StructType([id_field, T.StructField("y_true", T.IntegerType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
-    hot_sums = said.mapInArrow(add_hot, T.StructType([*partial.fields, T.StructField("rest", T.ArrayType(T.StringType()))]))
+    hot_sums = said.mapInArrow(_tidy(add_hot), T.StructType([*partial.fields, T.StructField("rest", T.ArrayType(T.StringType()))]))
     if whole:
         total = hot_sums.drop("rest")
     else:
@@ -335,20 +360,21 @@ def score_naive_bayes(rows: DataFrame, packed: DataFrame, key: str, text: str =
 
         def add_up(batches):
             """Partial sums of a task: one vector a text, as long as they fit."""
-            held: dict = {}
+            held, total = {}, np.zeros((0, len(cells)))
             for batch in batches:
                 ll = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-                for k, v in zip(batch.column(0).to_pylist(), ll):
-                    held[k] = held[k] + v if k in held else v.copy()
-                if len(held) * len(cells) > 4_000_000:
-                    yield emit(held)
-                    held = {}
+                if len(held) + len(ll) > len(total):
+                    if held:
+                        yield emit(held, total)
+                    held, total = {}, np.zeros((max(HELD_VALUES // len(cells), len(ll)), len(cells)))
+                at = np.fromiter((held.setdefault(k, len(held)) for k in batch.column(0).to_pylist()), np.int64, len(batch))
+                np.add.at(total, at, ll)
             if held:
-                yield emit(held)
+                yield emit(held, total)
 
-        def emit(held):
+        def emit(held, total):
             kind = to_arrow_schema(partial).field(0).type
-            return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.nulls(len(held), pa.int32()), _lists(np.stack(list(held.values())))], partial.names)
+            return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.nulls(len(held), pa.int32()), _lists(total[: len(held)])], partial.names)
 
         def merge(batches):
             """Texts lie together, sorted by key: their vectors are added up."""
@@ -374,8 +400,8 @@ def score_naive_bayes(rows: DataFrame, packed: DataFrame, key: str, text: str =
 
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        both = hot_sums.drop("rest").unionByName(rare.select(key, "ll").mapInArrow(add_up, partial))
-        total = both.repartition(key).sortWithinPartitions(key).mapInArrow(merge, partial)
+        both = hot_sums.drop("rest").unionByName(rare.select(key, "ll").mapInArrow(_tidy(add_up), partial))
+        total = both.repartition(key).sortWithinPartitions(key).mapInArrow(_tidy(merge), partial)
 
     models = [c[:-1] for c in cells]
     starts = np.array([i for i, m in enumerate(models) if not i or m != models[i - 1]])
@@ -401,4 +427,4 @@ def score_naive_bayes(rows: DataFrame, packed: DataFrame, key: str, text: str =
                        batch.column(0).take(pa.array(np.repeat(np.arange(n), k))), pa.array(np.tile(classes, n)), pa.array(p.ravel())]
             yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return total.mapInArrow(run, schema)
+    return total.mapInArrow(_tidy(run), schema)

@@ -295,3 +295,22 @@ def test_scores_are_distributions(spark):
     run = CE.run(spark.read.parquet(f"{SF001}/embeddings.parquet"))
     sums = run.scores.groupBy("replica", "vec_id").agg(F.sum("prob").alias("s"), F.min("prob").alias("m")).collect()
     assert sums and all(abs(r["s"] - 1.0) < 1e-9 and r["m"] >= 0 for r in sums)
+
+
+def test_text_scoring_works_on_slices(spark, monkeypatch):
+    """Tasks get texts in one batch, and must not hold more than a slice's vectors and a few texts' sums."""
+    from quiver.operators import score as SC
+
+    rows = spark.createDataFrame([(i, " ".join(f"t{(i * j) % 37}" for j in range(i % 50))) for i in range(400)] + [(None, "t1 t2 t99"), (3, "t5")], "doc_id long, text string")
+    loglik = spark.createDataFrame([(r, c, f"t{t}", -1.0 - (t * (r + 1) + c) % 7) for r in range(3) for c in range(2) for t in range(37)], "replica int, class_id int, token string, loglik double")
+    prior = spark.createDataFrame([(r, c, -0.7) for r in range(3) for c in range(2)], "replica int, class_id int, log_prior double")
+    packed = SC.pack_naive_bayes(loglik, prior)
+
+    def probs(hot):
+        return sorted((str(r["doc_id"]), r["replica"], r["class_id"], round(r["prob"], 9)) for r in SC.score_naive_bayes(rows, packed, "doc_id", hot_bytes=hot).collect())
+
+    expected = {hot: probs(hot) for hot in (1000, 1 << 20)}
+    monkeypatch.setattr(SC, "SLICE_VALUES", 64)
+    monkeypatch.setattr(SC, "HELD_VALUES", 60)
+    assert {hot: probs(hot) for hot in expected} == expected
+    assert expected[1000][0] == expected[1 << 20][0]
