@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +43,21 @@ from quiver.session import materialize, ship_package
 END = np.array([0x5EED0E9D0FE4D001], dtype=T.U64)
 ENDINGS = 64
 _FLUSH = 1 << 21
+_FIRST_BITS = 18
+PLANNED = 32  # batches of training that are laid out at once
 KNOWN_PAIRS = 1 << 21  # of contexts whose normalisers a worker keeps, 8 bytes each
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of all texts, each text closed by the end token; tokens per text; which tokens are words."""
-    w = T.word_table(texts)
-    per_doc = w.per_doc + 1
+    parts = [T.word_table(texts.slice(a, b - a)) for a, b in T.slices(texts, T.PIECE_BYTES)]
+    per_doc = np.concatenate([w.per_doc for w in parts] or [np.zeros(0, np.int64)]) + 1
     out = np.empty(int(per_doc.sum()), T.U64)
     ends = np.cumsum(per_doc) - 1
     is_end = np.zeros(out.size, bool)
     is_end[ends] = True
     out[is_end] = END
-    out[~is_end] = w.hash
+    out[~is_end] = np.concatenate([w.hash for w in parts] or [np.zeros(0, T.U64)])
     return out, per_doc, ~is_end
 
 
@@ -63,10 +66,11 @@ def trains(ids: pa.Array) -> np.ndarray:
     return np.fromiter((i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i in ids.to_pylist()), bool, len(ids))
 
 
-def endings(texts: pa.Array, is_word: np.ndarray) -> np.ndarray:
-    """Class of the last letters of every token; 0 for the end token."""
+def endings(texts: pa.Array, is_word: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Class of the last letters of the tokens marked in ``which``; 0 for the end token and all others."""
     out = np.zeros(len(is_word), np.int8)
-    out[is_word] = T.word_ends(texts, ENDINGS)
+    which = which & is_word
+    out[which] = T.word_ends(texts, ENDINGS, which[is_word])
     return out
 
 
@@ -90,9 +94,14 @@ def _count(batches):
         for a, b in T.slices(batch.column(1)):
             texts = batch.column(1).slice(a, b - a)
             words, _, is_word = tokens(texts)
-            word, first, count = np.unique(words, return_index=True, return_counts=True)
-            held.append((word, endings(texts, is_word)[first], count.astype(np.int64)))
-            size += word.size
+            order = np.argsort(words)
+            words = words[order]
+            new = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+            first = order[new]  # any occurrence: the ending depends on the word alone
+            which = np.zeros(len(words), bool)
+            which[first] = True
+            held.append((words[new], endings(texts, is_word, which)[first], np.diff(np.append(new, len(words)))))
+            size += new.size
         if size > _FLUSH:
             held = [merged()]
             size = held[0][0].size
@@ -118,6 +127,7 @@ class Shared:
                  ending: np.ndarray | None = None, rest: np.ndarray | None = None) -> None:
         order = np.argsort(heavy)
         self.heavy, self.counts = heavy[order], heavy_counts[order]
+        self.endings = np.zeros(len(heavy), np.int8) if ending is None else ending[order].astype(np.int8)
         self.total, self.distinct = total, distinct
         rank = np.lexsort((self.heavy, -self.counts))[:vocab]
         self.size = len(rank) + 1  # id 0: any other word
@@ -144,18 +154,34 @@ class Shared:
         starts = np.arange(0, self.n_tail, self.per_class)
         self.class_counts = np.concatenate((np.add.reduceat(self.tail_counts, starts) if self.n_tail else np.zeros(0), self.rest_mass))
         self.targets = self.size + self.n_tail + ENDINGS
-        self.probe = np.zeros(1 << 22, bool)
-        self.probe[(self.heavy & T.U64((1 << 22) - 1)).astype(np.int64)] = True
+        # where the hashes with the same first ``_FIRST_BITS`` bits begin
+        firsts = (self.heavy >> T.U64(64 - _FIRST_BITS)).astype(np.int64)
+        self.begin = np.searchsorted(firsts, np.arange((1 << _FIRST_BITS) + 1)).astype(np.int32)
 
     def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of every word in ``heavy`` (-1: not frequent), and its vocabulary id."""
         place = np.full(len(words), -1, np.int64)
-        at = np.flatnonzero(self.probe[(words & T.U64((1 << 22) - 1)).astype(np.int64)])
-        if at.size:
-            found = np.minimum(np.searchsorted(self.heavy, words[at]), len(self.heavy) - 1)
-            hit = self.heavy[found] == words[at]
-            place[at[hit]] = found[hit]
-        return place, np.where(place >= 0, self.ids[place] if len(self.ids) else 0, 0)
+        if not len(self.heavy):
+            return place, np.zeros(len(words), np.int64)
+        first = (words >> T.U64(64 - _FIRST_BITS)).astype(np.int64)
+        at, end = self.begin.take(first), self.begin.take(first + 1)
+        rows, left = None, np.flatnonzero(at < end)
+        while left.size:  # as often as the most hashes begin alike
+            at, end = at[left], end[left]
+            words = words[left]
+            rows = left if rows is None else rows[left]
+            hit = self.heavy.take(at) == words
+            place[rows[hit]] = at[hit]
+            at += 1
+            left = np.flatnonzero(~hit & (at < end))
+        return place, np.where(place >= 0, self.ids.take(place), 0)
+
+    def endings_of(self, texts: pa.Array, is_word: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Ending class of every token: known for frequent words, read from the text for all others."""
+        out = endings(texts, is_word, place < 0)
+        at = np.flatnonzero(place >= 0)
+        out[at] = self.endings[place[at]]
+        return out
 
     def target(self, place: np.ndarray, ids: np.ndarray, ending: np.ndarray) -> np.ndarray:
         """What is predicted: a word of the head, a word of the tail, or the ending of any other word."""
@@ -181,6 +207,7 @@ class Model:
         self.r, self.t, self.c1, self.c2, self.b = r, t, c1, c2, b
         self.tk, self.bk, self.tw, self.bw = tk, bk, tw, bw
         self.known: dict[int, np.ndarray] = {}
+        self.vectors: list[np.ndarray] = []
 
     @classmethod
     def start(cls, shared: Shared, dims: int, seed: int) -> "Model":
@@ -206,6 +233,15 @@ class Model:
     def context(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         return self.r[w1] * self.c1 + self.r[w2] * self.c2
 
+    def targets(self, shared: Shared) -> list[np.ndarray]:
+        """Target vectors of the levels, each with its bias, and the longest vector and bias of every class of the tail.
+        Put together once: not for a model in training."""
+        if not self.vectors:
+            starts = np.arange(0, shared.n_tail, shared.per_class)
+            longest = [np.maximum.reduceat(x, starts) if shared.n_tail else np.zeros(0) for x in (lengths(self.tw), np.abs(self.bw))]
+            self.vectors = [joined(self.t, self.b), joined(self.tk, self.bk), joined(self.tw, self.bw), *longest]
+        return self.vectors
+
     def log_normalisers(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         return log_sums(joined(self.context(w1, w2), 1), joined(self.t, self.b))
 
@@ -229,8 +265,12 @@ def joined(x: np.ndarray, last) -> np.ndarray:
     return np.column_stack((x, np.broadcast_to(np.float32(last), len(x))))
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+
 def longest(x: np.ndarray) -> float:
-    return math.sqrt(float(np.einsum("ij,ij->i", x, x).max())) if len(x) else 0.0
+    return float(lengths(x).max()) if len(x) else 0.0
 
 
 def log_sums(q: np.ndarray, t: np.ndarray, reach: float | None = None) -> np.ndarray:
@@ -266,23 +306,71 @@ def contexts(ids: np.ndarray, ending: np.ndarray, per_doc: np.ndarray, shared: "
     return w1, w2
 
 
+class Runs(NamedTuple):
+    """Runs of equal keys in batches: where each begins, and the runs with more than one element, which need a sum:
+    their places among the runs, their elements, and where each begins among these. All count within the batch."""
+
+    first: list[np.ndarray]
+    many: list[np.ndarray]
+    rows: list[np.ndarray]
+    begin: list[np.ndarray]
+    bounds: np.ndarray  # of the batches among all runs
+    new: np.ndarray  # the first elements of all runs
+    run: np.ndarray  # of every element, over all batches
+
+    @classmethod
+    def of(cls, keys: np.ndarray, bounds: np.ndarray) -> "Runs":
+        """``keys``: in order; no run crosses the ``bounds`` of the batches."""
+        new = np.append(True, keys[1:] != keys[:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(keys)))
+        many = np.flatnonzero(count > 1)
+        rows = np.flatnonzero(~new | np.append(~new[1:], False))
+        begin = np.cumsum(count[many]) - count[many]
+        runs, row = np.searchsorted(first, bounds), np.searchsorted(rows, bounds)
+        some = np.searchsorted(many, runs)
+        return cls(within(first, runs, bounds), within(many, some, runs), within(rows, row, bounds), within(begin, some, row), runs, first, np.cumsum(new) - 1)
+
+    def sums(self, b: int, x: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+        """Sums of the rows of ``x`` (in the given order) over every run of a batch."""
+        first, many, rows = self.first[b], self.many[b], self.rows[b]
+        if order is not None:
+            first, rows = order.take(first), order.take(rows)
+        out = x.take(first, axis=0)
+        if many.size:
+            out[many] = np.add.reduceat(x.take(rows, axis=0), self.begin[b], axis=0)
+        return out
+
+
+def within(x: np.ndarray, cuts: np.ndarray, less: np.ndarray) -> list[np.ndarray]:
+    """``x`` cut into batches, each without the start of its batch in ``less``."""
+    x = x - np.repeat(less[:-1], np.diff(cuts))
+    cuts = cuts.tolist()
+    return [x[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def nce_epoch(model: Model, adagrad: list[np.ndarray], shared: Shared, w1, w2, w, weight, rng, noise: int, rate: float, batch: int) -> None:
     """One pass over weighted triples in random order. All targets of a batch share a level's noise words.
 
-    A batch is sorted by target, so that a level's rows and a target's rows lie together; equal noise words are one
-    column with their number. A bias is the last column of its vectors, which meet contexts that end with 1."""
-    order = rng.permutation(len(w))
+    The levels' targets are rows of one table, the head's entry for all other words after its words. What does not
+    depend on the parameters (order, noise words, runs of equal rows) is found for ``PLANNED`` batches at once. A batch
+    is sorted by target (the head, the tail, endings), so that a level's rows and a target's rows lie together; equal
+    noise words are one column with their number. A bias is the last column of its vectors, which meet contexts that
+    end with 1."""
+    order, columns = rng.permutation(len(w)), np.stack((w1, w2, w, weight), axis=1)
     params, dims = model.arrays(), model.r.shape[1]
-    levels = []
-    for counts, kt, kb in ((shared.vocab_counts, 1, 4), (shared.class_counts, 5, 6), (shared.tail_counts, 7, 8)):
-        p = counts / max(counts.sum(), 1e-9)
-        cumulative = np.cumsum(p)
-        cumulative[-1:] = 1.0
-        levels.append((cumulative, np.log(noise * p).astype(np.float32), *(np.column_stack((x[kt], x[kb])) for x in (params, adagrad))))
-    places = np.uint16 if shared.start < 1 << 16 else np.int64  # short ones sort faster
-    wide = lambda x, last: np.column_stack((x, np.full(len(x), last, np.float32)))
+    wide = lambda x, last: np.column_stack((x, np.broadcast_to(np.float32(last), len(x))))
+    turned = lambda parts, by: [np.roll(parts[0], by, axis=0), *parts[1:]]
+    kinds = ((shared.vocab_counts, 1, 4), (shared.class_counts, 5, 6), (shared.tail_counts, 7, 8))
+    starts = np.cumsum([0, *(len(counts) for counts, _, _ in kinds)])
+    shares = [counts / max(counts.sum(), 1e-9) for counts, _, _ in kinds]
+    cumulative = [np.cumsum(p) for p in shares]
+    for c in cumulative:
+        c[-1:] = 1.0
+    log_noise = np.log(noise * np.concatenate(turned(shares, -1))).astype(np.float32)
+    values, squares = (np.concatenate(turned([wide(x[t], x[b]) for _, t, b in kinds], -1)) for x in (params, adagrad))
     r, weights_of = wide(model.r, 1), wide(np.stack((model.c1, model.c2)), 0)
-    weights_of[0, -1] = 1  # contexts end with 1 + 0
+    weights_of[0, dims] = 1  # contexts end with 1 + 0
     r_squares, w_squares = wide(adagrad[0], 1), wide(np.stack((adagrad[2], adagrad[3])), 1)
 
     def step(values, squares, i, grad):
@@ -295,71 +383,146 @@ def nce_epoch(model: Model, adagrad: list[np.ndarray], shared: Shared, w1, w2, w
         grad += values.take(i, axis=0)
         values[i] = grad
 
-    # add up gradients by vocabulary row with sorted segments
-    def runs(index):
-        first = np.empty(len(index), bool)
-        first[0] = True
-        np.not_equal(index[1:], index[:-1], out=first[1:])
-        return first.nonzero()[0]
-
-    def rows(index, grad):
-        o = np.argsort(index, kind="stable")
-        index = index.take(o)
-        new = runs(index)
-        return index[new], np.add.reduceat(grad.take(o, axis=0), new, axis=0)
-
-    for a in range(0, len(order), batch):
-        at = order[a : a + batch]
-        at = at[np.argsort(w[at], kind="stable")]
-        c1, c2, weights = w1[at], w2[at], weight[at].astype(np.float32)
-        scale = 1.0 / weights.sum()
-        r1, r2 = r.take(c1, axis=0), r.take(c2, axis=0)
-        q_all = r1 * weights_of[0]
-        q_all += r2 * weights_of[1]
-        gq_all = np.zeros_like(q_all)
-        for (some, target), (cumulative, log_noise, values, squares) in zip(shared.levels(w[at]), levels):
-            if not target.size:
-                continue
-            if isinstance(some, np.ndarray):  # the rows of a level lie together
-                some = slice(some[0], some[-1] + 1)
-            q, g = q_all[some], weights[some]
-            drawn = np.searchsorted(cumulative, np.sort(rng.random(noise)))
-            new = runs(drawn)
-            times, drawn = np.diff(np.append(new, noise)).astype(np.float32)[:, None], drawn[new]
-            tt, td = values.take(target, axis=0), values.take(drawn, axis=0)
+    def pieces(x, cuts):
+        cuts = cuts.tolist()
+        return [x[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    for a in range(0, len(order), batch * PLANNED):
+        triples = columns.take(order[a : a + batch * PLANNED], axis=0)
+        n, table = len(triples), len(values)
+        of = np.arange(n) // batch
+        batches = int(of[-1]) + 1
+        bounds = np.minimum(np.arange(batches + 1) * batch, n)
+        bits = n.bit_length()
+        key = (triples[:, 2] + of * shared.targets) << bits | np.arange(n)
+        key.sort()
+        c1, c2, target, weights = np.ascontiguousarray(triples.take(key & ((1 << bits) - 1), axis=0).T)
+        weights = weights.astype(np.float32)
+        scales = np.float32(1) / np.add.reduceat(weights, bounds[:-1])
+
+        # targets of all levels: batch by batch, level by level
+        found = shared.levels(target)
+        rows = np.concatenate((np.arange(n), found[1][0], found[2][0]))
+        group = of[rows] * 3 + np.repeat(np.arange(3), [len(t) for _, t in found])
+        o = np.argsort(group.astype(np.uint16), kind="stable")
+        rows, group = rows[o], group[o]
+        entry = np.concatenate([(found[0][1] - 1) % shared.size, *(t + s for (_, t), s in zip(found[1:], starts[1:]))])[o]
+        cuts = np.searchsorted(group, np.arange(3 * batches + 1))
+        sizes = np.diff(cuts).reshape(batches, 3).tolist()
+        key = group * table + entry
+        own = Runs.of(key, cuts[::3])
+        own_key, own_rows = key[own.new], entry[own.new]
+        places = within(own.run, cuts[::3], own.bounds)
+        own_weight, own_noise = pieces(weights[rows], cuts[::3]), pieces(log_noise[entry], cuts[::3])
+
+        # noise words of every level that occurs in a batch
+        groups = np.flatnonzero(np.diff(cuts))
+        u = rng.random((len(groups), noise))
+        u.sort(axis=1)
+        drawn = np.empty(u.shape, np.int64)
+        for level in range(3):
+            some = groups % 3 == level
+            drawn[some] = np.searchsorted(cumulative[level], u[some]) + starts[level]
+        drawn = (groups[:, None] * table + drawn).ravel()
+        new = np.flatnonzero(np.append(True, drawn[1:] != drawn[:-1]))
+        times, drawn = np.diff(np.append(new, drawn.size)).astype(np.float32)[:, None], drawn[new]
+        group, word = drawn // table, drawn % table
+        word = np.where(word < shared.size, (word - 1) % shared.size, word)
+        drawn = group * table + word
+        cuts = np.searchsorted(group, np.arange(3 * batches + 1))
+        widths = np.diff(cuts).reshape(batches, 3).tolist()
+        cuts = cuts[::3]
+        times, drawn_noise = pieces(times, cuts), pieces(log_noise[word], cuts)
+        place = np.minimum(np.searchsorted(own_key, drawn), len(own_key) - 1)
+        only = own_key[place] != drawn  # not targets too: these rows follow those of the targets
+        extra = np.append(0, np.cumsum(only))
+        place = np.where(only, extra[:-1] + np.repeat(own.bounds[1:] - extra[cuts[:-1]], np.diff(cuts)), place)
+        place = within(place, cuts, own.bounds)
+        touched = [np.concatenate(x) for x in zip(pieces(own_rows, own.bounds), pieces(word[only], extra[cuts]))]
+
+        # contexts: rows of the first and second word, added up
+        twice = np.concatenate((np.arange(n), np.arange(n) + np.diff(bounds)[of])) - np.tile(bounds[of], 2)
+        bits = (2 * batch).bit_length()
+        key = (np.tile(of, 2) * len(r) + np.concatenate((c1, c2))) << bits | twice
+        key.sort()
+        sorts = pieces(key & ((1 << bits) - 1), 2 * bounds)
+        key >>= bits
+        near = Runs.of(key, 2 * bounds)
+        near_rows = within(key[near.new], near.bounds, np.arange(batches + 1) * len(r))
+
+        for b in range(batches):
+            k, scale = slice(bounds[b], bounds[b + 1]), scales[b]
+            less_g = -weights[k, None]
+            r1, r2 = r.take(c1[k], axis=0), r.take(c2[k], axis=0)
+            q = r1 * weights_of[0]
+            q += r2 * weights_of[1]
+            (m0, m1, m2), (d0, d1, d2) = sizes[b], widths[b]
+            mine = values.take(touched[b], axis=0)
+            td, tt = mine.take(place[b], axis=0), mine.take(places[b], axis=0)
+            at = m0 - m1  # where the words outside the head begin
+            q_own = np.concatenate((q, q[at:], q[at : at + m2]))
             # log(k p_n) enters as the log-odds of noise; the model's own scores are taken as log-probabilities
-            s = np.einsum("ij,ij->i", q, tt) - log_noise.take(target)
-            td[:, -1] -= log_noise.take(drawn)
+            s = np.einsum("ij,ij->i", q_own, tt)
+            s -= own_noise[b]
+            less = -td
+            less[:, dims] += drawn_noise[b]
+            odds = np.empty(m0 * d0 + m1 * d1 + m2 * d2, np.float32)
+            noisy, blocks, cell = np.empty_like(td), [], 0
+            for m, some, t, d in ((m0, slice(0, m0), slice(0, m0), slice(0, d0)), (m1, slice(at, m0), slice(m0, m0 + m1), slice(d0, d0 + d1)),
+                                  (m2, slice(at, at + m2), slice(m0 + m1, m0 + m1 + m2), slice(d0 + d1, d0 + d1 + d2))):
+                if m:
+                    gn = odds[cell : cell + m * (d.stop - d.start)].reshape(m, -1)
+                    cell += gn.size
+                    np.matmul(q[some], less[d].T, out=gn)
+                    blocks.append((some, t, d, gn))
             with np.errstate(over="ignore"):  # the gradient is then 0
-                gs = g / (1 + np.exp(s))  # gradient of log sigmoid(s)
-                gn = q @ (-td).T
-                np.exp(gn, out=gn)
-            gn += 1
-            np.divide(-g[:, None], gn, out=gn)
-            tt *= gs[:, None]
-            tt += gn @ (td * times)
-            gq_all[some] += tt
-            new = runs(target)
-            own, grad, noisy = target[new], np.add.reduceat(q * gs[:, None], new, axis=0), (gn.T @ q) * times
-            o = np.argsort(own, kind="stable")  # the head's entry for all other words comes last
-            to = o[np.minimum(np.searchsorted(own, drawn, sorter=o), len(own) - 1)]
-            both = own[to] == drawn  # targets that were drawn as noise too
-            grad[to[both]] += noisy[both]
-            grad = np.concatenate((grad, noisy[~both]))
+                np.exp(s, out=s)
+                np.exp(odds, out=odds)
+            s += 1
+            gs = (own_weight[b] / s)[:, None]  # gradient of log sigmoid(s)
+            odds += 1
+            td *= times[b]
+            tt *= gs
+            for some, t, d, gn in blocks:
+                np.divide(less_g[some], gn, out=gn)
+                np.matmul(gn.T, q[some], out=noisy[d])
+                tt[t] += gn @ td[d]
+            gq = tt[:m0]
+            for some, t, *_ in blocks[1:]:
+                gq[some] += tt[t]
+            gq[:, dims] = 0
+            gq *= scale
+            q_own *= gs
+            grad = np.zeros_like(mine)
+            sums = own.sums(b, q_own)
+            grad[: len(sums)] = sums
+            noisy *= times[b]
+            grad[place[b]] += noisy
             grad *= scale
-            step(values, squares, np.concatenate((own, drawn[~both])), grad)
-        gq_all[:, -1] = 0
-        gq_all *= scale
-        index, grad = np.concatenate((c1, c2)).astype(places), np.empty((2 * len(at), dims + 1), np.float32)
-        np.multiply(gq_all, weights_of[0], out=grad[: len(at)])
-        np.multiply(gq_all, weights_of[1], out=grad[len(at) :])
-        step(r, r_squares, *rows(index, grad))
-        step(weights_of, w_squares, [0, 1], np.stack((np.einsum("ij,ij->j", r1, gq_all), np.einsum("ij,ij->j", r2, gq_all))))
-    model.r[:], model.c1[:], model.c2[:] = r[:, :-1], weights_of[0, :-1], weights_of[1, :-1]
-    adagrad[0][:], adagrad[2][:], adagrad[3][:] = r_squares[:, :-1], w_squares[0, :-1], w_squares[1, :-1]
-    for (kt, kb), (*_, values, squares) in zip(((1, 4), (5, 6), (7, 8)), levels):
-        for x, joined in ((params, values), (adagrad, squares)):
-            x[kt][:], x[kb][:] = joined[:, :-1], joined[:, -1]
+            own_squares = squares.take(touched[b], axis=0)
+            own_squares += grad * grad
+            squares[touched[b]] = own_squares
+            np.sqrt(own_squares, out=own_squares)
+            grad *= rate
+            grad /= own_squares
+            mine += grad
+            values[touched[b]] = mine
+            grad = np.empty((2 * m0, dims + 1), np.float32)
+            np.multiply(gq, weights_of[0], out=grad[:m0])
+            np.multiply(gq, weights_of[1], out=grad[m0:])
+            step(r, r_squares, near_rows[b], near.sums(b, grad, sorts[b]))
+            grad = np.empty_like(weights_of)
+            np.einsum("ij,ij->j", r1, gq, out=grad[0])
+            np.einsum("ij,ij->j", r2, gq, out=grad[1])
+            w_squares += grad * grad
+            grad *= rate
+            grad /= np.sqrt(w_squares)
+            weights_of += grad
+    model.r[:], model.c1[:], model.c2[:] = r[:, :dims], weights_of[0, :dims], weights_of[1, :dims]
+    adagrad[0][:], adagrad[2][:], adagrad[3][:] = r_squares[:, :dims], w_squares[0, :dims], w_squares[1, :dims]
+    for to, table in ((params, values), (adagrad, squares)):
+        for (_, t, b), found in zip(kinds, turned(np.split(table, starts[1:-1]), 1)):
+            to[t][:], to[b][:] = found[:, :dims], found[:, dims]
 
 
 def train(docs: DataFrame, shared, dims: int = 24, noise: int = 128, rate: float = 0.1, batch: int = 512, seed: int = 11) -> Model:
@@ -388,7 +551,7 @@ def train(docs: DataFrame, shared, dims: int = 24, noise: int = 128, rate: float
                 texts = arrow.column(1).slice(a, b - a)
                 words, per_doc, is_word = tokens(texts)
                 place, ids = s.look_up(words)
-                ending = endings(texts, is_word)
+                ending = s.endings_of(texts, is_word, place)
                 w1, w2 = contexts(ids, ending, per_doc, s)
                 keys, counts = np.unique((w1.astype(np.int64) * base + w2) * s.targets + s.target(place, ids, ending), return_counts=True)
                 held.append((keys, counts))
@@ -426,7 +589,8 @@ def log_probabilities(s: Shared, m: Model, w1: np.ndarray, w2: np.ndarray, targe
     base = s.start + 1
     pairs, at = np.unique(w1 * base + w2, return_inverse=True)
     context = joined(m.context(pairs // base, pairs % base), 1)
-    heads, kinds, tails = joined(m.t, m.b), joined(m.tk, m.bk), joined(m.tw, m.bw)
+    heads, kinds, tails, far, bias = m.targets(s)
+    size = lengths(context[:, :-1])
     out = np.zeros(len(target))
     (_, head), (other, classes), (tail, words) = s.levels(target)
 
@@ -445,10 +609,10 @@ def log_probabilities(s: Shared, m: Model, w1: np.ndarray, w2: np.ndarray, targe
     order = np.argsort(own.astype(np.uint16) if s.tail_classes < 1 << 16 else own, kind="stable")
     rows = tail[order]
     cuts = np.searchsorted(own[order], np.arange(s.tail_classes + 1))
-    reach = longest(context) * longest(tails)
     for kind in np.flatnonzero(np.diff(cuts)):
         k = rows[cuts[kind] : cuts[kind + 1]]
-        out[k] -= log_sums(context.take(at[k], axis=0), tails[kind * s.per_class : (kind + 1) * s.per_class], reach)
+        own = at[k]
+        out[k] -= log_sums(context.take(own, axis=0), tails[kind * s.per_class : (kind + 1) * s.per_class], size[own].max() * far[kind] + bias[kind])
     return out
 
 
@@ -461,7 +625,7 @@ def score_slice(s: Shared, m: Model, texts: pa.Array):
     frequent = place >= 0
     base = np.zeros(len(words))
     base[frequent] = base_log[place[frequent]]
-    ending = endings(texts, is_word)
+    ending = s.endings_of(texts, is_word, place)
     w1, w2 = contexts(ids, ending, per_doc, s)
     base_id = s.start + 1
     keys, inverse = np.unique((w1.astype(np.int64) * base_id + w2) * s.targets + s.target(place, ids, ending), return_inverse=True)

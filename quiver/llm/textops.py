@@ -18,6 +18,7 @@ U64 = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
 SLICE_BYTES = 1 << 20
 _POW_LEN = 1 << 12
+PIECE_BYTES = 1 << 17
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -44,6 +45,9 @@ def _byte_values() -> tuple[np.ndarray, np.ndarray]:
 _VALUES, _SPACE = _byte_values()
 with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.full(_POW_LEN, 0xD1342543DE82EF95, dtype=U64))
+    # for short slices: powers over the whole slice, and what takes a word's start back out of them
+    _RISING = np.cumprod(np.full(PIECE_BYTES, 0xD1342543DE82EF95, dtype=U64))
+    _FALLING = np.cumprod(np.append(U64(1), np.full(PIECE_BYTES - 1, pow(0xD1342543DE82EF95, -1, 1 << 64), dtype=U64)))
 
 
 CACHES: list = []  # what other operators' tasks left in this worker: functions that drop it
@@ -109,7 +113,7 @@ def word_table(texts: pa.Array) -> Words:
     n_docs = len(offsets) - 1
     if data.size == 0:
         return Words(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(n_docs, np.int64))
-    space = _SPACE[data]
+    space = _SPACE.take(data)
     starts = ~space
     edge = space.copy()
     edge[1:] = space[:-1]
@@ -121,10 +125,15 @@ def word_table(texts: pa.Array) -> Words:
     if at.size == 0:
         return Words(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(n_docs, np.int64))
     spans = np.diff(np.append(at, data.size))
-    position = np.arange(at[0], data.size) - np.repeat(at, spans)
+    values, place = _VALUES.take(data[at[0] :]), at - at[0]
     with np.errstate(over="ignore"):
-        values = _VALUES[data[at[0] :]] * _POWERS[position & (_POW_LEN - 1)]
-        hashes = mix64(np.add.reduceat(values, at - at[0]))
+        if values.size <= PIECE_BYTES and spans.max() <= _POW_LEN:
+            values *= _RISING[: values.size]
+            hashes = mix64(np.add.reduceat(values, place) * _FALLING.take(place))
+        else:
+            position = np.arange(at[0], data.size) - np.repeat(at, spans)
+            values *= _POWERS.take(position & (_POW_LEN - 1))
+            hashes = mix64(np.add.reduceat(values, place))
     doc = np.searchsorted(offsets, at, side="right") - 1
     return Words(hashes, doc, np.bincount(doc, minlength=n_docs))
 
@@ -163,10 +172,10 @@ _MARKS = np.zeros(256, dtype=bool)
 _MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def word_ends(texts: pa.Array, classes: int) -> np.ndarray:
-    """For every word of ``word_table``, in order, a class of the last three bytes before its closing marks."""
+def word_ends(texts: pa.Array, classes: int, which: np.ndarray | None = None) -> np.ndarray:
+    """For every word of ``word_table`` (or those marked in ``which``), in order, a class of the last three bytes before its closing marks."""
     data, offsets = utf8_parts(texts)
-    space = _SPACE[data]
+    space = _SPACE.take(data)
     first, last = ~space, ~space
     first[1:] &= space[:-1]
     last[:-1] &= space[1:]
@@ -175,6 +184,8 @@ def word_ends(texts: pa.Array, classes: int) -> np.ndarray:
     first[inner] = ~space[inner]
     last[inner - 1] = ~space[inner - 1]
     start, at = np.flatnonzero(first), np.flatnonzero(last)
+    if which is not None:
+        start, at = start[which], at[which]
     for _ in range(3):
         at = at - (_MARKS[data[at]] & (at > start))
     with np.errstate(over="ignore"):

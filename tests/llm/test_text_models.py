@@ -338,6 +338,85 @@ def test_an_epoch_equals_plain_steps():
         assert np.allclose(got, start + rate * g / np.sqrt(1e-6 + g * g), atol=1e-3)
 
 
+class CountedDraws:
+    """A generator of random numbers that counts how often it is asked."""
+
+    def __init__(self, seed):
+        self.rng, self.permutation, self.calls = np.random.default_rng(seed), np.random.default_rng(seed + 1).permutation, 0
+
+    def random(self, size):
+        self.calls += 1
+        return self.rng.random(size)
+
+
+def test_many_batches_are_laid_out_at_once(monkeypatch):
+    """The steps are the same however many batches are laid out together, with odd sizes and batches without a level."""
+    rng = np.random.default_rng(8)
+    heavy = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+    shared = lbl.Shared(heavy, rng.integers(1, 50, 40), 2000, 120, 8)
+    n, batch = 205, 10
+    w1, w2, w = (rng.integers(0, k, n) for k in (shared.start + 1, shared.start + 1, shared.targets - 1))
+    w[rng.random(n) < 0.9] = 3  # most batches lack words of the tail
+    weight, found = rng.integers(1, 5, n), []
+    for planned in (1, 4, 32):
+        monkeypatch.setattr(lbl, "PLANNED", planned)
+        for dims in (4, 5):
+            model, draws = lbl.Model.start(shared, dims, 3), CountedDraws(9)
+            squares = [np.full(a.shape, 1e-6, np.float32) for a in model.arrays()]
+            lbl.nce_epoch(model, squares, shared, w1, w2, w, weight, draws, 16, 0.1, batch)
+            assert draws.calls == -(-21 // planned)
+            found.append(np.concatenate([model.pack(), *(a.ravel() for a in squares)]))
+    assert np.isfinite(found[0]).all() and not np.allclose(found[0][: found[0].size // 2], lbl.Model.start(shared, 4, 3).pack(), atol=1e-3)
+    for one, other in zip(found, found[2:]):
+        assert np.allclose(one, other, atol=1e-6)
+
+
+def test_frequent_words_are_found_among_hashes_that_begin_alike():
+    rng = np.random.default_rng(5)
+    heavy = np.unique(np.concatenate((rng.integers(0, 1 << 64, 300, dtype=np.uint64), np.arange(40, dtype=np.uint64), np.uint64((1 << 64) - 1) - np.arange(9, dtype=np.uint64))))
+    shared = lbl.Shared(rng.permutation(heavy), np.full(heavy.size, 5), 9000, 900, 20)
+    words = rng.permutation(np.concatenate((heavy, heavy + np.uint64(1), rng.integers(0, 1 << 64, 300, dtype=np.uint64))))
+    place, ids = shared.look_up(words)
+    where = {int(h): i for i, h in enumerate(shared.heavy)}
+    assert place.tolist() == [where.get(int(x), -1) for x in words]
+    assert ids.tolist() == [shared.ids[p] if p >= 0 else 0 for p in place]
+    assert lbl.Shared(heavy[:0], np.zeros(0, int), 0, 0, 5).look_up(words)[0].max() == -1
+
+
+def test_endings_are_read_once_a_word(monkeypatch):
+    """The count reads them for distinct words, scoring for those that are not frequent; the classes are those of all words."""
+    texts = pa.array(["Running, runs \x00 ran." * 50, None, "", "  seldom words, runs  "])
+    words, _, is_word = lbl.tokens(texts)
+    every = np.zeros(len(words), np.int64)
+    every[is_word] = lbl.T.word_ends(texts, lbl.ENDINGS)
+    read, plain = [], lbl.T.word_ends
+    monkeypatch.setattr(lbl.T, "word_ends", lambda *given: read.append(plain(*given)) or read[-1])
+    rows = list(lbl._count([pa.record_batch([pa.array([2, 3, 4, 5]), texts], ["doc_id", "text"])]))
+    assert all(lbl.trains(pa.array([2, 3, 4, 5])))
+    got = {w % (1 << 64): (e, c) for r in rows for w, e, c in zip(*(r.column(i).to_pylist() for i in range(3)))}
+    assert got == {int(w): (e, (words == w).sum()) for w, e in zip(words, every)}
+    assert sum(len(r) for r in read) == len(got) - 1  # all but the end token
+    heavy = np.unique(words)[::2]
+    shared = lbl.Shared(heavy, np.full(heavy.size, 3), 500, 9, 2, np.array([got[int(w)][0] for w in heavy]))
+    place, _ = shared.look_up(words)
+    read.clear()
+    assert shared.endings_of(texts, is_word, place).tolist() == every.tolist()
+    assert sum(len(r) for r in read) == (is_word & (place < 0)).sum() < is_word.sum()
+
+
+def test_words_have_the_same_hash_in_short_and_long_slices():
+    t = lbl.T
+    long = ["x" * 4096 + "y", "x" * 9000, "ab" * t.PIECE_BYTES, " " * 5000 + "ab"]
+    texts = ["Ab cd \tef", None, "", *long, "cd", " ".join(f"w{i}" for i in range(30000))]
+    whole = t.word_table(pa.array(texts))
+    parts = [t.word_table(pa.array([x], pa.string())) for x in texts]
+    assert np.array_equal(whole.hash, np.concatenate([p.hash for p in parts]))
+    assert whole.per_doc.tolist() == [p.per_doc[0] for p in parts] == [len((x or "").split()) for x in texts]
+    assert len(set(whole.hash.tolist())) == len({w for x in texts for w in (x or "").lower().split()})
+    words, per_doc, is_word = lbl.tokens(pa.array(texts))
+    assert np.array_equal(words[is_word], whole.hash) and per_doc.tolist() == (whole.per_doc + 1).tolist()
+
+
 def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(2)
     heavy = rng.integers(0, 1 << 62, 30).astype(np.uint64)
