@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiver.llm import textops as T
-from quiver.session import ship_package
+from quiver.session import ship_package, small_batches
 
 RATE = 0.08
 BLOCK_CHARS = 4 << 20
@@ -130,6 +130,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
     """(doc_id, item_id, errors, start, end) for every document and item that it holds."""
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def finder(block):
@@ -157,6 +158,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars
     """The rows of ``docs``, all columns, whose text holds no item. Row by row, without a shuffle."""
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
 
     def filtered(rows, block):
         shared = spark.sparkContext.broadcast(block)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quiver.llm import textops as T
 from quiver.llm.graph import components, local_components
 from quiver.llm.phrases import bitmaps
-from quiver.session import materialize, ship_package
+from quiver.session import materialize, ship_package, small_batches
 
 LOW_BITS = 40
 LOW_MASK = T.U64((1 << LOW_BITS) - 1)
@@ -405,6 +405,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
     ranges = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = docs.mapInArrow(T.lean(_send(ranges, size)), _MESSAGE)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quiver.llm import textops as T, tokens as K
-from quiver.session import materialize, ship_package
+from quiver.session import materialize, ship_package, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -128,6 +128,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of every document, cut from its end so that only the first is shorter."""
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
     name = K.ship_vocabulary(spark, vocabulary)
 
     def run(batches):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiver.llm import textops as T
-from quiver.session import materialize, ship_package
+from quiver.session import materialize, ship_package, small_batches
 
 FEATURES = ["words", "word_length", "upper", "symbols", "stops", "digits", "distinct", "top_word", "repeats", "bigrams", "lines", "line_repeats", "non_ascii", "bars", "ends", "long_words"]
 THRESHOLD = 0.3
@@ -109,6 +109,7 @@ def _long_words(kind: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, x binary: float64 statistics) of every row of ``docs``."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -203,6 +204,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
     known = trained_on(labels).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("doc_id").isNotNull() & F.col("quality").cast("int").isin(0, 1))
     first = lambda rows: materialize(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     ids, chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")), first(known)
@@ -211,7 +213,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         chosen = first(known.join(ids.distinct(), "doc_id", "left_semi"))
     known = chosen
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
-    model = spark.sparkContext.broadcast(train(features(labelled), known, shrinkage))
+    # written first: with statistics and sums in one stage each task holds two Python workers, and an executor keeps them
+    model = spark.sparkContext.broadcast(train(materialize(features(labelled)), known, shrinkage))
 
     def run(batches):
         for batch in batches:

@@ -8,6 +8,7 @@ a fresh scratch folder when the setting is absent (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,22 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches sent to Python end at ``BATCH_BYTES``, in the whole session; a smaller setting stays.
+
+    Rows alone bound a batch loosely: 10,000 texts are tens of MB, held by the JVM twice and by the Python worker.
+    The setting is read when a query runs, so it can't be undone as soon as a DataFrame is returned.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", (spark.conf.get(key, None) or "").lower())  # as Spark writes sizes; others are no bound
+    size = int(now[1]) << 10 * " kmgtp".index(now[2] or " ") if now else 0
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written tables: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 

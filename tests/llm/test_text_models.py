@@ -13,10 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from edge_fixtures import edge_docs, empty_docs  # noqa: F401
+from edge_fixtures import edge_docs, empty_docs, sentence  # noqa: F401
 from quiver.llm import decontam as D, html_tree as H, lbl, quality as Q
 from quiver.llm.labelled_pages import PAGES
 from quiver.llm.registry import QUERIES
+from quiver.session import BATCH_BYTES, small_batches
 
 MODEL = H.default_model()
 
@@ -244,6 +245,34 @@ def test_rows_that_cannot_train_do_not_use_up_the_sample(spark):
     assert kept(labels.unionByName(strangers).unionByName(unknown)) == alone
 
 
+def test_keep_good_has_one_python_step_a_task(spark, monkeypatch):
+    """Two in one stage take two Python workers a task, which stay in the executor's memory."""
+    rows = [(i, sentence(i, 40)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    given, train = [], Q.train
+    monkeypatch.setattr(Q, "train", lambda vectors, *rest: given.append(vectors) or train(vectors, *rest))
+    assert Q.keep_good(docs, labels, threshold=0.0).count() == 40
+    assert given and all("MapInArrow" not in v._jdf.queryExecution().executedPlan().toString() for v in given)
+
+
+def test_small_batches(spark):
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", 60
+    before = spark.conf.get(key)
+    docs = spark.range(0, rows, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('abcdefg ', 25000)").alias("text"))  # 200 kB each
+    widths = lambda: [r["n"] for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"]) for b in batches), "n long").collect()]
+    try:
+        spark.conf.set(key, "64m")
+        assert widths() == [rows]
+        Q.keep_good(docs, spark.createDataFrame([], "doc_id long, quality int"))
+        assert sum(widths()) == rows and max(widths()) <= BATCH_BYTES // 200_000 + 1
+        spark.conf.set(key, "1m")  # a smaller one stays
+        small_batches(spark)
+        assert spark.conf.get(key) in ("1m", str(1 << 20), f"{1 << 20}b") and max(widths()) <= 6
+    finally:
+        spark.conf.set(key, before)
+
+
 # ---- language model -----------------------------------------------------------------------------------
 
 def brute_base(docs):
