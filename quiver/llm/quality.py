@@ -213,8 +213,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         chosen = first(known.join(ids.distinct(), "doc_id", "left_semi"))
     known = chosen
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
-    # written first: with statistics and sums in one stage each task holds two Python workers, and an executor keeps them
-    model = spark.sparkContext.broadcast(train(materialize(features(labelled)), known, shrinkage))
+    # dealt anew, so that statistics and sums are two stages: in one, each task holds two Python workers, and an executor keeps them
+    model = spark.sparkContext.broadcast(train(features(labelled).repartition("doc_id"), known, shrinkage))
 
     def run(batches):
         for batch in batches:

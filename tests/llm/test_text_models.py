@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from edge_fixtures import edge_docs, empty_docs, sentence  # noqa: F401
-from quiver.llm import decontam as D, html_tree as H, lbl, quality as Q
+from quiver.llm import decontam as D, html_tree as H, lbl, quality as Q, textops as T, tokens
 from quiver.llm.labelled_pages import PAGES
 from quiver.llm.registry import QUERIES
-from quiver.session import BATCH_BYTES, small_batches
+from quiver.session import BATCH_BYTES, ship_package, small_batches
 
 MODEL = H.default_model()
 
@@ -253,7 +253,19 @@ def test_keep_good_has_one_python_step_a_task(spark, monkeypatch):
     given, train = [], Q.train
     monkeypatch.setattr(Q, "train", lambda vectors, *rest: given.append(vectors) or train(vectors, *rest))
     assert Q.keep_good(docs, labels, threshold=0.0).count() == 40
-    assert given and all("MapInArrow" not in v._jdf.queryExecution().executedPlan().toString() for v in given)
+    plans = [v._jdf.queryExecution().executedPlan().toString() for v in given]
+    assert plans and all("Exchange" in p.partition("MapInArrow")[0] for p in plans)
+
+
+def test_lean_tasks_drop_what_others_left_in_the_worker(spark):
+    ship_package(spark)
+    count = T.lean(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(tokens.Encoder.held)])], ["n"]) for _ in batches))
+
+    def after_another(batches):
+        tokens.Encoder.held["left"] = None
+        yield from count(batches)
+
+    assert [r["n"] for r in spark.range(0, 5, 1, 1).mapInArrow(after_another, "n long").collect()] == [0]
 
 
 def test_small_batches(spark):
