@@ -46,7 +46,9 @@ BITS = 28
 RANGE_BYTES = 16 << 20
 _HELD = 1 << 20  # entries that a task sorts at once
 _SLICE = 1 << 19  # bytes of texts that a task splits at once
-_POWERS = 1 << 12
+_BLOCK = 1 << 16  # bytes of texts that a task hashes at once
+_CHUNK = 18  # a bitmap is put together in chunks of 2 ** _CHUNK bits
+_COLLECTED = 1 << 22  # names whose places (4 bytes) the driver puts together itself
 _C = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -55,8 +57,8 @@ class Collision(RuntimeError):
 
 
 @cache
-def _byte_values(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(value of every byte, 0 outside words; kind: 0 word, 1 blank, 2 end of a piece; powers of a place)."""
+def _byte_values(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(value of every byte, 0 outside words; kind: 0 word, 1 blank, 2 end of a piece; powers of a place in a block; what takes a word's start back out of them)."""
     kind = np.zeros(256, np.uint8)
     kind[[9, 32]] = 1
     kind[[*b".,;:!?", *range(10, 14)]] = 2
@@ -64,9 +66,11 @@ def _byte_values(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lower[65:91] += np.uint64(32)
     with np.errstate(over="ignore"):
         values = T.mix64(lower + np.uint64(1 + 1000 * seed))
-        powers = np.cumprod(np.full(_POWERS, T.mix64(np.array([seed + 7], np.uint64))[0] | np.uint64(1), dtype=np.uint64))
+        base = T.mix64(np.array([seed + 7], np.uint64))[0] | np.uint64(1)
+        rising = np.cumprod(np.full(_BLOCK, base, dtype=np.uint64))
+        falling = np.cumprod(np.append(np.uint64(1), np.full(_BLOCK - 1, pow(int(base), -1, 1 << 64), dtype=np.uint64)))
     values[kind > 0] = 0
-    return values, kind, powers
+    return values, kind, rising, falling
 
 
 class Words(NamedTuple):
@@ -78,10 +82,34 @@ class Words(NamedTuple):
     data: np.ndarray
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the words that lie at these places; nothing but separators lies between them."""
+    values, _, rising, falling = _byte_values(seed)
+    h = np.zeros(len(start), np.uint64)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(start):
+            j = int(np.searchsorted(end, start[i] + _BLOCK, side="right"))
+            if j > i:
+                block = values.take(data[start[i] : end[j - 1]])
+                block *= rising[: block.size]
+                sums = np.cumsum(block, out=block).take(end[i:j] - start[i] - 1)  # up to the end of each word
+                sums[1:] -= sums[:-1].copy()
+                h[i:j] = sums * falling.take(start[i:j] - start[i])
+            else:  # a word longer than a block
+                j = i + 1
+                power = np.uint64(1)
+                for k in range(int(start[i]), int(end[i]), _BLOCK):
+                    block = values.take(data[k : min(k + _BLOCK, int(end[i]))])
+                    h[i] += np.sum(block * rising[: block.size], dtype=np.uint64) * power
+                    power *= rising[-1]
+            i = j
+    return T.mix64(h)
+
+
 def words_of(texts: pa.Array, seed: int) -> Words:
     data, offsets = T.utf8_parts(texts)
-    values, kinds, powers = _byte_values(seed)
-    kind = kinds[data]
+    kind = _byte_values(seed)[1].take(data)
     inside = kind == 0
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -93,13 +121,12 @@ def words_of(texts: pa.Array, seed: int) -> Words:
     if not at.size:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), none, np.zeros(0, bool), none, none, data)
-    place = np.arange(at[0], data.size) - np.repeat(at, np.diff(np.append(at, data.size)))
-    with np.errstate(over="ignore"):
-        h = T.mix64(np.add.reduceat(values[data[at[0] :]] * powers[place & (_POWERS - 1)], at - at[0]))
-    doc = np.searchsorted(offsets, at, side="right") - 1
-    breaks = np.cumsum(kind == 2, dtype=np.int64)[at]
-    together = np.append((doc[1:] == doc[:-1]) & (breaks[1:] == breaks[:-1]), False)
-    return Words(h, doc, together, at, end, data)
+    of_text = np.searchsorted(at, offsets)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(of_text))
+    pieces = np.cumsum(kind == 2, dtype=np.int32).take(at)
+    together = np.append(pieces[1:] == pieces[:-1], False)
+    together[of_text[of_text > 0] - 1] = False
+    return Words(word_hashes(data, at, end, seed), doc, together, at, end, data)
 
 
 def tagged(h: np.ndarray, length: int) -> np.ndarray:
@@ -118,8 +145,11 @@ class Bitmap:
         return (self.data[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def phrases_in(words: Words, langs: np.ndarray, reached, longest: int):
-    """(length, positions, names, reached here) of every phrase whose two subphrases have reached the threshold, by length."""
+def phrases_in(words: Words, langs: np.ndarray, reached, longest: int, ask_last: bool = True):
+    """(length, positions, names, reached here) of every phrase whose two subphrases have reached the threshold, by length.
+
+    Without ``ask_last``, the longest ones are not looked up.
+    """
     n = len(words.hash)
     raw = T.mix64(words.hash ^ langs[words.doc]) if n else words.hash
     dense = np.zeros(n, bool)
@@ -135,7 +165,7 @@ def phrases_in(words: Words, langs: np.ndarray, reached, longest: int):
             raw = np.zeros(n, np.uint64)
             raw[at] = grown
         names = tagged(raw[at], length)
-        known = reached.has(names) if reached is not None else np.zeros(len(at), bool)
+        known = reached.has(names) if reached is not None and (ask_last or length < longest) else np.zeros(len(at), bool)
         yield length, at, names, known, raw
         dense = np.zeros(n, bool)
         dense[at] = known
@@ -150,11 +180,23 @@ def lang_hash(langs: list, seed: int) -> np.ndarray:
     return np.array([names[v] for v in langs], np.uint64)
 
 
+def first_of_each(names: np.ndarray) -> np.ndarray:
+    """Places in sorted names at which another name begins."""
+    return np.flatnonzero(np.append(True, names[1:] != names[:-1])) if names.size else np.zeros(0, np.int64)
+
+
+def counted(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names in ascending order and how often each is there."""
+    names = np.sort(names)
+    new = first_of_each(names)
+    return names[new], np.diff(np.append(new, names.size))
+
+
 def added(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct names in ascending order with the sums of their counts."""
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     names = names[order]
-    new = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if names.size else np.zeros(0, np.int64)
+    new = first_of_each(names)
     return names[new], np.add.reduceat(counts[order], new) if new.size else counts[:0]
 
 
@@ -168,69 +210,144 @@ def _batches(batches, seed: int):
             yield texts, words_of(texts, seed), lang_hash(own, seed), own
 
 
-def scan(docs: DataFrame, reached, young, with_words: bool, ranges: int, seed: int, longest: int, light: int) -> DataFrame:
-    """Counts of one shard: rows (name, n) of names with at least ``light`` occurrences; the others packed, a row a range."""
+def _by_range(batches):
+    """(range, its rows without the range) of batches whose first column is the range, sorted by it."""
+    key, rows = None, []
+    for batch in batches:
+        for r, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if r != key and rows:
+                yield key, rows
+                rows = []
+            key = r
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _row(schema: str, *values) -> pa.RecordBatch:
+    """A batch of one row of longs and binaries."""
+    columns = [c.split() for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], kinds[k]) for v, (_, k) in zip(values, columns)], [c for c, _ in columns])
+
+
+_SCANNED = "range long, names binary, counts binary, many binary, times binary, n long"
+
+
+def scan(docs: DataFrame, reached, young, lengths: list[int], with_words: bool, ranges: int, seed: int, light: int) -> DataFrame:
+    """Counts of one shard, a row a hash range: ``n`` names with at least ``light`` occurrences (many, times) and the others (names, counts).
+
+    ``lengths`` are those of the names in ``young``; only phrases longer by a word than one of them are counted.
+    """
     width = max(1, math.ceil(math.log2(max(ranges, 2))))
     schema = "range long, names binary, counts binary"
+    longest = max(lengths, default=0) + 1
 
     def count(batches):
-        held, size = [], 0
+        raw, size, folded = [], 0, None
 
         def pack(names, counts):
-            bounds = np.flatnonzero(np.diff(names >> np.uint64(64 - width))) + 1
-            parts = [(int(x[0] >> np.uint64(64 - width)), x.tobytes(), c.tobytes()) for x, c in zip(np.split(names, bounds), np.split(counts, bounds)) if x.size]
+            counts = counts.astype(np.uint32)  # of one task
+            bounds = [0, *(np.flatnonzero(np.diff(names >> np.uint64(64 - width))) + 1).tolist(), len(names)]
+            parts = [(int(names[a] >> np.uint64(64 - width)), names[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["range", "names", "counts"])
 
         def fold():
-            return added(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            new = counted(np.concatenate(raw)) if raw else folded
+            return new if not raw or folded is None else added(*(np.concatenate(x) for x in zip(folded, new)))
 
         for _, words, langs, _ in _batches(batches, seed):
-            known_before = None
-            for length, at, names, known, _ in phrases_in(words, langs, reached.value if reached else None, longest):
-                recent = young.value.has(names) if young is not None else known
+            recent = None
+            for length, at, names, _, _ in phrases_in(words, langs, reached.value if reached else None, longest, ask_last=False):
                 if length == 1:
                     chosen = names if with_words else names[:0]
                 else:
-                    chosen = names[known_before[at] | known_before[at + 1]]
+                    chosen = names[recent[at] | recent[at + 1]] if recent is not None else names[:0]
                 if chosen.size:
-                    held.append(added(chosen, np.ones(chosen.size, np.int64)))
-                    size += held[-1][0].size
-                known_before = np.zeros(len(words.hash) + 1, bool)
-                known_before[at] = recent
+                    raw.append(chosen)
+                    size += chosen.size
+                recent = None
+                if length in lengths:
+                    recent = np.zeros(len(words.hash) + 1, bool)
+                    recent[at] = young.value.has(names)
                 del names
             if size > _HELD:
-                held = [fold()]
-                size = held[0][0].size
+                folded, raw = fold(), []
+                size = folded[0].size
                 if size > _HELD // 2:
-                    yield pack(*held[0])
-                    held, size = [], 0
-        if held:
+                    yield pack(*folded)
+                    folded, size = None, 0
+        if size:
             yield pack(*fold())
 
     def merge(batches):
-        key, parts = None, []
-
-        def out():
-            names, counts = added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        for r, rows in _by_range(batches):
+            names, counts = added(np.concatenate([np.frombuffer(x, np.uint64) for x, _ in rows]), np.concatenate([np.frombuffer(x, np.uint32) for _, x in rows]).astype(np.int64))
             many = counts >= light
-            rare = ~many
-            yield pa.RecordBatch.from_arrays([pa.array(names[many].view(np.int64)), pa.array(counts[many]), pa.nulls(int(many.sum()), pa.binary()), pa.nulls(int(many.sum()), pa.binary())], ["name", "n", "names", "counts"])
-            if rare.any():
-                small = counts[rare].astype(np.uint16 if light <= 1 << 16 else np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([names[rare].tobytes()], pa.binary()), pa.array([small.tobytes()], pa.binary())], ["name", "n", "names", "counts"])
+            small = counts[~many].astype(np.uint16 if light <= 1 << 16 else np.int64)
+            yield _row(_SCANNED, r, names[~many], small, names[many], counts[many], int(many.sum()))
+
+    partial = docs.mapInArrow(T.lean(count), schema).repartition("range").sortWithinPartitions("range")
+    return materialize(partial.mapInArrow(T.lean(merge), _SCANNED))
+
 
+def bitmaps_in(rows: DataFrame, pick, n: int, each: int = 16, kinds: int = 1, repeated: bool = False) -> list[Bitmap]:
+    """Bitmaps of the names (uint64) in the arrays that ``pick`` takes from a batch of rows, one for each of its ``kinds`` arrays. They have
+    ``each`` bits or more for each of ``n`` names, up to 2 ** ``BITS`` bits. With ``repeated`` there may be many more than ``n`` names."""
+    bits = min(BITS, max(16, math.ceil(math.log2(each * max(n, 1)))))
+    chunk = min(bits, _CHUNK)
+
+    def own(batches):
+        held: dict[int, list] = {}
+
+        def out():
+            for kind, arrays in held.items():
+                places = np.sort(np.concatenate(arrays))
+                places = places[first_of_each(places)]
+                bounds = [0, *(np.flatnonzero(np.diff(places >> np.uint64(chunk))) + 1).tolist(), len(places)]
+                low = (places & np.uint64((1 << chunk) - 1)).astype(np.uint32)
+                parts = [(int(places[a]) >> chunk, low[a:b].tobytes()) for a, b in zip(bounds, bounds[1:]) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([kind] * len(parts), pa.int64()), pa.array([p[1] for p in parts], pa.binary())], ["chunk", "kind", "places"])
+
+        size = 0
         for batch in batches:
-            for r, names, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if r != key and parts:
-                    yield from out()
-                    parts = []
-                key = r
-                parts.append((np.frombuffer(names, np.uint64), np.frombuffer(counts, np.int64)))
-        if parts:
-            yield from out()
+            for kind, names in enumerate(pick(batch)):
+                held.setdefault(kind, []).append(names >> np.uint64(64 - bits))
+                size += len(names)
+            if size > _HELD:
+                yield from out()
+                held, size = {}, 0
+        yield from out()
 
-    partial = docs.mapInArrow(T.lean(count), schema).repartition("range").sortWithinPartitions("range")
-    return materialize(partial.mapInArrow(T.lean(merge), "name long, n long, names binary, counts binary"))
+    def joined(batches):
+        key, flags = None, None
+        for batch in batches:
+            for c, kind, places in zip(*(x.to_pylist() for x in batch.columns)):
+                if (c, kind) != key:
+                    if key:
+                        yield _row("chunk long, kind long, data binary", *key, np.packbits(flags, bitorder="little"))
+                    key, flags = (c, kind), np.zeros(1 << chunk, bool)
+                flags[np.frombuffer(places, np.uint32)] = True
+        if key:
+            yield _row("chunk long, kind long, data binary", *key, np.packbits(flags, bitorder="little"))
+
+    parts = rows.mapInArrow(T.lean(own), "chunk long, kind long, places binary")
+    out = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(kinds)]
+    if not repeated and n <= _COLLECTED:
+        for c, kind, places in parts.collect():  # 4 bytes a name
+            places = np.frombuffer(places, np.uint32)
+            np.bitwise_or.at(out[kind], (c << (chunk - 3)) + (places >> np.uint32(3)).astype(np.int64), np.uint8(1) << (places & np.uint32(7)).astype(np.uint8))
+    else:
+        parts = parts.repartition("chunk").sortWithinPartitions("chunk", "kind")
+        for c, kind, data in parts.mapInArrow(T.lean(joined), "chunk long, kind long, data binary").collect():  # at most 2 ** BITS bits
+            out[kind][c << (chunk - 3) : (c + 1) << (chunk - 3)] = np.frombuffer(data, np.uint8)
+    return [Bitmap(bits, x) for x in out]
+
+
+def one_bitmap(names: DataFrame, each: int = 16) -> Bitmap:
+    """Bitmap of the only column, of longs. Its size goes by an estimate of their number, as rows may repeat."""
+    n = names.agg(F.approx_count_distinct(names.columns[0])).first()[0]
+    return bitmaps_in(names, lambda batch: [batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)], n, each, repeated=True)[0]
 
 
 def bitmaps(names: DataFrame, column: str = "name", **chosen: Column) -> dict[str, Bitmap]:
@@ -247,22 +364,63 @@ def bitmaps(names: DataFrame, column: str = "name", **chosen: Column) -> dict[st
     return {k: Bitmap(bits, d) for k, d in out.items()}
 
 
-def window_counts(scans: list[DataFrame], light: int, threshold: int) -> DataFrame:
-    """(name, f) of the names with at least ``threshold`` occurrences in the scans."""
+def _joined(column: pa.Array, kind=np.uint64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist() if x)])
+
+
+def window_counts(scans: list[DataFrame], found: DataFrame | None, light: int, threshold: int, step: int, longest: int) -> DataFrame:
+    """The names found so far and those with at least ``threshold`` occurrences in the scans, a row a hash range.
+
+    A name has its largest count and its first step. ``n`` is the number of names that longer phrases can be made of, ``last1`` and so on
+    the latest step of those of a length.
+    """
     spark = scans[0].sparkSession
     both = reduce(DataFrame.unionByName, scans)
-    many = both.where("name IS NOT NULL").select("name", "n")
-    viable = spark.sparkContext.broadcast(bitmaps(many, all=F.lit(True))["all"])
+    viable = spark.sparkContext.broadcast(bitmaps_in(both.select("many"), lambda batch: [_joined(batch.column(0))], both.agg(F.sum("n")).first()[0] or 0)[0])
+    schema = "range long, names binary, counts binary, steps binary"
+    out_schema = f"{schema}, n long" + "".join(f", last{k} long" for k in range(1, longest))
 
     def look(batches):
         for batch in batches:
-            for names, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for r, names, counts, many, times in zip(*(c.to_pylist() for c in batch.columns)):
                 names, counts = np.frombuffer(names, np.uint64), np.frombuffer(counts, np.uint16 if light <= 1 << 16 else np.int64)
                 own = viable.value.has(names)
-                yield pa.RecordBatch.from_arrays([pa.array(names[own].view(np.int64)), pa.array(counts[own].astype(np.int64))], ["name", "n"])
+                if many or own.any():
+                    yield _row(schema, r, np.concatenate((np.frombuffer(many, np.uint64), names[own])), np.concatenate((np.frombuffer(times, np.int64), counts[own].astype(np.int64))), None)
+
+    def merge(batches):
+        for r, rows in _by_range(batches):
+            names, f = added(*(np.concatenate([np.zeros(0, k), *(np.frombuffer(x[i], k) for x in rows if x[2] is None)]) for i, k in ((0, np.uint64), (1, np.int64))))
+            names, f = names[f >= threshold], f[f >= threshold]
+            steps = np.full(len(names), step, np.int32)
+            for old in (x for x in rows if x[2] is not None):
+                names, f, steps = (np.concatenate((x, np.frombuffer(y, x.dtype))) for x, y in zip((names, f, steps), old))
+            order = np.argsort(names)
+            names, f, steps = names[order], f[order], steps[order]
+            new = first_of_each(names)
+            if new.size:
+                names, f, steps = names[new], np.maximum.reduceat(f, new), np.minimum.reduceat(steps, new)
+                length = names & np.uint64(7)
+                lasts = (steps[length == k] for k in range(1, longest))
+                yield _row(out_schema, r, names, f, steps, int((length < longest).sum()), *(int(x.max()) if x.size else None for x in lasts))
+
+    rows = both.select("range", "names", "counts", "many", "times").mapInArrow(T.lean(look), schema)
+    if found is not None:
+        rows = rows.unionByName(found.select("range", "names", "counts", "steps"))
+    out = materialize(rows.repartition("range").sortWithinPartitions("range").mapInArrow(T.lean(merge), out_schema))
+    viable.unpersist()
+    return out
+
+
+def counts_of(found: DataFrame) -> DataFrame:
+    """(name, f) of the names found, a row a name."""
 
-    few = both.where("names IS NOT NULL").select("names", "counts").mapInArrow(look, "name long, n long")
-    return many.unionByName(few).groupBy("name").agg(F.sum("n").alias("f")).where(F.col("f") >= threshold)
+    def run(batches):
+        for batch in batches:
+            for names, f in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(names, np.int64)), pa.array(np.frombuffer(f, np.int64))], ["name", "f"])
+
+    return materialize(found.select("names", "counts").mapInArrow(T.lean(run), "name long, f long"))
 
 
 def frequent(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -279,23 +437,34 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((seen.get.get("bytes") or 0) / RANGE_BYTES))
     light = math.ceil(threshold / shards)
     scans: list[DataFrame] = []
-    found, last, step = None, -1, 0
+    found, step = None, 0
     every = recent = None
+    young: list[int] = []
+
+    def parts(since):
+        """What longer phrases can be made of, and what of it was found at step ``since`` or later."""
+
+        def pick(batch):
+            names, steps = _joined(batch.column(0)), _joined(batch.column(1), np.int32)
+            own = names & np.uint64(7) < np.uint64(longest)
+            return names[own], names[own & (steps >= since)]
+
+        return pick
+
     while True:
         own = kept.where(F.col("shard") == step % shards).select("lang", "text")
-        scans.append(scan(own, every, recent, step < shards, ranges, seed, longest, light))
-        now = window_counts(scans[-shards:], light, threshold).select("name", "f", F.lit(step).alias("step"))
-        found = materialize((found.unionByName(now) if found is not None else now).groupBy("name").agg(F.max("f").alias("f"), F.min("step").alias("step")))
-        parts = found.where(F.pmod("name", F.lit(8)) < longest)  # what longer phrases can be made of
-        last = parts.agg(F.max("step")).first()[0]
-        last = -1 if last is None else last
+        scans.append(scan(own, every, recent, young, step < shards, ranges, seed, light))
+        found = window_counts(scans[-shards:], found, light, threshold, step, longest)
+        n, *lasts = found.agg(F.sum("n"), *(F.max(f"last{k}") for k in range(1, longest))).first()
+        last = max((x for x in lasts if x is not None), default=-1)
         if step >= max(shards - 1, last + shards if last >= 0 else 0):
-            return found.select("name", "f"), kept
-        made = bitmaps(parts, all=F.lit(True), young=F.col("step") >= step + 1 - shards)
+            return counts_of(found), kept
+        made = bitmaps_in(found.select("names", "steps"), parts(step + 1 - shards), n or 0, kinds=2)
         for old in (every, recent):
             if old is not None:
                 old.unpersist()
-        every, recent = spark.sparkContext.broadcast(made["all"]), spark.sparkContext.broadcast(made["young"])
+        young = [k for k, x in enumerate(lasts, 1) if x is not None and x >= step + 1 - shards]
+        every, recent = (spark.sparkContext.broadcast(x) for x in made)
         step += 1
 
 
@@ -316,6 +485,28 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+class Met:
+    """Numbers that a task has met."""
+
+    def __init__(self) -> None:
+        self.old, self.recent = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    @property
+    def size(self) -> int:
+        return self.old.size + self.recent.size
+
+    def new(self, x: np.ndarray) -> np.ndarray:
+        """Which of these sorted, distinct numbers come for the first time."""
+        fresh = np.ones(len(x), bool)
+        for known in (self.old, self.recent):
+            if known.size:
+                fresh &= known[np.minimum(np.searchsorted(known, x), known.size - 1)] != x
+        self.recent = np.sort(np.concatenate((self.recent, x[fresh])))
+        if self.recent.size > 1 << 16:  # so that the many are sorted anew for each 2 ** 16 numbers only
+            self.old, self.recent = np.sort(np.concatenate((self.old, self.recent))), self.recent[:0]
+        return fresh
+
+
 def texts_of(found: DataFrame, docs: DataFrame, known: DataFrame | None, longest: int, seed: int, totals: bool) -> DataFrame:
     """(name, other, lang, phrase, n) of the frequent phrases in ``docs`` whose names are not among the ``known`` ones, or are
     so with another second hash ``other``. Each task names a phrase once.
@@ -323,44 +514,42 @@ def texts_of(found: DataFrame, docs: DataFrame, known: DataFrame | None, longest
     With ``totals``, rows without a name hold the number of words of a language.
     """
     context = found.sparkSession.sparkContext
-    frequent_names = context.broadcast(bitmaps(found, all=F.lit(True))["all"])
+    frequent_names = context.broadcast(one_bitmap(found.select("name"), 64))  # each name let in by mistake is a row with a text
     done = missing = None
     if known is not None:
         met_before = known.where("name IS NOT NULL").select("name", "both")
-        done = context.broadcast(bitmaps(met_before.select("both").distinct(), "both", all=F.lit(True))["all"])
-        missing = context.broadcast(bitmaps(found.join(met_before, "name", "left_anti"), all=F.lit(True))["all"])
+        done = context.broadcast(one_bitmap(met_before.select("both")))
+        missing = context.broadcast(one_bitmap(found.join(met_before, "name", "left_anti").select("name")))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     columns = ["name", "other", "both", "lang", "phrase", "n"]
 
     def run(batches):
-        met = np.zeros(0, np.uint64)
-        total: dict[str, int] = {}
+        met, total = Met(), {}
         for texts, words, langs, own in _batches(batches, seed):
             if totals:
                 for lang, n in zip(own, np.bincount(words.doc, minlength=len(own)).tolist()):
                     total[lang] = total.get(lang, 0) + n
-            second = words_of(texts, seed + 7919).hash
+            second = word_hashes(words.data, words.start, words.end, seed + 7919)
+            others = langs[words.doc]
             of_doc = np.array(own, dtype=object)
             for length, at, names, found_here, _ in phrases_in(words, langs, frequent_names.value, longest):
                 at, names = at[found_here], names[found_here]
-                other = langs[words.doc[at]]
                 with np.errstate(over="ignore"):
-                    for j in range(length):
-                        other = T.mix64(other * _C + second[at + j])
+                    others[at] = other = T.mix64(others[at] * _C + second[at + length - 1])  # a longer phrase starts where a shorter one is
                     both = T.mix64(names ^ (other * np.uint64(0xD1342543DE82EF95)))
                 new = np.ones(len(at), bool) if done is None else missing.value.has(names) | ~done.value.has(both)
                 at, names, other, both = at[new], names[new], other[new], both[new]
-                both, first = np.unique(both, return_index=True)
-                new = ~np.isin(both, met)
-                both, first = both[new], first[new]
+                first = np.argsort(both)
+                first = first[first_of_each(both[first])]
+                first = first[met.new(both[first])]
                 if not first.size:
                     continue
-                met = np.concatenate((met, both))
+                both = both[first]
                 at = at[first]
                 values = [names[first].view(np.int64), other[first].view(np.int64), both.view(np.int64), of_doc[words.doc[at]].tolist(), phrase_texts(words, at, length), pa.nulls(len(at), pa.int64())]
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds)], columns)
             if met.size > _HELD:
-                met = met[:0]
+                met = Met()
         if total:
             empty = [pa.nulls(len(total), k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*empty[:3], pa.array(list(total), pa.string()), empty[4], pa.array(list(total.values()), pa.int64())], columns)

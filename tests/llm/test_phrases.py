@@ -139,3 +139,44 @@ def test_bitmap_misses_no_name(spark):
     assert made["all"].has(names.view(np.uint64)).all()
     assert made["some"].has(names[names > 0].view(np.uint64)).all()
     assert made["all"].has(rng.integers(-(2**63), 2**63, 3000).view(np.uint64)).mean() < 0.1
+
+
+def test_bitmaps_of_arrays(spark, monkeypatch):
+    """Put together by the driver or by tasks, in several chunks, a kind without names among them."""
+    names = np.random.default_rng(1).integers(-(2**63), 2**63, 40_000)
+    df = spark.createDataFrame([(names[i::7].tobytes(),) for i in range(7)], "names binary").repartition(3)
+    pick = lambda b: (x := np.concatenate([np.frombuffer(v, np.uint64) for v in b.column(0).to_pylist()]), x[x < 2**62], x[:0])
+    made = [P.bitmaps_in(df, pick, len(names), kinds=3)]
+    made.append(P.bitmaps_in(df, pick, len(names), kinds=3, repeated=True))
+    for every, low, none in made:
+        assert every.bits == 20 and every.has(names.view(np.uint64)).all() and not none.data.any()
+        assert low.has(names.view(np.uint64)[names.view(np.uint64) < 2**62]).all() and not low.data[low.data.size // 4 :].any()
+    assert all((a.data == b.data).all() for a, b in zip(*made))
+    one = P.one_bitmap(spark.createDataFrame([(int(n),) for n in names[:3000]] * 2, "name long"), 64)
+    assert one.has(names[:3000].view(np.uint64)).all() and one.has(names[3000:].view(np.uint64)).mean() < 0.03
+
+
+def test_words_longer_than_a_block():
+    """A word's hash does not depend on what lies around it, whatever its length."""
+    long = ["q" * n for n in (P._BLOCK - 1, P._BLOCK, P._BLOCK + 1, 3 * P._BLOCK + 5)]
+    alone = [P.words_of(pa.array([w]), 1).hash[0] for w in long]
+    texts = ["ab " * 30_000 + long[0], long[1].upper() + "," + long[2], " " * 9 + "c. " + long[3] + " ab"]
+    words = P.words_of(pa.array(texts), 1)
+    own = {int(b - a): h for a, b, h in zip(words.start, words.end, words.hash)}
+    assert [own[len(w)] for w in long] == alone and len(set(alone)) == 4
+    assert words.hash[0] == words.hash[-1] and words.together.tolist() == [True] * 30_000 + [False] * 4 + [True, False]
+
+
+def test_late_scans_count_only_what_became_active(spark, monkeypatch):
+    """Work by step: each scan walks phrases up to a word longer than what was found in the last cycle."""
+    asked, scan = [], P.scan
+
+    def noted(docs, reached, young, lengths, *rest):
+        asked.append((tuple(lengths), reached is not None))
+        return scan(docs, reached, young, lengths, *rest)
+
+    monkeypatch.setattr(P, "scan", noted)
+    docs = [("en", "a b c d e f. g h")] * 12
+    found, _ = P.frequent(frame(spark, docs, 1), threshold=8, shards=2)
+    assert sorted(r["f"] for r in found.collect()) == [12] * (8 + 6 + 4 + 3 + 2)
+    assert asked[0] == ((), False) and asked[-1][0] == (4,) and all(x[0] == tuple(sorted(x[0])) for x in asked)
