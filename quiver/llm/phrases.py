@@ -344,10 +344,12 @@ def bitmaps_in(rows: DataFrame, pick, n: int, each: int = 16, kinds: int = 1, re
     return [Bitmap(bits, x) for x in out]
 
 
-def one_bitmap(names: DataFrame, each: int = 16) -> Bitmap:
-    """Bitmap of the only column, of longs. Its size goes by an estimate of their number, as rows may repeat."""
+def one_bitmap(names: DataFrame, each: int = 16, repeated: bool = False) -> Bitmap:
+    """Bitmap of the only column, of longs, which may be ``repeated`` in many rows. Its size goes by an estimate of their number."""
     n = names.agg(F.approx_count_distinct(names.columns[0])).first()[0]
-    return bitmaps_in(names, lambda batch: [batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)], n, each, repeated=True)[0]
+    small = n <= _COLLECTED
+    rows = names.distinct() if repeated and small else names
+    return bitmaps_in(rows, lambda batch: [batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)], n, each, repeated=not small)[0]
 
 
 def bitmaps(names: DataFrame, column: str = "name", **chosen: Column) -> dict[str, Bitmap]:
@@ -518,7 +520,7 @@ def texts_of(found: DataFrame, docs: DataFrame, known: DataFrame | None, longest
     done = missing = None
     if known is not None:
         met_before = known.where("name IS NOT NULL").select("name", "both")
-        done = context.broadcast(one_bitmap(met_before.select("both")))
+        done = context.broadcast(one_bitmap(met_before.select("both"), repeated=True))
         missing = context.broadcast(one_bitmap(found.join(met_before, "name", "left_anti").select("name")))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     columns = ["name", "other", "both", "lang", "phrase", "n"]

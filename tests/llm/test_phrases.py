@@ -152,7 +152,7 @@ def test_bitmaps_of_arrays(spark, monkeypatch):
         assert every.bits == 20 and every.has(names.view(np.uint64)).all() and not none.data.any()
         assert low.has(names.view(np.uint64)[names.view(np.uint64) < 2**62]).all() and not low.data[low.data.size // 4 :].any()
     assert all((a.data == b.data).all() for a, b in zip(*made))
-    one = P.one_bitmap(spark.createDataFrame([(int(n),) for n in names[:3000]] * 2, "name long"), 64)
+    one = P.one_bitmap(spark.createDataFrame([(int(n),) for n in names[:3000]] * 2, "name long"), 64, repeated=True)
     assert one.has(names[:3000].view(np.uint64)).all() and one.has(names[3000:].view(np.uint64)).mean() < 0.03
 
 
